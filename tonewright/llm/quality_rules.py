@@ -54,7 +54,7 @@ RULES = (
     Rule("symbol_ratio", high=0.1),
     Rule("stop_ratio", low=0.02),
     Rule("letter_word_ratio", low=0.7),
-    Rule("dup_line_ratio", high=0.3),
+    Rule("dup_line_ratio", high=0.5),
     Rule("repeat_word_ratio", high=0.5),
 )
 
@@ -113,3 +113,30 @@ def filter_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str
 
 QUERY = "op4_quality_rules"
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+
+
+def _sql() -> str:
+    """The same rules for DuckDB."""
+    words = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+    bounds = [f"{r.measure} {op} {v}" for r in RULES for op, v in ((">=", r.low), ("<=", r.high)) if v is not None]
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+win AS (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM win) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
+m AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+  CAST(length(t) - length(regexp_replace(t, '[^\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines,
+  len(list_filter(ws, lambda w: list_contains([{words}], lower(rtrim(w, '.,;:!?'))))) AS n_stop, len(list_filter(ws, lambda w: regexp_matches(w, '\p{{L}}'))) AS n_letter
+  FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id),
+r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0 END AS mean_word_chars, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0.0 END AS symbol_ratio,
+  CASE WHEN n_words > 0 THEN n_stop / n_words ELSE 0.0 END AS stop_ratio, CASE WHEN n_words > 0 THEN n_letter / n_words ELSE 0.0 END AS letter_word_ratio,
+  CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0.0 END AS dup_line_ratio, CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0.0 END AS repeat_word_ratio FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(bounds)} AS kept FROM r
+"""
+
+
+SQL = _sql()
