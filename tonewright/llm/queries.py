@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality_rules
+from . import binary_output, exact_dedup, mixing, packing, quality_rules
 from .common import table
 
+#: The operators take the tokenizer's file as a parameter.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
@@ -16,9 +21,19 @@ def op4_quality_rules(spark, sf_dir):
     return quality_rules.judged(table(spark, sf_dir, "documents")).select(F.col("_id").alias("doc_id"), *quality_rules.COLUMNS)
 
 
+def op6_best_fit_packing(spark, sf_dir):
+    found = packing.pieces(table(spark, sf_dir, "documents"), WORD_BPE).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    out = packing.packed_pieces(found)
+    return out.select(F.col("_id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", F.col("offset").cast("long"))
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.plan(table(spark, sf_dir, "documents")).select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_quality_rules, op7_mixing)}
+def op8_binary_output(spark, sf_dir):
+    return binary_output.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_quality_rules, op6_best_fit_packing, op7_mixing, op8_binary_output)}
 SQL = {m.QUERY: m.SQL for m in (exact_dedup, quality_rules, mixing)}
