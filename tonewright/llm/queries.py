@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import binary_output, exact_dedup, mixing, packing, quality_rules
+from . import binary_output, exact_dedup, mixing, ngram_join, packing, quality_rules
 from .common import table
 
 #: The operators take the tokenizer's file as a parameter.
@@ -35,5 +35,9 @@ def op8_binary_output(spark, sf_dir):
     return binary_output.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_quality_rules, op6_best_fit_packing, op7_mixing, op8_binary_output)}
-SQL = {m.QUERY: m.SQL for m in (exact_dedup, quality_rules, mixing)}
+def op9_ngram_join(spark, sf_dir):
+    return ngram_join.classes(table(spark, sf_dir, "documents"), ngram_join.Similarity(3, 90, 100)).withColumnRenamed("_id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_quality_rules, op6_best_fit_packing, op7_mixing, op8_binary_output, op9_ngram_join)}
+SQL = {m.QUERY: m.SQL for m in (exact_dedup, quality_rules, mixing, ngram_join)}
