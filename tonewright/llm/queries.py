@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import binary_output, exact_dedup, mixing, ngram_join, packing, quality_rules
+from . import binary_output, exact_dedup, mixing, ngram_join, packing, quality_rules, sharding, token_counts, toxicity, warc
 from .common import table
 
 #: The operators take the tokenizer's file as a parameter.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -17,10 +18,24 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.graded(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_token_counts(spark, sf_dir):
+    return token_counts.counted(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality_rules.judged(table(spark, sf_dir, "documents")).select(F.col("_id").alias("doc_id"), *quality_rules.COLUMNS)
 
 
+def op5_warc(spark, sf_dir):
+    back = warc.round_trip(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op6_best_fit_packing(spark, sf_dir):
     found = packing.pieces(table(spark, sf_dir, "documents"), WORD_BPE).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     out = packing.packed_pieces(found)
@@ -39,5 +54,16 @@ def op9_ngram_join(spark, sf_dir):
     return ngram_join.classes(table(spark, sf_dir, "documents"), ngram_join.Similarity(3, 90, 100)).withColumnRenamed("_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_quality_rules, op6_best_fit_packing, op7_mixing, op8_binary_output, op9_ngram_join)}
-SQL = {m.QUERY: m.SQL for m in (exact_dedup, quality_rules, mixing, ngram_join)}
+def op10_sharding(spark, sf_dir):
+    out = sharding.assigned(table(spark, sf_dir, "documents"))
+    return out.select(F.col("_id").alias("doc_id"), "n_bytes", "depth", "prefix", "shard_bytes", "shard_docs")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_toxicity, op3_token_counts, op4_quality_rules, op5_warc,
+        op6_best_fit_packing, op7_mixing, op8_binary_output, op9_ngram_join, op10_sharding,
+    )
+}
+SQL = {m.QUERY: m.SQL for m in (exact_dedup, quality_rules, mixing, ngram_join, sharding)}
