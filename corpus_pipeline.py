@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tonewright.llm import exact_dedup, mixing, quality_rules
+from tonewright.llm import exact_dedup, mixing, ngram_join, packing, quality_rules
 from tonewright.llm.common import scratch_path, table
+from tonewright.llm.queries import WORD_BPE
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,11 +18,23 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five words a shingle and a similarity of 0.8; the smallest doc_id of each class stays."""
+    return ngram_join.representatives(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document that the mix takes twice is two rows."""
     return mixing.mixed(docs)
 
 
-STAGES = [("quality", quality), ("exact", exact), ("mix", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece: its document, its ids and its place."""
+    out = packing.pack(docs, WORD_BPE)
+    return out.select(F.col("_id").alias("doc_id"), "piece", "start", "length", "ids", "sequence_id", F.col("offset").cast("long").alias("offset"))
+
+
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mix), ("pack", pack)]
 
 #: Tokenising has no SQL form; the whole run is tested against a brute-force version.
 ORACLE_SQL = None
