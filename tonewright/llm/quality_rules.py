@@ -108,7 +108,10 @@ def judged(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id
 
 def filter_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that every rule keeps, its columns as they were."""
-    return unpacked(judged(docs, rules, id_col, text_col).filter("kept"), docs.columns)
+    t = judged(docs, rules, id_col, text_col).select("_row", "kept", F.monotonically_increasing_id().alias("_at"))
+    # A filter on a column that can't be worked out twice stays above the measures; else it would be moved below them and
+    # their expressions, which use each other many times, written out in full.
+    return unpacked(t.filter(F.col("kept") & (F.col("_at") >= 0)), docs.columns)
 
 
 QUERY = "op4_quality_rules"
