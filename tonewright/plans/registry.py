@@ -1,4 +1,11 @@
 """Every registered query and its SQL twin."""
 
+from __future__ import annotations
+
+from . import track_queries
+
 QUERIES: dict = {}
 SQL: dict = {}
+for _m in (track_queries,):
+    QUERIES |= _m.Q.queries
+    SQL |= _m.Q.sql
