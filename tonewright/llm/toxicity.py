@@ -153,17 +153,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     words = words.withColumn("c", F.col("d") - F.col("h")).withColumn("p", share("d", n_all))
     tells = F.pow(share("h", n_hot) - share("c", n_all - n_hot), F.lit(2)) / (F.col("p") * (1.0 - F.col("p")) + 1e-9)
     words = words.orderBy(tells.desc(), "w").limit(max_features).select("w")
-    frame = counts.join(F.broadcast(words), "w").select("_id", "w", "n").toPandas()
-    counts.unpersist()
-    order = have.sort_values("_id").reset_index(drop=True)
-    toxic = order["_y"].to_numpy() == 1
-    if len(frame) == 0 or toxic.all() or not toxic.any():
+    names, ids = sorted(words.toArrow()["w"].to_pylist()), have.sort_values("_id")
+    toxic = ids["_y"].to_numpy() == 1
+    if not names or toxic.all() or not toxic.any():
+        counts.unpersist()
         return Ordinal({}, (50.0,) * (GRADES - 1))
-    frame = frame.sort_values(["_id", "w"])
-    names = sorted(frame["w"].unique())
-    word = np.searchsorted(np.array(names, object), frame["w"].to_numpy(object))
-    doc = np.searchsorted(order["_id"].to_numpy(), frame["_id"].to_numpy())
-    n = frame["n"].to_numpy("float64")
+    # Only numbers come to the driver: at most max_labelled * max_features of them, and far fewer in practice.
+    spark = docs.sparkSession
+    word_no = spark.createDataFrame(list(enumerate(names)), "word int, w string")
+    doc_no = spark.createDataFrame(list(enumerate(ids["_id"].tolist())), T.StructType([T.StructField("doc", T.IntegerType()), T.StructField("_id", kind)]))
+    matrix = counts.join(F.broadcast(word_no), "w").join(F.broadcast(doc_no), "_id").select("doc", "word", F.col("n").cast("float")).toArrow()
+    counts.unpersist()
+    doc, word, n = (matrix[c].to_numpy() for c in ("doc", "word", "n"))
+    order = np.lexsort((word, doc))  # the same sums in every run
+    doc, word, n = doc[order], word[order], n[order].astype("float64")
     y = severity(doc, word, n, toxic, len(names))
     w, th = fit_ordinal(doc, word, np.log1p(n), y, len(names), GRADES)
     return Ordinal({name: float(v) for name, v in zip(names, w, strict=True)}, tuple(map(float, th)))
