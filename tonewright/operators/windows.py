@@ -171,8 +171,8 @@ def quiet_cut_points(signal: DataFrame, centre: int, query: int, window: int, lo
     right = t.filter((F.col("pos") >= F.col("_n") - half) & (F.col("pos") <= F.col("_n") - 2)).withColumn("pos", 2 * (F.col("_n") - 1) - F.col("pos"))
     both = t.unionByName(left).unionByName(right).withColumn("_s", F.sum("_x").over(w.rowsBetween(-half, half - 1)))
     both = both.filter((F.col("pos") >= 0) & (F.col("pos") < F.col("_n")))
-    k = F.explode(F.array(F.floor(F.col("pos") / centre), F.floor(F.col("pos") / centre) + 1))
-    near = both.withColumn("at", k * centre).filter((F.col("at") >= centre) & (F.col("at") < F.col("_n")) & (F.col("pos") >= F.col("at") - query) & (F.col("pos") < F.col("at") + query))
+    k = F.floor(F.col("pos") / centre)
+    near = both.withColumn("at", F.explode(F.array(k * centre, (k + 1) * centre))).filter((F.col("at") >= centre) & (F.col("at") < F.col("_n")) & (F.col("pos") >= F.col("at") - query) & (F.col("pos") < F.col("at") + query))
     return near.groupBy("clip", "at").agg(F.min_by("pos", F.struct(F.bround("_s", 9), "pos")).alias("cut"))
 
 
