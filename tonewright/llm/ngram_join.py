@@ -7,6 +7,10 @@ and the lower levels are built over a cluster's sets in a task: nodes with OR-co
 traversed in pairs that are dropped when the largest overlap they allow is too small, or when all their documents are
 linked already. What is left is checked on the sets themselves, so the result is exact (up to 64-bit hash collisions).
 
+Shingles of passages that many documents share would tie unlike documents together, so shingles in more than a share of
+all documents are put in a part of their own that nothing is dealt by; classes have one part more for it. Sets that are
+mostly such shingles are dealt by all of theirs as well. Which shingles count as frequent changes the work, never the result.
+
 Equal sets are one node from the start. A cluster over MAX_BLOCK shingles is split into blocks: rounds over blocks
 replace linked documents by one of them; if the rounds leave more than one class, the remaining pairs of blocks of
 compatible sizes are traversed too, so no link is lost at any cluster size.
@@ -39,6 +43,11 @@ MAX_BLOCK = 4_000_000
 CHUNK_KEYS = 1_000_000
 #: Tables of ids are broadcast up to this many rows (16 to 24 bytes each).
 BROADCAST_ROWS = 1_000_000
+#: A shingle is frequent if it's in more than one of this many documents. There are at most as many frequent shingles as
+#: this times the mean size of a set; the list is broadcast.
+FREQUENT_SHARE = 2_000
+#: Shingles that a map task counts at a time.
+CHUNK_SHINGLES = 4_000_000
 #: Ratio of the bounds of a size class.
 CLASS_RATIO = 1.35
 FANOUT = 8
@@ -106,42 +115,90 @@ class Similarity:
         return (slack, np.array([(j << 64) // k for j in range(1, k)], _U)) if differ else (0, np.empty(0, _U))
 
 
-def keys_of(s: np.ndarray, sim: Similarity) -> np.ndarray:
-    """What a set is dealt by."""
+def _dealt(s: np.ndarray, inner: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Keys of the parts of a sorted set, which of them have a shingle, and how many have none."""
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, _U), np.cumsum(_mix(s + _U(0x632BE59BD9B4E019)), dtype=_U)])
+        at = np.concatenate([[0], np.searchsorted(s, inner), [len(s)]])
+        keys = _mix(sums[at[1:]] - sums[at[:-1]] + _mix(np.arange(len(inner) + 1, dtype=_U) + _U(salt)))
+    have = at[1:] > at[:-1]
+    return keys, have, len(have) - int(np.count_nonzero(have))
+
+
+def keys_of(s: np.ndarray, sim: Similarity, frequent: np.ndarray | None = None) -> np.ndarray:
+    """What a set is dealt by, given the sorted frequent shingles.
+
+    Two sets that link differ in fewer parts than there are beyond the slack and the part of the frequent shingles, so they
+    agree in more than slack parts of rare ones. If one of them has no more than slack such parts empty, one that they agree
+    in isn't empty. If both have more, both are dealt by the parts of all their shingles too."""
     import bisect
 
+    rare = s
+    if frequent is not None and len(frequent):
+        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+        rare = s[frequent[at] != s]
     out = []
     c = bisect.bisect_right(sim.bounds, len(s)) - 1
-    sums = None
     while sim.bounds[c] <= sim.most(len(s)):
         slack, inner = sim.parts(c)
         if len(inner):
-            if sums is None:
-                with np.errstate(over="ignore"):
-                    sums = np.concatenate([np.zeros(1, _U), np.cumsum(_mix(s + _U(0x632BE59BD9B4E019)), dtype=_U)])
-            at = np.concatenate([[0], np.searchsorted(s, inner), [len(s)]])
-            have = at[1:] > at[:-1]
-            if np.count_nonzero(~have) > slack:
-                have[:] = True
-            p = np.nonzero(have)[0]
-            with np.errstate(over="ignore"):
-                out.append(_mix(sums[at[p + 1]] - sums[at[p]] + _mix(p.astype(_U) + _U((c << 32) + 1))))
+            keys, have, empty = _dealt(rare, inner, (c << 32) + 1)
+            out.append(keys[have])
+            if empty > slack:
+                keys, have, empty = _dealt(s, inner, (c << 32) + (1 << 31) + 1)
+                out.append(keys if empty > slack else keys[have])
         c += 1
     return np.concatenate(out) if out else np.empty(0, _U)
 
 
+def frequent_shingles(docs: DataFrame, sim: Similarity, id_col: str, text_col: str, share: int = FREQUENT_SHARE) -> np.ndarray:
+    """Sorted shingles found in more than one of share documents, equal sets in a map task counted once. A map task passes on
+    only what is that frequent among its own documents."""
+    t = packed(docs, _text=text_of(text_col)).drop("_row")
+
+    def run(batches):
+        kept, seen, size = [], set(), 0
+
+        def flush():
+            u, n = np.unique(np.concatenate(kept), return_counts=True)
+            often = n >= max(2, math.ceil(len(kept) / share))
+            return pa.RecordBatch.from_arrays([pa.array(u[often].view("int64")), pa.array(n[often])], names=["g", "n"])
+
+        for b in batches:
+            for x in b.column(0):
+                s = shingles(x.as_py(), sim.n)
+                mark = hash(s[:64].tobytes())
+                if len(s) and mark not in seen:
+                    seen.add(mark)
+                    kept.append(s)
+                    size += len(s)
+                if size >= CHUNK_SHINGLES:
+                    yield flush()
+                    kept, seen, size = [], set(), 0
+        if kept:
+            yield flush()
+
+    counts = t.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    least = max(10, docs.count() // share)
+    found = counts.filter(F.col("n") >= least).select("g").toArrow()["g"].to_numpy()
+    return np.sort(found.view("uint64")) if len(found) else np.empty(0, _U)
+
+
 def described(docs: DataFrame, sim: Similarity, id_col: str, text_col: str) -> DataFrame:
     """_id, n, two halves of the set's hash and its keys, stored in the shared folder."""
     t = packed(docs, _id=F.col(f"`{id_col}`").cast("long"), _text=text_of(text_col)).drop("_row")
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, sim, id_col, text_col))
 
     def run(batches):
         import xxhash
 
+        frequent = sent.value
+
         for b in batches:
             sets = [shingles(x.as_py(), sim.n) for x in b.column(1)]
             both = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             halves = np.frombuffer(b"".join(both), "<i8").reshape(-1, 2)
-            keys = [keys_of(s, sim) if len(s) else np.empty(0, _U) for s in sets]
+            keys = [keys_of(s, sim, frequent) if len(s) else np.empty(0, _U) for s in sets]
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype("int32")
             flat = np.concatenate([np.empty(0, _U), *keys]).view("int64")
             cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
