@@ -20,7 +20,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏА-я"
 KEEPS_SPACE = re.compile(rf"[ \n\t\r]*[{_LETTERS}]+(?![^ \n\t\r.,])|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 DROPS_SPACE = re.compile(rf"[{_LETTERS}]+(?![^ \n\t\r.,])|[^ \n\t\r]+")
 #: Chunks whose ids one Python worker keeps, some 200 bytes each.
-CACHE = 1_000_000
+CACHE = 300_000
 
 
 class _Cache(dict):
