@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LAGS = (1, 2, 3, 5, 8, 12)
-TRACK = Window.partitionBy("track_id").orderBy("idx")
+
+
+def track():
+    """The frames of a track in order."""
+    return Window.partitionBy("track_id").orderBy("idx")
 
 
 def runs(frames: DataFrame, mask: str, key: str = "track_id", pos: str = "idx") -> DataFrame:
@@ -21,8 +25,8 @@ def runs(frames: DataFrame, mask: str, key: str = "track_id", pos: str = "idx")
 def with_run(frames: DataFrame, mask: Column, name: str = "run") -> DataFrame:
     """A number for each run of true and of false values."""
     t = frames.withColumn("_m", F.coalesce(mask, F.lit(False)))
-    flip = F.coalesce((F.col("_m") != F.lag("_m").over(TRACK)).cast("int"), F.lit(0))
-    return t.withColumn("_f", flip).withColumn(name, F.sum("_f").over(TRACK)).drop("_f")
+    flip = F.coalesce((F.col("_m") != F.lag("_m").over(track())).cast("int"), F.lit(0))
+    return t.withColumn("_f", flip).withColumn(name, F.sum("_f").over(track())).drop("_f")
 
 
 def median_smooth(frames: DataFrame, value: str, mask: Column, size: int = 5, name: str = "smooth") -> DataFrame:
@@ -50,7 +54,7 @@ def median_smooth_zero(frames: DataFrame, value: str = "f0", size: int = 7, low:
     """Running median with zeros beyond the ends, after frames below low got the median of the track's other frames."""
     k, w = size // 2, Window.partitionBy("track_id")
     t = frames.withColumn("_f", F.coalesce(F.when(F.col(value) >= low, F.col(value)), F.percentile(F.when(F.col(value) >= low, F.col(value)), F.lit(0.5)).over(w), F.lit(0.0)))
-    near = F.collect_list("_f").over(TRACK.rowsBetween(-k, k))
+    near = F.collect_list("_f").over(track().rowsBetween(-k, k))
     padded = F.concat(near, F.array_repeat(F.lit(0.0), (F.lit(size) - F.size(near)).cast("int")))
     return t.withColumn(name, F.element_at(F.array_sort(padded), k + 1)).drop("_f")
 
@@ -59,17 +63,17 @@ def hold_pitch(frames: DataFrame, pitch: str, voiced: str, name: str = "held") -
     """The last voiced pitch. Before there is one, frame 0's own value; where that is missing the track's median, or 60
     for tracks without a voiced frame."""
     w = Window.partitionBy("track_id")
-    last = F.last(F.when(F.col(voiced), F.col(pitch)), True).over(TRACK)
-    first = F.first(pitch).over(TRACK)
+    last = F.last(F.when(F.col(voiced), F.col(pitch)), True).over(track())
+    first = F.first(pitch).over(track())
     mid = F.when(F.max(F.col(voiced)).over(w), F.percentile(pitch, F.lit(0.5)).over(w))
     return frames.withColumn(name, F.coalesce(last, first, mid, F.lit(60.0)))
 
 
 def interpolate_gaps(frames: DataFrame, value: str = "f0", name: str = "filled") -> DataFrame:
     """Straight lines across zeros, the ends held; tracks that are all zero are left out."""
-    ahead = TRACK.rowsBetween(0, Window.unboundedFollowing)
+    ahead = track().rowsBetween(0, Window.unboundedFollowing)
     good = F.when(F.col(value) > 0, F.struct(F.col("idx").alias("i"), F.col(value).alias("v")))
-    t = frames.withColumns({"_a": F.last(good, True).over(TRACK), "_b": F.first(good, True).over(ahead)}).filter("_a is not null or _b is not null")
+    t = frames.withColumns({"_a": F.last(good, True).over(track()), "_b": F.first(good, True).over(ahead)}).filter("_a is not null or _b is not null")
     share = (F.col("idx") - F.col("_a.i")) / (F.col("_b.i") - F.col("_a.i"))
     line = F.col("_a.v") + share * (F.col("_b.v") - F.col("_a.v"))
     out = F.when(F.col(value) > 0, F.col(value)).when(F.col("_a").isNull(), F.col("_b.v")).when(F.col("_b").isNull(), F.col("_a.v")).otherwise(line)
@@ -78,17 +82,17 @@ def interpolate_gaps(frames: DataFrame, value: str = "f0", name: str = "filled")
 
 def lag_lead(value: str, k: int) -> Column:
     """value k frames on minus k frames back, zero outside the track."""
-    return F.lead(value, k, 0.0).over(TRACK) - F.lag(value, k, 0.0).over(TRACK)
+    return F.lead(value, k, 0.0).over(track()) - F.lag(value, k, 0.0).over(track())
 
 
 def backward_delta(value: str, k: int) -> Column:
-    return F.col(value) - F.lag(value, k, 0.0).over(TRACK)
+    return F.col(value) - F.lag(value, k, 0.0).over(track())
 
 
 def _side(value: str, first: int, last: int) -> Column:
     """The values of rows first..last as a full array, the edge value of the track repeated."""
     n = last - first + 1
-    near = F.collect_list(value).over(TRACK.rowsBetween(first, last))
+    near = F.collect_list(value).over(track().rowsBetween(first, last))
     near = F.when(F.size(near) > 0, near).otherwise(F.array(F.col(value)))
     missing = (F.lit(n) - F.size(near)).cast("int")
     edge = F.array_repeat(F.element_at(near, 1 if first < 0 else -1), missing)
@@ -114,7 +118,7 @@ def before_after(frames: DataFrame, value: str = "held") -> DataFrame:
 
 
 def local_peak(value: str, size: int = 9) -> Column:
-    return F.max(value).over(TRACK.rowsBetween(-(size // 2), size // 2))
+    return F.max(value).over(track().rowsBetween(-(size // 2), size // 2))
 
 
 FEATURES = (
@@ -138,7 +142,7 @@ def frame_features(frames: DataFrame, smooth: bool = True, voiced_conf: float =
     for k in LAGS:
         cols |= {f"step_{k}": lag_lead("held", k), f"abs_step_{k}": F.abs(lag_lead("held", k)), f"level_step_{k}": lag_lead("level", k), f"conf_step_{k}": lag_lead("conf", k)}
     for k in (2, 4, 8):
-        cols |= {f"flux_back_{k}": backward_delta("flux", k), f"hf_back_{k}": backward_delta("hf", k), f"voiced_back_{k}": F.lag("voiced_f", k, 0.0).over(TRACK)}
+        cols |= {f"flux_back_{k}": backward_delta("flux", k), f"hf_back_{k}": backward_delta("hf", k), f"voiced_back_{k}": F.lag("voiced_f", k, 0.0).over(track())}
     cols |= {"flux_to_peak": F.col("flux") - local_peak("flux"), "flux_is_peak": (F.col("flux") >= local_peak("flux")).cast("double")}
     t = before_after(t.withColumns(cols))
     return t.select("track_id", "idx", *FEATURES)
@@ -146,16 +150,16 @@ def frame_features(frames: DataFrame, smooth: bool = True, voiced_conf: float =
 
 def onset_peaks(frames: DataFrame, prob: str = "prob", voiced: str = "voiced", threshold: float = 0.25) -> DataFrame:
     """peak: voiced frames whose smoothed probability reaches the threshold and is the largest of seven."""
-    s = (F.lag(prob, 1, 0.0).over(TRACK) + F.col(prob) + F.lead(prob, 1, 0.0).over(TRACK)) / 3
+    s = (F.lag(prob, 1, 0.0).over(track()) + F.col(prob) + F.lead(prob, 1, 0.0).over(track())) / 3
     t = frames.withColumn("smooth", s)
-    top = F.max("smooth").over(TRACK.rowsBetween(-3, 3))
+    top = F.max("smooth").over(track().rowsBetween(-3, 3))
     return t.withColumn("peak", (F.col("smooth") >= threshold) & (F.col("smooth") >= top) & F.col(voiced))
 
 
 def moving_mean_gate(frames: DataFrame, value: str, size: int = 20) -> DataFrame:
     """gate: how far a value stands out of its moving mean, through a logistic step. The mean is over size rows with zeros
     beyond the ends."""
-    mean = F.sum(value).over(TRACK.rowsBetween(-(size // 2 - 1), size // 2)) / size
+    mean = F.sum(value).over(track().rowsBetween(-(size // 2 - 1), size // 2)) / size
     ratio = (F.col(value) - mean) / (mean + 1e-6)
     return frames.withColumn("gate", 1 / (1 + F.exp(-(ratio - 1.3) / 0.1)))
 
