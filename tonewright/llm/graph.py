@@ -12,7 +12,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """id and label of every node of edges (a, b, both long). Each round takes the smallest label among neighbours and
     then the label of that label. Tables are read back from storage in each round, so hot nodes are split by the
     adaptive skew join and lost executors repeat one round only."""
-    both = edges.filter("a != b").select("a", "b")
+    # Stored before it's used twice: edges may come out differently when a lost task is run again, and both directions of
+    # each are needed.
+    both = stored(edges.filter("a != b").select("a", "b"), "one-way")
     both = stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "labels")
     for _ in range(rounds):

@@ -268,7 +268,7 @@ def candidates(found: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(done[:, 0])), pa.array(np.ascontiguousarray(done[:, 1]))], names=["a", "b"])
 
     rows = found.filter("size(keys) > 0 and _id is not null").select("_id", "keys").mapInArrow(local, "key long, a long, b long")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key", "a", "b").mapInArrow(meet, "a long, b long")
 
 
 class _Node:
