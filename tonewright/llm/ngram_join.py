@@ -208,12 +208,12 @@ def described(docs: DataFrame, sim: Similarity, id_col: str, text_col: str) -> D
 
 
 def copies(found: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Edges from each document to the smallest id with an equal set."""
+    """Edges from each document to the smallest id with an equal set, beside that set."""
     sets = found.filter("n > 0 and _id is not null").select("_id", "h1", "h2", "n")
     groups = sets.groupBy("h1", "h2", "n").agg(F.min("_id").alias("b"), F.max("_id").alias("_z")).filter("_z > b").drop("_z")
     groups = stored(groups, "equal-sets")
     groups = F.broadcast(groups) if groups.count() <= broadcast_rows else groups
-    return stored(sets.join(groups, ["h1", "h2", "n"]).filter("_id != b").select(F.col("_id").alias("a"), "b"), "copies")
+    return stored(sets.join(groups, ["h1", "h2", "n"]).filter("_id != b").select(F.col("_id").alias("a"), "b", "h1", "h2", "n"), "copies")
 
 
 def candidates(found: DataFrame) -> DataFrame:
@@ -357,6 +357,10 @@ def _joined(rows: DataFrame, by: list[str], sim: Similarity) -> DataFrame:
         if len(frame) < 2:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         sets = [shingles(x, sim.n) for x in frame["text"]]
+        have = np.array([len(s) > 0 for s in sets])  # an id may have rows without a shingle
+        frame, sets = frame[have], [s for s in sets if len(s)]
+        if len(sets) < 2:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         sides = frame["side"].tolist() if "side" in frame else None
         merged = traverse(sets, frame["label"].tolist(), sim, sides if sides and len(set(sides)) > 1 else None)
         return pd.DataFrame([(a, b) for a, b in merged.items() if a != b], columns=["a", "b"], dtype="int64")
@@ -374,20 +378,22 @@ def links(docs: DataFrame, sim: Similarity, id_col: str = "doc_id", text_col: st
     """described() and label (id, label) for the documents that link with another."""
     found = described(docs, sim, id_col, text_col)
     equal = copies(found, broadcast_rows)
-    clusters = components(equal.unionByName(candidates(found)))
-    sizes = found.filter("_id is not null").groupBy("_id").agg(F.max("n").alias("n"))
-    members = clusters.join(equal.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
-    members = members.join(sizes, members["id"] == sizes["_id"]).select("_id", F.col("label").alias("cluster"), "n")
+    pairs = equal.select("a", "b")
+    clusters = components(pairs.unionByName(candidates(found)))
+    # A row for each set of an id: a copy is left out, other sets of its id stay.
+    sets = found.filter("n > 0 and _id is not null").select("_id", "h1", "h2", "n").distinct()
+    sets = sets.join(equal.select(F.col("a").alias("_id"), "h1", "h2", "n"), ["_id", "h1", "h2", "n"], "left_anti")
+    members = clusters.join(sets, clusters["id"] == sets["_id"]).select("_id", F.col("label").alias("cluster"), "n")
     members = stored(members, "members")
-    total = members.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("total")).filter("docs > 1")
+    total = members.groupBy("cluster").agg(F.min("_id").alias("_p"), F.max("_id").alias("_q"), F.sum("n").alias("total")).filter("_p < _q").drop("_p", "_q")
     members = stored(members.join(total, "cluster").withColumn("label", F.col("_id")), "clustered")
 
-    light = _with_text(members.filter(F.col("total") <= max_block).select("_id", "cluster", "label"), docs, id_col, text_col, broadcast_rows)
+    light = _with_text(members.filter(F.col("total") <= max_block).select("_id", "cluster", "label").distinct(), docs, id_col, text_col, broadcast_rows)
     merges = stored(_joined(light, ["cluster"], sim), "merges")
     heavy = members.filter(F.col("total") > max_block)
     if heavy.limit(1).count():
         merges = merges.unionByName(_heavy(stored(heavy, "heavy"), docs, sim, id_col, text_col, max_block, broadcast_rows))
-    return found, components(equal.unionByName(merges))
+    return found, components(pairs.unionByName(merges))
 
 
 def _heavy(heavy: DataFrame, docs: DataFrame, sim: Similarity, id_col: str, text_col: str, max_block: int, broadcast_rows: int) -> DataFrame:
@@ -395,7 +401,7 @@ def _heavy(heavy: DataFrame, docs: DataFrame, sim: Similarity, id_col: str, text
     for turn in range(12):
         whole = now.groupBy("cluster").agg(F.sum("n").alias("_t"))
         salted = now.join(whole, "cluster").withColumn("block", F.pmod(F.xxhash64("_id", F.lit(turn)), F.ceil(F.col("_t") / max_block)))
-        got = stored(_joined(_with_text(salted.select("_id", "cluster", "label", "block"), docs, id_col, text_col, broadcast_rows), ["cluster", "block"], sim), "merges")
+        got = stored(_joined(_with_text(salted.select("_id", "cluster", "label", "block").distinct(), docs, id_col, text_col, broadcast_rows), ["cluster", "block"], sim), "merges")
         merges = got if merges is None else merges.unionByName(got)
         one_block = salted.filter(F.col("_t") > max_block).limit(1).count() == 0
         now = stored(now.join(got.select(F.col("a").alias("_id")), "_id", "left_anti"), "left")
@@ -420,7 +426,7 @@ def _heavy(heavy: DataFrame, docs: DataFrame, sim: Similarity, id_col: str, text
     first = near.select("cluster", "bin", "salt", "task", F.lit(0).alias("side"))
     second = near.filter((F.col("bin") != F.col("bin2")) | (F.col("salt") != F.col("salt2"))).select("cluster", F.col("bin2").alias("bin"), F.col("salt2").alias("salt"), "task", F.lit(1).alias("side"))
     placed = open_.join(sums, ["cluster", "bin"]).withColumn("salt", F.pmod(F.xxhash64("_id"), F.col("salts")))
-    placed = placed.join(stored(first.unionByName(second), "block-pairs"), ["cluster", "bin", "salt"]).select("_id", "cluster", "label", "task", "side")
+    placed = placed.join(stored(first.unionByName(second), "block-pairs"), ["cluster", "bin", "salt"]).select("_id", "cluster", "label", "task", "side").distinct()
     return merges.unionByName(stored(_joined(_with_text(stored(placed, "placed"), docs, id_col, text_col, broadcast_rows), ["cluster", "task"], sim), "merges"))
 
 
