@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 #: Queries that are broadcast at a time; more queries are cut into blocks of this many.
 QUERY_BLOCK = 20_000
+#: Queries of a block that are compared with a batch at a time, and pairs whose exact distances are taken at a time.
+QUERY_ROWS, PAIRS = 256, 100_000
 COMPRESS_ABOVE, COMPRESS_TO = 200_000, 10_000
 
 
@@ -19,9 +21,27 @@ def _best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     return frame.sort_values(["q", "d2", "vec_id"]).groupby("q", sort=False).head(k)
 
 
-def nearest_vectors(queries: DataFrame, index: DataFrame, k: int = 8) -> DataFrame:
-    """Exact squared distances to the k nearest of index, ties by id. Queries are joined in blocks of bounded size with every
-    batch of the index, whose tasks keep k of each query before anything is shuffled."""
+def _candidates(x: np.ndarray, y: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and exact squared distances of all pairs that may be among the k nearest of a row of x, but for those in
+    own: pairs whose distance, less the rounding bound of its quick form, isn't above the k-th smallest with its bound."""
+    sums = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :]
+    d, e = sums - 2 * x @ y.T, sums * (4 * (x.shape[1] + 4) * np.finfo("float64").eps)
+    high = d + e
+    if own is not None:
+        high[own] = np.inf
+    last = np.partition(high, k - 1, axis=1)[:, k - 1 : k] if high.shape[1] > k else np.full((len(x), 1), np.inf)
+    take = ~(d - e > last)  # NaN stays, and ranks last
+    if own is not None:
+        take &= ~own
+    rows, cols = np.nonzero(take)
+    exact = [((x[rows[i : i + PAIRS]] - y[cols[i : i + PAIRS]]) ** 2).sum(1) for i in range(0, len(rows), PAIRS)]
+    return rows, cols, np.concatenate([np.empty(0), *exact])
+
+
+def nearest_vectors(queries: DataFrame, index: DataFrame, k: int = 8, without_own: bool = False) -> DataFrame:
+    """Exact squared distances to the k nearest of index, ties by id; without_own leaves out the row with the query's own id.
+    Queries are joined in blocks of bounded size with every batch of the index, whose tasks keep k of each query before
+    anything is shuffled."""
     blocks = queries.select(F.col("vec_id").alias("q"), "vec")
     schema = T.StructType([T.StructField("q", queries.schema["vec_id"].dataType), T.StructField("vec_id", index.schema["vec_id"].dataType), T.StructField("d2", T.DoubleType())])
     out = None
@@ -30,16 +50,14 @@ def nearest_vectors(queries: DataFrame, index: DataFrame, k: int = 8) -> DataFra
 
         def run(frames, ids=ids, x=x):
             best = None
-            norm = (x * x).sum(1)
             for f in frames:
-                y = np.stack(f["vec"].to_numpy()).astype("float64")
-                d = norm[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
-                take = np.argsort(d, axis=1, kind="stable")[:, : k + 8]
-                rows = np.repeat(np.arange(len(ids)), take.shape[1])
-                cols = take.ravel()
-                exact = ((x[rows] - y[cols]) ** 2).sum(1)
-                new = pd.DataFrame({"q": ids[rows], "vec_id": f["vec_id"].to_numpy()[cols], "d2": exact})
-                best = _best(new if best is None else pd.concat([best, new]), k)
+                y, names = np.stack(f["vec"].to_numpy()).astype("float64"), f["vec_id"].to_numpy()
+                new = [] if best is None else [best]
+                for at in range(0, len(ids), QUERY_ROWS):
+                    own = ids[at : at + QUERY_ROWS, None] == names[None, :] if without_own else None
+                    rows, cols, exact = _candidates(x[at : at + QUERY_ROWS], y, k, own)
+                    new.append(_best(pd.DataFrame({"q": ids[at + rows], "vec_id": names[cols], "d2": exact}), k))
+                best = _best(pd.concat(new), k)
             if best is not None:
                 yield best
 

@@ -210,6 +210,5 @@ def j12(spark, sf_dir):
 def l2(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     q = v.filter("vec_id % 50 = 0")
-    near = vectors.nearest_vectors(q, v, 9).filter("q != vec_id").withColumn("rank", F.col("rank") - 1).filter("rank <= 8")
-    out = vectors.knn_blend(near, v, q, 0.75)
+    out = vectors.knn_blend(vectors.nearest_vectors(q, v, 8, without_own=True), v, q, 0.75)
     return out.select("q", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + F.abs(x)), 3).alias("total"))
