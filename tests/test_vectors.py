@@ -1,9 +1,11 @@
-"""Exact neighbours among copies."""
+"""Exact neighbours among copies, and the recall of the index."""
 
 import numpy as np
 import pytest
 
 from tonewright.operators import vectors
+from tonewright.plans import registry
+from tonewright.plans.dataset_queries import _vectors
 
 SCHEMA = "vec_id long, vec array<double>"
 
@@ -33,3 +35,35 @@ def test_nearest_among_copies_in_no_order(spark, without_own):
     got = by_query(vectors.nearest_vectors(spark.createDataFrame(asked, SCHEMA), index, 8, **({"without_own": True} if without_own else {})))
     assert got == brute(asked, rows, 8, without_own)
     assert got[990] == list(range(8))
+
+
+@pytest.fixture(scope="module")
+def clustered(spark):
+    """More cells than four, with neighbours spread over many of them."""
+    r = np.random.default_rng(3)
+    v = spark.createDataFrame([(i, r.normal(size=32).tolist()) for i in range(800)], SCHEMA).repartition(3).persist()
+    return v, *[x.persist() for x in vectors.build_ivf(v, seed=1)]
+
+
+def recall(found: dict, exact: dict) -> float:
+    return sum(len(set(found.get(q, [])) & set(e)) for q, e in exact.items()) / sum(map(len, exact.values()))
+
+
+def test_all_cells_give_the_exact_neighbours(clustered):
+    v, centroids, postings = clustered
+    q = v.filter("vec_id % 20 = 0")
+    assert by_query(vectors.ivf_search(q, centroids, postings, nprobe=centroids.count())) == by_query(vectors.nearest_vectors(q, v))
+
+
+def test_chosen_probes_reach_the_recall(clustered):
+    v, centroids, postings = clustered
+    q = v.filter("vec_id % 4 = 0")
+    n = vectors.choose_nprobe(q, centroids, postings, sample=64)
+    assert recall(by_query(vectors.ivf_search(q, centroids, postings, nprobe=n)), by_query(vectors.nearest_vectors(q, v))) >= 0.9
+
+
+def test_index_query_reaches_the_recall(spark):
+    folder = "/root/testdata/sf0.01"
+    v = _vectors(spark, folder)
+    exact = by_query(vectors.nearest_vectors(v.filter("vec_id % 50 = 0"), v))
+    assert recall(by_query(registry.QUERIES["j12_ivf_search"](spark, folder)), exact) >= 0.9

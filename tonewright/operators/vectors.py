@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 QUERY_BLOCK = 20_000
 #: Queries of a block that are compared with a batch at a time, and pairs whose exact distances are taken at a time.
 QUERY_ROWS, PAIRS = 256, 100_000
+#: Queries whose exact neighbours are taken to choose nprobe, and the share of these neighbours to be found.
+PROBE_QUERIES, PROBE_RECALL = 256, 0.95
 COMPRESS_ABOVE, COMPRESS_TO = 200_000, 10_000
 
 
@@ -141,6 +143,21 @@ def ivf_search(queries: DataFrame, centroids: DataFrame, postings: DataFrame, k:
     return t.withColumn("rank", rank).filter(F.col("rank") <= k).select("q", "vec_id", "d2", "rank")
 
 
+def choose_nprobe(queries: DataFrame, centroids: DataFrame, postings: DataFrame, k: int = 8, recall: float = PROBE_RECALL, sample: int = PROBE_QUERIES) -> int:
+    """The least number of cells that holds the share recall of the exact k nearest of up to sample queries (by hash of id)."""
+    rows = queries.select("vec_id", "vec").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    cells = sorted(centroids.collect(), key=lambda r: r["cell"])
+    if not rows or not cells:
+        return 1
+    some = queries.sparkSession.createDataFrame([(r["vec_id"], r["vec"]) for r in rows], queries.select("vec_id", "vec").schema)
+    near = nearest_vectors(some, postings, k).join(postings.select("vec_id", "cell"), "vec_id").select("q", "cell").collect()
+    x, c = np.array([r["vec"] for r in rows], "float64"), np.array([r["centre"] for r in cells], "float64")
+    order = np.stack([np.argsort(((c - v) ** 2).sum(1), kind="stable") for v in x])
+    place = {r["vec_id"]: {cells[j]["cell"]: i + 1 for i, j in enumerate(o)} for r, o in zip(rows, order, strict=True)}
+    needed = sorted(place[r["q"]][r["cell"]] for r in near)
+    return needed[math.ceil(recall * len(needed)) - 1] if needed else 1
+
+
 def knn_blend(neighbours: DataFrame, index: DataFrame, queries: DataFrame, rate: float) -> DataFrame:
     """Each query mixed with the mean of its neighbours, weighted by the squared inverse of their squared distance."""
     t = neighbours.join(index.select("vec_id", "vec"), "vec_id").withColumn("_w", F.pow(1 / F.greatest(F.col("d2"), F.lit(1e-12)), F.lit(2)))

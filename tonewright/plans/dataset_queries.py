@@ -199,7 +199,8 @@ def m4(spark, sf_dir):
 def j12(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     centroids, postings = vectors.build_ivf(v)
-    return rounded(vectors.ivf_search(v.filter("vec_id % 50 = 0"), centroids, postings, nprobe=4))
+    q = v.filter("vec_id % 50 = 0")
+    return rounded(vectors.ivf_search(q, centroids, postings, nprobe=vectors.choose_nprobe(q, centroids, postings)))
 
 
 @Q.add(
