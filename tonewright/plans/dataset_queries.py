@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import dataset, vectors
 from ..sources import tables as S
 from .catalog import Catalog, rounded
-from .testbed import FOLDERS, NOTES, SAMPLES, folders, notes, samples, table
+from .testbed import FOLDERS, NOTES, SAMPLES, folders, keyed, notes, samples, table, unkeyed
 
 Q = Catalog()
 
@@ -152,9 +152,9 @@ def v10(spark, sf_dir):
 
 @Q.add("v9_slice_on_silence")
 def v9(spark, sf_dir):
-    s = samples(spark, sf_dir).filter("member = 1")
+    s = keyed(samples(spark, sf_dir))
     t = s.select("clip", F.col("pos").alias("hop"), (F.abs("x") * F.when(F.pmod(F.floor(F.col("pos") / 9), F.lit(3)) == 1, 0.01).otherwise(1.0)).alias("rms"), F.lit(100_000).alias("n_samples"))
-    return dataset.slice_on_silence(t, 0.02, 10, 5, 3)
+    return unkeyed(dataset.slice_on_silence(t, 0.02, 10, 5, 3))
 
 
 @Q.add(

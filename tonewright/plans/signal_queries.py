@@ -9,7 +9,7 @@ from ..operators import evaluation, learning, signal, windows
 from ..streaming import jobs
 from .catalog import Catalog, rounded
 from .source_queries import shared_folder
-from .testbed import FRAMES, NOTES, SAMPLES, frames, notes, samples, table
+from .testbed import FRAMES, NOTES, SAMPLES, frames, keyed, notes, samples, table, unkeyed
 
 Q = Catalog()
 
@@ -123,8 +123,8 @@ def j13(spark, sf_dir):
 
 
 def _chunks(spark, sf_dir, size: int = 32):
-    """Chunks of 32 samples of each clip's first member."""
-    s = samples(spark, sf_dir).filter("member = 1").withColumn("chunk_no", F.floor(F.col("pos") / size).cast("int"))
+    """Chunks of 32 samples of each member of each clip."""
+    s = keyed(samples(spark, sf_dir)).withColumn("chunk_no", F.floor(F.col("pos") / size).cast("int"))
     t = s.groupBy("clip", "chunk_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda v: v["x"].cast("float")).alias("samples"))
     return t.withColumn("start", (F.col("chunk_no") * size).cast("long"))
 
@@ -133,24 +133,24 @@ def _chunks(spark, sf_dir, size: int = 32):
 def v11(spark, sf_dir):
     c = _chunks(spark, sf_dir)
     lengths = c.groupBy("clip").agg((F.floor(F.sum(F.size("samples")) / 8) + 3).cast("int").alias("n_frames"))
-    return rounded(signal.pad_frames(signal.frame_rms_db(c, 16, 8), lengths), digits=3)
+    return rounded(unkeyed(signal.pad_frames(signal.frame_rms_db(c, 16, 8), lengths)), digits=3)
 
 
 @Q.add("v12_spectral_cues")
 def v12(spark, sf_dir):
-    return rounded(signal.spectral_cues(_chunks(spark, sf_dir), 1000, 16, 8, 6))
+    return rounded(unkeyed(signal.spectral_cues(_chunks(spark, sf_dir), 1000, 16, 8, 6)))
 
 
 @Q.add("v13_log_mel")
 def v13(spark, sf_dir):
     t = signal.log_mel(_chunks(spark, sf_dir), 1000, 16, 8, 6, low=10.0, high=500.0)
-    return rounded(t.select("clip", "frame", F.aggregate("mel", F.lit(0.0), lambda a, x: a + x).alias("total")))
+    return rounded(unkeyed(t.select("clip", "frame", F.aggregate("mel", F.lit(0.0), lambda a, x: a + x).alias("total"))))
 
 
 @Q.add("v13_linear_spec")
 def v13_linear(spark, sf_dir):
     t = signal.linear_spec(_chunks(spark, sf_dir), 16, 8)
-    return rounded(t.select("clip", "frame", F.aggregate("mag", F.lit(0.0), lambda a, x: a + x).alias("total")))
+    return rounded(unkeyed(t.select("clip", "frame", F.aggregate("mag", F.lit(0.0), lambda a, x: a + x).alias("total"))))
 
 
 T2, F2 = signal.triangle(2), signal.triangle(1)
@@ -171,7 +171,7 @@ def v14(spark, sf_dir):
 def v15(spark, sf_dir):
     c = _chunks(spark, sf_dir)
     t = signal.rms_envelope_mix(c, c.withColumn("samples", F.transform("samples", lambda x: x * 0.5)), 0.25, 8)
-    return rounded(t.select("clip", "chunk_no", F.aggregate("samples", F.lit(0.0), lambda a, x: a + F.abs(x)).alias("total")))
+    return rounded(unkeyed(t.select("clip", "chunk_no", F.aggregate("samples", F.lit(0.0), lambda a, x: a + F.abs(x)).alias("total"))))
 
 
 @Q.add(
@@ -189,7 +189,7 @@ def v16_half(spark, sf_dir):
 
 @Q.add("w16_quiet_cut_points")
 def w16(spark, sf_dir):
-    return windows.quiet_cut_points(samples(spark, sf_dir).filter("member = 1").select("clip", "pos", "x"), 20, 6, 8, 40)
+    return unkeyed(windows.quiet_cut_points(keyed(samples(spark, sf_dir)).select("clip", "pos", "x"), 20, 6, 8, 40))
 
 
 def _labelled(spark, sf_dir):

@@ -61,6 +61,17 @@ def samples(spark, sf_dir) -> DataFrame:
     )
 
 
+def keyed(t: DataFrame) -> DataFrame:
+    """(clip, member) as one number in clip, for operators that take one key."""
+    return t.withColumn("clip", (F.col("clip") * 1000 + F.col("member")).cast("long")).drop("member")
+
+
+def unkeyed(t: DataFrame) -> DataFrame:
+    """clip and member again."""
+    others = [c for c in t.columns if c != "clip"]
+    return t.select(F.floor(F.col("clip") / 1000).alias("clip"), (F.col("clip") % 1000).cast("int").alias("member"), *others)
+
+
 SAMPLES = """samples AS (SELECT l_suppkey AS clip, l_linenumber AS member,
   CAST(row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_orderkey, l_partkey, l_extendedprice) - 1 AS INTEGER) AS pos,
   (l_discount - CAST(0.05 AS DOUBLE)) * 20 AS x FROM lineitem)"""
