@@ -202,7 +202,7 @@ def _labelled(spark, sf_dir):
 @Q.add("m2_score_onsets")
 def m2(spark, sf_dir):
     t = _labelled(spark, sf_dir).persist()
-    model = learning.train_onset_model(t.filter("track_id % 2 = 0"), 3, 3)
+    model = learning.train_onset_model(t.filter("track_id % 2 = 0"))
     return rounded(learning.score_onsets(model, t.filter("track_id % 2 = 1")))
 
 
