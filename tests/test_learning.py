@@ -9,3 +9,11 @@ def test_onset_query_fits_the_default_model(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(learning, "train_onset_model", lambda *a, **how: models.append(fit(*a, **how)) or models[-1])
     assert registry.QUERIES["m2_score_onsets"](spark, sf_dir).count() > 0
     assert [(m.getOrDefault("maxIter"), m.getOrDefault("maxDepth"), m.getNumTrees) for m in models] == [(20, 4, 20)]
+
+
+def test_cross_validation_fits_the_default_model_in_every_fold(spark, sf_dir, monkeypatch):
+    models, fit = [], learning.train_onset_model
+    monkeypatch.setattr(learning, "train_onset_model", lambda *a, **how: models.append(fit(*a, **how)) or models[-1])
+    out = registry.QUERIES["m3_cross_validate"](spark, sf_dir)
+    assert {r["fold"] for r in out.select("fold").distinct().collect()} == set(range(5))
+    assert [(m.getOrDefault("maxIter"), m.getOrDefault("maxDepth")) for m in models] == [(20, 4)] * 5

@@ -209,8 +209,7 @@ def m2(spark, sf_dir):
 @Q.add("m3_cross_validate")
 def m3(spark, sf_dir):
     t = _labelled(spark, sf_dir).persist()
-    folds = evaluation.folds(t.select("track_id"), 2)
-    return rounded(learning.cross_validate(t, folds, 2, trees=2, depth=2))
+    return rounded(learning.cross_validate(t, evaluation.folds(t.select("track_id"))))
 
 
 def _stream(spark, batch, files: int = 3):
