@@ -79,15 +79,20 @@ def read_filelist(spark: SparkSession, path: str, pitch: bool = True) -> DataFra
 
 
 def write_manifest(entries: DataFrame, path: str, version: int = 1, source: str = "folder", root: str = "") -> None:
-    """The manifest as one JSON object: it's read as a whole, and holds a row for each training file."""
-    entry = F.struct("path", "speaker_name", "speaker_id", "repeat", "output_key")
-    one = entries.agg(F.collect_list(entry).alias("entries"), F.array_sort(F.collect_set(F.struct(F.col("speaker_id").alias("id"), F.col("speaker_name").alias("name")))).alias("speakers"))
-    one.select(F.lit(version).alias("version"), F.lit(source).alias("source"), F.lit(root).alias("root"), "speakers", "entries").write.json(path)
+    """The manifest as JSON lines: entries has one for each training file, header a single one with the speakers (at most 110)
+    and the number of entries."""
+    entry = entries.select("path", "speaker_name", "speaker_id", "repeat", "output_key")
+    entry.write.json(f"{path}/entries")
+    one = entry.agg(F.count("*").alias("n_entries"), F.array_sort(F.collect_set(F.struct(F.col("speaker_id").alias("id"), F.col("speaker_name").alias("name")))).alias("speakers"))
+    one.select(F.lit(version).alias("version"), F.lit(source).alias("source"), F.lit(root).alias("root"), "speakers", "n_entries").write.json(f"{path}/header")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a manifest; an empty or incomplete one fails."""
-    t = spark.read.schema(MANIFEST).json(path, multiLine=False).select(F.explode_outer("entries").alias("e")).select("e.*")
+    kinds = spark.createDataFrame([], MANIFEST).schema["entries"].dataType.elementType
+    t = spark.read.schema(kinds).json(f"{path}/entries")
+    none = spark.read.schema("n_entries long").json(f"{path}/header").filter("n_entries = 0").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kinds])
+    t = t.unionByName(none)  # an empty manifest is an invalid entry
     bad = F.col("path").isNull() | F.col("output_key").isNull() | ~F.coalesce(F.col("speaker_id").between(0, 109), F.lit(False)) | ~F.coalesce(F.col("repeat") >= 1, F.lit(False))
     return t.withColumn("path", F.when(~bad, F.col("path")).otherwise(F.raise_error(F.lit("the manifest has an invalid entry"))))
 
