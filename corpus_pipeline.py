@@ -36,7 +36,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mix), ("pack", pack)]
 
-#: Tokenising has no SQL form; the whole run is tested against a brute-force version.
+#: Tokenising has no SQL form; only the operators have tests against brute force, not the run or its stages.
 ORACLE_SQL = None
 
 
