@@ -10,11 +10,12 @@ import zlib
 import numpy as np
 import oracle
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
-from tonewright.llm import binary_output, common, exact_dedup, mixing, ngram_join, packing, quality_rules, queries, sharding, token_counts, toxicity, warc
+from tonewright.llm import binary_output, common, encoding, exact_dedup, mixing, ngram_join, packing, quality_rules, queries, sharding, token_counts, toxicity, warc
 from tonewright.llm.encoding import Encoder
 
 WORDS = [f"w{i}" for i in range(300)]
@@ -180,14 +181,27 @@ def test_traversal_needs_no_order():
 WORD_BPE, BYTE_BPE, PIECES = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 
 
+#: Without two white-space characters in a row: lines and words are cut by plain replacement.
+PLAIN_TEXTS = ["One two.\nThree, four", "\nline\n", " blank", "end ", "it's. x'sy, A.B, ... !, é, Ä.\nß", "a\nb\nc", "", "\n", " "]
+
+
 @pytest.mark.parametrize("path", [WORD_BPE, BYTE_BPE])
-def test_encoding_is_the_librarys(path):
+def test_encoding_is_the_librarys(path, monkeypatch):
     r = random.Random(1)
     letters = " \n\t.,'!?-abzABéÉñ0129½²_#$|<>  ​ßΣσİıКлю中文é's\r"
     texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(3000)] + ["<|endoftext|> a", "x" * 5000]
     e = Encoder(path)
-    for t, w in zip(texts, e.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert e.encode(t) == np.array(w.ids, "<u4").tobytes()
+    want = [w.ids for w in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for t, w in zip(texts[:200] + texts[-2:], want[:200] + want[-2:], strict=True):
+        assert e.encode(t) == np.array(w, "<u4").tobytes()
+    for block, kept in ((8_000_000, 1_000_000), (500, 300), (1, 5)):  # small ones: many blocks, chunks are forgotten
+        monkeypatch.setattr(encoding, "BLOCK", block)
+        monkeypatch.setattr(encoding, "CACHE", kept)
+        ids, at = Encoder(path).encode_column(pa.array(texts))
+        assert [ids[a:z].tolist() for a, z in itertools.pairwise(at)] == want
+    words = [w.ids for w in e.tokenizer.encode_batch(PLAIN_TEXTS, add_special_tokens=False)]
+    ids, at = e.encode_column(pa.array(PLAIN_TEXTS))
+    assert [ids[a:z].tolist() for a, z in itertools.pairwise(at)] == words
 
 
 def test_packing(spark):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import packed, scratch_path, stored, text_of
-from .encoding import encoder
+from .encoding import encoder, with_end
 
 END_ID = 2
 
@@ -42,7 +42,6 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, id
     width (bytes an id) and base."""
     t = packed(docs, _id=F.col(f"`{id_col}`").cast("long"), _text=text_of(text_col)).drop("_row")
     t = t.repartitionByRange(F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first(), "_text")
-    end = int(end_id).to_bytes(4, "little")
 
     def put(batches):
         task, enc = TaskContext.get(), encoder(tokenizer)
@@ -50,25 +49,25 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, id
         name, own = f"part-{task.partitionId():06d}", f".{task.taskAttemptId()}.tmp"
         where, root = _store(folder)
         where.create_dir(root, recursive=True)
-        offsets, ids, nulls, out = [0], [], 0, None
+        offsets, ids, nulls, total, out = [np.zeros(1, "int64")], [], 0, 0, None
         for b in batches:
             if out is None:
                 out = where.open_output_stream(f"{root}/{name}.bin{own}")
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                got = np.frombuffer(enc.encode(text.as_py()) + end, "<u4")
-                out.write(got.astype(f"<u{width}").tobytes())
-                offsets.append(offsets[-1] + len(got))
-                nulls += key is None
-                ids.append(key or 0)
+            found, at = with_end(*enc.encode_column(b.column(1)), end_id)
+            out.write(found.astype(f"<u{width}").tobytes())
+            offsets.append(at[1:] + total)
+            total += len(found)
+            nulls += b.column(0).null_count
+            ids.append(b.column(0).fill_null(0).to_numpy())
         if out is None:
             return
         out.close()
-        for kind, data in (("off", np.array(offsets, "<u8")), ("doc", np.array(ids, "<i8"))):
+        for kind, data in (("off", np.concatenate(offsets).astype("<u8")), ("doc", np.concatenate(ids).astype("<i8"))):
             with where.open_output_stream(f"{root}/{name}.{kind}{own}") as f:
                 f.write(data.tobytes())
         for kind in ("bin", "off", "doc"):
             where.move(f"{root}/{name}.{kind}{own}", f"{root}/{name}.{kind}")
-        yield pa.RecordBatch.from_pylist([{"part": task.partitionId(), "n_docs": len(ids), "n_null": nulls, "n_tokens": offsets[-1], "width": width}])
+        yield pa.RecordBatch.from_pylist([{"part": task.partitionId(), "n_docs": sum(map(len, ids)), "n_null": nulls, "n_tokens": total, "width": width}])
 
     parts = stored(t.mapInArrow(put, "part long, n_docs long, n_null long, n_tokens long, width long"), "manifest")
     before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part

@@ -17,13 +17,14 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import packed, stored, text_of
-from .encoding import encoder
+from .encoding import encoder, with_end
 
 CAPACITY = 2048
 END_ID = 0
@@ -32,6 +33,8 @@ MAX_NODES = 20_000
 MAX_FILLINGS = 8
 #: Pieces of one length that one task ranks.
 BUCKET_ROWS = 5_000
+#: Ids in one Arrow batch of pieces.
+IDS = 4_000_000
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -41,23 +44,23 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     t = packed(docs, _id=id_col, _text=text_of(text_col)).drop("_row")
     kind = t.schema["_id"].dataType
     schema = T.StructType([T.StructField("_id", kind), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
-    end = int(end_id).to_bytes(4, "little")
-    tail = pa.schema([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
     def cut(batches):
-        enc, step = encoder(tokenizer), 4 * capacity
+        enc = encoder(tokenizer)
         for b in batches:
-            key, rows = [], ([], [], [], [])
-            for k, text in enumerate(b.column(1)):
-                ids = enc.encode(text.as_py()) + end
-                for n, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    key.append(k)
-                    for col, v in zip(rows, (n, at // 4, len(part) // 4, part), strict=True):
-                        col.append(v)
-            if key:
-                cols = [b.column(0).take(pa.array(key)), *[pa.array(c, f.type) for c, f in zip(rows, tail, strict=True)]]
-                yield pa.RecordBatch.from_arrays(cols, names=["_id", *tail.names])
+            ids, at = with_end(*enc.encode_column(b.column(1)), end_id)
+            n = -(-np.diff(at) // capacity)
+            doc, piece = np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            start = piece * capacity
+            first = at[:-1][doc] + start
+            length = np.minimum(capacity, at[1:][doc] - first)
+            for some in np.array_split(np.arange(len(doc)), -(-len(ids) // IDS) or 1):  # an Arrow batch has 32-bit offsets
+                if len(some):
+                    low, offsets = first[some[0]], np.append(first[some], first[some[-1]] + length[some[-1]])
+                    data = ids[low : offsets[-1]].astype("<u4").tobytes()
+                    cells = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(((offsets - low) * 4).astype("int32").tobytes()), pa.py_buffer(data)])
+                    cols = [b.column(0).take(pa.array(doc[some])), pa.array(piece[some], pa.int32()), pa.array(start[some]), pa.array(length[some]), cells]
+                    yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return stored(t.mapInArrow(cut, schema), "pieces")
 
