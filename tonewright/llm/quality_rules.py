@@ -79,8 +79,9 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     t = t.withColumn("_again", F.filter(F.transform("_win", twice), lambda x: x.isNotNull()))
     covered = F.size(F.array_distinct(F.flatten(F.transform("_again", lambda i: F.array(i, i + 1, i + 2)))))
     stop, letters = F.array(*[F.lit(w) for w in sorted(set(STOP_WORDS))]), r"\p{L}"
-    t = t.select(
-        "_id", "_row",
+    # Given out by a generator, so that a filter on a measure stays above: moved below, it would write out the expressions, which
+    # use each other many times, in full.
+    t = t.select("_id", "_row", F.inline(F.array(F.struct(
         F.col("_n").cast("long").alias("n_words"),
         F.length(F.translate("_text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -89,7 +90,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.size("_lines").cast("long").alias("n_lines"),
         F.size(F.filter("_words", lambda w: F.array_contains(stop, F.lower(F.rtrim(w, F.lit(".,;:!?")))))).cast("long").alias("n_stop_words"),
         F.size(F.filter("_words", lambda w: w.rlike(letters))).cast("long").alias("n_letter_words"),
-    )
+    ))))
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return t.withColumns({
         "mean_word_chars": per("word_chars", "n_words"), "symbol_ratio": per("n_symbols", "n_words"), "stop_ratio": per("n_stop_words", "n_words"),
@@ -108,10 +109,7 @@ def judged(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id
 
 def filter_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that every rule keeps, its columns as they were."""
-    t = judged(docs, rules, id_col, text_col).select("_row", "kept", F.monotonically_increasing_id().alias("_at"))
-    # A filter on a column that can't be worked out twice stays above the measures; else it would be moved below them and
-    # their expressions, which use each other many times, written out in full.
-    return unpacked(t.filter(F.col("kept") & (F.col("_at") >= 0)), docs.columns)
+    return unpacked(judged(docs, rules, id_col, text_col).filter("kept"), docs.columns)
 
 
 QUERY = "op4_quality_rules"
