@@ -1,8 +1,11 @@
 """Exact deduplication by progressive refinement.
 
-Rows are narrowed in three steps. Lengths held by one row only drop out first; then pairs of length and prefix hash
-held by one row only; full content is hashed only for rows whose pair is shared. All grouping is on narrow keys with
-partial aggregation, so a group of copies of any size adds one row a map task to a shuffle.
+Rows are narrowed in three steps: by length, by prefix hash within a length, by the hash of the full content. Length and
+prefix hash are read in one pass into a narrow table of counts; a length held once is also a pair held once, so pairs held
+twice or more are what both steps leave. These pairs are marked in a table of CELLS hash cells, a bound that doesn't grow
+with the corpus, and full content is hashed only for rows whose cell is marked. Rows that share a cell by chance are told
+apart by their full hashes. All grouping is on narrow keys with partial aggregation, so a length or a group of copies of
+any size adds one row a map task and key to a shuffle.
 
 Defined results
 * null text counts as empty, so null and empty texts are copies of each other;
@@ -20,36 +23,29 @@ from .common import packed, stored, text_of, unpacked
 
 #: Characters of the prefix that is hashed in the second step.
 PREFIX_CHARS = 256
-#: A table of group keys is broadcast up to this many rows (about 60 bytes each); beyond it a shuffled join is used.
+#: Cells of the table that marks shared pairs; it's broadcast (8 bytes a marked cell, and the hash table around them).
+CELLS = 1 << 21
+#: The table of groups of copies is broadcast up to this many rows (about 60 bytes each); beyond it the join is shuffled.
 BROADCAST_ROWS = 500_000
 
 
-def _bounded(keys: DataFrame, limit: int) -> tuple[DataFrame, bool]:
-    """keys, with a broadcast hint if it has at most limit rows."""
-    small = keys.limit(limit + 1).count() <= limit
-    return (F.broadcast(keys) if small else keys), small
-
-
 def refine(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, broadcast_rows: int = BROADCAST_ROWS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, cells: int = CELLS, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Per row: _id, _text, _row (all columns), digest (SHA-256 hex, null where the row was settled before the last
     step), keep_id, group_size and kept."""
     base = packed(docs, _id=id_col, _text=text_of(text_col)).withColumn("_len", F.octet_length("_text"))
     base = base.withColumn("_prefix", F.xxhash64(F.substring("_text", 1, prefix_chars)))
 
-    lengths = base.groupBy("_len").agg(F.count("*").alias("n")).filter("n > 1").select("_len")
-    shared = base.select("_len", "_prefix").join(lengths, "_len", "left_semi")
-    keys = stored(shared.groupBy("_len", "_prefix").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "dedup-keys")
-    keys, small = _bounded(keys.withColumn("_shared", F.lit(True)), broadcast_rows)
+    pairs = base.groupBy("_len", "_prefix").agg(F.count("*").alias("n")).filter("n > 1")
+    cell = F.pmod(F.xxhash64("_len", "_prefix"), F.lit(cells))
+    marked = stored(pairs.select(cell.alias("_cell")).distinct(), "dedup-cells").withColumn("_shared", F.lit(True))
 
-    digest = F.sha2(F.col("_text"), 256)
-    if small:  # the whole text is hashed only where the pair is shared
-        hashed = base.join(keys, ["_len", "_prefix"], "left").withColumn("digest", F.when(F.col("_shared"), digest))
-    else:  # hashing while reading is cheaper than moving texts to the join
-        hashed = base.withColumn("digest", digest).join(keys, ["_len", "_prefix"], "left").withColumn("digest", F.when(F.col("_shared"), F.col("digest")))
+    hashed = base.withColumn("_cell", cell).join(F.broadcast(marked), "_cell", "left").drop("_cell")  # at most cells rows
+    hashed = hashed.withColumn("digest", F.when(F.col("_shared"), F.sha2(F.col("_text"), 256)))
     groups = hashed.filter("digest is not null").groupBy("digest").agg(F.max("_id").alias("_keep"), F.count("*").alias("_n")).filter("_n > 1")
-    groups, _ = _bounded(stored(groups.withColumnRenamed("digest", "_digest"), "dedup-groups"), broadcast_rows)
+    groups = stored(groups.withColumnRenamed("digest", "_digest"), "dedup-groups")
+    groups = F.broadcast(groups) if groups.limit(broadcast_rows + 1).count() <= broadcast_rows else groups
 
     alone = hashed.filter("digest is null").withColumns({"_keep": F.lit(None).cast(docs.schema[id_col].dataType), "_n": F.lit(None).cast("long")})
     met = hashed.filter("digest is not null").join(groups, F.col("digest") == F.col("_digest"), "left").drop("_digest")
