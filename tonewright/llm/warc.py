@@ -1,14 +1,15 @@
 """A content-addressed archive of web records.
 
 Payload bytes are stored once for each SHA-256 digest; the exact header bytes of every record are stored apart, with
-the digest that they belong to. Records come back through a join. Digests are verified twice: rows of one digest must
-agree in size and SHA-1 when they are stored, and payloads must have their digest when they are read.
+the digest that they belong to. Records come back through a join. Digests are verified: rows of one digest must agree in
+size and SHA-1 when they are stored, payloads must have their digest when they are read, and what a record's headers say of
+its length and its payload's digest must be so.
 
 Of records with equal payloads of at least min_bytes the one with the largest id is a response and the others revisit
 it; smaller ones are all responses. The payload of a digest goes through the shuffle once for each map task at most.
 
 Defined results
-* null payload counts as empty; null ids rank below all others, their record is named by an empty string;
+* null payload counts as empty; null ids rank below all others, their records are named by an empty string;
 * rows that repeat with the same id and payload are each a response if one of them is;
 * an empty table gives an empty archive; columns other than the id, the address and the payload aren't archived.
 """
@@ -89,17 +90,6 @@ def payloads(spark: SparkSession, folder: str) -> DataFrame:
     return t.select("sha256", good.alias("payload"))
 
 
-def records(spark: SparkSession, folder: str) -> DataFrame:
-    """id, sha256 and what the stored headers say: type, digest32, refers_to (null for responses), url, content_length."""
-    t = spark.read.parquet(f"{folder}/records").withColumn("_h", F.decode("header", "UTF-8"))
-    field = lambda name: F.regexp_extract("_h", rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
-    refers = F.regexp_extract("_h", r"\r\nWARC-Refers-To: <urn:record:([^>]*)>\r\n", 1)
-    return t.select(
-        "id", "sha256", field("WARC-Type").alias("type"), F.regexp_extract("_h", r"\r\nWARC-Payload-Digest: sha1:(\w+)\r\n", 1).alias("digest32"),
-        F.when(refers != "", refers).alias("refers_to"), field("WARC-Target-URI").alias("url"), field("Content-Length").cast("long").alias("content_length"),
-    )
-
-
 def rebuilt(spark: SparkSession, folder: str) -> DataFrame:
     """id and record, the exact bytes of every record with its ending: header, payload unless it's a revisit, two line ends."""
     heads = spark.read.parquet(f"{folder}/records").withColumn("revisit", F.decode("header", "UTF-8").contains("\r\nWARC-Type: revisit\r\n"))
@@ -108,13 +98,41 @@ def rebuilt(spark: SparkSession, folder: str) -> DataFrame:
     return whole.unionByName(heads.filter("revisit").select("id", F.concat("header", end).alias("record")))
 
 
+def parsed(raw: DataFrame) -> DataFrame:
+    """What records (id, record) say: id, type, name, url, digest32, refers_to (the name, null for responses), payload_bytes and
+    payload_digest of the payload that they hold, null for revisits. A record whose length or digest isn't what its headers
+    say fails."""
+    # Latin-1 gives each byte a character, so that positions in the string are those of the bytes.
+    t = raw.select("id", F.decode("record", "ISO-8859-1").alias("_s"))
+    t = t.withColumn("_head", F.substring_index("_s", "\r\n\r\n", 1)).withColumn("_rest", F.expr("substr(_s, length(_head) + 5)"))
+    t = t.withColumn("_http", F.substring_index("_rest", "\r\n\r\n", 1))
+    lines = F.concat(F.lit("\r\n"), F.col("_head"), F.lit("\r\n"))
+    field = lambda text, name: F.nullif(F.regexp_extract(text, rf"\r\n{name}: ([^\r\n]*)\r\n", 1), F.lit(""))
+    t = t.withColumns({"type": field(lines, "WARC-Type"), "name": field(lines, "WARC-Record-ID"), "url": F.decode(F.encode(field(lines, "WARC-Target-URI"), "ISO-8859-1"), "UTF-8"), "refers_to": field(lines, "WARC-Refers-To")})
+    t = t.withColumns({"digest32": F.regexp_extract(lines, r"\r\nWARC-Payload-Digest: sha1:(\w+)\r\n", 1), "_block": field(lines, "Content-Length").cast("long")})
+    http = F.concat(F.lit("\r\n"), F.col("_http"), F.lit("\r\n"))
+    t = t.withColumns({"_said": field(http, "Content-Length").cast("long"), "_payload": F.encode(F.expr("substr(_rest, length(_http) + 5, _block - length(_http) - 4)"), "ISO-8859-1")})
+    response = F.col("type") == "response"
+    size = F.octet_length("_payload").cast("long")
+    whole = (F.length("_rest") == F.col("_block") + 4) & F.col("_rest").endswith("\r\n\r\n") & (~response | (F.col("_said") == size)) & (response | (size == 0))
+    t = t.withColumns({"payload_bytes": F.when(response, size), "payload_digest": F.when(response, base32_of_hex(F.sha1("_payload")))})
+    good = whole & (~response | (F.col("payload_digest") == F.col("digest32")))
+    checked = F.when(F.coalesce(good, F.lit(False)), F.col("type")).otherwise(F.raise_error(F.concat(F.lit("a record isn't what its headers say: "), F.coalesce("name", F.lit("without a name")))))
+    return t.select("id", checked.alias("type"), "name", "url", "digest32", "refers_to", "payload_bytes", "payload_digest")
+
+
 def pages_back(spark: SparkSession, folder: str, id_col: str = "page_id") -> DataFrame:
-    """Per record what its header says, and size and digest of its full payload as stored: revisits through the payload
-    that they refer to."""
-    facts = payloads(spark, folder).select("sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("payload_digest"))
-    facts = stored(facts, "payload-facts")
-    facts = F.broadcast(facts) if facts.count() <= BROADCAST_ROWS else facts
-    return records(spark, folder).join(facts, "sha256").select(F.col("id").alias(id_col), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to", "digest32", "sha256")
+    """Per record, from its bytes: the id under its own name, payload_bytes and payload_digest of the full payload (for revisits
+    that of the response they refer to), record_type, refers_to (the response's id as text) and url."""
+    found = stored(parsed(rebuilt(spark, folder)), "records-back")
+    own = found.filter("type = 'response'").drop("name", "refers_to")
+    named = found.filter("type = 'response'").select(F.col("name").alias("refers_to"), "digest32", F.col("payload_bytes").alias("_b"), F.col("payload_digest").alias("_d")).distinct()
+    named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+    other = found.filter("type = 'revisit'").join(named, ["refers_to", "digest32"], "left")
+    missing = F.raise_error(F.concat(F.lit("there is no record "), F.col("refers_to")))
+    other = other.select("id", "type", "url", "digest32", F.regexp_extract("refers_to", r"^<urn:record:(.*)>$", 1).alias("refers_to"), F.coalesce("_b", missing.cast("long")).alias("payload_bytes"), F.col("_d").alias("payload_digest"))
+    both = own.withColumn("refers_to", F.lit(None).cast("string")).unionByName(other)
+    return both.select(F.col("id").alias(id_col), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to", "digest32", "url")
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
