@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import oracle
@@ -47,11 +48,11 @@ def test_query_against_sql(spark, sf_dir, con, name):
     assert oracle.compare(queries.QUERIES[name](spark, sf_dir), con, queries.SQL[name]) == ""
 
 
-@pytest.mark.parametrize("small", [0, 500_000])
-def test_exact_dedup(spark, small):
+@pytest.mark.parametrize(("cells", "small"), [(1, 0), (64, 500_000), (exact_dedup.CELLS, 500_000)])
+def test_exact_dedup(spark, cells, small):
     texts = awkward()
     docs = frame(spark, texts)
-    got = {r["doc_id"]: r for r in exact_dedup.decisions(docs, broadcast_rows=small).collect()}
+    got = {r["doc_id"]: r for r in exact_dedup.decisions(docs, cells=cells, broadcast_rows=small).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         same = [j for j, u in enumerate(texts) if (u or "") == (t or "")]
@@ -61,6 +62,7 @@ def test_exact_dedup(spark, small):
     assert kept.columns == docs.columns and kept.count() == len({t or "" for t in texts})
     twice = docs.unionByName(docs)
     assert exact_dedup.dedup(twice).count() == len({t or "" for t in texts})
+    assert exact_dedup.decisions(docs.limit(0)).count() == 0 and exact_dedup.dedup(docs.limit(0)).count() == 0
     nulls = spark.createDataFrame([(None, "a"), (None, "a"), (1, "a"), (None, "b")], "doc_id long, text string")
     assert sorted(map(str, exact_dedup.dedup(nulls).collect())) == sorted(["Row(doc_id=1, text='a')", "Row(doc_id=None, text='b')"])
 
@@ -71,16 +73,18 @@ def test_quality_rules(spark):
     for i, t in enumerate(texts):
         words = [w.decode() for w in (t or "").encode().split()]
         windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
-        repeat = {k + d for k, w in enumerate(windows) if windows.count(w) > 1 for d in range(3)} if len(windows) < 1000 else None
+        often = Counter(windows)
+        repeat = {k + d for k, w in enumerate(windows) if often[w] > 1 for d in range(3)}
         lines = [x for x in (t or "").split("\n") if x.encode().split()]
         assert got[i]["n_words"] == len(words) and got[i]["word_chars"] == sum(map(len, words))
         assert got[i]["n_symbols"] == sum(c in "#*$%&|<>" for c in t or "") and got[i]["n_dup_lines"] == len(lines) - len(set(lines))
-        if repeat is not None:
-            assert got[i]["n_repeat_words"] == len(repeat)
-            assert got[i]["base_failed"] == (len(words) < 50 or 100 * len(repeat) > 50 * len(words))
+        assert got[i]["n_repeat_words"] == len(repeat)
+        assert got[i]["base_failed"] == (len(words) < 50 or 100 * len(repeat) > 50 * len(words))
     docs = frame(spark, texts)
     assert quality_rules.filter_documents(docs).columns == docs.columns
-    assert quality_rules.filter_documents(docs.limit(0)).count() == 0
+    assert quality_rules.filter_documents(docs.limit(0)).count() == 0 and quality_rules.judged(docs.limit(0)).count() == 0
+    for condition in ("kept", "not base_failed and n_symbols < 3", "n_repeat_words > 0 or n_dup_lines > 0"):
+        assert quality_rules.judged(docs).filter(condition).count() == quality_rules.judged(docs).selectExpr(f"int({condition}) AS c").agg(F.sum("c")).first()[0]
 
 
 def test_quality_rules_keep_good_documents(spark, sf_dir):
@@ -123,6 +127,19 @@ def test_mixing(spark):
     assert mixing.plan(frame(spark, [None, ""])).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_mixing_with_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGES", 3)  # the range with the cut is divided again and again
+    r = random.Random(8)
+    rows = [(r.choice([None, None, 1, 2, i]), " ".join(r.choice(WORDS) for _ in range(r.randint(0, 30))) or None, r.choice(["a", "b", None])) for i in range(300)]
+    docs = spark.createDataFrame(rows + rows[:40], "doc_id long, text string, source string")
+    runs = [sorted(map(str, mixing.plan(docs.repartition(k), bucket_rows=b).collect())) for k, b in ((2, 5), (7, 5), (3, 1000))]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 340
+    budget = 1.5 * sum(len((t or "").split()) for _, t, _ in rows + rows[:40])
+    taken = mixing.plan(docs, bucket_rows=5).agg(F.sum("taken")).first()[0]
+    assert budget - 30 <= taken <= budget
+    assert mixing.mixed(docs).columns == docs.columns
+
+
 def test_ngram_join_against_all_pairs(spark, monkeypatch):
     r = random.Random(5)
 
@@ -145,7 +162,7 @@ def test_ngram_join_against_all_pairs(spark, monkeypatch):
         texts += [t, near(t, 2)]
     docs = frame(spark, texts)
     monkeypatch.setattr(ngram_join, "FREQUENT_SHARE", 20)
-    for sim, block in ((ngram_join.Similarity(3, 90, 100), 4_000_000), (ngram_join.Similarity(3, 90, 100), 400), (ngram_join.Similarity(5, 80, 100), 1500)):
+    for sim, block, most in ((ngram_join.Similarity(3, 90, 100), 4_000_000, 256), (ngram_join.Similarity(3, 90, 100), 4_000_000, 2), (ngram_join.Similarity(3, 90, 100), 400, 256), (ngram_join.Similarity(5, 80, 100), 1500, 8)):
         sets = [set(ngram_join.shingles(t, sim.n).tolist()) for t in texts]
         root = list(range(len(texts)))
 
@@ -159,7 +176,7 @@ def test_ngram_join_against_all_pairs(spark, monkeypatch):
             if a and b and sim.linked(len(a & b), len(a), len(b)):
                 p, q = sorted((find(i), find(j)))
                 root[q] = p
-        got = {x["_id"]: x for x in ngram_join.classes(docs, sim, max_block=block).collect()}
+        got = {x["_id"]: x for x in ngram_join.classes(docs, sim, max_block=block, max_sets=most).collect()}
         assert [got[i]["component_id"] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
         assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
     kept = ngram_join.representatives(docs, sim)
@@ -206,8 +223,10 @@ def test_encoding_is_the_librarys(path, monkeypatch):
 
 def test_packing(spark):
     texts = awkward(3, 40)
-    docs = frame(spark, texts).unionByName(frame(spark, ["again"]))
+    odd = frame(spark, ["again"]).unionByName(frame(spark, ["no id", "no id", None]).withColumn("doc_id", F.lit(None).cast("long")))
+    docs = frame(spark, texts).unionByName(odd)
     rows = packing.pack(docs, WORD_BPE, 64).collect()
+    assert len([r for r in rows if r["_id"] is None]) == 3
     tok = Tokenizer.from_file(WORD_BPE)
     want = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
     by_doc = {}
@@ -253,11 +272,45 @@ def test_bin_completion_is_best_on_small_cases():
     for seed in range(60):
         r = random.Random(seed)
         items = [r.randint(3, 14) for _ in range(9)]
-        plan = packing.complete({s: items.count(s) for s in items}, 20)
+        found = packing.complete({s: items.count(s) for s in items}, 20)
+        plan = found.plan
+        assert found.best and found.sequences >= found.least
         assert sorted(s for kind, n in plan for s, k in kind for _ in range(k * n)) == sorted(items)
         assert all(sum(s * k for s, k in kind) <= 20 for kind, _ in plan)
         assert sum(n for _, n in plan) == least(items, 20)
-    assert packing.complete({}, 20) == []
+    assert packing.complete({}, 20).plan == []
+
+
+def test_bin_completion_searches_at_full_size():
+    """Lengths for which best-fit decreasing isn't best: the search must run and find the planted packing."""
+    r = random.Random(4)
+    counts = Counter()
+    for _ in range(6):
+        a = r.randint(700, 900)
+        b = r.randint(500, 640)
+        counts.update([a, b, packing.CAPACITY - a - b])
+    found = packing.complete(dict(counts))
+    greedy = sum(n for _, n in packing.best_fit(dict(counts), packing.CAPACITY))
+    assert greedy > 6 and found.sequences == found.least == 6 and found.nodes > 0
+    cut = packing.complete(dict(counts), max_nodes=1)
+    assert not cut.best and cut.sequences == greedy
+
+
+def test_packing_query_on_a_table_that_needs_the_search(spark, sf_dir):
+    """At this size best-fit decreasing doesn't reach the lower bound, so the query's result is that of the search."""
+    rows = queries.op6_best_fit_packing(spark, "/root/testdata/sf0.001").collect()
+    counts = Counter(r["length"] for r in rows)
+    found = packing.complete(dict(counts))
+    assert found.nodes > 0 and len({r["sequence_id"] for r in rows}) == found.sequences < sum(n for _, n in packing.best_fit(dict(counts), packing.CAPACITY))
+    bins = {}
+    for r in rows:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
 
 
 def test_binary_output(spark, tmp_path):
@@ -348,6 +401,21 @@ def test_warc(spark):
             length = int(head.split(b"Content-Length: ")[1].split(b"\r\n")[0])
             assert block[length:] == b"\r\n\r\n" and (block[:length].endswith(b"\r\n\r\n" + data) if kind == "response" else block[:length].endswith(b"\r\n\r\n"))
     assert warc.round_trip(pages.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, None, "a"), (1, None, "a"), (None, "u", "a"), (None, "u", "b"), (None, None, None)], "page_id long, url string, html string")
+    back = warc.round_trip(twice).collect()
+    assert Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in back) == {(1, 1, "response", None): 2, (None, 1, "revisit", "1"): 1, (None, 1, "response", None): 1, (None, 0, "response", None): 1}
+
+
+def test_warc_finds_what_is_not_as_said(spark):
+    pages = spark.createDataFrame([(1, "http://é/", "text"), (2, None, "text")], "page_id long, url string, html string")
+    folder = common.scratch_path(spark, "warc-test")
+    warc.write(pages, folder)
+    raw = warc.rebuilt(spark, folder)
+    assert {r["url"] for r in warc.parsed(raw).collect()} == {"http://é/", None}
+    for change in (lambda x: x.replace(b"text\r\n\r\n", b"test\r\n\r\n"), lambda x: x[:-1], lambda x: x.replace(b"Content-Length: 4", b"Content-Length: 5")):
+        rows = [(r["id"], bytearray(change(bytes(r["record"])))) for r in raw.collect()]
+        with pytest.raises(Exception, match="headers say"):
+            warc.parsed(spark.createDataFrame(rows, raw.schema)).collect()
 
 
 def test_sharding(spark, tmp_path):
@@ -355,7 +423,7 @@ def test_sharding(spark, tmp_path):
     docs = frame(spark, texts)
     rows = sharding.assigned(docs, 2000).collect()
     assert len(rows) == len(texts)
-    h = {r["i"]: r["h"] for r in docs.select(F.col("doc_id").alias("i"), mixing.shuffle_hash(F.col("doc_id"), sharding.SEED).alias("h")).collect()}
+    h = {r["i"]: r["h"] for r in docs.select(F.col("doc_id").alias("i"), mixing.shuffle_hash(F.col("doc_id"), F.col("text"), sharding.SEED).alias("h")).collect()}
     size = {i: len((t or "").encode()) for i, t in enumerate(texts)}
 
     def shard(i):  # split until it fits
@@ -365,6 +433,11 @@ def test_sharding(spark, tmp_path):
                 return depth, h[i] >> (60 - depth), sum(size[j] for j in same), len(same)
 
     assert {r["_id"]: (r["depth"], r["prefix"], r["shard_bytes"], r["shard_docs"]) for r in rows} == {i: shard(i) for i in h}
+    assert {r["doc_id"]: (r["depth"], r["prefix"], r["shard_bytes"], r["shard_docs"]) for r in sharding.read_back(docs, 2000).collect()} == {i: shard(i) for i in h}
+    nulls = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    spread = sharding.read_back(nulls, 2000)
+    assert spread.count() == len(texts) and spread.filter("shard_docs > 1 and shard_bytes > 2000").count() == 0
+    assert sharding.read_back(docs.limit(0)).count() == 0
     folder = common.scratch_path(spark, "shards")
     back = sharding.write_shards(docs, folder, 2000)
     assert back.count() == len(texts) and sharding.assigned(docs.limit(0)).count() == 0

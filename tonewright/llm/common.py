@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,17 +14,46 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Where stored() notes the folders that it makes, if anyone wants to know (see recorded()).
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from spark.checkpoint.dir; made only where unset."""
+    """The folder that the driver and all executors share, from spark.checkpoint.dir; where that's unset a local session gets a
+    folder of its own, and a cluster an error, since each machine would see another one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tonewright-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def recorded():
+    """A list of the scratch folders that are made inside."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch folders; what was read from them must have been written elsewhere."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -9,7 +9,9 @@ source that holds most rows is spread over as many tasks as its rows need. The c
 Defined results
 * null text has no words; null is a source of its own, the last;
 * a source without words has target 0 and nothing taken;
-* ties in finish time are broken by hash, id and copy; rows that repeat count as documents of their own;
+* documents of a source are ordered by hash, id, size and a hash of the text; a null id hashes by the text. Rows that
+  repeat count as documents of their own, equal ones can stand for each other; ties in finish time are broken by hash, id
+  and copy;
 * an empty table gives an empty result; extra columns of any name pass through mixed() unchanged.
 """
 
@@ -29,19 +31,22 @@ MAX_COPIES = 2
 SEED = "mix-1"
 #: Rows of a source that one task sorts.
 BUCKET_ROWS = 20_000
+#: Ranges of finish times whose sums go to the driver at a time.
+RANGES = 1_000
 #: A table of sources is broadcast up to this many rows.
 BROADCAST_SOURCES = 100_000
 
 
-def shuffle_hash(id_col: Column, seed: str) -> Column:
-    """60 bits of MD5 as a long: other engines can compute it too."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(id_col.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+def shuffle_hash(id_col: Column, text: Column, seed: str) -> Column:
+    """60 bits of MD5 of the id as a long: other engines can compute it too. Rows without an id are spread by their text."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(id_col.cast("string"), F.md5(text)))), 1, 15), 16, 10).cast("long")
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     src = F.col(f"`{source_col}`").cast("string")
-    t = packed(docs, _id=id_col, _src=src, _size=word_count(text_of(text_col)))
-    return t.withColumn("_key", F.when(F.col("_src").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("_src")))).withColumn("_h", shuffle_hash(F.col("_id"), SEED))
+    text = text_of(text_col)
+    t = packed(docs, _id=id_col, _src=src, _size=word_count(text), _h=shuffle_hash(F.col(f"`{id_col}`"), text, SEED), _tie=F.xxhash64(text))
+    return t.withColumn("_key", F.when(F.col("_src").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("_src"))))
 
 
 def targets(base: DataFrame, weights=WEIGHTS, share: float = SHARE, max_copies: int = MAX_COPIES) -> DataFrame:
@@ -77,11 +82,11 @@ def scheduled(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sou
     sums = base.groupBy("_key", "_bucket").agg(F.sum("_size").alias("_s"))
     upto = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = stored(sums.select("_key", "_bucket", F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("_ahead")), "mix-buckets")
-    within = Window.partitionBy("_key", "_bucket").orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("_key", "_bucket").orderBy("_h", "_id", "_size", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     ahead = lambda t: t.join(sums, ["_key", "_bucket"]).withColumn("_before", F.col("_ahead") + F.sum("_size").over(within) - F.col("_size"))
-    rows = ahead(base)
+    rows = stored(ahead(base), "mix-plan")
     budget = math.floor(share * (facts["size"] or 0))
-    cut = _cut(rows, budget, max_copies, max(1, (facts["n"] or 0) * facts["k"] // bucket_rows))
+    cut = _cut(rows, budget, max_copies, bucket_rows)
     return (ahead(placed(full)) if whole_rows else rows), cut
 
 
@@ -90,21 +95,35 @@ def finish(copy: int) -> Column:
     return F.when(F.col("target") > 0, done / F.col("target")).otherwise(F.lit(0.0))
 
 
-def _cut(rows: DataFrame, budget: int, max_copies: int, parts: int):
-    """Sums over ranges of the finish time find the range that the budget ends in; only that range is sorted."""
-    parts = min(parts, 10_000)
+def _cut(rows: DataFrame, budget: int, max_copies: int, bucket_rows: int):
+    """Sums over ranges of the finish time find the range that the budget ends in. It's divided again until its rows are
+    few enough to sort in one task, or share one finish time."""
     copies = F.explode(F.array(*[F.struct(finish(c).alias("f"), F.lit(c).alias("c")) for c in range(max_copies)]))
-    each = rows.select("_h", "_id", "_size", copies.alias("_x")).select(F.col("_x.f").alias("f"), "_h", "_id", F.col("_x.c").alias("c"), "_size")
-    ranges = each.withColumn("r", F.least(F.floor(F.col("f") * parts), F.lit(2 * parts)).cast("long"))
-    by = stored(ranges.groupBy("r").agg(F.sum("_size").alias("s")), "mix-ranges")
-    run = by.withColumn("ahead", F.sum("s").over(Window.partitionBy(F.lit(0)).orderBy("r")) - F.col("s"))
-    last = run.filter(F.col("ahead") <= budget).orderBy(F.col("r").desc()).first()
-    if last is None:
-        return None
-    inside = Window.partitionBy("r").orderBy("f", "_h", "_id", "c").rowsBetween(Window.unboundedPreceding, 0)
-    taken = ranges.filter(F.col("r") == last["r"]).withColumn("total", F.sum("_size").over(inside) + last["ahead"]).filter(F.col("total") <= budget)
+    inside = rows.select("_h", "_id", "_size", copies.alias("_x")).select(F.col("_x.f").alias("f"), "_h", "_id", F.col("_x.c").alias("c"), "_size")
+    low, high, ahead = 0.0, float(max_copies + 1), 0
+    while True:
+        at = F.least(F.floor((F.col("f") - low) / (high - low) * RANGES), F.lit(RANGES)).cast("long")
+        sums = inside.groupBy(at.alias("r")).agg(F.sum("_size").alias("s"), F.count("*").alias("n"), F.min("f").alias("a"), F.max("f").alias("z")).orderBy("r").collect()  # RANGES + 1 rows
+        last = None
+        for row in sums:
+            if ahead > budget:
+                break
+            last, before, ahead = row, ahead, ahead + row["s"]
+        if last is None:
+            return None
+        inside, ahead = inside.filter(at == last["r"]), before
+        if last["n"] <= bucket_rows or last["a"] == last["z"]:
+            break
+        low, high = last["a"], last["z"]
+    upto = Window.partitionBy(F.lit(0)).orderBy("f", "_h", "_id", "c").rowsBetween(Window.unboundedPreceding, 0)
+    if last["a"] == last["z"] and last["n"] > bucket_rows:  # only sizes of 0 share a finish time within a source: a row or two a source has a size
+        sized = inside.filter("_size > 0").withColumn("total", F.sum("_size").over(upto) + ahead)
+        over = sized.filter(F.col("total") > budget).agg(F.min(F.struct("f", "_h", "_id", "c")).alias("x")).first()["x"]
+        taken = inside if over is None else inside.filter(F.struct("f", "_h", "_id", "c") < F.struct(*[F.lit(v).cast(k) for v, (_, k) in zip(over, inside.select("f", "_h", "_id", "c").dtypes, strict=True)]))
+    else:
+        taken = inside.withColumn("total", F.sum("_size").over(upto) + ahead).filter(F.col("total") <= budget)
     top = taken.agg(F.max(F.struct("f", "_h", "_id", "c")).alias("x")).first()["x"]
-    return top if top is not None else (last["r"] / parts, -1, None, -1)  # nothing of this range
+    return top if top is not None else (last["a"], -1, None, -1)  # nothing of this range
 
 
 def within_cut(cut, copy: int) -> Column:

@@ -55,8 +55,7 @@ def op9_ngram_join(spark, sf_dir):
 
 
 def op10_sharding(spark, sf_dir):
-    out = sharding.assigned(table(spark, sf_dir, "documents"))
-    return out.select(F.col("_id").alias("doc_id"), "n_bytes", "depth", "prefix", "shard_bytes", "shard_docs")
+    return sharding.read_back(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {

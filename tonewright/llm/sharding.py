@@ -6,7 +6,7 @@ few more bits than the total needs give most of the directory in one pass; rows
 go to another pass with more bits. A bucket with one hash value can't be split and may stay over the limit.
 
 Defined results
-* null text has no bytes; a null id hashes as the empty string;
+* null text has no bytes; a null id hashes by the text;
 * rows that share an id share a bucket, whatever its size;
 * an empty table gives an empty result; extra columns of any name pass through write_shards() unchanged.
 """
@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, stored, text_of
+from .common import packed, scratch_path, stored, text_of
 from .mixing import shuffle_hash
 
 LIMIT = 8 << 20
@@ -57,7 +57,8 @@ def directory(sized: DataFrame, limit: int) -> list[tuple[DataFrame, int]]:
 
 def assigned(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: _id, _row, n_bytes, depth, prefix (the shard's name as a number of depth bits), shard_bytes, shard_docs."""
-    full = packed(docs, _id=id_col, _bytes=F.octet_length(text_of(text_col)).cast("long")).withColumn("_h", shuffle_hash(F.col("_id"), SEED))
+    text = text_of(text_col)
+    full = packed(docs, _id=id_col, _bytes=F.octet_length(text).cast("long"), _h=shuffle_hash(F.col(f"`{id_col}`"), text, SEED))
     rows = None
     left = full
     for leaf, bits in directory(stored(full.select("_h", "_bytes"), "sizes"), limit):
@@ -71,11 +72,25 @@ def assigned(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_c
 
 
 def write_shards(docs: DataFrame, folder: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes docs with a folder of Parquet files for each shard and returns what was written."""
+    """Writes docs with a folder of Parquet files for each shard and returns what was written: shard and _row."""
     t = assigned(docs, limit, id_col, text_col)
     name = F.concat_ws("-", F.col("depth"), F.lpad(F.bin("prefix"), F.greatest(F.col("depth"), F.lit(1)), F.lit("0")))
-    t.select("_row", name.alias("shard")).repartition("shard").write.partitionBy("shard").parquet(folder)
-    return docs.sparkSession.read.parquet(folder)
+    t = t.select("_row", name.alias("shard")).repartition("shard")  # a shard has at most limit bytes
+    t.write.option("compression", "zstd").partitionBy("shard").parquet(folder)
+    return docs.sparkSession.read.schema(t.schema).parquet(folder)
+
+
+def read_back(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes the shards, and gives per row read from them its id, n_bytes, depth and prefix of its shard, and the shard's
+    bytes and documents as they were found in it."""
+    back = write_shards(docs, scratch_path(docs.sparkSession, "shards"), limit, id_col, text_col)
+    text = F.coalesce(F.col("_row").getField(text_col).cast("string"), F.lit(""))
+    rows = back.select(F.col("_row").getField(id_col).alias(id_col), F.octet_length(text).cast("long").alias("n_bytes"), "shard")
+    found = stored(rows.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_docs")), "shards-found")
+    found = F.broadcast(found) if found.count() <= BROADCAST_CELLS else found
+    part = lambda k: F.split_part("shard", F.lit("-"), F.lit(k))
+    prefix = F.conv(part(2), 2, 10).cast("long")
+    return rows.join(found, "shard").select(id_col, "n_bytes", part(1).cast("int").alias("depth"), prefix.alias("prefix"), "shard_bytes", "shard_docs")
 
 
 QUERY = "op10_sharding"
