@@ -2,20 +2,23 @@
 
 Only lengths matter to a packing, and there are fewer than the sequence length of them, so the search runs over the
 histogram of piece lengths, whatever the number of documents: the longest length left is completed with undominated
-fillings, applied as often as the counts allow; branches are pruned by the waste that a better solution may still
-have; best-fit decreasing gives the first incumbent. The plan, a bounded table of rank ranges, is then joined to pieces
+fillings, each applied as often as the counts allow or, in a later branch, once; branches are pruned by the waste that a
+better solution may still have; best-fit decreasing gives the first incumbent. The search may end at its number of nodes
+or leave fillings out; complete() says how many nodes it took, the lower bound, and if the result is proven best. The plan, a bounded table of rank ranges, is then joined to pieces
 that were ranked within their length in two levels (hash buckets, then rows), so that no length is sorted in one task.
 
 Defined results
 * null text counts as empty: one piece that holds the end token;
 * ids longer than a sequence are cut into full pieces and a last shorter one; nothing else is cut;
-* rows that repeat are packed as often as they occur, an empty table gives no piece;
+* rows that repeat are packed as often as they occur, equal ones can stand for each other; an empty table gives no piece;
+* null ids are ids like any other;
 * columns other than the id and the text aren't carried along.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +39,30 @@ BUCKET_ROWS = 5_000
 #: Ids in one Arrow batch of pieces.
 IDS = 4_000_000
 
+#: A plan is broadcast up to this many rows.
+PLAN_ROWS = 200_000
+
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
 
+@dataclass(frozen=True)
+class Packing:
+    """Patterns and how often each is used; the fewest sequences there could be; nodes that the search took."""
+
+    plan: list[tuple[Pattern, int]]
+    least: int
+    nodes: int
+    searched: bool  # the whole tree was seen
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for _, n in self.plan)
+
+    @property
+    def best(self) -> bool:
+        return self.searched or self.sequences == self.least
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_id, piece, start, length and ids (little-endian unsigned 32-bit) of every piece, stored in the shared folder."""
     t = packed(docs, _id=id_col, _text=text_of(text_col)).drop("_row")
@@ -89,19 +113,19 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
     return [(kind, many) for group in left.values() for kind, many in group.items()]
 
 
-def fillings(counts: dict[int, int], room: int, most: int) -> list[Pattern]:
-    """Undominated fillings of room, fullest first. One is dominated if some of its items, together, could be replaced by
-    a longer item that is there and fits."""
+def fillings(counts: dict[int, int], room: int, most: int) -> tuple[list[Pattern], bool]:
+    """Undominated fillings of room, fullest first, and if these are all. One is dominated if some of its items, together, could
+    be replaced by a longer item that is there and fits."""
     sizes = [s for s in sorted(counts, reverse=True) if counts[s] and s <= room]
     if not sizes:
-        return [()]
+        return [()], True
     if sizes[0] == room:
-        return [((room, 1),)]
+        return [((room, 1),)], True
     there = 0
     for s in sizes:
         there |= 1 << s
     found: list[tuple[int, int, Pattern]] = []
-    tries = 40 * most
+    tries, all_seen = 40 * most, True
 
     def dominated(items: list[int], slack: int) -> bool:
         sums = {0: 0}
@@ -110,7 +134,7 @@ def fillings(counts: dict[int, int], room: int, most: int) -> list[Pattern]:
         return any(c and (there >> (s + (c == 1))) & ((1 << (slack + (c > 1))) - 1) for s, c in sums.items())
 
     def grow(items: list[int], left: int, at: int) -> None:
-        nonlocal tries
+        nonlocal tries, all_seen
         tries -= 1
         fits = [k for k in range(at, len(sizes)) if sizes[k] <= left and items.count(sizes[k]) < counts[sizes[k]]]
         if not fits:
@@ -120,6 +144,7 @@ def fillings(counts: dict[int, int], room: int, most: int) -> list[Pattern]:
         exact = there >> left & 1 and items.count(left) < counts[left]
         for k in [sizes.index(left)] if exact else fits:
             if tries <= 0 or sum(f[0] == 0 for f in found) >= most:
+                all_seen = False
                 return
             grow([*items, sizes[k]], left - sizes[k], k)
 
@@ -131,21 +156,19 @@ def fillings(counts: dict[int, int], room: int, most: int) -> list[Pattern]:
             items += [(s, k)] * bool(k)
             left -= k * s
         found.append((left, len(items), tuple(items)))
-    return [f[2] for f in sorted(found)[:most]]
+    return [f[2] for f in sorted(found)[:most]], all_seen and len(found) <= most
 
 
-def complete(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int = MAX_NODES) -> list[tuple[Pattern, int]]:
-    """Bin completion over a histogram of lengths: patterns and how often each is used, in as few bins as are found."""
+def complete(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int = MAX_NODES) -> Packing:
+    """Bin completion over a histogram of lengths, in as few bins as are found."""
     counts = {s: n for s, n in counts.items() if n}
     best = best_fit(counts, capacity)
     total, bins = sum(s * n for s, n in counts.items()), sum(n for _, n in best)
     least = max(-(-total // capacity), sum(n for s, n in counts.items() if 2 * s > capacity))
-    if bins <= least:
-        return best
-    nodes = max_nodes
-    stack = [(counts, [], 0, 0)]  # what is left, the patterns so far, their bins and waste
-    while stack and nodes and bins > least:
-        nodes -= 1
+    nodes, whole = 0, True
+    stack = [(counts, [], 0, 0)] if bins > least else []  # what is left, the patterns so far, their bins and waste
+    while stack and nodes < max_nodes and bins > least:
+        nodes += 1
         left, done, used, waste = stack.pop()
         if waste > (bins - 1) * capacity - total:  # no better solution wastes as much
             continue
@@ -154,15 +177,21 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int =
             continue
         size = max(left)
         rest = left | {size: left[size] - 1}
-        for fill in reversed(fillings(rest, capacity - size, MAX_FILLINGS)):
+        ways, every = fillings(rest, capacity - size, MAX_FILLINGS)
+        whole = whole and every
+        steps = []
+        for fill in ways:
             one = defaultdict(int, {size: 1})
             for s, k in fill:
                 one[s] += k
-            times = min(left[s] // k for s, k in one.items())
-            after = {s: m for s, n in left.items() if (m := n - times * one.get(s, 0))}
+            often = min(left[s] // k for s, k in one.items())
             free = capacity - sum(s * k for s, k in one.items())
-            stack.append((after, [*done, (tuple(sorted(one.items(), reverse=True)), times)], used + times, waste + free * times))
-    return best
+            for times in {often, 1}:
+                after = {s: m for s, n in left.items() if (m := n - times * one.get(s, 0))}
+                steps.append((times == 1 and often > 1, (after, [*done, (tuple(sorted(one.items(), reverse=True)), times)], used + times, waste + free * times)))
+        for late in (True, False):  # the last ones are looked at first
+            stack += [x for single, x in reversed(steps) if single == late]
+    return Packing(best, least, nodes, whole and (not stack or bins == least))
 
 
 def rank_ranges(plan: list[tuple[Pattern, int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -184,19 +213,21 @@ def packed_pieces(found: DataFrame, capacity: int = CAPACITY, max_nodes: int = M
     to the driver; so does nothing else."""
     spark = found.sparkSession
     counts = {int(r["length"]): int(r["n"]) for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    ranges = rank_ranges(complete(counts, capacity, max_nodes))
+    ranges = rank_ranges(complete(counts, capacity, max_nodes).plan)
     table = spark.createDataFrame(ranges, "length long, first long, after long, seq long, k long, at long")
+    table = F.broadcast(table) if len(ranges) <= PLAN_ROWS else table
     buckets = max(64, sum(counts.values()) // bucket_rows)
-    placed = found.withColumn("_b", F.pmod(F.xxhash64("_id", "piece"), F.lit(buckets)))
+    placed = found.withColumn("_tie", F.xxhash64(*found.columns))
+    placed = placed.withColumn("_b", F.pmod("_tie", F.lit(buckets)))
     sums = placed.groupBy("length", "_b").agg(F.count("*").alias("_n"))
     upto = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("length", "_b", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
-    ranked = placed.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_b").orderBy("_id", "piece", "start")))
+    ranked = placed.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_b").orderBy("_id", "piece", "_tie")))
     ranked = ranked.join(sums, ["length", "_b"]).withColumn("_r", F.col("_r") - 1 + F.col("_base"))
-    met = ranked.join(F.broadcast(table), (ranked["length"] == table["length"]) & (F.col("_r") >= F.col("first")) & (F.col("_r") < F.col("after"))).drop(table["length"])
+    met = ranked.join(table, (ranked["length"] == table["length"]) & (F.col("_r") >= F.col("first")) & (F.col("_r") < F.col("after"))).drop(table["length"])
     nth = F.col("_r") - F.col("first")
     met = met.withColumns({"sequence_id": F.col("seq") + F.floor(nth / F.col("k")), "offset": F.col("at") + F.pmod(nth, F.col("k")) * F.col("length")})
-    return met.drop("_b", "_r", "_base", "first", "after", "seq", "k", "at")
+    return met.drop("_b", "_tie", "_r", "_base", "first", "after", "seq", "k", "at")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
