@@ -11,7 +11,7 @@ Shingles of passages that many documents share would tie unlike documents togeth
 all documents are put in a part of their own that nothing is dealt by; classes have one part more for it. Sets that are
 mostly such shingles are dealt by all of theirs as well. Which shingles count as frequent changes the work, never the result.
 
-Equal sets are one node from the start. A cluster over MAX_BLOCK shingles is split into blocks: rounds over blocks
+Equal sets are one node from the start. A cluster over MAX_BLOCK shingles or MAX_SETS sets is split into blocks: rounds over blocks
 replace linked documents by one of them; if the rounds leave more than one class, the remaining pairs of blocks of
 compatible sizes are traversed too, so no link is lost at any cluster size.
 
@@ -37,15 +37,18 @@ from pyspark.sql import functions as F
 from .common import packed, stored, text_of, unpacked
 from .graph import components
 
-#: Shingles of the sets that one task holds.
+#: Shingles of the sets that one task holds, and sets that it compares: beyond either a cluster is split into blocks.
 MAX_BLOCK = 4_000_000
+MAX_SETS = 256
 #: Keys that a map task sorts at a time.
 CHUNK_KEYS = 1_000_000
 #: Tables of ids are broadcast up to this many rows (16 to 24 bytes each).
 BROADCAST_ROWS = 1_000_000
 #: A shingle is frequent if it's in more than one of this many documents. There are at most as many frequent shingles as
-#: this times the mean size of a set; the list is broadcast.
+#: this times the mean size of a set. The list is broadcast: the MAX_FREQUENT that are in most documents. Others are dealt by
+#: like rare ones, which costs time and no link.
 FREQUENT_SHARE = 2_000
+MAX_FREQUENT = 2_000_000
 #: Shingles that a map task counts at a time.
 CHUNK_SHINGLES = 4_000_000
 #: Ratio of the bounds of a size class.
@@ -180,7 +183,7 @@ def frequent_shingles(docs: DataFrame, sim: Similarity, id_col: str, text_col: s
 
     counts = t.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
     least = max(10, docs.count() // share)
-    found = counts.filter(F.col("n") >= least).select("g").toArrow()["g"].to_numpy()
+    found = counts.filter(F.col("n") >= least).orderBy(F.col("n").desc(), "g").limit(MAX_FREQUENT).select("g").toArrow()["g"].to_numpy()
     return np.sort(found.view("uint64")) if len(found) else np.empty(0, _U)
 
 
@@ -374,7 +377,7 @@ def _with_text(members: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     return texts.join(members, "_id")
 
 
-def links(docs: DataFrame, sim: Similarity, id_col: str = "doc_id", text_col: str = "text", max_block: int = MAX_BLOCK, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, sim: Similarity, id_col: str = "doc_id", text_col: str = "text", max_block: int = MAX_BLOCK, max_sets: int = MAX_SETS, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """described() and label (id, label) for the documents that link with another."""
     found = described(docs, sim, id_col, text_col)
     equal = copies(found, broadcast_rows)
@@ -385,25 +388,30 @@ def links(docs: DataFrame, sim: Similarity, id_col: str = "doc_id", text_col: st
     sets = sets.join(equal.select(F.col("a").alias("_id"), "h1", "h2", "n"), ["_id", "h1", "h2", "n"], "left_anti")
     members = clusters.join(sets, clusters["id"] == sets["_id"]).select("_id", F.col("label").alias("cluster"), "n")
     members = stored(members, "members")
-    total = members.groupBy("cluster").agg(F.min("_id").alias("_p"), F.max("_id").alias("_q"), F.sum("n").alias("total")).filter("_p < _q").drop("_p", "_q")
+    total = members.groupBy("cluster").agg(F.min("_id").alias("_p"), F.max("_id").alias("_q"), _blocks(max_block, max_sets).alias("blocks")).filter("_p < _q").drop("_p", "_q")
     members = stored(members.join(total, "cluster").withColumn("label", F.col("_id")), "clustered")
 
-    light = _with_text(members.filter(F.col("total") <= max_block).select("_id", "cluster", "label").distinct(), docs, id_col, text_col, broadcast_rows)
+    light = _with_text(members.filter("blocks = 1").select("_id", "cluster", "label").distinct(), docs, id_col, text_col, broadcast_rows)
     merges = stored(_joined(light, ["cluster"], sim), "merges")
-    heavy = members.filter(F.col("total") > max_block)
+    heavy = members.filter("blocks > 1")
     if heavy.limit(1).count():
-        merges = merges.unionByName(_heavy(stored(heavy, "heavy"), docs, sim, id_col, text_col, max_block, broadcast_rows))
+        merges = merges.unionByName(_heavy(stored(heavy, "heavy"), docs, sim, id_col, text_col, max_block, max_sets, broadcast_rows))
     return found, components(pairs.unionByName(merges))
 
 
-def _heavy(heavy: DataFrame, docs: DataFrame, sim: Similarity, id_col: str, text_col: str, max_block: int, broadcast_rows: int) -> DataFrame:
+def _blocks(max_block: int, max_sets: int):
+    """Blocks that the sets of a group are split into."""
+    return F.ceil(F.greatest(F.sum("n") / max_block, F.count("*") / max_sets, F.lit(1.0)))
+
+
+def _heavy(heavy: DataFrame, docs: DataFrame, sim: Similarity, id_col: str, text_col: str, max_block: int, max_sets: int, broadcast_rows: int) -> DataFrame:
     merges, now, count = None, heavy.select("_id", "cluster", "n", "label"), None
     for turn in range(12):
-        whole = now.groupBy("cluster").agg(F.sum("n").alias("_t"))
-        salted = now.join(whole, "cluster").withColumn("block", F.pmod(F.xxhash64("_id", F.lit(turn)), F.ceil(F.col("_t") / max_block)))
+        whole = now.groupBy("cluster").agg(_blocks(max_block, max_sets).alias("_t"))
+        salted = now.join(whole, "cluster").withColumn("block", F.pmod(F.xxhash64("_id", F.lit(turn)), F.col("_t")))
         got = stored(_joined(_with_text(salted.select("_id", "cluster", "label", "block").distinct(), docs, id_col, text_col, broadcast_rows), ["cluster", "block"], sim), "merges")
         merges = got if merges is None else merges.unionByName(got)
-        one_block = salted.filter(F.col("_t") > max_block).limit(1).count() == 0
+        one_block = salted.filter("_t > 1").limit(1).count() == 0
         now = stored(now.join(got.select(F.col("a").alias("_id")), "_id", "left_anti"), "left")
         before, count = count, now.count()
         if one_block or before is not None and count > 0.8 * before:
@@ -417,7 +425,7 @@ def _heavy(heavy: DataFrame, docs: DataFrame, sim: Similarity, id_col: str, text
         return merges
     step = math.log(sim.den / sim.num)
     open_ = open_.withColumn("bin", F.floor(F.log(F.col("n")) / step))
-    sums = open_.groupBy("cluster", "bin").agg(F.ceil(2 * F.sum("n") / max_block).alias("salts"))
+    sums = open_.groupBy("cluster", "bin").agg(_blocks(max_block // 2, max_sets // 2).alias("salts"))
     blocks = sums.select("cluster", "bin", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     other = blocks.select("cluster", F.col("bin").alias("bin2"), F.col("salt").alias("salt2"))
     near = blocks.select("*", F.explode(F.array(F.col("bin"), F.col("bin") + 1)).alias("bin2")).join(other, ["cluster", "bin2"])
