@@ -4,6 +4,7 @@ empty tables, columns with clashing names."""
 import base64
 import hashlib
 import itertools
+import math
 import random
 import zlib
 from collections import Counter
@@ -369,6 +370,39 @@ def test_toxicity(spark):
     assert toxicity.graded(odd, nothing).filter("toxic or expected_severity > 0.001").count() == 0
 
 
+def test_toxicity_scores_by_brute_force(spark):
+    """Every figure of graded() worked out again from a text, the weights and the thresholds."""
+    docs, labels = common.table(spark, "/root/testdata/sf0.001", "documents"), common.table(spark, "/root/testdata/sf0.001", "labels")
+    model = toxicity.fit(docs, labels, min_docs=2)
+    assert model.weights and len(model.thresholds) == toxicity.GRADES - 1
+    texts = [*awkward(), None, "", "x" * 5000, *[r["text"] for r in docs.limit(60).collect()]]
+    got = {r["doc_id"]: r for r in toxicity.graded(frame(spark, texts + texts[:3]), model).collect()}
+    for i, text in enumerate(texts + texts[:3]):
+        words, run = [], ""
+        for c in (text or "").lower() + " ":  # runs of letters
+            if c == "_" or not c.isalpha():
+                words += [run] * bool(run)
+                run = ""
+            else:
+                run += c
+        counts = Counter()
+        for w in words:
+            counts["=" + w] += 1
+            for k in (4, 5, 6, 7):
+                if len(w) >= k:
+                    counts["^" + w[:k]] += 1
+        eta = sum(model.weights.get(f, 0.0) * math.log(1 + n) for f, n in counts.items())
+        above = [1 / (1 + math.exp(t - eta)) for t in model.thresholds]
+        each = [a - b for a, b in zip([1.0, *above], [*above, 0.0], strict=True)]
+        assert got[i]["expected_severity"] == pytest.approx(sum(k * p for k, p in enumerate(each)), abs=1e-9)
+        assert got[i]["p_toxic"] == pytest.approx(above[0], abs=1e-9) and got[i]["toxic"] == (got[i]["p_toxic"] >= 0.5)
+        assert each[got[i]["grade"]] == pytest.approx(max(each), abs=1e-9)
+    again = toxicity.fit(docs.repartition(5), labels.repartition(2), min_docs=2)
+    assert again.weights == pytest.approx(model.weights) and again.thresholds == pytest.approx(model.thresholds)
+    repeated = toxicity.fit(docs, labels.unionByName(labels), min_docs=2)  # repeated labels count once
+    assert repeated.weights == pytest.approx(model.weights)
+
+
 def test_ordinal_fit_finds_ordered_grades():
     r = np.random.default_rng(0)
     x = r.random((400, 3))

@@ -39,21 +39,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def recorded():
-    """A list of the scratch folders that are made inside."""
+    """A list of the scratch folders that are made inside; those still in it at the end are handed on to a recording outside."""
     made: list[str] = []
     token = _made.set(made)
     try:
         yield made
     finally:
         _made.reset(token)
+        if (outer := _made.get()) is not None:
+            outer += made
 
 
-def remove(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes scratch folders; what was read from them must have been written elsewhere."""
+def release(spark: SparkSession, made: list[str], *kept: DataFrame) -> None:
+    """Deletes the scratch folders in made, and takes them off it, but for those that the tables kept are read from. Nothing
+    else may be read from them later: what was made of them has to be stored by now."""
+    used = [f for df in kept for f in df.inputFiles()]
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
+    for path in [p for p in made if not any(f"/{p.rstrip('/').rpartition('/')[2]}/" in f for f in used)]:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
+        made.remove(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

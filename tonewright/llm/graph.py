@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import recorded, release, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,12 +19,22 @@ def components(edges: DataFrame) -> DataFrame:
     both = stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "labels")
     while True:
-        near = both.join(labels, both["a"] == labels["id"]).groupBy("b").agg(F.min("label").alias("m"))
-        step = stored(labels.join(near, labels["id"] == near["b"], "left").select("id", F.col("label").alias("old"), F.least("label", "m").alias("label")), "labels")
-        lower = step.filter("label < old")
-        if lower.limit(1).count() == 0:
+        with recorded() as made:
+            step = _round(both, labels)
+            release(edges.sparkSession, made, *([step] if step is not None else []))
+        if step is None:
             return labels
-        hooks = lower.groupBy(F.col("old").alias("root")).agg(F.min("label").alias("h"))
-        step = stored(step.join(hooks, step["id"] == hooks["root"], "left").select("id", F.least("label", "h").alias("label")), "labels")
-        up = step.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        labels = stored(step.join(up, "label").select("id", F.col("up").alias("label")), "labels")
+        labels = step
+
+
+def _round(both: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """The labels after one round, None if nothing changes."""
+    near = both.join(labels, both["a"] == labels["id"]).groupBy("b").agg(F.min("label").alias("m"))
+    step = stored(labels.join(near, labels["id"] == near["b"], "left").select("id", F.col("label").alias("old"), F.least("label", "m").alias("label")), "labels")
+    lower = step.filter("label < old")
+    if lower.limit(1).count() == 0:
+        return None
+    hooks = lower.groupBy(F.col("old").alias("root")).agg(F.min("label").alias("h"))
+    step = stored(step.join(hooks, step["id"] == hooks["root"], "left").select("id", F.least("label", "h").alias("label")), "labels")
+    up = step.select(F.col("id").alias("label"), F.col("label").alias("up"))
+    return stored(step.join(up, "label").select("id", F.col("up").alias("label")), "labels")

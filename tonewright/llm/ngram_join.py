@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, stored, text_of, unpacked
+from .common import packed, recorded, release, stored, text_of, unpacked
 from .graph import components
 
 #: Shingles of the sets that one task holds, and sets that it compares: beyond either a cluster is split into blocks.
@@ -440,7 +440,9 @@ def _heavy(heavy: DataFrame, docs: DataFrame, sim: Similarity, id_col: str, text
 
 def classes(docs: DataFrame, sim: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """Per row: _id, n_shingles and component_id, the smallest id that links reach."""
-    found, labels = links(docs, sim, id_col, text_col, **how)
+    with recorded() as made:
+        found, labels = links(docs, sim, id_col, text_col, **how)
+        release(docs.sparkSession, made, found, labels)
     labels = labels.withColumnRenamed("id", "_id")
     labels = F.broadcast(labels) if labels.count() <= how.get("broadcast_rows", BROADCAST_ROWS) else labels
     return found.join(labels, "_id", "left").select("_id", F.col("n").alias("n_shingles"), F.coalesce("label", "_id").alias("component_id"))
@@ -448,7 +450,9 @@ def classes(docs: DataFrame, sim: Similarity = Similarity(), id_col: str = "doc_
 
 def representatives(docs: DataFrame, sim: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without the documents that link to a smaller id: one of each class stays."""
-    _, labels = links(docs, sim, id_col, text_col, **how)
+    with recorded() as made:
+        _, labels = links(docs, sim, id_col, text_col, **how)
+        release(docs.sparkSession, made, labels)
     gone = labels.filter("id != label").select("id")
     gone = F.broadcast(gone) if gone.count() <= how.get("broadcast_rows", BROADCAST_ROWS) else gone
     rows = packed(docs, _id=F.col(f"`{id_col}`").cast("long"))
