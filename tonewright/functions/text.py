@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from .music import _c
 
 #: Fixed values.
-AUDIO_EXTENSIONS = ("mp3", "m4a", "wav", "flac", "aac", "ogg", "aiff", "aif", "opus")
+AUDIO_EXTENSIONS = (".mp3", ".wav", ".m4a", ".flac", ".ogg", ".aac", ".aif", ".aiff", ".opus")
 SKIP_PARTS = ("/Library/", ".app/", "/node_modules/", "site-packages", "/.Trash/", "/venv/", "/.venv/", "/tests/", "/test/", "/fixtures/")
-#: Fixed value: names of stems that separation tools leave behind.
+#: Fixed value: names of stems that separation tools leave behind, in any case.
 LEFTOVER = (
-    r"(?i)^(vocals?|instrumental|no[_ ]vocals|accompaniment|acapella|drums|bass|other|stems?|melody[_ ]notes|detected[_ ]melody|piano[_ ]preview\d*|piano|rmvpe[_ ]\w+)( ?\(\d+\))?$"
-    r"|[_ -](vocals?|instrumental|no[_ ]vocals|accompaniment|acapella)( ?\(\d+\))?$|\((instrumental|karaoke[^)]*)\)$"
+    r"^(vocals?|instrumental|no[_ ]vocals|accompaniment|acapella|drums|bass|other|stems?|melody[_ ]notes|detected[_ ]melody|piano[_ ]preview\d*|piano|rmvpe[_ ]\w+)( ?\(\d+\))?$"
+    r"|[_ -](vocals?|instrumental|no[_ ]vocals|accompaniment|acapella)( ?\(\d+\))?$"
+    r"|\((instrumental|karaoke[^)]*)\)$"
 )
 PREVIEW_FEED = "results array<struct<trackName: string, artistName: string, collectionName: string, artworkUrl100: string, previewUrl: string, trackViewUrl: string>>"
 FREE_FEED = "array<struct<upload_name: string, user_name: string, license_name: string, file_page_url: string, files: array<struct<download_url: string, file_format_info: struct<ps: string>>>>>"
@@ -62,12 +63,12 @@ def free_results(json) -> Column:
 def wanted_path(path, root: str | None = None) -> Column:
     """Audio files outside skipped and hidden folders that aren't leftover stems."""
     p = _c(path)
-    ok = F.lower(F.regexp_extract(p, r"\.([^./]+)$", 1)).isin(*AUDIO_EXTENSIONS)
+    ok = F.lower(F.regexp_extract(p, r"\.[^./]+$", 0)).isin(*AUDIO_EXTENSIONS)
     for part in SKIP_PARTS:
         ok = ok & ~p.contains(part)
     ok = ok & ~F.exists(F.split(p, "/"), lambda x: x.startswith(".") & (F.length(x) > 1))
     stem = F.regexp_replace(F.regexp_extract(p, r"([^/]+)$", 1), r"\.[^.]*$", "")
-    ok = ok & ~stem.rlike(LEFTOVER)
+    ok = ok & ~stem.rlike("(?i)" + LEFTOVER)
     return ok & ~p.startswith(root.rstrip("/") + "/") if root else ok
 
 

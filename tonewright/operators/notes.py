@@ -154,7 +154,8 @@ def fold_slides(notes: DataFrame, frames: DataFrame, fps: float = 100.0, value:
             return len(x), float(x.std()) if len(x) else 0.0, float(np.median(x)) if len(x) else 0.0
 
         n = n.sort_values(["start", "end"])
-        return pd.DataFrame(decoding.fold_slides(n.to_dict("records"), spread), columns=n.columns)
+        start, end, stays = decoding.fold_slides(n["start"].to_numpy(), n["end"].to_numpy(), n["pitch"].to_numpy(), spread)
+        return n.assign(start=start, end=end)[stays]
 
     return notes.groupBy("track_id").cogroup(frames.select("track_id", "idx", value).groupBy("track_id")).applyInPandas(run, notes.schema)
 

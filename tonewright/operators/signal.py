@@ -1,30 +1,60 @@
-"""Waveforms and spectra as tables: long form (clip, member, pos, x), chunks (clip, chunk_no, start, samples) and spectra
-(clip, frame, mag). Chunk forms move arrays, never a row for each sample; long forms are for small joins and tests."""
+"""Waveforms and spectra as tables of chunks (clip, chunk_no, start, samples) and of frames (clip, frame, mag). Arrays are
+what is moved and worked on, never a row for each sample. Members, channels and variants of a clip share one grid of chunks."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ENSEMBLES = ("avg", "median", "min", "max")
 
 
+def _by_place(lists: Column, function) -> Column:
+    """function of the values that arrays have at each place; shorter arrays have none at their end."""
+    n = F.array_max(F.transform(lists, lambda x: F.size(x)))
+    at = lambda i: function(F.filter(F.transform(lists, lambda x: F.get(x, i)), lambda v: v.isNotNull()))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), at)).otherwise(F.expr("cast(array() as array<double>)"))
+
+
+def _mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / F.size(values)
+
+
+def _median(values: Column) -> Column:
+    v, n = F.array_sort(values), F.size(values)
+    return (F.element_at(v, F.floor((n + 1) / 2).cast("int")) + F.element_at(v, F.floor(n / 2).cast("int") + 1)) / 2
+
+
 def ensemble(preds: DataFrame, algorithm: str = "avg", weights: dict[int, float] | None = None, key: str = "clip") -> DataFrame:
-    """One signal from several members, cut to the shortest: weighted mean, median, or the value that is smallest or largest in
-    amount, the first member's of equals."""
+    """One signal from the chunks of several members, cut to the shortest: weighted mean, median, or the value that is smallest or
+    largest in amount, the first member's of equals."""
     if algorithm not in ENSEMBLES:
         raise ValueError(f"unknown ensemble: {algorithm}")
-    ends = preds.groupBy(key, "member").agg(F.max("pos").alias("_e")).groupBy(key).agg(F.min("_e").alias("_e"))
-    t = preds.join(ends, key).filter(F.col("pos") <= F.col("_e"))
+    ends = preds.groupBy(key, "member").agg(F.max(F.col("start") + F.size("samples")).alias("_e")).groupBy(key).agg(F.min("_e").alias("_e"))
+    cut = F.slice("samples", 1, F.greatest(F.col("_e") - F.col("start"), F.lit(0)).cast("int"))
+    t = preds.join(ends, key).withColumn("samples", cut.cast("array<double>")).filter(F.size("samples") > 0)
+    t = t.groupBy(key, "chunk_no", "start").agg(F.array_sort(F.collect_list(F.struct("member", "samples"))).alias("_m"))
+    values = F.transform("_m", lambda m: m["samples"])
     if algorithm == "avg":
         if weights is not None and abs(sum(weights.values())) < 1e-8:
             raise ValueError("weights must not add up to zero")
-        w = F.lit(1.0) if weights is None else F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("member")], F.lit(0.0))
-        return t.withColumn("_w", w).groupBy(key, "pos").agg((F.sum(F.col("_w") * F.col("x")) / F.sum("_w")).alias("x"))
-    by = {"median": F.percentile("x", F.lit(0.5)), "min": F.min_by("x", F.struct(F.abs("x"), "member")), "max": F.max_by("x", F.struct(F.abs("x"), -F.col("member")))}
-    return t.groupBy(key, "pos").agg(by[algorithm].alias("x"))
+        w = lambda m: F.lit(1.0) if weights is None else F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[m], F.lit(0.0))
+        total = F.aggregate("_m", F.lit(0.0), lambda s, m: s + w(m["member"]))
+        out = _by_place(F.transform("_m", lambda m: F.transform(m["samples"], lambda x: x * w(m["member"]) / total)), lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x))
+    elif algorithm == "median":
+        out = _by_place(values, _median)
+    else:
+        # The same place of all members, with what they are ranked by; a member's number breaks ties.
+        ranked = F.transform("_m", lambda m: F.transform(m["samples"], lambda x: F.struct(F.abs(x).alias("a"), (m["member"] if algorithm == "min" else -m["member"]).alias("m"), x.alias("x"))))
+        out = F.transform(_by_structs(ranked, F.array_min if algorithm == "min" else F.array_max), lambda v: v["x"])
+    return t.select(key, "chunk_no", "start", out.alias("samples"))
+
+
+def _by_structs(lists: Column, function) -> Column:
+    """As _by_place, for arrays of equal lengths."""
+    return F.transform(F.element_at(lists, 1), lambda _, i: function(F.transform(lists, lambda x: F.get(x, i))))
 
 
 def stft(x: np.ndarray, n: int = 2048, hop: int = 1024) -> np.ndarray:
@@ -68,30 +98,48 @@ def ensemble_fft(clips: DataFrame, algorithm: str = "avg", n: int = 2048, hop: i
     return clips.select("clip", "member", "samples").groupBy("clip").applyInPandas(run, "clip long, samples array<double>")
 
 
-def overlap_add(chunks: DataFrame, fade: int) -> DataFrame:
-    """(clip, pos, x) from overlapping chunks: the weighted mean under straight fades; the first chunk doesn't fade in, the
-    last ones that reach the end don't fade out; nothing over nothing is 0."""
-    n, w = F.size("samples"), Window.partitionBy("clip")
-    t = chunks.select("clip", "start", n.alias("_n"), F.max(F.col("start") + n).over(w).alias("_end"), F.posexplode("samples").alias("_i", "v"))
-    i, at_end = F.col("_i"), F.col("start") + F.col("_n") >= F.col("_end")
+def overlap_add(chunks: DataFrame, fade: int, block: int) -> DataFrame:
+    """Blocks (clip, chunk_no, start, samples) of one signal from overlapping chunks: the weighted mean under straight fades; the
+    first chunk doesn't fade in, the last ones that reach the end don't fade out; nothing over nothing is 0. A chunk is cut at
+    the blocks' bounds, and each block adds up the few parts that it gets."""
+    ends = chunks.groupBy("clip").agg(F.max(F.col("start") + F.size("samples")).alias("_end"))
+    t = chunks.filter(F.size("samples") > 0).join(ends, "clip").withColumn("_n", F.size("samples"))
     ramp = lambda k: k / (fade - 1) if fade > 1 else F.lit(0.0)
-    up = F.when((F.col("start") == 0) | (i >= fade), 1.0).otherwise(ramp(i))
-    down = F.when(at_end | (i < F.col("_n") - fade), 1.0).otherwise(ramp(F.col("_n") - 1 - i))
-    t = t.select("clip", (F.col("start") + i).alias("pos"), "v", (up * down if fade > 0 else F.lit(1.0)).alias("_w"))
-    total = F.sum("_w")
-    return t.groupBy("clip", "pos").agg(F.when(total > 0, F.sum(F.col("_w") * F.col("v")) / total).otherwise(F.lit(0.0)).alias("x"))
-
-
-def standardise(samples: DataFrame, sample_std: bool = False) -> DataFrame:
-    """x less the mean of the mean of the channels, over its spread; with the figures to undo it. samples has channel."""
-    mono = samples.groupBy("clip", "pos").agg(F.avg("x").alias("m"))
-    std = F.stddev_samp("m") + 1e-8 if sample_std else F.stddev_pop("m")
-    facts = mono.groupBy("clip").agg(F.avg("m").alias("mean"), std.alias("std"))
-    return samples.join(facts, "clip").withColumn("x", (F.col("x") - F.col("mean")) / F.col("std"))
-
 
-def destandardise(samples: DataFrame) -> DataFrame:
-    return samples.withColumn("x", F.col("x") * F.col("std") + F.col("mean")).drop("mean", "std")
+    def weight(i: Column) -> Column:
+        up = F.when((F.col("start") == 0) | (i >= fade), 1.0).otherwise(ramp(i))
+        down = F.when((F.col("start") + F.col("_n") >= F.col("_end")) | (i < F.col("_n") - fade), 1.0).otherwise(ramp(F.col("_n") - 1 - i))
+        return up * down if fade > 0 else F.lit(1.0)
+
+    t = t.withColumn("_w", F.transform("samples", lambda _, i: weight(i))).withColumn("_v", F.zip_with("samples", "_w", lambda x, w: x.cast("double") * w))
+    t = t.withColumn("chunk_no", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("_n") - 1) / block))))
+    low = F.greatest(F.col("start"), F.col("chunk_no") * block)
+    size = F.least(F.col("start") + F.col("_n"), (F.col("chunk_no") + 1) * block) - low
+    before, inside = (low - F.col("chunk_no") * block).cast("int"), (low - F.col("start") + 1).cast("int")
+    part = lambda c: F.concat(F.array_repeat(F.lit(0.0), before), F.slice(c, inside, size.cast("int")))
+    t = t.select("clip", "chunk_no", "_end", "start", part("_v").alias("v"), part("_w").alias("w")).groupBy("clip", "chunk_no").agg(F.max("_end").alias("_end"), F.array_sort(F.collect_list(F.struct("start", "v", "w"))).alias("_p"))
+    add = lambda c: _by_place(F.transform("_p", lambda p: p[c]), lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x))
+    t = t.withColumns({"_v": add("v"), "_w": add("w")})
+    mean = F.zip_with("_v", "_w", lambda v, w: F.when(w > 0, v / w).otherwise(F.lit(0.0)))
+    return t.select("clip", "chunk_no", (F.col("chunk_no") * block).alias("start"), mean.alias("samples"))
+
+
+def standardise(chunks: DataFrame, sample_std: bool = False) -> DataFrame:
+    """Chunks (clip, channel, chunk_no, start, samples) less the mean of the mean of the channels, over its spread; with the
+    figures to undo it. Only figures of a chunk are added up over a clip."""
+    mono = chunks.groupBy("clip", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("channel", F.col("samples").cast("array<double>").alias("s")))).alias("_c"))
+    mono = mono.select("clip", _by_place(F.transform("_c", lambda c: c["s"]), _mean).alias("m")).filter(F.size("m") > 0)
+    total = lambda f: F.aggregate("m", F.lit(0.0), lambda s, x: s + f(x))
+    part = mono.select("clip", "m", F.size("m").alias("n"), (total(lambda x: x) / F.size("m")).alias("a")).select("clip", "n", "a", total(lambda x: (x - F.col("a")) * (x - F.col("a"))).alias("d"))
+    n, mean = F.sum("n"), F.sum(F.col("n") * F.col("a")) / F.sum("n")
+    facts = part.groupBy("clip").agg(mean.alias("mean"), (F.sum(F.col("d") + F.col("n") * F.col("a") * F.col("a")) - n * mean * mean).alias("_d"), n.alias("_n"))
+    std = F.sqrt(F.greatest(F.col("_d"), F.lit(0.0)) / (F.col("_n") - (1 if sample_std else 0))) + (1e-8 if sample_std else 0.0)
+    t = chunks.join(facts.select("clip", "mean", std.alias("std")), "clip")
+    return t.withColumn("samples", F.transform("samples", lambda x: (x - F.col("mean")) / F.col("std")))
+
+
+def destandardise(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("samples", F.transform("samples", lambda x: x * F.col("std") + F.col("mean"))).drop("mean", "std")
 
 
 def normalise_stems(stems: DataFrame, target: float) -> DataFrame:
@@ -104,20 +152,25 @@ def normalise_stems(stems: DataFrame, target: float) -> DataFrame:
 
 def merge_variants(preds: DataFrame, channels: int = 2) -> DataFrame:
     """Mean of predictions for a plain, a channel-reversed and a sign-flipped input, put back first. preds has variant
-    ("plain", "swapped" or "flipped"), clip, channel, pos and x."""
+    ("plain", "swapped" or "flipped"), clip, channel, chunk_no, start and samples."""
     channel = F.when(F.col("variant") == "swapped", channels - 1 - F.col("channel")).otherwise(F.col("channel"))
-    x = F.when(F.col("variant") == "flipped", -F.col("x")).otherwise(F.col("x"))
-    return preds.select("clip", channel.alias("channel"), "pos", x.alias("x")).groupBy("clip", "channel", "pos").agg(F.avg("x").alias("x"))
+    sign = F.when(F.col("variant") == "flipped", -1.0).otherwise(1.0)
+    t = preds.select("clip", channel.alias("channel"), "chunk_no", "start", F.struct("variant", F.transform("samples", lambda x: x * sign).alias("s")).alias("_p"))
+    t = t.groupBy("clip", "channel", "chunk_no", "start").agg(F.array_sort(F.collect_list("_p")).alias("_p"))
+    return t.select("clip", "channel", "chunk_no", "start", _by_place(F.transform("_p", lambda p: p["s"]), _mean).alias("samples"))
 
 
 def noise_gate(spec: DataFrame, std: float = 1.5, floor: float = 40.0) -> DataFrame:
-    """mask of (clip, frame, freq, mag): where the level is above the mean and std spreads of its frequency. Levels are cut at
-    floor dB below the peak of the frequency."""
-    t = spec.withColumn("_db", 20 * F.log10(F.greatest(F.abs("mag"), F.lit(1e-40))))
-    top = t.groupBy("clip", "freq").agg(F.max("_db").alias("_top"))
-    t = t.join(top, ["clip", "freq"]).withColumn("_db", F.greatest("_db", F.col("_top") - floor))
-    facts = t.groupBy("clip", "freq").agg((F.avg("_db") + std * F.stddev_samp("_db")).alias("_cut"))
-    return t.join(facts, ["clip", "freq"]).withColumn("mask", F.coalesce((F.col("_db") > F.col("_cut")).cast("int"), F.lit(0))).drop("_db", "_top", "_cut")
+    """mask of the frames (clip, frame, mag): 1 where the level is above the mean and std spreads of its frequency. Levels are cut
+    at floor dB below the peak of the frequency. Bins are only added up where they are: what's shuffled is a row a map task,
+    clip and frequency, and two short arrays a clip come back to the frames."""
+    db = lambda x: 20 * F.log10(F.greatest(F.abs(x.cast("double")), F.lit(1e-40)))
+    t = spec.withColumn("_db", F.transform("mag", db))
+    listed = lambda v: F.transform(F.array_sort(F.collect_list(F.struct("freq", F.coalesce(v, F.lit(float("inf"))).alias("v")))), lambda x: x["v"])  # noqa: E731  a frequency of one frame has no spread
+    top = t.select("clip", F.posexplode("_db").alias("freq", "v")).groupBy("clip", "freq").agg(F.max("v").alias("v")).groupBy("clip").agg(listed(F.col("v")).alias("_top"))
+    t = t.join(top, "clip").withColumn("_db", F.transform("_db", lambda x, i: F.greatest(x, F.get("_top", i) - floor))).drop("_top")
+    cut = t.select("clip", F.posexplode("_db").alias("freq", "v")).groupBy("clip", "freq").agg((F.avg("v") + std * F.stddev_samp("v")).alias("v")).groupBy("clip").agg(listed(F.col("v")).alias("_cut"))
+    return t.join(cut, "clip").withColumn("mask", F.transform("_db", lambda x, i: (x > F.get("_cut", i)).cast("int"))).drop("_db", "_cut")
 
 
 def residual_stem(mix: DataFrame, stem: DataFrame, key=("clip", "channel", "chunk_no")) -> DataFrame:
@@ -128,11 +181,14 @@ def residual_stem(mix: DataFrame, stem: DataFrame, key=("clip", "channel", "chun
 
 def with_context(chunks: DataFrame, before: int, after: int) -> DataFrame:
     """chunks (clip, chunk_no, start, samples) with left and right, the ends of their neighbours: a halo for windows that
-    cross chunks. Only the ends move with the window's sort."""
-    w = Window.partitionBy("clip").orderBy("chunk_no")
-    tail = F.slice("samples", F.greatest(F.size("samples") - before + 1, F.lit(1)), F.lit(before)) if before else F.expr("cast(array() as array<float>)")
-    head = F.slice("samples", 1, after)
-    return chunks.withColumns({"left": F.lag(tail).over(w), "right": F.lead(head).over(w)})
+    cross chunks. The ends are taken where the chunks are, and meet their neighbours by the number of the chunk; there is no
+    sort of a clip."""
+    none = F.expr("cast(array() as array<float>)")
+    tail = F.slice("samples", F.greatest(F.size("samples") - before + 1, F.lit(1)), F.lit(before)) if before else none
+    head = F.slice("samples", 1, after) if after else none
+    left = chunks.select("clip", (F.col("chunk_no") + 1).alias("chunk_no"), tail.alias("left"))
+    right = chunks.select("clip", (F.col("chunk_no") - 1).alias("chunk_no"), head.alias("right"))
+    return chunks.join(left, ["clip", "chunk_no"], "left").join(right, ["clip", "chunk_no"], "left")
 
 
 def _mirrored(chunk, left, right, n: int) -> np.ndarray:

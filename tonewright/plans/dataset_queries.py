@@ -141,12 +141,12 @@ def l5(spark, sf_dir):
 
 @Q.add(
     "v10_cut_fixed",
-    f"""WITH {NOTES}, s AS (SELECT track_id AS clip, note_no AS slice_no, CAST(3 + (note_no * 7 % 200) / 10.0 AS DOUBLE) AS l FROM notes WHERE note_no <= 5), n AS (SELECT *, CAST(greatest(ceil(round((l - 4.0) / 3.4::DOUBLE, 9)), 0) AS INTEGER) AS n, slice_no = max(slice_no) OVER (PARTITION BY clip) AS last FROM s),
+    f"""WITH {NOTES}, s AS (SELECT track_id AS clip, note_no AS slice_no, CAST(3 + (note_no * 7 % 200) / 10.0 AS DOUBLE) AS l FROM notes), n AS (SELECT *, CAST(greatest(ceil(round((l - 4.0) / 3.4::DOUBLE, 9)), 0) AS INTEGER) AS n, slice_no = max(slice_no) OVER (PARTITION BY clip) AS last FROM s),
     b AS (SELECT *, coalesce(sum(n + 1) OVER (PARTITION BY clip ORDER BY slice_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM n)
     SELECT clip, slice_no, CAST(base + k AS BIGINT) AS number, round(k * 3.4::DOUBLE, 4) AS "start", round(CASE WHEN k < n THEN k * 3.4::DOUBLE + 3.7 ELSE l END, 4) AS "end" FROM b, range(0, 60) AS t(k) WHERE k < n OR k = n AND last""",
 )
 def v10(spark, sf_dir):
-    t = notes(spark, sf_dir).filter("note_no <= 5").select(F.col("track_id").alias("clip"), F.col("note_no").alias("slice_no"), (3 + (F.col("note_no") * 7 % 200) / 10).alias("length"))
+    t = notes(spark, sf_dir).select(F.col("track_id").alias("clip"), F.col("note_no").alias("slice_no"), (3 + (F.col("note_no") * 7 % 200) / 10).alias("length"))
     return rounded(dataset.cut_fixed(t))
 
 

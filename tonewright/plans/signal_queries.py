@@ -16,24 +16,37 @@ Q = Catalog()
 CUT = "cut AS (SELECT s.* FROM samples s JOIN (SELECT clip, min(e) AS e FROM (SELECT clip, member, max(pos) AS e FROM samples GROUP BY ALL) GROUP BY clip) m ON m.clip = s.clip AND s.pos <= m.e)"
 
 
+def _pieces(spark, sf_dir, size: int = 32):
+    """Chunks of 32 samples of each member of each clip."""
+    s = samples(spark, sf_dir).withColumn("chunk_no", F.floor(F.col("pos") / size).cast("int"))
+    t = s.groupBy("clip", "member", "chunk_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda v: v["x"]).alias("samples"))
+    return t.withColumn("start", (F.col("chunk_no") * size).cast("long"))
+
+
+def _flat(chunks, *keys):
+    """A row for each sample, to be compared with SQL."""
+    t = chunks.select(*keys, "start", F.posexplode("samples").alias("_i", "x"))
+    return t.select(*[k for k in keys], (F.col("start") + F.col("_i")).cast("int").alias("pos"), "x")
+
+
 @Q.add("a15_ensemble_avg", f"WITH {SAMPLES}, {CUT} SELECT clip, pos, round(sum(x * (CASE WHEN member = 1 THEN 2 ELSE 1 END)) / sum(CASE WHEN member = 1 THEN 2 ELSE 1 END), 4) + 0.0 AS x FROM cut GROUP BY ALL")
 def a15(spark, sf_dir):
-    return rounded(signal.ensemble(samples(spark, sf_dir), "avg", {1: 2.0, **{k: 1.0 for k in range(2, 8)}}))
+    return rounded(_flat(signal.ensemble(_pieces(spark, sf_dir), "avg", {1: 2.0, **{k: 1.0 for k in range(2, 8)}}), "clip"))
 
 
 @Q.add("a15_ensemble_median", f"WITH {SAMPLES}, {CUT} SELECT clip, pos, round(quantile_cont(x, 0.5), 4) + 0.0 AS x FROM cut GROUP BY ALL")
 def a15_median(spark, sf_dir):
-    return rounded(signal.ensemble(samples(spark, sf_dir), "median"))
+    return rounded(_flat(signal.ensemble(_pieces(spark, sf_dir), "median"), "clip"))
 
 
 @Q.add("a15_ensemble_min", f"WITH {SAMPLES}, {CUT} SELECT clip, pos, round(arg_min(x, (abs(x), member)), 4) + 0.0 AS x FROM cut GROUP BY ALL")
 def a15_min(spark, sf_dir):
-    return rounded(signal.ensemble(samples(spark, sf_dir), "min"))
+    return rounded(_flat(signal.ensemble(_pieces(spark, sf_dir), "min"), "clip"))
 
 
 @Q.add("a15_ensemble_max", f"WITH {SAMPLES}, {CUT} SELECT clip, pos, round(arg_max(x, (abs(x), -member)), 4) + 0.0 AS x FROM cut GROUP BY ALL")
 def a15_max(spark, sf_dir):
-    return rounded(signal.ensemble(samples(spark, sf_dir), "max"))
+    return rounded(_flat(signal.ensemble(_pieces(spark, sf_dir), "max"), "clip"))
 
 
 def _members(spark, sf_dir):
@@ -45,11 +58,11 @@ def a16(spark, sf_dir):
     return rounded(signal.ensemble_fft(_members(spark, sf_dir), "max", 32, 16).select("clip", F.posexplode("samples").alias("pos", "x")))
 
 
-CHUNKS = """chunks AS (SELECT clip, CAST(k AS INTEGER) AS chunk_no, CAST(k * 12 AS BIGINT) AS "start", list(x ORDER BY pos) AS xs FROM samples, range(0, 30) AS t(k) WHERE member = 1 AND pos >= k * 12 AND pos < k * 12 + 16 GROUP BY ALL)"""
+CHUNKS = """chunks AS (SELECT clip, member, CAST(k AS INTEGER) AS chunk_no, CAST(k * 12 AS BIGINT) AS "start", list(x ORDER BY pos) AS xs FROM samples JOIN (SELECT unnest(range(0, (SELECT max(pos) // 12 + 1 FROM samples))) AS k) ON pos >= k * 12 AND pos < k * 12 + 16 GROUP BY ALL)"""
 
 
 def _overlapping(spark, sf_dir):
-    s = samples(spark, sf_dir).filter("member = 1")
+    s = keyed(samples(spark, sf_dir))
     k = F.floor(F.col("pos") / 12)
     t = s.withColumn("chunk_no", F.explode(F.filter(F.array(k, F.when((F.col("pos") % 12 < 4) & (k > 0), k - 1)), lambda x: x.isNotNull())))
     t = t.groupBy("clip", "chunk_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda v: v["x"]).alias("samples"))
@@ -58,30 +71,30 @@ def _overlapping(spark, sf_dir):
 
 @Q.add(
     "a17_overlap_add",
-    f"""WITH {SAMPLES}, {CHUNKS}, c AS (SELECT *, len(xs) AS n, max("start" + len(xs)) OVER (PARTITION BY clip) AS e FROM chunks), s AS (SELECT clip, "start" + i - 1 AS pos, xs[i] AS v,
+    f"""WITH {SAMPLES}, {CHUNKS}, c AS (SELECT *, len(xs) AS n, max("start" + len(xs)) OVER (PARTITION BY clip, member) AS e FROM chunks), s AS (SELECT clip, member, "start" + i - 1 AS pos, xs[i] AS v,
       (CASE WHEN "start" = 0 OR i - 1 >= 4 THEN 1 ELSE (i - 1) / 3 END) * (CASE WHEN "start" + n >= e OR i - 1 < n - 4 THEN 1 ELSE (n - i) / 3 END) AS w FROM c, range(1, 17) AS t(i) WHERE i <= n)
-    SELECT clip, pos, round(CASE WHEN sum(w) > 0 THEN sum(w * v) / sum(w) ELSE 0 END, 4) + 0.0 AS x FROM s GROUP BY ALL""",
+    SELECT clip, member, CAST(pos AS INTEGER) AS pos, round(CASE WHEN sum(w) > 0 THEN sum(w * v) / sum(w) ELSE 0 END, 4) + 0.0 AS x FROM s GROUP BY ALL""",
 )
 def a17(spark, sf_dir):
-    return rounded(signal.overlap_add(_overlapping(spark, sf_dir), 4))
+    return rounded(unkeyed(_flat(signal.overlap_add(_overlapping(spark, sf_dir), 4, 24), "clip")))
 
 
 def _channels(spark, sf_dir):
-    return samples(spark, sf_dir).filter("member <= 2").select("clip", (F.col("member") - 1).alias("channel"), "pos", "x")
+    return _pieces(spark, sf_dir).withColumn("channel", F.col("member") - 1).drop("member")
 
 
 @Q.add(
     "a18_standardise",
-    f"""WITH {SAMPLES}, c AS (SELECT clip, member - 1 AS channel, pos, x FROM samples WHERE member <= 2), m AS (SELECT clip, pos, avg(x) AS m FROM c GROUP BY ALL), f AS (SELECT clip, avg(m) AS mean, stddev_pop(m) AS std FROM m GROUP BY clip)
+    f"""WITH {SAMPLES}, c AS (SELECT clip, member - 1 AS channel, pos, x FROM samples), m AS (SELECT clip, pos, avg(x) AS m FROM c GROUP BY ALL), f AS (SELECT clip, avg(m) AS mean, stddev_pop(m) AS std FROM m GROUP BY clip)
     SELECT c.clip, channel, pos, round((x - mean) / std, 4) + 0.0 AS x, round(mean, 4) + 0.0 AS mean, round(std, 4) + 0.0 AS std FROM c JOIN f ON f.clip = c.clip""",
 )
 def a18(spark, sf_dir):
-    return rounded(signal.standardise(_channels(spark, sf_dir)))
+    return rounded(_flat(signal.standardise(_channels(spark, sf_dir)), "clip", "channel", "mean", "std"))
 
 
-@Q.add("a18_destandardise", f"WITH {SAMPLES} SELECT clip, member - 1 AS channel, pos, round(x, 4) + 0.0 AS x FROM samples WHERE member <= 2")
+@Q.add("a18_destandardise", f"WITH {SAMPLES} SELECT clip, member - 1 AS channel, pos, round(x, 4) + 0.0 AS x FROM samples")
 def a18_back(spark, sf_dir):
-    return rounded(signal.destandardise(signal.standardise(_channels(spark, sf_dir), sample_std=True)))
+    return rounded(_flat(signal.destandardise(signal.standardise(_channels(spark, sf_dir), sample_std=True)), "clip", "channel"))
 
 
 @Q.add("a19_normalise_stems", f"WITH {SAMPLES}, p AS (SELECT *, max(abs(x)) OVER (PARTITION BY clip) AS p FROM samples) SELECT clip AS song, member AS stem, round(sum(abs(CASE WHEN p > 0 THEN x * (0.8::DOUBLE / p) ELSE x END)), 3) AS total FROM p GROUP BY ALL")
@@ -95,14 +108,14 @@ VARIANT = "CASE (member - 1) // 2 WHEN 0 THEN 'plain' WHEN 1 THEN 'swapped' ELSE
 
 @Q.add(
     "a20_merge_variants",
-    f"""WITH {SAMPLES}, v AS (SELECT clip, pos, {VARIANT} AS variant, (member - 1) % 2 AS channel, x FROM samples WHERE member <= 6)
+    f"""WITH {SAMPLES}, v AS (SELECT clip, pos, {VARIANT} AS variant, (member - 1) % 2 AS channel, x FROM samples)
     SELECT clip, CAST(CASE WHEN variant = 'swapped' THEN 1 - channel ELSE channel END AS INTEGER) AS channel, pos, round(avg(CASE WHEN variant = 'flipped' THEN -x ELSE x END), 4) + 0.0 AS x FROM v GROUP BY ALL""",
 )
 def a20(spark, sf_dir):
     k = F.floor((F.col("member") - 1) / 2)
     v = F.when(k == 0, "plain").when(k == 1, "swapped").otherwise("flipped")
-    t = samples(spark, sf_dir).filter("member <= 6").select("clip", "pos", v.alias("variant"), ((F.col("member") - 1) % 2).alias("channel"), "x")
-    return rounded(signal.merge_variants(t))
+    t = _pieces(spark, sf_dir).select("clip", v.alias("variant"), ((F.col("member") - 1) % 2).alias("channel"), "chunk_no", "start", "samples")
+    return rounded(_flat(signal.merge_variants(t), "clip", "channel"))
 
 
 @Q.add(
@@ -111,15 +124,17 @@ def a20(spark, sf_dir):
     c AS (SELECT *, avg(g) OVER (PARTITION BY clip, freq) + 1.5 * stddev_samp(g) OVER (PARTITION BY clip, freq) AS c FROM g) SELECT clip, frame, freq, CAST(coalesce(g > c, false) AS INTEGER) AS mask FROM c""",
 )
 def a21(spark, sf_dir):
-    t = frames(spark, sf_dir).select(F.col("track_id").alias("clip"), F.col("idx").alias("frame"), (F.col("idx") % 4).alias("freq"), F.col("flux").alias("mag"))
-    return signal.noise_gate(t).select("clip", "frame", "freq", "mask")
+    """Frames of four bins: each value of the track is a bin."""
+    f = frames(spark, sf_dir).groupBy(F.col("track_id").alias("clip"), F.floor(F.col("idx") / 4).alias("frame")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "flux"))), lambda v: v["flux"]).alias("mag"))
+    t = signal.noise_gate(f).select("clip", "frame", F.posexplode("mask").alias("freq", "mask"))
+    return t.select("clip", (F.col("frame") * 4 + F.col("freq")).cast("int").alias("frame"), "freq", "mask")
 
 
-@Q.add("j13_residual_stem", f"WITH {SAMPLES} SELECT a.clip, round(sum(abs(a.x - b.x)), 3) AS total FROM samples a JOIN samples b ON a.clip = b.clip AND a.pos = b.pos AND a.member = 1 AND b.member = 2 WHERE a.pos < 30 GROUP BY ALL")
+@Q.add("j13_residual_stem", f"WITH {SAMPLES} SELECT a.clip, a.pos // 32 AS chunk_no, round(sum(abs(a.x - b.x)), 3) AS total FROM samples a JOIN samples b ON a.clip = b.clip AND a.pos = b.pos AND a.member = 1 AND b.member = 2 GROUP BY ALL")
 def j13(spark, sf_dir):
-    m = _members(spark, sf_dir).select("clip", "member", F.lit(0).alias("channel"), F.lit(0).alias("chunk_no"), F.slice("samples", 1, 30).alias("samples"))
-    t = signal.residual_stem(m.filter("member = 1").drop("member"), m.filter("member = 2").drop("member"))
-    return t.select("clip", F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + F.coalesce(F.abs(x), F.lit(0.0))), 3).alias("total"))
+    m = _pieces(spark, sf_dir).withColumn("channel", F.lit(0))
+    t = signal.residual_stem(m.filter("member = 1").drop("member"), m.filter("member = 2").drop("member", "start"))
+    return t.select("clip", "chunk_no", F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + F.coalesce(F.abs(x), F.lit(0.0))), 3).alias("total"))
 
 
 def _chunks(spark, sf_dir, size: int = 32):
@@ -158,11 +173,11 @@ T2, F2 = signal.triangle(2), signal.triangle(1)
 
 @Q.add(
     "v14_smooth_mask",
-    f"""WITH m AS (SELECT vec_id // 100 AS clip, vec_id % 100 AS frame, i - 1 AS f, CAST(embedding[i] > 0 AS INTEGER)::DOUBLE AS m FROM embeddings, range(1, 9) AS t(i)), k AS (SELECT * FROM (VALUES {', '.join(f'({d - 2}, {w}::DOUBLE)' for d, w in enumerate(T2))}) AS a(dt, wt), (VALUES {', '.join(f'({d - 1}, {w}::DOUBLE)' for d, w in enumerate(F2))}) AS b(df, wf)),
+    f"""WITH m AS (SELECT vec_id // 100 AS clip, vec_id % 100 AS frame, i - 1 AS f, CAST(embedding[i] > 0 AS INTEGER)::DOUBLE AS m FROM embeddings, range(1, 65) AS t(i)), k AS (SELECT * FROM (VALUES {', '.join(f'({d - 2}, {w}::DOUBLE)' for d, w in enumerate(T2))}) AS a(dt, wt), (VALUES {', '.join(f'({d - 1}, {w}::DOUBLE)' for d, w in enumerate(F2))}) AS b(df, wf)),
     s AS (SELECT a.clip, a.frame, a.f, sum(coalesce(b.m, 0) * wt * wf) AS v FROM m a CROSS JOIN k LEFT JOIN m b ON b.clip = a.clip AND b.frame = a.frame + dt AND b.f = a.f + df GROUP BY ALL) SELECT clip, frame, round(sum(v * (f + 1)), 3) AS total FROM s GROUP BY ALL""",
 )
 def v14(spark, sf_dir):
-    t = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("clip"), (F.col("vec_id") % 100).alias("frame"), F.transform(F.slice("embedding", 1, 8), lambda x: (x > 0).cast("double")).alias("mask"))
+    t = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("clip"), (F.col("vec_id") % 100).alias("frame"), F.transform("embedding", lambda x: (x > 0).cast("double")).alias("mask"))
     t = signal.smooth_mask(t, 1, 2)
     return t.select("clip", "frame", F.round(F.aggregate(F.transform("mask", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
 
@@ -212,16 +227,22 @@ def m3(spark, sf_dir):
     return rounded(learning.cross_validate(t, evaluation.folds(t.select("track_id"))))
 
 
-def _stream(spark, batch, files: int = 3):
-    """The rows as a stream of a few files, in order of time, and a function that runs a query over it to its end."""
+#: Rows in one file of a stream's input.
+FILE_ROWS = 100_000
+
+
+def _stream(spark, batch, slices: int = 3):
+    """The rows as a stream of a few slices of time, each some files of a bounded number of rows."""
     path = shared_folder(spark)
     batch = batch.withColumn("ts", F.col("ts").cast("timestamp"))
     at = F.unix_micros("ts")
-    cuts = batch.agg(F.percentile_approx(at, [k / files for k in range(1, files)])).first()[0]
-    for k, (lo, hi) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):  # one write after another, so that files are read in order of time
+    facts = batch.agg(F.percentile_approx(at, [k / slices for k in range(1, slices)]).alias("cuts"), F.count("*").alias("n")).first()
+    files = max(1, facts["n"] // (slices * FILE_ROWS))
+    cuts = facts["cuts"] or []
+    for k, (lo, hi) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):  # one write after another, so that slices are read in order of time
         part = batch.filter((F.lit(True) if lo is None else at > lo) & (F.lit(True) if hi is None else at <= hi))
-        part.coalesce(1).write.mode("append" if k else "error").parquet(path)
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part.repartition(files).write.mode("append" if k else "error").parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _run(spark, stream, mode: str):
@@ -244,10 +265,10 @@ def _run(spark, stream, mode: str):
 
 
 def _levels(spark, sf_dir):
-    return table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("session"), "ts", (F.col("value") / 100).alias("x"), "event_id")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), "ts", (F.col("value") / 100).alias("x"), "event_id")
 
 
-GATE = """SELECT user_id % 5 AS session, w AS "start", round(sqrt(avg(pow(value / 100, 2))), 4) AS rms, 20 * log10(greatest(sqrt(avg(pow(value / 100, 2))), 1e-10)) >= -12 AS open FROM (SELECT *, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR, time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 2 HOUR, time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 3 HOUR]) AS w FROM events) GROUP BY ALL"""
+GATE = """SELECT user_id AS session, w AS "start", round(sqrt(avg(pow(value / 100, 2))), 4) AS rms, 20 * log10(greatest(sqrt(avg(pow(value / 100, 2))), 1e-10)) >= -12 AS open FROM (SELECT *, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR, time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 2 HOUR, time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 3 HOUR]) AS w FROM events) GROUP BY ALL"""
 
 
 @Q.add("t1_voice_gate_stream", GATE)
@@ -258,7 +279,7 @@ def t1(spark, sf_dir):
     return rounded(last.select("session", "start", "rms", "open"), "rms")
 
 
-@Q.add("t2_tumbling_block_rms", """SELECT user_id % 5 AS session, time_bucket(INTERVAL 1 DAY, ts) AS "start", round(sqrt(avg(pow(value / 100, 2))), 4) AS rms, count(*) AS n FROM events GROUP BY ALL""")
+@Q.add("t2_tumbling_block_rms", """SELECT user_id AS session, time_bucket(INTERVAL 1 DAY, ts) AS "start", round(sqrt(avg(pow(value / 100, 2))), 4) AS rms, count(*) AS n FROM events GROUP BY ALL""")
 def t2(spark, sf_dir):
     s = _stream(spark, _levels(spark, sf_dir).select("session", "ts", "x"))
     out = _run(spark, jobs.block_rms(s, "1 day", "10 days"), "update")
@@ -266,7 +287,7 @@ def t2(spark, sf_dir):
     return rounded(last.select("session", "start", "rms", "n"), "rms")
 
 
-@Q.add("t3_drop_repeated_blocks", "SELECT user_id % 5 AS session, event_id // 3 AS seq FROM events GROUP BY ALL")
+@Q.add("t3_drop_repeated_blocks", "SELECT user_id AS session, event_id // 3 AS seq FROM events GROUP BY ALL")
 def t3(spark, sf_dir):
     b = _levels(spark, sf_dir).select("session", "ts", F.floor(F.col("event_id") / 3).alias("seq"))
     return _run(spark, jobs.drop_repeated(_stream(spark, b), "10 days").select("session", "seq"), "append")
@@ -274,18 +295,26 @@ def t3(spark, sf_dir):
 
 def _blocks(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    seq = F.row_number().over(Window.partitionBy((F.col("user_id") % 5)).orderBy("ts", "event_id"))
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     x = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.sin(F.col("event_id") * 0.7 + i * 0.9) * F.col("value") / 100)
-    return e.select((F.col("user_id") % 5).alias("session"), "ts", seq.cast("long").alias("seq"), x.alias("samples"))
+    return e.select(F.col("user_id").alias("session"), "ts", seq.cast("long").alias("seq"), x.alias("samples"))
 
 
 def _summed(t):
-    return rounded(t.select("session", "seq", F.size("samples").alias("n"), F.aggregate("samples", F.lit(0.0), lambda a, x: a + x).alias("total")))
+    """The length of a block, the sum of its values, and their sum weighted by place."""
+    placed = F.aggregate(F.transform("samples", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return rounded(t.select("session", "seq", F.size("samples").alias("n"), F.aggregate("samples", F.lit(0.0), lambda a, x: a + x).alias("total"), placed.alias("placed")), digits=3)
 
 
-@Q.add("t4_pitch_ring")
+@Q.add(
+    "t4_pitch_ring",
+    """WITH e AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_id, value FROM events),
+    p AS (SELECT session, seq + j AS seq, 25 - 6 * j + k AS place, sin(event_id * 0.7::DOUBLE + (k + 3) * 0.9::DOUBLE) * value / 100 AS x FROM e, range(0, 5) AS a(j), range(0, 8) AS b(k) WHERE j = 0 OR k < 6)
+    SELECT p.session, p.seq, 32 AS n, round(sum(x), 3) + 0.0 AS total, round(sum(place * x), 3) + 0.0 AS placed FROM p JOIN e ON e.session = p.session AND e.seq = p.seq GROUP BY p.session, p.seq""",
+)
 def t4(spark, sf_dir):
-    return _summed(_run(spark, jobs.pitch_ring(_stream(spark, _blocks(spark, sf_dir)), 32), "append"))
+    """Blocks of 12 values move the ring on by 6 and fill its last 8 places."""
+    return _summed(_run(spark, jobs.pitch_ring(_stream(spark, _blocks(spark, sf_dir)), 32, 6), "append"))
 
 
 @Q.add("t5_stitch_blocks")

@@ -19,6 +19,8 @@ def shared_folder(spark) -> str:
     """A new place in the folder that driver and executors share."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tonewright-")
         spark.conf.set("spark.checkpoint.dir", where)
     return f"{where.rstrip('/')}/io-{uuid.uuid4().hex}"
@@ -53,10 +55,10 @@ def s2_csv(spark, sf_dir):
     return spark.read.option("header", True).schema("track_id long, start double, end double, duration double, pitch int").csv(path, enforceSchema=True).select("track_id", "start", "pitch")
 
 
-@Q.add("s3_notes_reference", f"""WITH {NOTES} SELECT track_id, 'A' || (1 + note_no % 2) AS annotator, round("start", 4) AS "start", round("end", 4) AS "end" FROM notes WHERE track_id < 10""")
+@Q.add("s3_notes_reference", f"""WITH {NOTES} SELECT track_id, 'A' || (1 + note_no % 2) AS annotator, round("start", 4) AS "start", round("end", 4) AS "end" FROM notes""")
 def s3(spark, sf_dir):
     path = shared_folder(spark)
-    n = notes(spark, sf_dir).filter("track_id < 10")
+    n = notes(spark, sf_dir)
     name = F.concat(F.lit("x_"), F.col("track_id").cast("string"), F.lit("_notesA"), (1 + F.col("note_no") % 2).cast("string"))
     t = n.select(F.concat_ws(",", "start", F.lit(440.0), F.col("end") - F.col("start")).alias("line"), name.alias("name"))
     _named_files(t, path, ".csv")
@@ -98,9 +100,10 @@ def s6(spark, sf_dir):
     return S.read_manifest(spark, path).select("path", "speaker_id", "output_key")
 
 
-@Q.add("s9_features", "SELECT CAST(label AS VARCHAR) AS clip, vec_id, round(CAST(embedding[1] AS DOUBLE), 4) + 0.0 AS first FROM embeddings")
+@Q.add("s9_features", "SELECT CAST(label AS VARCHAR) AS clip, vec_id, len(embedding) AS n, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: i * CAST(embedding[i] AS DOUBLE))), 3) + 0.0 AS placed FROM embeddings")
 def s9(spark, sf_dir):
     path = shared_folder(spark)
     e = table(spark, sf_dir, "embeddings")
     S.write_features(e.select(F.col("label").cast("string").alias("clip"), F.col("vec_id").cast("int").alias("pos"), F.col("embedding").alias("vec")), path)
-    return rounded(S.read_features(spark, path, 64).select("clip", F.col("pos").cast("long").alias("vec_id"), F.element_at("vec", 1).cast("double").alias("first")))
+    placed = F.aggregate(F.transform("vec", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return rounded(S.read_features(spark, path, 64).select("clip", F.col("pos").cast("long").alias("vec_id"), F.size("vec").cast("long").alias("n"), placed.alias("placed")), digits=3)

@@ -168,12 +168,14 @@ def a5(spark, sf_dir):
     return rounded(voicing.track_summary(notes(spark, sf_dir)))
 
 
-CHROMA = "chroma AS (SELECT label AS track_id, CAST(i - 1 AS INTEGER) AS pc, avg(CAST(embedding[i] AS DOUBLE)) AS n FROM embeddings, range(1, 13) AS t(i) GROUP BY ALL)"
+CHROMA = "chroma AS (SELECT label AS track_id, CAST((i - 1) % 12 AS INTEGER) AS pc, sum(CAST(embedding[i] AS DOUBLE)) / count(DISTINCT vec_id) AS n FROM (SELECT label, vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY ALL)"
 
 
 @Q.add("a22_average_chroma", f"WITH {CHROMA}{_key_sql('chroma', True)} SELECT c.track_id, c.pc, round(c.n, 4) + 0.0 AS n, k.root, k.mode FROM chroma c JOIN keys k USING (track_id)")
 def a22(spark, sf_dir):
-    t = table(spark, sf_dir, "embeddings").select(F.col("label").alias("track_id"), F.slice("embedding", 1, 12).alias("chroma"))
+    """Vectors of 64 elements are folded to twelve classes."""
+    folded = lambda k: F.aggregate(F.sequence(k, F.lit(63), F.lit(12)), F.lit(0.0), lambda s, i: s + F.get("embedding", i).cast("double"))
+    t = table(spark, sf_dir, "embeddings").select(F.col("label").alias("track_id"), F.transform(F.sequence(F.lit(0), F.lit(11)), folded).alias("chroma"))
     mean = voicing.average_chroma(t)
     return rounded(mean.join(voicing.detect_key(mean, highest=True).drop("r"), "track_id"))
 

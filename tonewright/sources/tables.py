@@ -100,7 +100,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 def list_audio_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """path, length and time of the audio files of a folder; their content isn't read."""
     t = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder).select("path", "length", "modificationTime")
-    return t.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*AUDIO_EXTENSIONS))
+    return t.filter(F.lower(F.regexp_extract("path", r"\.[^./]+$", 0)).isin(*AUDIO_EXTENSIONS))
 
 
 def parse_wav(data: bytes) -> tuple[int, np.ndarray]:

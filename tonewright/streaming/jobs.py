@@ -61,15 +61,12 @@ def latest_state(states: DataFrame, bands: dict[str, tuple[float, float]] = BAND
     return last.select("stem", F.col("s.stage").alias("stage"), F.round(p, 3).alias("progress"))
 
 
-def ring_step(ring: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """The last values after a block: shifted by its length, its values written without the first three and the last."""
-    new = block[3:-1] if len(block) > 4 else block[:0]
-    out = np.concatenate([ring[len(block) :], np.zeros(min(len(block), len(ring)))])
-    if len(new):
-        end = len(out) - 1
-        put = new[-end:] if end else new[:0]
-        out[end - len(put) : end] = put
-    return out
+def ring_step(ring: np.ndarray, block: np.ndarray, hop: int) -> np.ndarray:
+    """The ring after a block: moved on by hop places, then the block without its first three values and its last in the last
+    places. Places at the end that nothing is moved or written to keep their values."""
+    new = block[3:-1][-len(ring) :]
+    moved = np.concatenate([ring[hop:], ring[max(0, len(ring) - hop) :]])
+    return np.concatenate([moved[: len(ring) - len(new)], new])
 
 
 def stitch_step(tail: np.ndarray, block: np.ndarray, search: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,11 +120,11 @@ def _stateful(blocks: DataFrame, schema: str, width: int, step, late: str = "10
     return t.applyInPandasWithState(some, schema, "last long, kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def pitch_ring(blocks: DataFrame, width: int) -> DataFrame:
-    """The ring of the last width values of a session after each block."""
+def pitch_ring(blocks: DataFrame, width: int, hop: int) -> DataFrame:
+    """The ring of the last width values of a session after each block, which moves it on by hop."""
 
     def step(ring, x):
-        out = ring_step(ring, x)
+        out = ring_step(ring, x, hop)
         return out, out
 
     return _stateful(blocks, "session long, seq long, samples array<double>", width, step)
