@@ -29,8 +29,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MAX_COPIES = 2
 SEED = "mix-1"
-#: Rows of a source that one task sorts.
-BUCKET_ROWS = 20_000
+#: Rows of a source that are sorted together: few, so that a hot source is dealt evenly over tasks.
+BUCKET_ROWS = 500
 #: Ranges of finish times whose sums go to the driver at a time.
 RANGES = 1_000
 #: A table of sources is broadcast up to this many rows.
@@ -75,7 +75,7 @@ def scheduled(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sou
     base = narrow = stored(full.drop("_row"), "mix-sizes")
     src = stored(targets(base, weights, share, max_copies), "mix-sources")
     facts = src.agg(F.count("*").alias("k"), F.max("n_docs").alias("n"), F.sum("source_size").alias("size")).first()
-    bits = max(4, min(24, math.ceil(math.log2(max(1, (facts["n"] or 0) / bucket_rows)))))
+    bits = max(4, min(30, math.ceil(math.log2(max(1, (facts["n"] or 0) / bucket_rows)))))
     known = F.broadcast(src) if facts["k"] <= BROADCAST_SOURCES else src
     placed = lambda t: t.withColumn("_bucket", F.shiftright("_h", 60 - bits)).join(known, "_key")
     base = placed(narrow)
