@@ -140,11 +140,16 @@ def j13(spark, sf_dir):
 def _chunks(spark, sf_dir, size: int = 32):
     """Chunks of 32 samples of each member of each clip."""
     s = keyed(samples(spark, sf_dir)).withColumn("chunk_no", F.floor(F.col("pos") / size).cast("int"))
-    t = s.groupBy("clip", "chunk_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda v: v["x"].cast("float")).alias("samples"))
+    t = s.groupBy("clip", "chunk_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda v: v["x"]).alias("samples"))
     return t.withColumn("start", (F.col("chunk_no") * size).cast("long"))
 
 
-@Q.add("v11_frame_rms_db")
+#: Root mean squares of 16 samples around every eighth one, the clip mirrored at its ends.
+RMS = """l AS (SELECT clip, member, list(x ORDER BY pos) AS xs, count(*) AS n FROM samples GROUP BY ALL), k AS (SELECT *, unnest(range(0, n // 8 + 1)) AS k FROM l),
+rms AS (SELECT clip, member, n, k, sqrt(list_avg(list_transform(range(k * 8 - 8, k * 8 + 8), lambda q: pow(xs[CASE WHEN q < 0 THEN -q WHEN q >= n THEN 2 * (n - 1) - q ELSE q END + 1], 2)))) AS r FROM k)"""
+
+
+@Q.add("v11_frame_rms_db", f"WITH {SAMPLES}, {RMS} SELECT clip, member, k AS frame, round(20 * log10(r + 1e-9), 3) + 0.0 AS rms_db FROM rms UNION ALL SELECT clip, member, n // 8 + i, -120.0::DOUBLE FROM l, (VALUES (1), (2)) AS v(i)")
 def v11(spark, sf_dir):
     c = _chunks(spark, sf_dir)
     lengths = c.groupBy("clip").agg((F.floor(F.sum(F.size("samples")) / 8) + 3).cast("int").alias("n_frames"))
@@ -182,7 +187,12 @@ def v14(spark, sf_dir):
     return t.select("clip", "frame", F.round(F.aggregate(F.transform("mask", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
 
 
-@Q.add("v15_rms_envelope_mix")
+@Q.add(
+    "v15_rms_envelope_mix",
+    f"""WITH {SAMPLES}, {RMS}, e AS (SELECT clip, member, any_value(n) AS n, list(r ORDER BY k) AS rs FROM rms GROUP BY ALL), t AS (SELECT s.clip, s.member, s.pos, s.x, rs, len(rs) AS m, least(greatest((s.pos + 0.5) * len(rs) / n - 0.5, 0), len(rs) - 1) AS spot FROM samples s JOIN e ON e.clip = s.clip AND e.member = s.member),
+    u AS (SELECT *, rs[CAST(floor(spot) AS BIGINT) + 1] * (1 - (spot - floor(spot))) + coalesce(rs[CAST(floor(spot) AS BIGINT) + 2], 0) * (spot - floor(spot)) AS a FROM t)
+    SELECT clip, member, CAST(pos // 32 AS INTEGER) AS chunk_no, round(sum(abs(0.5 * x) * pow(a, 0.75) * pow(greatest(0.5 * a, 1e-6), -0.75)), 4) + 0.0 AS total FROM u GROUP BY ALL""",
+)
 def v15(spark, sf_dir):
     c = _chunks(spark, sf_dir)
     t = signal.rms_envelope_mix(c, c.withColumn("samples", F.transform("samples", lambda x: x * 0.5)), 0.25, 8)
@@ -202,7 +212,11 @@ def v16_half(spark, sf_dir):
     return signal.half_overlapping(frames(spark, sf_dir), 16).select("track_id", "segment", "idx", "core")
 
 
-@Q.add("w16_quiet_cut_points")
+@Q.add(
+    "w16_quiet_cut_points",
+    f"""WITH {SAMPLES}, l AS (SELECT clip, member, list(abs(x) ORDER BY pos) AS xs, count(*) AS n FROM samples GROUP BY ALL HAVING count(*) > 40), a AS (SELECT *, unnest(range(20, n, 20)) AS spot FROM l), p AS (SELECT *, unnest(range(greatest(spot - 6, 0), least(spot + 6, n))) AS pos FROM a),
+    s AS (SELECT clip, member, spot, pos, round_even(list_sum(list_transform(range(pos - 4, pos + 4), lambda q: xs[CASE WHEN q < 0 THEN -q WHEN q >= n THEN 2 * (n - 1) - q ELSE q END + 1])), 9) AS s FROM p) SELECT clip, member, spot AS "at", arg_min(pos, (s, pos)) AS cut FROM s GROUP BY ALL""",
+)
 def w16(spark, sf_dir):
     return unkeyed(windows.quiet_cut_points(keyed(samples(spark, sf_dir)).select("clip", "pos", "x"), 20, 6, 8, 40))
 

@@ -288,7 +288,22 @@ def w9(spark, sf_dir):
     return rounded(frames(spark, sf_dir).select("track_id", "idx", (F.col("flux") - top).alias("below"), (F.col("flux") >= top).alias("is_peak")))
 
 
-@Q.add("w10_frame_features")
+W10 = f"""b AS (SELECT *, {MIDI} AS midi, conf > 0.4 AND f0 > 0 AS voiced FROM frames), l AS (SELECT *, CASE WHEN voiced AND NOT coalesce(lag(voiced) OVER {TW}, false) THEN 1 ELSE 0 END AS new FROM b), r AS (SELECT *, sum(new) OVER {TW} AS run FROM l),
+n AS (SELECT *, count(*) OVER (PARTITION BY track_id, run) AS n, row_number() OVER (PARTITION BY track_id, run ORDER BY idx) AS i, list(midi) OVER (PARTITION BY track_id, run ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS xs FROM r WHERE voiced),
+c AS (SELECT track_id, idx, list_sort(list_transform(range(-k, k + 1), lambda d: xs[least(greatest(i + d, 1), n)]))[k + 1] AS clean FROM (SELECT *, CASE WHEN n >= 4 THEN 2 WHEN n >= 2 THEN 1 ELSE 0 END AS k FROM n)),
+s AS (SELECT b.*, coalesce(c.clean, b.midi) AS clean FROM b LEFT JOIN c ON c.track_id = b.track_id AND c.idx = b.idx),
+h AS (SELECT *, coalesce(last_value(CASE WHEN voiced THEN clean END IGNORE NULLS) OVER {TW}, first_value(clean) OVER {TW}, CASE WHEN bool_or(voiced) OVER (PARTITION BY track_id) THEN quantile_cont(clean, 0.5) OVER (PARTITION BY track_id) END, 60) AS held,
+  rms_db - quantile_cont(rms_db, 0.95) OVER (PARTITION BY track_id) AS level, CAST(CAST(voiced AS INTEGER) AS DOUBLE) AS voiced_f FROM s),
+w AS (SELECT *, max(flux) OVER {TW[:-1]} ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS top, list(held) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS hs, count(*) OVER (PARTITION BY track_id) AS len FROM h),
+ab AS (SELECT *, list_transform(range(-8, 0), lambda d: hs[greatest(idx + d, 0) + 1]) AS before, list_transform(range(0, 8), lambda d: hs[least(idx + d, len - 1) + 1]) AS after FROM w),
+f AS (SELECT track_id, idx, voiced_f, conf, level, flux, hf, """ + ", ".join(
+    [f"lead(held, {k}, 0) OVER {TW} - lag(held, {k}, 0) OVER {TW} AS step_{k}, abs(lead(held, {k}, 0) OVER {TW} - lag(held, {k}, 0) OVER {TW}) AS abs_step_{k}, lead(level, {k}, 0) OVER {TW} - lag(level, {k}, 0) OVER {TW} AS level_step_{k}, lead(conf, {k}, 0) OVER {TW} - lag(conf, {k}, 0) OVER {TW} AS conf_step_{k}" for k in windows.LAGS]
+    + [f"flux - lag(flux, {k}, 0) OVER {TW} AS flux_back_{k}, hf - lag(hf, {k}, 0) OVER {TW} AS hf_back_{k}, lag(voiced_f, {k}, 0) OVER {TW} AS voiced_back_{k}" for k in (2, 4, 8)]
+) + """, list_aggregate(before, 'stddev_pop') AS std_before, list_aggregate(after, 'stddev_pop') AS std_after, list_aggregate(after, 'median') - list_aggregate(before, 'median') AS median_step,
+  abs(list_aggregate(after, 'median') - round_even(list_aggregate(after, 'median'), 0)) AS off_semitone, flux - top AS flux_to_peak, CAST(CAST(flux >= top AS INTEGER) AS DOUBLE) AS flux_is_peak FROM ab)"""
+
+
+@Q.add("w10_frame_features", f"WITH {FRAMES}, {W10} SELECT track_id, idx, " + ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in windows.FEATURES) + " FROM f")
 def w10(spark, sf_dir):
     return rounded(windows.frame_features(frames(spark, sf_dir)))
 
@@ -312,7 +327,14 @@ def w15(spark, sf_dir):
     return rounded(windows.moving_mean_gate(frames(spark, sf_dir), "conf").select("track_id", "idx", "gate"))
 
 
-@Q.add("w17_mask_long_runs")
+@Q.add(
+    "w17_mask_long_runs",
+    f"""WITH {FRAMES}, m AS (SELECT track_id, idx, conf * CASE WHEN (idx // 20) % 3 = 0 THEN 0 ELSE 1 END AS mask FROM frames), c AS (SELECT *, CASE WHEN mask > 0.01 AND NOT coalesce(lag(mask) OVER {TW} > 0.01, false) THEN 1 ELSE 0 END AS new FROM m), d AS (SELECT *, sum(new) OVER {TW} AS run FROM c),
+    r AS (SELECT track_id, min(idx) AS s, max(idx) + 1 AS e FROM d WHERE mask > 0.01 GROUP BY track_id, run HAVING max(idx) + 1 - min(idx) > 12), g AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY track_id ORDER BY s) < 4 THEN 0 ELSE 1 END AS new FROM r),
+    j AS (SELECT track_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY track_id ORDER BY s) AS k FROM g) GROUP BY track_id, k), n AS (SELECT track_id, max(idx) + 1 AS n FROM m GROUP BY 1),
+    w AS (SELECT m.track_id, m.idx, m.mask, CASE WHEN s IS NULL THEN 0 ELSE least(CASE WHEN s = 0 THEN 1 ELSE least(1, (m.idx - s) / 4) END, CASE WHEN e = n THEN 1 ELSE least(1, (e - 1 - m.idx) / 4) END) END AS w FROM m JOIN n ON n.track_id = m.track_id LEFT JOIN j ON j.track_id = m.track_id AND m.idx >= s AND m.idx < e)
+    SELECT track_id, idx, round(mask + w * (1 - mask), 4) + 0.0 AS mask, round(w, 4) + 0.0 AS weight FROM w""",
+)
 def w17(spark, sf_dir):
     t = frames(spark, sf_dir).select("track_id", "idx", (F.col("conf") * F.when(F.pmod(F.floor(F.col("idx") / 20), F.lit(3)) == 0, 0).otherwise(1)).alias("mask"))
     return rounded(windows.mask_long_runs(t, 0.01, 12, 4).select("track_id", "idx", "mask", "weight"))
