@@ -45,8 +45,8 @@ CHUNK_KEYS = 1_000_000
 #: Tables of ids are broadcast up to this many rows (16 to 24 bytes each).
 BROADCAST_ROWS = 1_000_000
 #: A shingle is frequent if it's in more than one of this many documents. There are at most as many frequent shingles as
-#: this times the mean size of a set. The list is broadcast: the MAX_FREQUENT that are in most documents. Others are dealt by
-#: like rare ones, which costs time and no link.
+#: this times the mean size of a set. The list is broadcast; should it have more than MAX_FREQUENT the share is halved until it
+#: hasn't. Others are dealt by like rare ones, which costs time and no link.
 FREQUENT_SHARE = 2_000
 MAX_FREQUENT = 2_000_000
 #: Shingles that a map task counts at a time.
@@ -183,7 +183,10 @@ def frequent_shingles(docs: DataFrame, sim: Similarity, id_col: str, text_col: s
 
     counts = t.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
     least = max(10, docs.count() // share)
-    found = counts.filter(F.col("n") >= least).orderBy(F.col("n").desc(), "g").limit(MAX_FREQUENT).select("g").toArrow()["g"].to_numpy()
+    often = stored(counts.filter(F.col("n") >= least), "frequent")
+    while often.filter(F.col("n") >= least).count() > MAX_FREQUENT:
+        least *= 2
+    found = often.filter(F.col("n") >= least).select("g").toArrow()["g"].to_numpy()
     return np.sort(found.view("uint64")) if len(found) else np.empty(0, _U)
 
 

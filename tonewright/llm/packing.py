@@ -18,6 +18,7 @@ Defined results
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -166,32 +167,55 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int =
     total, bins = sum(s * n for s, n in counts.items()), sum(n for _, n in best)
     least = max(-(-total // capacity), sum(n for s, n in counts.items() if 2 * s > capacity))
     nodes, whole = 0, True
-    stack = [(counts, [], 0, 0)] if bins > least else []  # what is left, the patterns so far, their bins and waste
-    while stack and nodes < max_nodes and bins > least:
-        nodes += 1
-        left, done, used, waste = stack.pop()
-        if waste > (bins - 1) * capacity - total:  # no better solution wastes as much
-            continue
-        if not left:
-            best, bins = done, used
-            continue
+    # One histogram for the whole search: a step takes its items off and puts them back when it's undone.
+    left, done, used, waste = dict(counts), [], 0, 0
+    open_: list[Iterator[tuple[Pattern, int]]] = []  # the steps still to be tried at each depth
+
+    def steps() -> list[tuple[Pattern, int]]:
+        """Patterns with the longest length left, each as often as it fits, then each once."""
+        nonlocal whole
         size = max(left)
-        rest = left | {size: left[size] - 1}
-        ways, every = fillings(rest, capacity - size, MAX_FILLINGS)
+        ways, every = fillings(left | {size: left[size] - 1}, capacity - size, MAX_FILLINGS)
         whole = whole and every
-        steps = []
+        often = []
         for fill in ways:
             one = defaultdict(int, {size: 1})
             for s, k in fill:
                 one[s] += k
-            often = min(left[s] // k for s, k in one.items())
-            free = capacity - sum(s * k for s, k in one.items())
-            for times in {often, 1}:
-                after = {s: m for s, n in left.items() if (m := n - times * one.get(s, 0))}
-                steps.append((times == 1 and often > 1, (after, [*done, (tuple(sorted(one.items(), reverse=True)), times)], used + times, waste + free * times)))
-        for late in (True, False):  # the last ones are looked at first
-            stack += [x for single, x in reversed(steps) if single == late]
-    return Packing(best, least, nodes, whole and (not stack or bins == least))
+            often.append((tuple(sorted(one.items(), reverse=True)), min(left[s] // k for s, k in one.items())))
+        return often + [(one, 1) for one, times in often if times > 1]
+
+    def take(one: Pattern, times: int) -> None:
+        for s, k in one:
+            left[s] = left.get(s, 0) - k * times
+            if not left[s]:
+                del left[s]
+
+    forward = bins > least
+    while forward and bins > least:
+        nodes += 1
+        if waste <= (bins - 1) * capacity - total:  # else no better solution wastes as much
+            if left:
+                open_.append(iter(steps()))
+            else:
+                best, bins = list(done), used
+        forward = False
+        while open_ and not forward:
+            if len(done) == len(open_):
+                one, times = done.pop()
+                take(one, -times)
+                used, waste = used - times, waste - times * (capacity - sum(s * k for s, k in one))
+            step = next(open_[-1], None)
+            if step is None:
+                open_.pop()
+            elif nodes < max_nodes:
+                one, times = step
+                take(one, times)
+                done.append(step)
+                used, waste, forward = used + times, waste + times * (capacity - sum(s * k for s, k in one)), True
+            else:
+                whole, open_ = False, []
+    return Packing(best, least, nodes, whole)
 
 
 def rank_ranges(plan: list[tuple[Pattern, int]]) -> list[tuple[int, int, int, int, int, int]]:
