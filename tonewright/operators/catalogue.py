@@ -51,13 +51,21 @@ def priority_union(*sources: DataFrame, key: str = "stem", value: str = "path")
     return both.groupBy(key).agg(F.max_by(value, F.struct("_rank", value)).alias(value))
 
 
-def union_feeds(query: str, **feeds: DataFrame) -> DataFrame:
-    """The feeds one after another, each row with the name of its feed; nothing for queries under two characters."""
-    out = None
+def union_feeds(query: str, store, **feeds) -> tuple[DataFrame, list[str]]:
+    """The feeds one after another, each row with the name of its feed, and the names of those that failed; nothing for queries
+    under two characters. A feed is a table or a function of the query that gives one. It's read by store(table), which
+    writes it and reads it back, so a feed that fails, even while it's read, is an empty feed and the others come through."""
+    out, failed = None, []
     for name, feed in feeds.items():
-        t = feed.withColumn("feed", F.lit(name))
+        try:
+            t = store(feed(query) if callable(feed) else feed).withColumn("feed", F.lit(name))
+        except Exception:  # offline, limited, an unknown format: the search goes on without it
+            failed.append(name)
+            continue
         out = t if out is None else out.unionByName(t, allowMissingColumns=True)
-    return out if len(query.strip()) >= 2 else out.limit(0)
+    if out is not None and len(query.strip()) < 2:
+        out = out.limit(0)
+    return out, failed
 
 
 def unique_names(stems: DataFrame, order: str, stem: str = "stem") -> DataFrame:

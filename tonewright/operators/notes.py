@@ -77,12 +77,16 @@ def drop_blips(notes: DataFrame, tracks: DataFrame, blip: float = 0.12, confiden
 
 def decode_notes(frames: DataFrame, inputs: DataFrame, keys: DataFrame) -> DataFrame:
     """note of each frame by decoding (-1: silence). frames has midi, voice_p and conf; inputs comes from hmm_inputs(), keys
-    has root and mode. A track is one group: at most a few MB."""
-    t = frames.select("track_id", "idx", "midi", "voice_p", "conf").join(inputs, "track_id").join(keys.select("track_id", "root", "mode"), "track_id")
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("idx")
-        one = g.iloc[0]
+    has root and mode. A track is one group, at most a few MB; what is known of a track comes beside its frames as one row.
+    Tracks without such a row have no path."""
+    t = frames.select("track_id", "idx", "midi", "voice_p", "conf")
+    facts = inputs.select("track_id", "lo", "hi", "sigma", "penalty").join(keys.select("track_id", "root", "mode"), "track_id").withColumnRenamed("track_id", "_track")
+    facts = facts.select(F.col("_track").alias("_track"), "lo", "hi", "sigma", "penalty", "root", "mode")  # a column of its own, though both come from the same frames
+
+    def run(g: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
+        if g.empty or facts.empty:
+            return pd.DataFrame({"track_id": [], "idx": [], "note": []})
+        g, one = g.sort_values("idx"), facts.iloc[0]
         steps = [(int(one["root"]) + k) % 12 for k in music.SCALE_STEPS[one["mode"]]]
         lo, hi = int(one["lo"]), int(one["hi"])
         prior = np.where(np.isin(np.arange(lo, hi + 1) % 12, steps), 0.0, -float(one["penalty"]))
@@ -90,7 +94,7 @@ def decode_notes(frames: DataFrame, inputs: DataFrame, keys: DataFrame) -> DataF
         note = decoding.viterbi(g["midi"].to_numpy("float64", na_value=np.nan), g["voice_p"].to_numpy(), weight, lo, hi, float(one["sigma"]), prior)
         return pd.DataFrame({"track_id": g["track_id"], "idx": g["idx"], "note": note.astype("int32")})
 
-    return t.groupBy("track_id").applyInPandas(run, "track_id long, idx int, note int")
+    return t.groupBy("track_id").cogroup(facts.groupBy("_track")).applyInPandas(run, "track_id long, idx int, note int")
 
 
 def segment_onsets(frames: DataFrame, threshold: float = 0.25, least: int = 6, gap: int = 6) -> DataFrame:
@@ -157,7 +161,8 @@ def fold_slides(notes: DataFrame, frames: DataFrame, fps: float = 100.0, value:
         start, end, stays = decoding.fold_slides(n["start"].to_numpy(), n["end"].to_numpy(), n["pitch"].to_numpy(), spread)
         return n.assign(start=start, end=end)[stays]
 
-    return notes.groupBy("track_id").cogroup(frames.select("track_id", "idx", value).groupBy("track_id")).applyInPandas(run, notes.schema)
+    curve = frames.select(F.col("track_id").alias("_track"), "idx", value)
+    return notes.groupBy("track_id").cogroup(curve.groupBy("_track")).applyInPandas(run, notes.schema)
 
 
 def group_running_mean(frames: DataFrame, value: str = "midi", fps: float = 100.0) -> DataFrame:

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Queries that are broadcast at a time; more queries are cut into blocks of this many.
-QUERY_BLOCK = 20_000
-#: Queries of a block that are compared with a batch at a time, and pairs whose exact distances are taken at a time.
-QUERY_ROWS, PAIRS = 256, 100_000
+#: Queries, and values of index vectors, in one task: a block of queries meets a block of the index.
+QUERY_BLOCK, INDEX_VALUES = 20_000, 4_000_000
+#: Queries of a block that are compared with a tile of so many index rows at a time, and pairs whose exact distances are taken.
+QUERY_ROWS, TILE_ROWS, PAIRS = 256, 2_000, 100_000
 #: Queries whose exact neighbours are taken to choose nprobe, and the share of these neighbours to be found.
 PROBE_QUERIES, PROBE_RECALL = 256, 0.95
 COMPRESS_ABOVE, COMPRESS_TO = 200_000, 10_000
@@ -42,46 +42,36 @@ def _candidates(x: np.ndarray, y: np.ndarray, k: int, own: np.ndarray | None = N
 
 def nearest_vectors(queries: DataFrame, index: DataFrame, k: int = 8, without_own: bool = False) -> DataFrame:
     """Exact squared distances to the k nearest of index, ties by id; without_own leaves out the row with the query's own id.
-    Queries are joined in blocks of bounded size with every batch of the index, whose tasks keep k of each query before
-    anything is shuffled."""
-    blocks = queries.select(F.col("vec_id").alias("q"), "vec")
+    Both sides are dealt by hash into blocks of bounded size, and every block of queries meets every block of the index in a
+    task of its own, which keeps k rows a query. Neither side goes through the driver, and the plan is the same at any size."""
+    n_queries, n_index = queries.count(), index.count()
+    width = index.select(F.max(F.size("vec"))).first()[0] or 1
+    q_blocks, i_blocks = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n_index * width // INDEX_VALUES))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(F.col("vec_id").alias("q"), F.col("vec").alias("qv"), block("vec_id", q_blocks).alias("a")).withColumn("b", spread(i_blocks).cast("long"))
+    right = index.select(F.col("vec_id").alias("vec_id"), F.col("vec").alias("vec"), block("vec_id", i_blocks).alias("d")).withColumn("c", spread(q_blocks).cast("long"))
     schema = T.StructType([T.StructField("q", queries.schema["vec_id"].dataType), T.StructField("vec_id", index.schema["vec_id"].dataType), T.StructField("d2", T.DoubleType())])
-    out = None
-    for block in _query_blocks(blocks):
-        ids, x = block
-
-        def run(frames, ids=ids, x=x):
-            best = None
-            for f in frames:
-                y, names = np.stack(f["vec"].to_numpy()).astype("float64"), f["vec_id"].to_numpy()
-                new = [] if best is None else [best]
-                for at in range(0, len(ids), QUERY_ROWS):
-                    own = ids[at : at + QUERY_ROWS, None] == names[None, :] if without_own else None
-                    rows, cols, exact = _candidates(x[at : at + QUERY_ROWS], y, k, own)
-                    new.append(_best(pd.DataFrame({"q": ids[at + rows], "vec_id": names[cols], "d2": exact}), k))
-                best = _best(pd.concat(new), k)
-            if best is not None:
-                yield best
-
-        part = index.select("vec_id", "vec").mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy("d2", "vec_id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
-
 
-def _query_blocks(queries: DataFrame):
-    """The queries as (ids, matrix) of bounded size, read one after the other."""
-    ids, rows = [], []
-    for r in queries.toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) == QUERY_BLOCK:
-            yield np.array(ids), np.array(rows, "float64")
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), np.array(rows, "float64")
+    def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or held.empty:
+            return pd.DataFrame({"q": [], "vec_id": [], "d2": []})
+        ids, names = asked["q"].to_numpy(), held["vec_id"].to_numpy()
+        y, out = np.stack(held["vec"].to_numpy()).astype("float64"), []
+        for at in range(0, len(ids), QUERY_ROWS):
+            some, best = ids[at : at + QUERY_ROWS], []
+            x = np.stack(asked["qv"].iloc[at : at + QUERY_ROWS].to_numpy()).astype("float64")
+            for t in range(0, len(names), TILE_ROWS):
+                tile = names[t : t + TILE_ROWS]
+                own = some[:, None] == tile[None, :] if without_own else None
+                rows, cols, exact = _candidates(x, y[t : t + TILE_ROWS], k, own)
+                best.append(_best(pd.DataFrame({"q": some[rows], "vec_id": tile[cols], "d2": exact}), k))
+            out.append(_best(pd.concat(best), k))
+        return pd.concat(out)
+
+    found = left.groupBy("a", "b").cogroup(right.groupBy("c", "d")).applyInPandas(run, schema)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("d2", "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def cell_count(n: int) -> int:
@@ -95,16 +85,37 @@ def _features(vectors: DataFrame) -> DataFrame:
 
 
 def compress_features(vectors: DataFrame, above: int = COMPRESS_ABOVE, to: int = COMPRESS_TO, seed: int = 1, iterations: int = 20) -> DataFrame:
-    """vectors as they are, or the centres of k-means if there are more than above."""
+    """vectors as they are, or the centres of k-means if there are more than above. Where k-means fails the vectors stay."""
     from pyspark.ml.clustering import KMeans
 
     if vectors.count() <= above:
-        return vectors.select("vec_id", "vec")
-    model = KMeans(k=to, seed=seed, maxIter=iterations, initMode="random").fit(_features(vectors))
+        return vectors.select("vec_id", F.col("vec").cast("array<double>").alias("vec"))
+    try:
+        model = KMeans(k=to, seed=seed, maxIter=iterations, initMode="random").fit(_features(vectors))
+    except Exception:  # too few different vectors, values that aren't numbers: an index of all vectors is as good, only larger
+        return vectors.select("vec_id", F.col("vec").cast("array<double>").alias("vec"))
     rows = [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]  # to rows
     return vectors.sparkSession.createDataFrame(rows, "vec_id long, vec array<double>")
 
 
+#: Fixed value: speakers have ids up to 109.
+MAX_SPEAKERS = 110
+
+
+def by_speaker(vectors: DataFrame, build) -> list[DataFrame]:
+    """What build gives for the vectors of each speaker, as tables with a column speaker: build returns a table or several. A
+    speaker may hold most rows, so each is built by Spark in a job of its own; there are at most MAX_SPEAKERS."""
+    ids = [r[0] for r in vectors.select("speaker").distinct().orderBy("speaker").limit(MAX_SPEAKERS + 1).collect()]
+    if len(ids) > MAX_SPEAKERS:
+        raise ValueError(f"more than {MAX_SPEAKERS} speakers")
+    out = None
+    for i in ids:
+        got = build(vectors.filter(F.col("speaker") == i).drop("speaker"))
+        got = [t.withColumn("speaker", F.lit(i)) for t in (got if isinstance(got, tuple) else (got,))]
+        out = got if out is None else [a.unionByName(b) for a, b in zip(out, got, strict=True)]
+    return out or []
+
+
 def build_ivf(vectors: DataFrame, cells: int | None = None, seed: int = 1, iterations: int = 10) -> tuple[DataFrame, DataFrame]:
     """Centroids (cell, centre) and postings (cell, vec_id, vec): every vector in its nearest cell."""
     from pyspark.ml.clustering import KMeans
@@ -131,13 +142,14 @@ def _d2(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, v: s + v)
 
 
+def nearest_cells(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
+    """(q, cell) of the nprobe cells nearest to each query: an exact search among the centres, in blocks as any other."""
+    return nearest_vectors(queries, centroids.select(F.col("cell").alias("vec_id"), F.col("centre").alias("vec")), nprobe).select("q", F.col("vec_id").alias("cell"))
+
+
 def ivf_search(queries: DataFrame, centroids: DataFrame, postings: DataFrame, k: int = 8, nprobe: int = 1) -> DataFrame:
-    """The k nearest in the nprobe cells nearest to each query. Centroids are at most some 16 * sqrt(n), and broadcast."""
-    c = F.broadcast(centroids.agg(F.collect_list(F.struct("cell", "centre")).alias("_cs")))  # one row
-    q = queries.select(F.col("vec_id").alias("q"), F.col("vec").alias("qv")).join(c)
-    dist = lambda x: F.struct(F.aggregate(F.zip_with("qv", x["centre"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v).alias("d"), x["cell"].alias("cell"))
-    near = F.slice(F.array_sort(F.transform("_cs", dist)), 1, nprobe)
-    probes = q.select("q", "qv", F.explode(F.transform(near, lambda x: x["cell"])).alias("cell"))
+    """The k nearest in the nprobe cells nearest to each query."""
+    probes = nearest_cells(queries, centroids, nprobe).join(queries.select(F.col("vec_id").alias("q"), F.col("vec").alias("qv")), "q")
     t = probes.join(postings.select("cell", "vec_id", "vec"), "cell").withColumn("d2", _d2("qv", "vec"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy("d2", "vec_id"))
     return t.withColumn("rank", rank).filter(F.col("rank") <= k).select("q", "vec_id", "d2", "rank")

@@ -83,13 +83,19 @@ def average_chroma(chroma: DataFrame, key: str = "track_id", vec: str = "chroma"
     return chroma.select(F.col(key).alias("track_id"), F.posexplode(vec).alias("pc", "v")).groupBy("track_id", "pc").agg(F.avg(F.col("v").cast("double")).alias("n"))
 
 
-def track_summary(notes: DataFrame) -> DataFrame:
-    """Number of notes and the lowest and highest with name and frequency."""
+def track_summary(notes: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+    """Number of notes and the lowest and highest with name and frequency; with a profile (see track_profile) also the tuning in
+    cents, the key, and whether and how much the track is on its notes, null for tracks without one."""
     low, high = F.min("pitch"), F.max("pitch")
-    return notes.groupBy("track_id").agg(
+    t = notes.groupBy("track_id").agg(
         F.count("*").alias("n_notes"), low.alias("low"), high.alias("high"), music.note_name(low).alias("low_name"), music.note_name(high).alias("high_name"),
         music.midi_to_hz(low).alias("low_hz"), music.midi_to_hz(high).alias("high_hz"),
     )
+    if profile is None:
+        return t
+    names = F.array(*[F.lit(n) for n in music.NOTE_NAMES])
+    key = F.concat_ws(" ", F.element_at(names, F.col("root") + 1), "mode")
+    return t.join(profile.select("track_id", (F.col("tuning") * 100).alias("tuning_cents"), key.alias("key"), "on_note", "autotuned"), "track_id", "left")
 
 
 def track_profile(frames: DataFrame, cfg: Settings = Settings()) -> DataFrame:
@@ -120,15 +126,16 @@ def preview_prefix(frames: DataFrame, seconds: float = 45, longer_than: float =
     return frames.withColumn("_n", n).filter((F.col("_n") > longer_than * fps) & (F.col("idx") < seconds * fps)).drop("_n")
 
 
-def hmm_inputs(frames: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """Per track the note range and spread that decoding needs: percentiles half a percent from the ends, two wider."""
-    v = frames.filter("voiced")
+def hmm_inputs(frames: DataFrame, cfg: Settings = Settings(), facts: DataFrame | None = None) -> DataFrame:
+    """Per track the note range and spread that decoding needs: percentiles half a percent from the ends, two wider. facts says
+    which tracks are autotuned; without it the frames themselves do."""
     lo, hi = F.percentile("midi", F.lit(0.005)), F.percentile("midi", F.lit(0.995))
-    t = v.groupBy("track_id").agg((F.floor(lo) - 2).alias("lo"), (F.ceil(hi) + 2).alias("hi"), F.avg((F.abs(F.col("midi") - F.rint("midi")) < 0.1).cast("double")).alias("_on"))
-    tuned = F.col("_on") >= cfg.on_note_cut
+    t = frames.filter("voiced").groupBy("track_id").agg((F.floor(lo) - 2).alias("lo"), (F.ceil(hi) + 2).alias("hi"))
+    t = t.join((on_note_ratio(frames, cfg) if facts is None else facts).select("track_id", "autotuned"), "track_id")
+    tuned = F.col("autotuned")
     return t.select(
         "track_id", F.greatest(F.lit(cfg.min_pitch), "lo").cast("int").alias("lo"), F.least(F.lit(cfg.max_pitch), "hi").cast("int").alias("hi"),
-        F.when(tuned, 0.35).otherwise(0.5).alias("sigma"), F.when(tuned, 0.8).otherwise(0.25).alias("penalty"), tuned.alias("autotuned"),
+        F.when(tuned, 0.35).otherwise(0.5).alias("sigma"), F.when(tuned, 0.8).otherwise(0.25).alias("penalty"), "autotuned",
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import catalogue
 from .catalog import Catalog
+from .source_queries import written
 from .testbed import FOLDERS, folders, table
 
 Q = Catalog()
@@ -171,9 +172,12 @@ def u1(spark, sf_dir):
 
 @Q.add("u4_union_feeds", f"WITH {SONGS} SELECT 'library' AS feed, title, artist FROM songs WHERE album = 'en' UNION ALL SELECT 'previews', title, artist FROM songs WHERE album = 'de' UNION ALL SELECT 'free', title, NULL FROM songs WHERE album = 'fr'")
 def u4(spark, sf_dir):
+    """Three feeds, and a fourth that isn't there."""
     s = _songs(spark, sf_dir)
-    pick = lambda lang, *cols: s.filter(F.col("album") == lang).select(*cols)
-    return catalogue.union_feeds("ab", library=pick("en", "title", "artist"), previews=pick("de", "title", "artist"), free=pick("fr", "title")).select("feed", "title", "artist")
+    pick = lambda lang, *cols: lambda q: s.filter(F.col("album") == lang).select(*cols)
+    broken = lambda q: table(spark, sf_dir, "no_such_feed")
+    out, _ = catalogue.union_feeds("ab", lambda t: written(spark, t), library=pick("en", "title", "artist"), broken=broken, previews=pick("de", "title", "artist"), free=pick("fr", "title"))
+    return out.select("feed", "title", "artist")
 
 
 U6 = "CASE WHEN doc_id % 5 = 0 THEN source || '_2' WHEN doc_id % 11 = 0 THEN source || '_4' ELSE source END"

@@ -186,13 +186,16 @@ def j11(spark, sf_dir):
 
 @Q.add("m5_build_ivf")
 def m5(spark, sf_dir):
-    _, postings = vectors.build_ivf(_vectors(spark, sf_dir))
-    return postings.groupBy("cell").agg(F.count("*").alias("n"))
+    """The cell of every vector in its speaker's index."""
+    _, postings = vectors.by_speaker(_vectors(spark, sf_dir), vectors.build_ivf)
+    return postings.select("speaker", "vec_id", "cell")
 
 
 @Q.add("m4_compress_features")
 def m4(spark, sf_dir):
-    return vectors.compress_features(_vectors(spark, sf_dir), above=400, to=50).select("vec_id", F.size("vec").alias("d"))
+    """Speakers of more than 45 vectors are told by 10 centres."""
+    (t,) = vectors.by_speaker(_vectors(spark, sf_dir), lambda v: vectors.compress_features(v, above=45, to=10))
+    return rounded(t.select("speaker", "vec_id", F.size("vec").alias("d"), F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x).alias("length")))
 
 
 @Q.add("j12_ivf_search")

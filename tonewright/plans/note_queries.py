@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, notes as N, voicing, windows
+from ..operators import evaluation, notes as N, transcribe, voicing, windows
 from .catalog import Catalog, rounded
+from .source_queries import written
 from .testbed import EST, FRAMES, NOTES, est_notes, frames, notes
 from .track_queries import MIDI, VOICED
 
@@ -280,3 +281,17 @@ def a13(spark, sf_dir):
 )
 def l4(spark, sf_dir):
     return evaluation.folds(notes(spark, sf_dir))
+
+
+def _sung(spark, sf_dir):
+    return _voiced(spark, sf_dir).drop("midi", "voice_p", "voiced").withColumn("prob", F.col("hf"))
+
+
+@Q.add("q_song_to_notes")
+def song_to_notes(spark, sf_dir):
+    return transcribe.song_to_notes(_sung(spark, sf_dir), store=lambda t, name: written(spark, t)).select("track_id", "start", "end", "pitch", "name", "hz", "cents", "velocity", "confidence")
+
+
+@Q.add("q_song_to_notes_hmm")
+def song_to_notes_hmm(spark, sf_dir):
+    return transcribe.song_to_notes(_sung(spark, sf_dir), method="hmm", store=lambda t, name: written(spark, t)).select("track_id", "start", "end", "pitch", "name", "hz", "cents", "velocity", "confidence")

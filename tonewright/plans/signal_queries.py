@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, learning, signal, windows
+from ..operators import evaluation, learning, signal, transcribe, windows
 from ..streaming import jobs
 from .catalog import Catalog, rounded
-from .source_queries import shared_folder
+from .source_queries import shared_folder, written
 from .testbed import FRAMES, NOTES, SAMPLES, frames, keyed, notes, samples, table, unkeyed
 
 Q = Catalog()
@@ -228,17 +228,24 @@ def _labelled(spark, sf_dir):
     return evaluation.onset_labels(x, n, 1, 10.0)
 
 
+@Q.add("m1_train_onset_model")
+def m1(spark, sf_dir):
+    """The share of each feature in the model of all tracks."""
+    return rounded(spark.createDataFrame(learning.importances(learning.train_onset_model(written(spark, _labelled(spark, sf_dir)))), "feature string, importance double"))
+
+
 @Q.add("m2_score_onsets")
 def m2(spark, sf_dir):
-    t = _labelled(spark, sf_dir).persist()
+    t = written(spark, _labelled(spark, sf_dir))
     model = learning.train_onset_model(t.filter("track_id % 2 = 0"))
     return rounded(learning.score_onsets(model, t.filter("track_id % 2 = 1")))
 
 
 @Q.add("m3_cross_validate")
 def m3(spark, sf_dir):
-    t = _labelled(spark, sf_dir).persist()
-    return rounded(learning.cross_validate(t, evaluation.folds(t.select("track_id"))))
+    n = notes(spark, sf_dir).withColumns({c: F.col(c) / 10 for c in ("start", "end")})
+    out = transcribe.cross_validate(_labelled(spark, sf_dir), frames(spark, sf_dir), n, store=lambda t, name: written(spark, t))
+    return rounded(out)
 
 
 #: Rows in one file of a stream's input.

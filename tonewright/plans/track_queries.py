@@ -160,12 +160,14 @@ def track_profile(spark, sf_dir):
 
 @Q.add(
     "a5_track_summary",
-    f"""WITH {NOTES} SELECT track_id, count(*) AS n_notes, min(pitch) AS low, max(pitch) AS high, ({NAMES})[min(pitch) % 12 + 1] || CAST(min(pitch) // 12 - 1 AS VARCHAR) AS low_name,
-    ({NAMES})[max(pitch) % 12 + 1] || CAST(max(pitch) // 12 - 1 AS VARCHAR) AS high_name, round(440 * pow(2, (min(pitch) - 69)::DOUBLE / 12), 4) AS low_hz, round(440 * pow(2, (max(pitch) - 69)::DOUBLE / 12), 4) AS high_hz
-    FROM notes GROUP BY track_id""",
+    f"""WITH {VOICED}{HIST}{_key_sql('hist')}, {NOTES}, tun AS (SELECT track_id, {TUNING} AS tuning, avg(CAST(abs(midi - round_even(midi, 0)) < 0.1 AS DOUBLE)) AS r FROM fv WHERE voiced GROUP BY track_id),
+    n AS (SELECT track_id, count(*) AS n_notes, min(pitch) AS low, max(pitch) AS high, ({NAMES})[min(pitch) % 12 + 1] || CAST(min(pitch) // 12 - 1 AS VARCHAR) AS low_name,
+      ({NAMES})[max(pitch) % 12 + 1] || CAST(max(pitch) // 12 - 1 AS VARCHAR) AS high_name, round(440 * pow(2, (min(pitch) - 69)::DOUBLE / 12), 4) AS low_hz, round(440 * pow(2, (max(pitch) - 69)::DOUBLE / 12), 4) AS high_hz FROM notes GROUP BY track_id)
+    SELECT n.*, round(100 * tuning, 2) + 0.0 AS tuning_cents, ({NAMES})[root + 1] || ' ' || mode AS key, round(tun.r, 4) AS on_note, tun.r >= 0.55 AS autotuned FROM n LEFT JOIN tun ON tun.track_id = n.track_id LEFT JOIN keys k ON k.track_id = n.track_id""",
 )
 def a5(spark, sf_dir):
-    return rounded(voicing.track_summary(notes(spark, sf_dir)))
+    t = voicing.track_summary(notes(spark, sf_dir), voicing.track_profile(frames(spark, sf_dir)))
+    return rounded(rounded(t, "tuning_cents", digits=2), "low_hz", "high_hz", "on_note")
 
 
 CHROMA = "chroma AS (SELECT label AS track_id, CAST((i - 1) % 12 AS INTEGER) AS pc, sum(CAST(embedding[i] AS DOUBLE)) / count(DISTINCT vec_id) AS n FROM (SELECT label, vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY ALL)"

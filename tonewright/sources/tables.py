@@ -97,10 +97,20 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return t.withColumn("path", F.when(~bad, F.col("path")).otherwise(F.raise_error(F.lit("the manifest has an invalid entry"))))
 
 
-def list_audio_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """path, length and time of the audio files of a folder; their content isn't read."""
+def list_audio_files(spark: SparkSession, folder: str, recursive: bool = False, output: str | None = None, suffix: str = ".json") -> DataFrame:
+    """path, length and time of the audio files of a folder in order of path; their content isn't read. With output, also the
+    place of each file's result there: its folder below folder stays, suffix takes the place of its ending. A folder without
+    audio files fails."""
     t = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder).select("path", "length", "modificationTime")
-    return t.filter(F.lower(F.regexp_extract("path", r"\.[^./]+$", 0)).isin(*AUDIO_EXTENSIONS))
+    t = t.filter(F.lower(F.regexp_extract("path", r"\.[^./]+$", 0)).isin(*AUDIO_EXTENSIONS))
+    if not t.limit(1).count():
+        raise ValueError(f"there are no audio files in {folder}")
+    if output is not None:
+        # Spark gives paths with a scheme, and "file:/x" for "file:///x": what's before the folder's own name is cut off.
+        root = folder.rstrip("/").split("://")[-1].lstrip("/")
+        below = F.expr(f"substring(path, instr(path, '{root}/') + {len(root) + 1})")
+        t = t.withColumn("output", F.concat(F.lit(output.rstrip("/") + "/"), F.regexp_replace(below, r"\.[^./]+$", ""), F.lit(suffix)))
+    return t.orderBy("path")
 
 
 def parse_wav(data: bytes) -> tuple[int, np.ndarray]:
