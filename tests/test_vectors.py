@@ -23,8 +23,11 @@ def brute(queries, rows, k, without_own=False) -> dict:
     return {q: [i for _, i in near(q, x)[:k]] for q, x in queries}
 
 
-@pytest.mark.parametrize("without_own", [False, True])
-def test_nearest_among_copies_in_no_order(spark, without_own):
+@pytest.mark.parametrize(("without_own", "small"), [(False, False), (True, False), (True, True)])
+def test_nearest_among_copies_in_no_order(spark, monkeypatch, without_own, small):
+    if small:  # many blocks and tiles
+        for name, size in (("QUERY_BLOCK", 2), ("INDEX_VALUES", 64 * 150), ("QUERY_ROWS", 1), ("TILE_ROWS", 40)):
+            monkeypatch.setattr(vectors, name, size)
     r = np.random.default_rng(2)
     base = r.normal(size=64)
     copies = [(i, base.tolist()) for i in range(1000)]

@@ -48,9 +48,9 @@ def nearest_vectors(queries: DataFrame, index: DataFrame, k: int = 8, without_ow
     width = index.select(F.max(F.size("vec"))).first()[0] or 1
     q_blocks, i_blocks = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n_index * width // INDEX_VALUES))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(F.col("vec_id").alias("q"), F.col("vec").alias("qv"), block("vec_id", q_blocks).alias("a")).withColumn("b", spread(i_blocks).cast("long"))
-    right = index.select(F.col("vec_id").alias("vec_id"), F.col("vec").alias("vec"), block("vec_id", i_blocks).alias("d")).withColumn("c", spread(q_blocks).cast("long"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = queries.select(F.col("vec_id").alias("q"), F.col("vec").alias("qv"), block("vec_id", q_blocks).alias("a")).withColumn("b", spread(i_blocks))
+    right = index.select(F.col("vec_id").alias("vec_id"), F.col("vec").alias("vec"), block("vec_id", i_blocks).alias("d")).withColumn("c", spread(q_blocks))
     schema = T.StructType([T.StructField("q", queries.schema["vec_id"].dataType), T.StructField("vec_id", index.schema["vec_id"].dataType), T.StructField("d2", T.DoubleType())])
 
     def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
