@@ -128,14 +128,14 @@ def j14(spark, sf_dir):
     return catalogue.choose_index(t, "models/red_widget.pth", 2)
 
 
-SONGS = """songs AS (SELECT doc_id AS path, coalesce(nullif(substr(text, 1, 6), ''), '?') AS title, source AS artist, lang AS album, CASE WHEN n_chars % 5 = 0 THEN NULL ELSE n_chars % 3 END AS duration,
+SONGS = """songs AS (SELECT doc_id AS path, coalesce('Take ' || substr(md5(text), 1, 2), '?') AS title, source AS artist, lang AS album, CASE WHEN n_chars % 5 = 0 THEN NULL ELSE n_chars % 3 END AS duration,
   CASE WHEN doc_id % 4 = 0 THEN '~/Music/a' ELSE '~/Downloads' END AS "where", CAST(doc_id * 7919 % 1000 + 1000 AS VARCHAR) AS added, 'stem' || doc_id % 10 AS stem FROM documents)"""
 
 
 def _songs(spark, sf_dir):
     d = F.col("doc_id")
     return table(spark, sf_dir, "documents").select(
-        d.alias("path"), F.coalesce(F.nullif(F.substring("text", 1, 6), F.lit("")), F.lit("?")).alias("title"), F.col("source").alias("artist"), F.col("lang").alias("album"),
+        d.alias("path"), F.coalesce(F.concat(F.lit("Take "), F.substring(F.md5("text"), 1, 2)), F.lit("?")).alias("title"), F.col("source").alias("artist"), F.col("lang").alias("album"),
         F.when(F.col("n_chars") % 5 == 0, None).otherwise(F.col("n_chars") % 3).alias("duration"), F.when(d % 4 == 0, "~/Music/a").otherwise("~/Downloads").alias("where"),
         (d * 7919 % 1000 + 1000).cast("string").alias("added"), F.concat(F.lit("stem"), (d % 10).cast("string")).alias("stem"),
     )
