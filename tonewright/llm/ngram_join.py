@@ -39,7 +39,8 @@ from .graph import components
 
 #: Shingles of the sets that one task holds, and sets that it compares: beyond either a cluster is split into blocks.
 MAX_BLOCK = 4_000_000
-MAX_SETS = 256
+#: Splitting at a few hundred sets already deals clusters evenly, but pairs of blocks then grow with the square of a cluster.
+MAX_SETS = MAX_BLOCK
 #: Keys that a map task sorts at a time.
 CHUNK_KEYS = 1_000_000
 #: Tables of ids are broadcast up to this many rows (16 to 24 bytes each).
