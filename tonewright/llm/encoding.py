@@ -150,6 +150,45 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
+class PieceEncoder(Encoder):
+    """The same for a sentencepiece file that adds a blank in front of a text and in whose pieces the blank's mark comes before
+    all else, so that a blank after another character begins a piece. Texts are cut there; the blank that a cut takes away
+    is the one that the model adds to a chunk."""
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
+        self.model = SentencePieceProcessor(model_file=path)
+        self.size = self.model.get_piece_size()
+        self.blank = self.model.piece_to_id("\u2581")
+        every = [self.model.id_to_piece(i) for i in range(self.size)]
+        self.known = self.blank != self.model.unk_id() and not any("\u2581" in p.lstrip("\u2581") or CUT in p.strip(CUT) for p in every)
+        self.chunks = pa.array([], pa.string())
+        self.at, self.ids = np.zeros(1, "int32"), np.empty(0, "uint32")
+
+    def _block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not self.known or pc.any(pc.match_substring(texts, CUT)).as_py():
+            lists = self.model.encode(texts.to_pylist(), num_threads=1)
+            return np.fromiter(itertools.chain.from_iterable(lists), "uint32"), np.array(list(map(len, lists)), "int64")
+        lists = pc.split_pattern(pc.replace_substring_regex(texts, "([^ ]) ", rf"\1{CUT}"), CUT)
+        n = np.where(pc.equal(texts, "").to_numpy(zero_copy_only=False), 0, np.diff(lists.offsets.to_numpy()))  # an empty text has no chunk
+        chunks = lists.flatten().filter(pa.array(np.repeat(n > 0, np.diff(lists.offsets.to_numpy()))))
+        coded = chunks.dictionary_encode()
+        places = self._places(coded.dictionary)
+        ids, upto = _gather(self.ids, self.at, places[coded.indices.to_numpy()])
+        return ids, np.diff(upto[np.concatenate([[0], np.cumsum(n)])])
+
+    def _encoded(self, chunks: pa.Array) -> list[list[int]]:
+        """An empty chunk is the blank at the end of a text."""
+        every = chunks.to_pylist()
+        return [ids if c else [self.blank] for c, ids in zip(every, self.model.encode(every, num_threads=1), strict=True)]
+
+
+@functools.cache
+def piece_encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
+
+
 @functools.cache
 def encoder(path: str) -> Encoder:
     """One for each Python worker and file."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import binary_output, exact_dedup, mixing, ngram_join, packing, quality_rules, sharding, token_counts, toxicity, warc
+from . import alignment, binary_output, divergence, exact_dedup, mixing, ngram_join, packing, quality_rules, secrets, sharding, token_counts, toxicity, warc
 from .common import table
 
 #: The operators take the tokenizer's file as a parameter.
@@ -58,11 +58,25 @@ def op10_sharding(spark, sf_dir):
     return sharding.read_back(table(spark, sf_dir, "documents"))
 
 
+def op11_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digests(secrets.find(docs, secrets.train(docs)))
+
+
+def op12_tokenizer_alignment(spark, sf_dir):
+    return alignment.aligned(table(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
+
+
+def op13_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_toxicity, op3_token_counts, op4_quality_rules, op5_warc,
         op6_best_fit_packing, op7_mixing, op8_binary_output, op9_ngram_join, op10_sharding,
+        op11_secrets, op12_tokenizer_alignment, op13_source_divergence,
     )
 }
-SQL = {m.QUERY: m.SQL for m in (exact_dedup, quality_rules, mixing, ngram_join, sharding)}
+SQL = {m.QUERY: m.SQL for m in (exact_dedup, quality_rules, mixing, ngram_join, sharding, divergence)}
