@@ -37,7 +37,7 @@ from .common import packed, recorded, release, stored, text_of
 from .encoding import _byte_letters, _gather, encoder, piece_encoder
 
 #: Bytes of text that are aligned together.
-BLOCK = 3_000_000
+BLOCK = 1_000_000
 MARK = "▁"
 
 
@@ -136,10 +136,10 @@ def align_block(texts: pa.Array, a_path: str, b_path: str) -> dict:
 
 def blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each block of texts: block, ids, n_a, n_b, n_groups and groups_sha256 of its documents, the distinct pairs and
-    their times, and links, the place of each link's pair."""
+    their times, and links, the place of each link's pair (unsigned 32-bit, compressed)."""
     t = packed(docs, _id=id_col, _text=text_of(text_col)).drop("_row")
-    lists = [("ids", t.schema["_id"].dataType), *[(c, T.IntegerType()) for c in ("n_a", "n_b", "n_groups")], ("groups_sha256", T.StringType()), ("pairs", T.LongType()), ("times", T.IntegerType()), ("links", T.IntegerType())]
-    schema = T.StructType([T.StructField("block", T.LongType()), *[T.StructField(n, T.ArrayType(k)) for n, k in lists]])
+    lists = [("ids", t.schema["_id"].dataType), *[(c, T.IntegerType()) for c in ("n_a", "n_b", "n_groups")], ("groups_sha256", T.StringType()), ("pairs", T.LongType()), ("times", T.IntegerType())]
+    schema = T.StructType([T.StructField("block", T.LongType()), *[T.StructField(n, T.ArrayType(k)) for n, k in lists], T.StructField("links", T.BinaryType())])
 
     def run(batches):
         count = itertools.count(TaskContext.get().partitionId() << 32)
@@ -150,9 +150,10 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", te
                 z = max(k + 1, int(np.searchsorted(upto, upto[k] + BLOCK, "right")) - 1)
                 got = align_block(b.column(1).slice(k, z - k), a_path, b_path)
                 pairs, links, times = np.unique(got["pairs"], return_inverse=True, return_counts=True)
-                cols = [b.column(0).slice(k, z - k), *[pa.array(got[c].astype("int32")) for c in ("n_a", "n_b", "n_groups")], pa.array(got["groups_sha256"], pa.string()), pa.array(pairs), pa.array(times.astype("int32")), pa.array(links.astype("int32"))]
+                cols = [b.column(0).slice(k, z - k), *[pa.array(got[c].astype("int32")) for c in ("n_a", "n_b", "n_groups")], pa.array(got["groups_sha256"], pa.string()), pa.array(pairs), pa.array(times.astype("int32"))]
+                small = pa.compress(links.astype("<u4").tobytes(), "zstd", asbytes=True)
                 one = lambda c: pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c)
-                yield pa.RecordBatch.from_arrays([pa.array([next(count)], pa.int64()), *map(one, cols)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array([next(count)], pa.int64()), *map(one, cols), pa.array([small], pa.binary())], names=schema.names)
                 k = z
 
     return t.mapInArrow(run, schema)
@@ -172,17 +173,22 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
         entries = whole.select("block", F.posexplode(F.arrays_zip("pairs", "times")).alias("at", "x")).select("block", "at", "x.pairs", "x.times").withColumnRenamed("pairs", "pair")
         known = pair_counts(entries).select("pair", "n", "best")
         back = entries.join(known, "pair").groupBy("block").agg(F.collect_list(F.struct("at", "n", "best")).alias("known"))
-        kept = stored(whole.drop("pairs", "times").join(back, "block", "left"), "weighed")
-        release(docs.sparkSession, made, kept)
+        out = stored(_figures(whole.drop("pairs", "times").join(back, "block", "left"), id_col), "alignment")
+        release(docs.sparkSession, made, out)
+    return out
 
+
+def _figures(whole: DataFrame, id_col: str) -> DataFrame:
+    """The documents of blocks that come with known, the counts of their pairs."""
     kind = whole.schema["ids"].dataType.elementType
     schema = T.StructType([T.StructField(id_col, kind), *[T.StructField(c, T.LongType()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")], T.StructField("groups_sha256", T.StringType())])
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                b = {c: batch.column(c)[k].values for c in batch.schema.names if c not in ("block", "known")}
-                n_groups, links = b["n_groups"].to_numpy(), b["links"].to_numpy()
+                b = {c: batch.column(c)[k].values for c in batch.schema.names if c not in ("block", "known", "links")}
+                n_groups = b["n_groups"].to_numpy()
+                links = np.frombuffer(pa.decompress(batch.column("links")[k].as_py(), int(n_groups.sum(dtype="int64")) * 4, "zstd", asbytes=True), "<u4")
                 known = batch.column("known")[k].values
                 size = len(known) if known is not None else 0
                 n, best = np.zeros(size, "int64"), np.zeros(size, bool)
@@ -194,7 +200,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
                 figures = [b["n_a"], b["n_b"], b["n_groups"], b["n_groups"], pa.array(total(best)), pa.array(total(n))]
                 yield pa.RecordBatch.from_arrays([b["ids"], *[x.cast(pa.int64()) for x in figures], b["groups_sha256"]], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return whole.mapInArrow(run, schema)
 
 
 QUERY = "op12_tokenizer_alignment"
