@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import dataset, vectors
 from ..sources import tables as S
 from .catalog import Catalog, rounded
+from .source_queries import shared_folder
 from .testbed import FOLDERS, NOTES, SAMPLES, folders, keyed, notes, samples, table, unkeyed
 
 Q = Catalog()
@@ -186,24 +187,36 @@ def j11(spark, sf_dir):
 
 @Q.add("m5_build_ivf")
 def m5(spark, sf_dir):
-    """The cell of every vector in its speaker's index."""
-    _, postings = vectors.by_speaker(_vectors(spark, sf_dir), vectors.build_ivf)
-    return postings.select("speaker", "vec_id", "cell")
+    """The branch and cell of every vector in its speaker's stored index."""
+    return vectors.build_index(_vectors(spark, sf_dir), shared_folder(spark)).postings.select("speaker", "vec_id", "branch", "cell")
 
 
 @Q.add("m4_compress_features")
 def m4(spark, sf_dir):
     """Speakers of more than 45 vectors are told by 10 centres."""
-    (t,) = vectors.by_speaker(_vectors(spark, sf_dir), lambda v: vectors.compress_features(v, above=45, to=10))
+    t = vectors.compress_features(_vectors(spark, sf_dir), shared_folder(spark), above=45, to=10, batch=50, batches=4)
     return rounded(t.select("speaker", "vec_id", F.size("vec").alias("d"), F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x).alias("length")))
 
 
 @Q.add("j12_ivf_search")
 def j12(spark, sf_dir):
+    """Each fiftieth vector in its own speaker's index, stored and opened again, with as many probes as the recall takes."""
+    v, path = _vectors(spark, sf_dir), shared_folder(spark)
+    vectors.build_index(v, path)
+    index, q = vectors.open_index(spark, path, "long", "array<float>"), v.filter("vec_id % 50 = 0")
+    nprobe, nbranch = vectors.choose_probes(q, index)
+    return rounded(vectors.ivf_search(q, index, 8, nprobe, nbranch))
+
+
+@Q.add(
+    "j12_search_every_cell",
+    f"""WITH d AS (SELECT a.label AS speaker, a.vec_id AS q, b.vec_id, {D2} AS d2 FROM embeddings a JOIN embeddings b ON a.label = b.label), r AS (SELECT *, row_number() OVER (PARTITION BY speaker, q ORDER BY d2, vec_id) AS rank FROM d) SELECT speaker, q, vec_id, round(d2, 4) + 0.0 AS d2, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8""",
+)
+def j12_every(spark, sf_dir):
+    """All vectors, in all cells of their speakers' stored indexes: the exact neighbours, in whatever cells they are."""
     v = _vectors(spark, sf_dir)
-    centroids, postings = vectors.build_ivf(v)
-    q = v.filter("vec_id % 50 = 0")
-    return rounded(vectors.ivf_search(q, centroids, postings, nprobe=vectors.choose_nprobe(q, centroids, postings)))
+    index = vectors.build_index(v, shared_folder(spark), cells=5)
+    return rounded(vectors.ivf_search(v, index, 8, 5, 1))
 
 
 @Q.add(
