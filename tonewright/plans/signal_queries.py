@@ -314,9 +314,9 @@ def t3(spark, sf_dir):
     return _run(spark, jobs.drop_repeated(_stream(spark, b), "10 days").select("session", "seq"), "append")
 
 
-def _blocks(spark, sf_dir):
+def _blocks(spark, sf_dir, number: str | None = None):
     e = table(spark, sf_dir, "events")
-    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    seq = F.col(number) if number else F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     x = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.sin(F.col("event_id") * 0.7 + i * 0.9) * F.col("value") / 100)
     return e.select(F.col("user_id").alias("session"), "ts", seq.cast("long").alias("seq"), x.alias("samples"))
 
@@ -335,12 +335,49 @@ def _summed(t):
 )
 def t4(spark, sf_dir):
     """Blocks of 12 values move the ring on by 6 and fill its last 8 places."""
-    return _summed(_run(spark, jobs.pitch_ring(_stream(spark, _blocks(spark, sf_dir)), 32, 6), "append"))
+    return _summed(_run(spark, jobs.pitch_ring(_stream(spark, _blocks(spark, sf_dir)), 32, 6, first=1), "append"))
 
 
 @Q.add("t5_stitch_blocks")
 def t5(spark, sf_dir):
-    return _summed(_run(spark, jobs.stitch_blocks(_stream(spark, _blocks(spark, sf_dir)), 3, 2), "append"))
+    return _summed(_run(spark, jobs.stitch_blocks(_stream(spark, _blocks(spark, sf_dir)), 3, 2, first=1), "append"))
+
+
+#: Each sample of a session with its place, its source and its output, and by hops of 8 the levels of both at the end of four hops.
+LIVE = """e AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_id, value FROM events),
+x AS (SELECT session, seq, (seq - 1) * 12 + i AS p, sin(event_id * 0.7::DOUBLE + i * 0.9::DOUBLE) * value / 100 AS y FROM e, range(0, 12) AS t(i)),
+n AS (SELECT session, max(p) + 1 AS n FROM x GROUP BY session), h AS (SELECT session, p // 8 AS h, avg(y * y) AS ms FROM x GROUP BY ALL HAVING count(*) = 8),
+l AS (SELECT session, h, sqrt(sum(ms) OVER (PARTITION BY session ORDER BY h ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) / 4) AS r FROM h)"""
+
+
+@Q.add(
+    "v15_live_loudness_mix",
+    f"""WITH {LIVE}, g AS (SELECT x.session, x.p, x.seq, 0.5 * x.y AS y, coalesce(b.r, 0) + (a.r - coalesce(b.r, 0)) * (x.p % 8) / 8.0 AS r FROM x JOIN l a ON a.session = x.session AND a.h = x.p // 8 LEFT JOIN l b ON b.session = x.session AND b.h = x.p // 8 - 1)
+    SELECT session, count(*) AS n, round(sum(y * pow(r / greatest(0.5 * r, 1e-3), 0.75)), 3) + 0.0 AS total, round(sum((p % 7 + 1) * y * pow(r / greatest(0.5 * r, 1e-3), 0.75)), 3) + 0.0 AS placed FROM g GROUP BY session""",
+)
+def v15_live(spark, sf_dir):
+    """Blocks of 12 values brought back to the loudness of a source of twice their level, in hops of 8: most blocks end inside a hop."""
+    b = _blocks(spark, sf_dir).withColumnRenamed("samples", "source").withColumn("output", F.transform("source", lambda x: x * 0.5))
+    t = _run(spark, jobs.loudness_mix(_stream(spark, b), 0.25, 8, first=1), "append")
+    # A block gives the hops that it completes: those up to its last sample, after those of the blocks before.
+    first = F.floor((F.col("seq") - 1) * 12 / 8) * 8
+    t = t.withColumn("m", F.transform("samples", lambda x, i: x * (F.pmod(first + i, F.lit(7)) + 1)))
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return rounded(t.groupBy("session").agg(F.sum(F.size("samples")).alias("n"), F.sum(add("samples")).alias("total"), F.sum(add("m")).alias("placed")), digits=3)
+
+
+@Q.add(
+    "t1_muted_blocks",
+    """WITH b AS (SELECT user_id AS session, event_id AS seq, ts, value / 100 AS x, event_id, time_bucket(INTERVAL 1 HOUR, ts) AS h FROM events), s AS (SELECT session, seq, h, i, sin(event_id * 0.7::DOUBLE + i * 0.9::DOUBLE) * x AS y FROM b, range(0, 12) AS t(i)),
+    q AS (SELECT session, h, sum(y * y) AS q, count(*) AS n FROM s GROUP BY ALL), l AS (SELECT a.session, a.h, sum(b.q) / sum(b.n) AS ms FROM q a JOIN q b ON b.session = a.session AND b.h <= a.h AND b.h > a.h - INTERVAL 4 HOUR GROUP BY ALL)
+    SELECT s.session, s.seq, round(sum(CASE WHEN 10 * log10(greatest(ms, 1e-20)) >= -12 THEN abs(y) ELSE 0 END), 4) + 0.0 AS total FROM s JOIN l ON l.session = s.session AND l.h = s.h GROUP BY s.session, s.seq""",
+)
+def t1_muted(spark, sf_dir):
+    """A last row of a session of its own, long after the others, moves the watermark past all windows."""
+    b = _blocks(spark, sf_dir, "event_id")
+    after = b.agg(F.max("ts").alias("ts")).filter("ts is not null").select(F.lit(-1).cast("long").alias("session"), (F.col("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"), F.lit(0).cast("long").alias("seq"), F.array(F.lit(0.0)).alias("samples"))
+    out = _run(spark, jobs.muted_blocks(_stream(spark, b.unionByName(after)), "1 hour", "4 hours", -12.0, "10 days"), "append")
+    return rounded(out.filter("session >= 0").select("session", "seq", F.aggregate("samples", F.lit(0.0), lambda a, x: a + F.abs(x)).alias("total")))
 
 
 @Q.add(

@@ -1,5 +1,5 @@
 """Structured Streaming over live audio blocks (session, seq, ts, samples) and job states. The same functions take a batch
-table, but for the stateful ones, whose batch twins sort a session by seq."""
+table; the stateful ones sort it by seq within a session."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 
 def _marked(t: DataFrame, late: str) -> DataFrame:
@@ -22,6 +23,21 @@ def voice_gate(levels: DataFrame, hop: str, window: str, threshold_db: float, la
     return t.select("session", F.col("window.start").alias("start"), "rms", (F.lit(threshold_db <= -60) | (db >= threshold_db)).alias("open"))
 
 
+def muted_blocks(blocks: DataFrame, hop: str, window: str, threshold_db: float, late: str = "10 seconds") -> DataFrame:
+    """The blocks (session, seq, ts, samples), with zeros where the gate is closed: where the RMS of the samples of the window that
+    ends with a block's hop is below the threshold. In a stream windows and blocks are joined under the watermark by the end
+    of the hop, and a block comes out when its window is complete. A threshold of -60 dB or below lets everything through."""
+    b = _marked(blocks.select("session", "seq", "ts", F.col("samples").cast("array<double>").alias("samples")), late)
+    square = F.aggregate("samples", F.lit(0.0), lambda s, x: s + x * x)
+    level = b.groupBy("session", F.window("ts", window, hop)).agg((F.sum(square) / F.greatest(F.sum(F.size("samples")), F.lit(1))).alias("_ms"))
+    level = level.select(F.col("session").alias("_session"), F.window_time("window").alias("_end"), "_ms")
+    same = F.col("ts") + F.expr("INTERVAL 0 SECONDS")  # a stream has one column of event time: the end of the hop
+    t = b.withColumn("_hop", F.window("ts", hop)).select("session", "seq", same.alias("ts"), "samples", F.window_time("_hop").alias("_at"))
+    t = t.join(level, (t["session"] == level["_session"]) & (t["_at"] == level["_end"]))
+    open_ = F.lit(threshold_db <= -60) | (10 * F.log10(F.greatest("_ms", F.lit(1e-20))) >= threshold_db)
+    return t.select("session", "seq", "ts", F.when(open_, F.col("samples")).otherwise(F.transform("samples", lambda x: F.lit(0.0))).alias("samples"))
+
+
 def block_rms(levels: DataFrame, block: str, late: str = "10 seconds") -> DataFrame:
     """One RMS for every block of time."""
     t = _marked(levels, late).groupBy("session", F.window("ts", block)).agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"), F.count("*").alias("n"))
@@ -82,58 +98,135 @@ def stitch_step(tail: np.ndarray, block: np.ndarray, search: int) -> tuple[np.nd
     return moved[:size], moved[size : size + n]
 
 
-def _stateful(blocks: DataFrame, schema: str, width: int, step, late: str = "10 seconds", idle_ms: int = 60_000) -> DataFrame:
-    """Runs step(state, samples) over the blocks of a session in order of seq. In a stream, blocks that arrive in one batch are
-    put in order, and what comes after a later one is dropped; a session is forgotten when the watermark has left its last block
-    behind by idle."""
+#: Stateful jobs keep their state in this store, which timers and lists of state need.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """Has to be called before a query with a stateful job starts."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
+class _InOrder(StatefulProcessor):
+    """Runs step(state, *arrays) over a session's blocks in order of seq. A block is held until its forerunner has come, or until
+    the watermark passes the block's own time: then nothing before it is still to come, and what's missing is skipped. A
+    session is forgotten when the watermark has left its last block behind by idle_ms."""
+
+    def __init__(self, step, start: list[float], names: list[str], first: int | None, idle_ms: int):
+        self.step, self.start, self.names, self.first, self.idle_ms = step, start, names, first, idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", "next long, last_ms long, kept array<double>")
+        self.held = handle.getListState("held", "seq long, ms long, " + ", ".join(f"{n} array<double>" for n in self.names))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        got = [(int(r.seq), r.ts.value // 1_000_000, *(np.asarray(getattr(r, n), "float64").tolist() for n in self.names)) for f in rows for r in f.itertuples()]
+        yield self._advance(key, got, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._advance(key, [], timerValues)
+
+    def _advance(self, key, got: list[tuple], timers) -> pd.DataFrame:
+        mark, rows = timers.getCurrentWatermarkInMs(), []
+        after, last_ms, kept = self.place.get() if self.place.exists() else (self.first, 0, self.start)
+        last_ms = max([last_ms, *(x[1] for x in got)])
+        waiting = {}  # by seq: of repeats the first
+        for x in [*(self.held.get() if self.held.exists() else []), *sorted(got)]:
+            if after is None or x[0] >= after:
+                waiting.setdefault(int(x[0]), tuple(x))
+        kept = np.array(kept, "float64")
+        for seq in sorted(waiting):
+            if seq != after and waiting[seq][1] > mark:
+                break
+            out, kept = self.step(kept, *(np.asarray(v, "float64") for v in waiting.pop(seq)[2:]))
+            rows.append((key[0], seq, out))
+            after = seq + 1
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if not waiting and mark >= last_ms + self.idle_ms:
+            self.place.clear()
+            self.held.clear()
+        else:
+            self.place.update((after, last_ms, kept.tolist()))
+            if waiting:
+                self.held.put([waiting[k] for k in sorted(waiting)])
+            else:
+                self.held.clear()
+            # The first of those that wait is let go as soon as the watermark reaches it.
+            self.handle.registerTimer(waiting[min(waiting)][1] if waiting else last_ms + self.idle_ms)
+        return pd.DataFrame(rows, columns=["session", "seq", "samples"])
+
+    def close(self) -> None:
+        pass
+
+
+def in_order(blocks: DataFrame, step, start: list[float], names: tuple[str, ...] = ("samples",), late: str = "10 seconds", first: int | None = None, idle_ms: int = 60_000) -> DataFrame:
+    """(session, seq, samples) of step(state, *arrays) -> (output, state) over the blocks (session, seq, ts, names...) of each session
+    in order of seq. A batch is sorted; in a stream blocks may come in any order within late of event time. first is the number
+    that sessions begin with; where it isn't given, a session's first block waits for the watermark."""
+    schema = f"session {blocks.schema['session'].dataType.simpleString()}, seq long, samples array<double>"
     if not blocks.isStreaming:
 
         def whole(g: pd.DataFrame) -> pd.DataFrame:
-            state, rows = np.zeros(width), []
-            for r in g.sort_values("seq").itertuples():
-                out, state = step(state, np.asarray(r.samples, "float64"))
+            state, rows = np.array(start, "float64"), []
+            for r in g.sort_values("seq", kind="stable").drop_duplicates("seq").itertuples():
+                out, state = step(state, *(np.asarray(getattr(r, n), "float64") for n in names))
                 rows.append((r.session, r.seq, out))
             return pd.DataFrame(rows, columns=["session", "seq", "samples"])
 
-        return blocks.select("session", "seq", "samples").groupBy("session").applyInPandas(whole, schema)
+        return blocks.select("session", "seq", *names).groupBy("session").applyInPandas(whole, schema)
+    use_state_store(blocks.sparkSession)
+    t = blocks.select("session", F.col("seq").cast("long").alias("seq"), "ts", *names).withWatermark("ts", late).groupBy("session")
+    return t.transformWithStateInPandas(_InOrder(step, start, list(names), first, idle_ms), schema, "Append", "eventTime")
 
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def some(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, kept = state.get if state.exists else (-1, [0.0] * width)
-        kept, rows = np.array(kept), []
-        got = pd.concat(list(frames)).sort_values("seq")
-        for r in got.itertuples():
-            if r.seq > last:
-                out, kept = step(kept, np.asarray(r.samples, "float64"))
-                rows.append((r.session, r.seq, out))
-                last = r.seq
-        state.update((int(last), kept.tolist()))
-        until = int(got["ts"].max().timestamp() * 1000) + idle_ms
-        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=["session", "seq", "samples"])
 
-    t = blocks.select("session", "seq", "samples", "ts").withWatermark("ts", late).groupBy("session")
-    return t.applyInPandasWithState(some, schema, "last long, kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def pitch_ring(blocks: DataFrame, width: int, hop: int) -> DataFrame:
+def pitch_ring(blocks: DataFrame, width: int, hop: int, **how) -> DataFrame:
     """The ring of the last width values of a session after each block, which moves it on by hop."""
 
     def step(ring, x):
         out = ring_step(ring, x, hop)
         return out, out
 
-    return _stateful(blocks, "session long, seq long, samples array<double>", width, step)
+    return in_order(blocks, step, [0.0] * width, **how)
 
 
-def stitch_blocks(blocks: DataFrame, tail: int, search: int) -> DataFrame:
+def stitch_blocks(blocks: DataFrame, tail: int, search: int, **how) -> DataFrame:
     """Output blocks joined where they fit best."""
 
     def step(kept, x):
         return stitch_step(kept, x, search) if len(x) > tail + search else (x, kept)
 
-    return _stateful(blocks, "session long, seq long, samples array<double>", tail, step)
+    return in_order(blocks, step, [0.0] * tail, **how)
+
+
+#: Hops that a level is taken over, and the least level of the output.
+LEVEL_HOPS, LEVEL_FLOOR = 4, 1e-3
+
+
+def loudness_step(state: np.ndarray, source: np.ndarray, output: np.ndarray, rate: float, hop: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hops of output that are complete with these samples, times (r1 / max(r2, floor)) ** (1 - rate): r1 and r2 are the RMS of
+    source and output over the last four hops, on straight lines from the end of one hop to the end of the next. The state is
+    the mean squares of four hops a side, then what's left of source and of output; before the beginning it's silent."""
+    n = LEVEL_HOPS
+    left = (len(state) - 2 * n) // 2
+    source, output = np.concatenate([state[2 * n : 2 * n + left], source]), np.concatenate([state[2 * n + left :], output])
+    m = len(source) // hop
+    kept, levels = [], []
+    for x, old in ((source, state[:n]), (output, state[n : 2 * n])):
+        squares = np.concatenate([old, (x[: m * hop].reshape(m, hop) ** 2).mean(1)])
+        kept.append(squares[m:])
+        ends = np.sqrt(np.lib.stride_tricks.sliding_window_view(squares, n).mean(1))  # of the hop before and of each hop
+        levels.append(np.interp(np.arange(m * hop) / hop, np.arange(m + 1), ends))
+    out = output[: m * hop] * (levels[0] / np.maximum(levels[1], LEVEL_FLOOR)) ** (1 - rate)
+    return out, np.concatenate([*kept, source[m * hop :], output[m * hop :]])
+
+
+def loudness_mix(blocks: DataFrame, rate: float, hop: int, **how) -> DataFrame:
+    """The output of blocks (session, seq, ts, source, output) brought towards the loudness of their source. Blocks of any lengths
+    give the same sound; an incomplete last hop waits for its rest."""
+
+    def step(state, source, output):
+        return loudness_step(state, source, output, rate, hop)
+
+    return in_order(blocks, step, [0.0] * (2 * LEVEL_HOPS), ("source", "output"), **how)
