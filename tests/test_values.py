@@ -203,28 +203,67 @@ def test_stitched_blocks(spark, sf_dir):
         assert g["n"] == 7 and g["total"] == pytest.approx(sum(out), abs=2e-3) and g["placed"] == pytest.approx(sum(v * (i + 1) for i, v in enumerate(out)), abs=2e-3)
 
 
-def test_vectors_are_in_the_nearest_cell_of_their_speaker(spark, sf_dir):
-    from tonewright.operators import vectors
-
-    v = _vectors(spark, sf_dir)
-    centroids, postings = vectors.by_speaker(v, vectors.build_ivf)
-    cells = {}
-    for r in centroids.collect():
-        cells.setdefault(r["speaker"], {})[r["cell"]] = np.array(r["centre"])
-    every = {r["vec_id"]: (r["speaker"], np.array(r["vec"], "float64")) for r in v.collect()}
-    placed = postings.collect()
-    assert sorted(r["vec_id"] for r in placed) == sorted(every)
-    for r in placed:
-        speaker, x = every[r["vec_id"]]
-        d = {c: ((x - y) ** 2).sum() for c, y in cells[speaker].items()}
-        assert r["speaker"] == speaker and d[r["cell"]] <= min(d.values()) + 1e-9
+def test_vectors_are_told_by_ten_where_there_are_many(spark, sf_dir):
+    sizes = {r["speaker"]: r["count"] for r in _vectors(spark, sf_dir).groupBy("speaker").count().collect()}
     out = registry.QUERIES["m4_compress_features"](spark, sf_dir).groupBy("speaker").count().collect()
-    sizes = {}
-    for s, _ in every.values():
-        sizes[s] = sizes.get(s, 0) + 1
     assert {r["speaker"]: r["count"] for r in out} == {s: 10 if n > 45 else n for s, n in sizes.items()}
-    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(30)], "vec_id long, vec array<double>")
-    assert vectors.compress_features(same.withColumn("vec", F.array(F.lit(float("nan")))), above=10, to=5).count() > 0
+
+
+def denoised(x, n, hop, std, strength, n_freq, n_time):
+    """The whole clip at once: zeros around it, the gate's mask a frequency, smoothed, and back."""
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    wide = np.pad(x, n // 2)
+    at = range(0, len(x) // hop * hop + 1, hop)
+    spec = np.array([np.fft.rfft(wide[a : a + n] * hann) for a in at])
+    db = 20 * np.log10(np.maximum(np.abs(spec), 1e-40))
+    db = np.maximum(db, db.max(0) - 40)
+    mask = db > db.mean(0) + std * (db.std(0, ddof=1) if len(db) > 1 else np.inf)
+    soft, out = strength * (mask - 1.0) + 1, np.zeros_like(db)
+    tri = lambda k: (k[0] + 1 - abs(k[1])) / (k[0] + 1) ** 2
+    for i in range(len(db)):
+        for j in range(db.shape[1]):
+            out[i, j] = sum(tri((n_time, a)) * tri((n_freq, b)) * soft[i + a, j + b] for a in range(-n_time, n_time + 1) for b in range(-n_freq, n_freq + 1) if 0 <= i + a < len(db) and 0 <= j + b < db.shape[1])
+    total, energy = np.zeros(len(wide) + n), np.zeros(len(wide) + n)
+    for a, s in zip(at, spec * out, strict=True):
+        total[a : a + n] += np.fft.irfft(s, n) * hann
+        energy[a : a + n] += hann**2
+    return np.where(energy > 1e-10, total / np.maximum(energy, 1e-10), 0)[n // 2 : n // 2 + len(x)]
+
+
+def test_denoised_sound(spark, sf_dir, arrays):
+    """Chunks against the whole clip; and with nothing masked the sound is what it was."""
+    got = {}
+    for r in registry.QUERIES["v14_denoise"](spark, sf_dir).collect():
+        got.setdefault((r["clip"], r["member"]), {})[r["pos"]] = r["x"]
+    assert set(got) == set(arrays)
+    for key, x in sorted(arrays.items())[::3]:
+        assert np.allclose([got[key][k] for k in range(len(x))], denoised(x, 16, 4, 0.5, 0.9, 1, 2), atol=2e-4)
+
+
+@pytest.mark.parametrize(("length", "chunk", "block"), [(1000, 256, 16), (1024, 128, 8), (70, 64, 4), (40, 64, 64), (1001, 1000, 3)])
+def test_spectra_and_back(spark, length, chunk, block):
+    r = np.random.default_rng(length)
+    x, y = r.normal(size=length), r.normal(size=length + 100)
+    rows = [("c", m, k, k * chunk, s[k * chunk : (k + 1) * chunk].tolist()) for m, s in ((1, x), (2, y)) for k in range(-(-len(s) // chunk))]
+    t = spark.createDataFrame(rows, "clip string, member int, chunk_no int, start long, samples array<double>").repartition(3)
+    whole = lambda df: np.concatenate([np.array(q["samples"]) for q in df.orderBy("start").collect()])
+    if chunk % 16 == 0:
+        assert np.allclose(whole(signal.denoise(t.filter("member = 1"), 64, 16, strength=0.7, std=0.5, n_freq=2, n_time=3, block=block)), denoised(x, 64, 16, 0.5, 0.7, 2, 3), atol=1e-9)
+    if chunk % 32 == 0:
+        mixed = whole(signal.ensemble_fft(t, "avg", {1: 3.0, 2: 1.0}, n=64, hop=32))
+        assert len(mixed) == length and np.allclose(mixed[1:], (0.75 * x + 0.25 * y[:length])[1:], atol=1e-9)
+
+
+def test_loudness_mix_of_any_chunks(spark):
+    """Levels of neighbours alone give what levels of the whole clip do."""
+    r = np.random.default_rng(6)
+    x, y = r.normal(size=500), r.normal(size=500) * np.linspace(0.1, 2, 500)
+    out = []
+    for chunk in (500, 40, 200):
+        table = lambda s: spark.createDataFrame([(1, k, k * chunk, s[k * chunk : (k + 1) * chunk].tolist()) for k in range(-(-500 // chunk))], "clip long, chunk_no int, start long, samples array<double>")  # noqa: B023, E731
+        got = signal.rms_envelope_mix(table(x), table(y), 0.25, 20).orderBy("start").collect()
+        out.append(np.concatenate([q["samples"] for q in got]))
+    assert len(out[0]) == 500 and np.allclose(out[0], out[1], atol=1e-12) and np.allclose(out[0], out[2], atol=1e-12)
 
 
 def test_slides_are_folded_by_pitch(spark, sf_dir):

@@ -32,10 +32,7 @@ def ensemble(preds: DataFrame, algorithm: str = "avg", weights: dict[int, float]
     largest in amount, the first member's of equals."""
     if algorithm not in ENSEMBLES:
         raise ValueError(f"unknown ensemble: {algorithm}")
-    ends = preds.groupBy(key, "member").agg(F.max(F.col("start") + F.size("samples")).alias("_e")).groupBy(key).agg(F.min("_e").alias("_e"))
-    cut = F.slice("samples", 1, F.greatest(F.col("_e") - F.col("start"), F.lit(0)).cast("int"))
-    t = preds.join(ends, key).withColumn("samples", cut.cast("array<double>")).filter(F.size("samples") > 0)
-    t = t.groupBy(key, "chunk_no", "start").agg(F.array_sort(F.collect_list(F.struct("member", "samples"))).alias("_m"))
+    t = _shortest(preds, key).groupBy(key, "chunk_no", "start").agg(F.array_sort(F.collect_list(F.struct("member", "samples"))).alias("_m"))
     values = F.transform("_m", lambda m: m["samples"])
     if algorithm == "avg":
         if weights is not None and abs(sum(weights.values())) < 1e-8:
@@ -52,28 +49,65 @@ def ensemble(preds: DataFrame, algorithm: str = "avg", weights: dict[int, float]
     return t.select(key, "chunk_no", "start", out.alias("samples"))
 
 
+def _shortest(preds: DataFrame, key: str) -> DataFrame:
+    """Chunks of all members cut to the length of the shortest member of their clip."""
+    ends = preds.groupBy(key, "member").agg(F.max(F.col("start") + F.size("samples")).alias("_e")).groupBy(key).agg(F.min("_e").alias("_e"))
+    cut = F.slice("samples", 1, F.greatest(F.col("_e") - F.col("start"), F.lit(0)).cast("int"))
+    return preds.join(ends, key).withColumn("samples", cut.cast("array<double>")).filter(F.size("samples") > 0).drop("_e")
+
+
 def _by_structs(lists: Column, function) -> Column:
     """As _by_place, for arrays of equal lengths."""
     return F.transform(F.element_at(lists, 1), lambda _, i: function(F.transform(lists, lambda x: F.get(x, i))))
 
 
-def stft(x: np.ndarray, n: int = 2048, hop: int = 1024) -> np.ndarray:
-    """[frames, bins] with a Hann window, centred, mirrored at the ends."""
-    pad = n // 2
-    x = np.pad(x, pad, mode="reflect" if len(x) > pad else "constant")
-    frames = np.lib.stride_tricks.sliding_window_view(x, n)[::hop]
-    return np.fft.rfft(frames * np.hanning(n + 1)[:-1], axis=1)
+def _hann(n: int) -> np.ndarray:
+    return np.hanning(n + 1)[:-1]
 
 
-def istft(spec: np.ndarray, hop: int, length: int) -> np.ndarray:
-    n = 2 * (spec.shape[1] - 1)
-    w = np.hanning(n + 1)[:-1]
-    out, norm = np.zeros(n + hop * (len(spec) - 1)), np.zeros(n + hop * (len(spec) - 1))
+def _sound(spec: np.ndarray, n: int, hop: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the frames of a spectrum add to a signal from half a window before the first frame's centre on, and the energy of
+    their windows there: parts of a signal are added up, and divided at the end."""
+    w = _hann(n)
+    size = n + hop * (len(spec) - 1) if len(spec) else 0
+    out, energy = np.zeros(size), np.zeros(size)
     for i, f in enumerate(np.fft.irfft(spec, n, axis=1) * w):
         out[i * hop : i * hop + n] += f
-        norm[i * hop : i * hop + n] += w * w
-    out = np.divide(out, norm, out=np.zeros_like(out), where=norm > 1e-10)[n // 2 :]
-    return np.pad(out, (0, max(0, length - len(out))))[:length]
+        energy[i * hop : i * hop + n] += w * w
+    return out, energy
+
+
+def _parts(no: int, start: int, size: int, half: int, out: np.ndarray, energy: np.ndarray) -> list[tuple]:
+    """(chunk_no, at, own, start, x, energy) of a chunk of size samples and of what goes to its neighbours: at is a place in a
+    chunk, from its end if it's negative."""
+    pad = lambda x: np.pad(x, (0, max(0, size + 2 * half - len(x))))
+    out, energy = pad(out), pad(energy)
+    cut = [(no, 0, True, start, half, half + size), (no - 1, -half, False, 0, 0, half), (no + 1, 0, False, 0, half + size, size + 2 * half)]
+    return [(c, at, own, s, out[a:z], energy[a:z]) for c, at, own, s, a, z in cut if c >= 0]
+
+
+PARTS = "chunk_no int, at long, own boolean, start long, x array<double>, energy array<double>"
+
+
+def _added(parts: DataFrame, key: str) -> DataFrame:
+    """Chunks from the parts of a signal: a chunk's own and its neighbours' ends. What lies beyond a clip has no chunk of its own."""
+    schema = f"{key} {parts.schema[key].dataType.simpleString()}, chunk_no int, start long, samples array<double>"
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        own = g[g["own"]]
+        if own.empty or not len(own["x"].iloc[0]):
+            return pd.DataFrame({key: [], "chunk_no": [], "start": [], "samples": []}, dtype=object)
+        n = len(own["x"].iloc[0])
+        out, energy = np.zeros(n), np.zeros(n)
+        for r in g.sort_values(["own", "at"]).itertuples():
+            at = r.at % n if r.at >= 0 else n + r.at
+            lo, hi = max(0, at), min(n, at + len(r.x))
+            out[lo:hi] += r.x[lo - at : hi - at]
+            energy[lo:hi] += r.energy[lo - at : hi - at]
+        whole = np.divide(out, energy, out=np.zeros(n), where=energy > 1e-10)
+        return pd.DataFrame({key: own[key], "chunk_no": own["chunk_no"], "start": own["start"], "samples": [whole]})
+
+    return parts.groupBy(key, "chunk_no").applyInPandas(run, schema)
 
 
 def combine_spectra(specs: np.ndarray, algorithm: str, weights: np.ndarray | None = None) -> np.ndarray:
@@ -86,16 +120,32 @@ def combine_spectra(specs: np.ndarray, algorithm: str, weights: np.ndarray | Non
     return np.take_along_axis(specs, pick[None], 0)[0]
 
 
-def ensemble_fft(clips: DataFrame, algorithm: str = "avg", n: int = 2048, hop: int = 1024) -> DataFrame:
-    """The same rules on spectra, from (clip, member, samples), back to a signal of the shortest length."""
+def ensemble_fft(preds: DataFrame, algorithm: str = "avg", weights: dict[int, float] | None = None, n: int = 2048, hop: int = 1024, key: str = "clip") -> DataFrame:
+    """The same rules on spectra, from chunks (clip, member, chunk_no, start, samples) back to chunks of a signal of the shortest
+    length. A task has one chunk of all members between the ends of its neighbours; the ends of what it gives are added to the
+    neighbours'. Chunks are whole multiples of hop and at least half of n long, but for the last."""
+    if algorithm not in ENSEMBLES:
+        raise ValueError(f"unknown ensemble: {algorithm}")
+    if algorithm == "avg" and weights is not None and abs(sum(weights.values())) < 1e-8:
+        raise ValueError("weights must not add up to zero")
+    half = n // 2
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("member")
-        short = min(map(len, g["samples"]))
-        specs = np.stack([stft(np.asarray(x[:short], "float64"), n, hop) for x in g["samples"]])
-        return pd.DataFrame({"clip": [g["clip"].iloc[0]], "samples": [istft(combine_spectra(specs, algorithm), hop, short)]})
-
-    return clips.select("clip", "member", "samples").groupBy("clip").applyInPandas(run, "clip long, samples array<double>")
+        one = g.iloc[0]
+        count = len(one["samples"]) // hop + (1 if one["right"] is None else 0)
+        if count == 0:
+            spec = np.empty((0, half + 1), complex)
+        else:
+            wave = [_mirrored(x, l, r, half, "constant") for x, l, r in zip(g["samples"], g["left"], g["right"], strict=True)]
+            specs = np.stack([_spectra(np.lib.stride_tricks.sliding_window_view(x, n)[::hop][:count]) for x in wave])
+            spec = combine_spectra(specs, algorithm, None if weights is None else np.array([weights.get(m, 0.0) for m in g["member"]]))
+        rows = _parts(int(one["chunk_no"]), int(one["start"]), len(one["samples"]), half, *_sound(spec, n, hop))
+        return pd.DataFrame(rows, columns=["chunk_no", "at", "own", "start", "x", "energy"]).assign(**{key: one[key]})
+
+    t = with_context(_shortest(preds, key), half, half, (key, "member")).select(key, "member", "chunk_no", "start", "samples", "left", "right")
+    parts = t.groupBy(key, "chunk_no").applyInPandas(run, f"{PARTS}, {key} {preds.schema[key].dataType.simpleString()}")
+    return _added(parts, key)
 
 
 def overlap_add(chunks: DataFrame, fade: int, block: int) -> DataFrame:
@@ -143,11 +193,12 @@ def destandardise(chunks: DataFrame) -> DataFrame:
 
 
 def normalise_stems(stems: DataFrame, target: float) -> DataFrame:
-    """Arrays (song, stem, samples) with one gain for a song; songs with no finite peak stay."""
-    peak = F.max(F.array_max(F.transform("samples", lambda x: F.abs(x.cast("double"))))).over(Window.partitionBy("song"))
+    """Chunks (song, stem, chunk_no, start, samples) with one gain for a song; songs with no finite peak stay. Only the peak of a
+    chunk goes to its song, and a gain comes back."""
+    peak = stems.select("song", F.array_max(F.transform("samples", lambda x: F.abs(x.cast("double")))).alias("_p")).groupBy("song").agg(F.max("_p").alias("_p"))
     gain = F.when((F.col("_p") > 0) & ~F.isnan("_p") & (F.col("_p") < float("inf")), target / F.col("_p")).otherwise(1.0)
-    t = stems.withColumn("_p", peak)
-    return t.withColumn("samples", F.transform("samples", lambda x: x * gain)).drop("_p")
+    t = stems.join(peak.select(F.col("song").alias("_song"), gain.alias("_gain")), F.col("song").eqNullSafe(F.col("_song")))
+    return t.withColumn("samples", F.transform("samples", lambda x: x * F.col("_gain"))).drop("_gain", "_song")
 
 
 def merge_variants(preds: DataFrame, channels: int = 2) -> DataFrame:
@@ -179,20 +230,21 @@ def residual_stem(mix: DataFrame, stem: DataFrame, key=("clip", "channel", "chun
     return t.withColumn("samples", F.zip_with("samples", "_s", lambda a, b: a - b)).drop("_s")
 
 
-def with_context(chunks: DataFrame, before: int, after: int) -> DataFrame:
-    """chunks (clip, chunk_no, start, samples) with left and right, the ends of their neighbours: a halo for windows that
+def with_context(chunks: DataFrame, before: int, after: int, keys: tuple[str, ...] = ("clip",)) -> DataFrame:
+    """chunks (keys..., chunk_no, start, samples) with left and right, the ends of their neighbours: a halo for windows that
     cross chunks. The ends are taken where the chunks are, and meet their neighbours by the number of the chunk; there is no
     sort of a clip."""
     none = F.expr("cast(array() as array<float>)")
     tail = F.slice("samples", F.greatest(F.size("samples") - before + 1, F.lit(1)), F.lit(before)) if before else none
     head = F.slice("samples", 1, after) if after else none
-    left = chunks.select("clip", (F.col("chunk_no") + 1).alias("chunk_no"), tail.alias("left"))
-    right = chunks.select("clip", (F.col("chunk_no") - 1).alias("chunk_no"), head.alias("right"))
-    return chunks.join(left, ["clip", "chunk_no"], "left").join(right, ["clip", "chunk_no"], "left")
+    left = chunks.select(*keys, (F.col("chunk_no") + 1).alias("chunk_no"), tail.alias("left"))
+    right = chunks.select(*keys, (F.col("chunk_no") - 1).alias("chunk_no"), head.alias("right"))
+    return chunks.join(left, [*keys, "chunk_no"], "left").join(right, [*keys, "chunk_no"], "left")
 
 
-def _mirrored(chunk, left, right, n: int) -> np.ndarray:
-    """A chunk between its neighbours' ends, mirrored where it has none."""
+def _mirrored(chunk, left, right, n: int, short: str = "symmetric", ends: str = "reflect") -> np.ndarray:
+    """A chunk between its neighbours' ends, mirrored where it has none (or with zeros there, if ends is "constant"); short says
+    what becomes of signals that are too short for that."""
     x = np.asarray(chunk, "float64")
     l = np.asarray(left, "float64")[-n:] if left is not None else None
     r = np.asarray(right, "float64")[:n] if right is not None else None
@@ -200,7 +252,8 @@ def _mirrored(chunk, left, right, n: int) -> np.ndarray:
     if len(whole) < 2:
         return np.pad(whole, n)
     need = (n - (len(l) if l is not None else 0), n - (len(r) if r is not None else 0))
-    return np.pad(whole, need, mode="reflect") if max(need) < len(whole) else np.pad(whole, need, mode="symmetric")
+    # The neighbour is the last one if its end is shorter than asked for: what's mirrored is the end of the signal.
+    return np.pad(whole, need, mode=ends if max(need) < len(whole) else "constant" if ends == "constant" else short)
 
 
 def framewise(chunks: DataFrame, function, names: list[str], window: int, hop: int) -> DataFrame:
@@ -303,18 +356,83 @@ def triangle(n: int) -> list[float]:
     return [x / sum(k) for x in k]
 
 
-def smooth_mask(mask: DataFrame, n_freq: int, n_time: int) -> DataFrame:
-    """mask arrays (clip, frame, mask) smoothed by a triangle in time and one in frequency, zeros outside."""
-    w = Window.partitionBy("clip").orderBy("frame")
-    tk, fk = triangle(n_time), triangle(n_freq)
-    t = mask.withColumn("_m", F.lit(None).cast("array<double>"))
-    t = t.withColumns({f"_t{d}": F.lag("mask", d).over(w) if d > 0 else F.lead("mask", -d).over(w) if d < 0 else F.col("mask") for d in range(-n_time, n_time + 1)})
-    value = lambda name, i: F.coalesce(F.get(F.col(name), i).cast("double"), F.lit(0.0))
-    index = F.sequence(F.lit(0), F.size("mask") - 1)
-    total = lambda i: sum((value(f"_t{d}", i) * tk[d + n_time] for d in range(-n_time + 1, n_time + 1)), value(f"_t{-n_time}", i) * tk[0])
-    t = t.withColumn("_m", F.transform(index, total)).drop(*[f"_t{d}" for d in range(-n_time, n_time + 1)])
-    around = lambda i: sum((F.when((i + d >= 0), F.coalesce(F.get("_m", F.greatest(i + d, F.lit(0))), F.lit(0.0))).otherwise(0.0) * fk[d + n_freq] for d in range(-n_freq + 1, n_freq + 1)), F.when(i - n_freq >= 0, F.coalesce(F.get("_m", F.greatest(i - n_freq, F.lit(0))), F.lit(0.0))).otherwise(0.0) * fk[0])
-    return t.withColumn("mask", F.transform(index, around)).drop("_m")
+def _smoothed(mask: np.ndarray, n_freq: int, n_time: int) -> np.ndarray:
+    """[frames, bins] under a triangle in time and one in frequency, zeros outside."""
+    frames, bins = mask.shape
+    padded = np.pad(mask, ((n_time, n_time), (n_freq, n_freq)))
+    t = sum(w * padded[d : d + frames] for d, w in enumerate(triangle(n_time)))
+    return sum(w * t[:, d : d + bins] for d, w in enumerate(triangle(n_freq)))
+
+
+def _in_blocks(frames: DataFrame, block: int, context: int) -> DataFrame:
+    """Frames (clip, frame, ...) dealt to blocks with context frames of the neighbours on both sides; core tells them apart."""
+    b = F.floor(F.col("frame") / block)
+    at = F.col("frame") - b * block
+    near = F.array(b, F.when((at < context) & (b > 0), b - 1), F.when(at >= block - context, b + 1))
+    t = frames.withColumn("_b", b).withColumn("block", F.explode(F.filter(near, lambda x: x.isNotNull())))
+    return t.withColumn("core", F.col("block") == F.col("_b")).drop("_b")
+
+
+def smooth_mask(mask: DataFrame, n_freq: int, n_time: int, strength: float = 1.0, block: int = 512) -> DataFrame:
+    """mask arrays (clip, frame, mask) smoothed by a triangle in time and one in frequency, zeros outside; what's masked is first let
+    through by 1 - strength. A task has a block of frames and n_time frames on either side of it."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        if not g["core"].any():
+            return pd.DataFrame({"clip": [], "frame": [], "mask": []}, dtype=object)
+        g = g.sort_values("frame")
+        out = _smoothed(strength * (np.stack(g["mask"].to_numpy()).astype("float64") - 1) + 1, n_freq, n_time)
+        core = g["core"].to_numpy()
+        return pd.DataFrame({"clip": g["clip"][core], "frame": g["frame"][core], "mask": list(out[core])})
+
+    if not 0 < n_time <= block:
+        raise ValueError("a block must be at least as long as its context")
+    t = _in_blocks(mask.select("clip", F.col("frame").cast("long").alias("frame"), "mask"), block, n_time)
+    kind = mask.schema["clip"].dataType.simpleString()
+    return t.groupBy("clip", "block").applyInPandas(run, f"clip {kind}, frame long, mask array<double>")
+
+
+def spectra(chunks: DataFrame, n: int = 1024, hop: int = 256) -> DataFrame:
+    """(clip, frame, re, im, mag) under a Hann window around every hop, with zeros beyond the ends of a clip."""
+    half = n // 2
+    kind = chunks.schema["clip"].dataType.simpleString()
+
+    def run(frames):
+        for f in frames:
+            for clip, start, samples, left, right in zip(f["clip"], f["start"], f["samples"], f["left"], f["right"], strict=True):
+                count = len(samples) // hop + (1 if right is None else 0)
+                if count:
+                    spec = _spectra(np.lib.stride_tricks.sliding_window_view(_mirrored(samples, left, right, half, ends="constant"), n)[::hop][:count])
+                    yield pd.DataFrame({"clip": clip, "frame": start // hop + np.arange(len(spec)), "re": list(spec.real), "im": list(spec.imag), "mag": list(np.abs(spec))})
+
+    t = with_context(chunks, half, half).select("clip", "start", "samples", "left", "right")
+    return t.mapInPandas(run, f"clip {kind}, frame long, re array<double>, im array<double>, mag array<double>")
+
+
+def denoise(chunks: DataFrame, n: int = 1024, hop: int = 256, std: float = 1.5, strength: float = 1.0, n_freq: int = 1, n_time: int = 1, block: int = 512) -> DataFrame:
+    """Chunks (clip, chunk_no, start, samples) of sound without what stays below the noise gate of its frequency: the gate's mask,
+    softened by strength and smoothed, times the spectrum, and back. Chunks of the result are of block hops. A clip's figures
+    are the gate's two short arrays; every other step has a block of frames and its neighbours' ends. Chunks are whole
+    multiples of hop and at least half of n long, but for the last; so are blocks."""
+    half, size = n // 2, block * hop
+    if size < half or not 0 < n_time <= block:
+        raise ValueError("a block must be at least half a window, and its context, long")
+    kind = chunks.schema["clip"].dataType.simpleString()
+    total = chunks.groupBy("clip").agg(F.sum(F.size("samples")).alias("total"))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        columns = ["chunk_no", "at", "own", "start", "x", "energy"]
+        if not g["core"].any():
+            return pd.DataFrame([], columns=[*columns, "clip"], dtype=object)
+        g = g.sort_values("frame")
+        core, no = g["core"].to_numpy(), int(g["block"].iloc[0])
+        mask = _smoothed(strength * (np.stack(g["mask"].to_numpy()).astype("float64") - 1) + 1, n_freq, n_time)[core]
+        spec = (np.stack(g["re"][core].to_numpy()) + 1j * np.stack(g["im"][core].to_numpy())) * mask
+        own = max(0, min(size, int(g["total"].iloc[0]) - no * size))
+        return pd.DataFrame(_parts(no, no * size, own, half, *_sound(spec, n, hop)), columns=columns).assign(clip=g["clip"].iloc[0])
+
+    gated = noise_gate(spectra(chunks, n, hop), std).drop("mag").join(total, "clip")
+    return _added(_in_blocks(gated, block, n_time).groupBy("clip", "block").applyInPandas(run, f"{PARTS}, clip {kind}"), "clip")
 
 
 def rms_envelope_mix(source: DataFrame, output: DataFrame, rate: float, block: int, floor: float = 1e-6) -> DataFrame:
@@ -325,39 +443,59 @@ def rms_envelope_mix(source: DataFrame, output: DataFrame, rate: float, block: i
     def levels(t: DataFrame, name: str) -> DataFrame:
         return framewise(t, lambda w: [np.sqrt((w.astype("float64") ** 2).mean(1))], [name], 2 * block, block)
 
-    both = levels(source, "r1").join(levels(output, "r2"), ["clip", "frame"])
-    per = both.groupBy("clip", F.lit(0).alias("_z")).agg(F.array_sort(F.collect_list(F.struct("frame", "r1", "r2"))).alias("_l")).drop("_z")  # two figures for every block of a clip
+    facts = output.groupBy("clip").agg(F.sum(F.size("samples")).alias("_total"), F.max(F.size("samples")).alias("_size"))
+    both = levels(source, "r1").join(levels(output, "r2"), ["clip", "frame"]).join(facts, "clip")
+    # A level is used by the samples between its neighbours: by those of a chunk or two.
+    step = F.col("_total") / (F.floor(F.col("_total") / block) + 1)
+    low, high = (F.col("frame") - 0.5) * step - 1, (F.col("frame") + 1.5) * step
+    chunk = lambda p: F.floor(F.greatest(F.lit(0.0), F.least(p, F.col("_total") - 1.0)) / F.col("_size")).cast("int")
+    per = both.select("clip", "_total", "frame", "r1", "r2", F.explode(F.sequence(chunk(low), chunk(high))).alias("chunk_no"))
+    per = per.groupBy("clip", "chunk_no").agg(F.first("_total").alias("_total"), F.array_sort(F.collect_list(F.struct("frame", "r1", "r2"))).alias("_l"))
 
     def run(frames):
         for f in frames:
             for clip, no, start, samples, total, l in zip(f["clip"], f["chunk_no"], f["start"], f["samples"], f["_total"], f["_l"], strict=True):
                 x = np.asarray(samples, "float64")
-                r1, r2 = np.array([v["r1"] for v in l]), np.array([v["r2"] for v in l])
-                at = (np.arange(start, start + len(x)) + 0.5) * len(l) / total - 0.5
-                at = np.clip(at, 0, len(l) - 1)
-                a, b = np.interp(at, np.arange(len(l)), r1), np.maximum(np.interp(at, np.arange(len(l)), r2), floor)
+                count = total // block + 1
+                r1, r2, no_of = (np.array([v[c] for v in l]) for c in ("r1", "r2", "frame"))
+                at = np.clip((np.arange(start, start + len(x)) + 0.5) * count / total - 0.5, 0, count - 1)
+                a, b = np.interp(at, no_of, r1), np.maximum(np.interp(at, no_of, r2), floor)
                 yield pd.DataFrame({"clip": [clip], "chunk_no": [no], "start": [start], "samples": [x * a ** (1 - rate) * b ** (rate - 1)]})
 
-    t = output.withColumn("_total", F.sum(F.size("samples")).over(Window.partitionBy("clip"))).join(per, "clip")
+    t = output.withColumn("chunk_no", F.col("chunk_no").cast("int")).join(per, ["clip", "chunk_no"])
     return t.select("clip", "chunk_no", "start", "samples", "_total", "_l").mapInPandas(run, "clip long, chunk_no int, start long, samples array<double>")
 
 
-def window_with_context(frames: DataFrame, block: int = 2048, context: int = 128, key: str = "track_id", pos: str = "idx") -> DataFrame:
+def window_with_context(frames: DataFrame, block: int = 2048, context: int = 128, key: str = "track_id", pos: str = "idx", pad: dict[str, float] | None = None) -> DataFrame:
     """Frames dealt to blocks with context frames on both sides (core tells them apart): border frames become two rows, so no
-    block needs another one."""
+    block needs another one. With pad, a value for each other column, every block is whole: it has rows for its places outside
+    of the track too, which aren't core."""
     b = F.floor(F.col(pos) / block)
     at = F.col(pos) - b * block
     blocks = F.filter(F.array(b, F.when((at < context) & (b > 0), b - 1), F.when(at >= block - context, b + 1)), lambda x: x.isNotNull())
-    t = frames.withColumn("_b", b).withColumn("block", F.explode(blocks))
     # A last block that would hold context alone isn't one.
-    last = F.max("_b").over(Window.partitionBy(key))
-    return t.withColumn("_last", last).filter(F.col("block") <= F.col("_last")).withColumn("core", F.col("block") == F.col("_b")).drop("_b", "_last")
+    ends = frames.groupBy(key).agg(F.max(pos).alias("_n")).withColumn("_last", F.floor(F.col("_n") / block))
+    t = frames.withColumn("_b", b).withColumn("block", F.explode(blocks)).join(ends.drop("_n"), key)
+    t = t.filter(F.col("block") <= F.col("_last")).withColumn("core", F.col("block") == F.col("_b")).drop("_b", "_last")
+    if pad is None:
+        return t
+    edge = F.array_distinct(F.filter(F.array(F.lit(0).cast("long"), F.col("_last") - 1, F.col("_last")), lambda x: x >= 0))
+    places = F.filter(F.sequence(F.col("block") * block - context, (F.col("block") + 1) * block + context - 1), lambda p: (p < 0) | (p > F.col("_n")))
+    outside = ends.withColumn("block", F.explode(edge)).withColumn(pos, F.explode(F.transform(places, lambda p: p.cast(frames.schema[pos].dataType))))
+    outside = outside.withColumns({c: F.lit(v).cast(frames.schema[c].dataType) for c, v in pad.items()}).withColumn("core", F.lit(False))
+    return t.unionByName(outside.drop("_n", "_last"), allowMissingColumns=True)
 
 
 def half_overlapping(frames: DataFrame, size: int, key: str = "track_id", pos: str = "idx") -> DataFrame:
-    """Frames dealt to segments that overlap by half (segment); core marks the middle half of each."""
+    """Frames dealt to segments that overlap by half (segment); core marks the middle half of each, and the first quarter of the
+    first: every frame is core in one segment."""
     half = size // 2
     k = F.floor(F.col(pos) / half)
     t = frames.withColumn("segment", F.explode(F.array_distinct(F.array(F.greatest(k - 1, F.lit(0)), k))))
     at = F.col(pos) - F.col("segment") * half
     return t.withColumn("core", (at >= half // 2) & (at < size - half // 2) | (F.col("segment") == 0) & (at < half // 2))
+
+
+def without_context(windows: DataFrame) -> DataFrame:
+    """The frames of blocks or segments put together again: each once, from the one where it's core. A narrow step."""
+    return windows.filter("core").drop("core", "block", "segment")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,20 +166,33 @@ def moving_mean_gate(frames: DataFrame, value: str, size: int = 20) -> DataFrame
     return frames.withColumn("gate", 1 / (1 + F.exp(-(ratio - 1.3) / 0.1)))
 
 
-def quiet_cut_points(signal: DataFrame, centre: int, query: int, window: int, longest: int) -> DataFrame:
-    """For clips longer than longest, near every multiple of centre, the first position within query of it where the sum
-    of window absolute values around it is least; the signal is mirrored at its ends."""
-    w = Window.partitionBy("clip").orderBy("pos")
+def quiet_cut_points(chunks: DataFrame, centre: int, query: int, window: int, longest: int) -> DataFrame:
+    """For clips (clip, chunk_no, start, samples) longer than longest, near every multiple of centre, the first position within
+    query of it where the sum of window absolute values around it is least; the signal is mirrored at its ends. A chunk gives
+    its best place for each centre that it's near, so what meets in a clip is a few rows a centre. Chunks are at least half a
+    window long, but for the last."""
+    from .signal import _mirrored, with_context
+
     half = window // 2
-    n = F.max("pos").over(Window.partitionBy("clip")) + 1
-    t = signal.withColumns({"_n": n, "_x": F.abs("x")}).filter(F.col("_n") > longest)
-    left = t.filter((F.col("pos") >= 1) & (F.col("pos") <= half)).withColumn("pos", -F.col("pos"))
-    right = t.filter((F.col("pos") >= F.col("_n") - half) & (F.col("pos") <= F.col("_n") - 2)).withColumn("pos", 2 * (F.col("_n") - 1) - F.col("pos"))
-    both = t.unionByName(left).unionByName(right).withColumn("_s", F.sum("_x").over(w.rowsBetween(-half, half - 1)))
-    both = both.filter((F.col("pos") >= 0) & (F.col("pos") < F.col("_n")))
-    k = F.floor(F.col("pos") / centre)
-    near = both.withColumn("at", F.explode(F.array(k * centre, (k + 1) * centre))).filter((F.col("at") >= centre) & (F.col("at") < F.col("_n")) & (F.col("pos") >= F.col("at") - query) & (F.col("pos") < F.col("at") + query))
-    return near.groupBy("clip", "at").agg(F.min_by("pos", F.struct(F.bround("_s", 9), "pos")).alias("cut"))
+    lengths = chunks.groupBy("clip").agg(F.sum(F.size("samples")).alias("n")).filter(F.col("n") > longest)
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for clip, start, n, samples, left, right in zip(f["clip"], f["start"], f["n"], f["samples"], f["left"], f["right"], strict=True):
+                x = np.abs(_mirrored(samples, left, right, half))
+                sums = np.round(np.lib.stride_tricks.sliding_window_view(x, window).sum(1)[: len(samples)], 9)
+                for at in range(max(centre, (start - query) // centre * centre), min(n, start + len(samples) + query + 1), centre):
+                    a, z = max(0, at - query - start), min(len(samples), at + query - start)
+                    if a < z:
+                        k = a + int(sums[a:z].argmin())
+                        rows.append((clip, at, sums[k], start + k))
+            yield pd.DataFrame(rows, columns=["clip", "at", "s", "pos"])
+
+    kind = chunks.schema["clip"].dataType.simpleString()
+    t = with_context(chunks, half, half).join(lengths, "clip").select("clip", "start", "n", "samples", "left", "right")
+    best = t.mapInPandas(run, f"clip {kind}, at long, s double, pos long")
+    return best.groupBy("clip", "at").agg(F.min_by("pos", F.struct("s", "pos")).alias("cut"))
 
 
 def mask_long_runs(mask: DataFrame, threshold: float = 0.01, longest: int = 64, fade: int = 32) -> DataFrame:

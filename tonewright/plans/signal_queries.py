@@ -49,13 +49,9 @@ def a15_max(spark, sf_dir):
     return rounded(_flat(signal.ensemble(_pieces(spark, sf_dir), "max"), "clip"))
 
 
-def _members(spark, sf_dir):
-    return samples(spark, sf_dir).groupBy("clip", "member").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda v: v["x"]).alias("samples"))
-
-
 @Q.add("a16_ensemble_fft")
 def a16(spark, sf_dir):
-    return rounded(signal.ensemble_fft(_members(spark, sf_dir), "max", 32, 16).select("clip", F.posexplode("samples").alias("pos", "x")))
+    return rounded(_flat(signal.ensemble_fft(_pieces(spark, sf_dir), "max", n=32, hop=16), "clip"))
 
 
 CHUNKS = """chunks AS (SELECT clip, member, CAST(k AS INTEGER) AS chunk_no, CAST(k * 12 AS BIGINT) AS "start", list(x ORDER BY pos) AS xs FROM samples JOIN (SELECT unnest(range(0, (SELECT max(pos) // 12 + 1 FROM samples))) AS k) ON pos >= k * 12 AND pos < k * 12 + 16 GROUP BY ALL)"""
@@ -99,8 +95,8 @@ def a18_back(spark, sf_dir):
 
 @Q.add("a19_normalise_stems", f"WITH {SAMPLES}, p AS (SELECT *, max(abs(x)) OVER (PARTITION BY clip) AS p FROM samples) SELECT clip AS song, member AS stem, round(sum(abs(CASE WHEN p > 0 THEN x * (0.8::DOUBLE / p) ELSE x END)), 3) AS total FROM p GROUP BY ALL")
 def a19(spark, sf_dir):
-    t = signal.normalise_stems(_members(spark, sf_dir).select(F.col("clip").alias("song"), F.col("member").alias("stem"), "samples"), 0.8)
-    return t.select("song", "stem", F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + F.abs(x)), 3).alias("total"))
+    t = signal.normalise_stems(_pieces(spark, sf_dir).withColumnsRenamed({"clip": "song", "member": "stem"}), 0.8)
+    return rounded(t.groupBy("song", "stem").agg(F.sum(F.aggregate("samples", F.lit(0.0), lambda a, x: a + F.abs(x))).alias("total")), digits=3)
 
 
 VARIANT = "CASE (member - 1) // 2 WHEN 0 THEN 'plain' WHEN 1 THEN 'swapped' ELSE 'flipped' END"
@@ -207,6 +203,30 @@ def v16(spark, sf_dir):
     return signal.window_with_context(frames(spark, sf_dir), 16, 3).select("track_id", "block", "idx", "core")
 
 
+@Q.add(
+    "v16_padded_windows",
+    f"""WITH {FRAMES}, n AS (SELECT track_id, max(idx) AS n FROM frames GROUP BY track_id), w AS (SELECT track_id, n, CAST(b AS BIGINT) AS block, CAST(p AS INTEGER) AS idx FROM n, range(0, 20000) AS t(b), range(b * 16 - 3, (b + 1) * 16 + 3) AS u(p) WHERE b <= n // 16)
+    SELECT w.track_id, block, w.idx, f.idx IS NOT NULL AND w.idx // 16 = block AND w.idx >= 0 AS core, round(coalesce(f.flux, -11.5129), 4) + 0.0 AS flux FROM w LEFT JOIN frames f ON f.track_id = w.track_id AND f.idx = w.idx""",
+)
+def v16_padded(spark, sf_dir):
+    return rounded(signal.window_with_context(frames(spark, sf_dir).select("track_id", "idx", "flux"), 16, 3, pad={"flux": -11.5129}).select("track_id", "block", "idx", "core", "flux"))
+
+
+@Q.add("v16_put_together", f"WITH {FRAMES} SELECT track_id, idx, round(flux, 4) + 0.0 AS flux, k AS variant FROM frames, (VALUES (1), (2)) AS v(k)")
+def v16_together(spark, sf_dir):
+    """Blocks with context, and half-overlapping segments, back to the frames that they were dealt from."""
+    f = frames(spark, sf_dir).select("track_id", "idx", "flux")
+    one, two = signal.window_with_context(f, 16, 3, pad={"flux": -11.5129}), signal.half_overlapping(f, 16)
+    return rounded(signal.without_context(one).withColumn("variant", F.lit(1)).unionByName(signal.without_context(two).withColumn("variant", F.lit(2))))
+
+
+@Q.add("v14_denoise")
+def v14_denoise(spark, sf_dir):
+    """All members of all clips without what their gates mask by nine tenths, back as sound."""
+    t = signal.denoise(_chunks(spark, sf_dir), 16, 4, 0.5, 0.9, 1, 2, 8)
+    return rounded(unkeyed(_flat(t, "clip")))
+
+
 @Q.add("v16_half_overlapping", f"""WITH {FRAMES} SELECT track_id, CAST(s AS BIGINT) AS segment, idx, (idx - s * 8 >= 4 AND idx - s * 8 < 12) OR (s = 0 AND idx < 4) AS core FROM frames, range(0, 20) AS t(s) WHERE idx >= s * 8 AND idx < s * 8 + 16""")
 def v16_half(spark, sf_dir):
     return signal.half_overlapping(frames(spark, sf_dir), 16).select("track_id", "segment", "idx", "core")
@@ -218,7 +238,7 @@ def v16_half(spark, sf_dir):
     s AS (SELECT clip, member, spot, pos, round_even(list_sum(list_transform(range(pos - 4, pos + 4), lambda q: xs[CASE WHEN q < 0 THEN -q WHEN q >= n THEN 2 * (n - 1) - q ELSE q END + 1])), 9) AS s FROM p) SELECT clip, member, spot AS "at", arg_min(pos, (s, pos)) AS cut FROM s GROUP BY ALL""",
 )
 def w16(spark, sf_dir):
-    return unkeyed(windows.quiet_cut_points(keyed(samples(spark, sf_dir)).select("clip", "pos", "x"), 20, 6, 8, 40))
+    return unkeyed(windows.quiet_cut_points(_chunks(spark, sf_dir), 20, 6, 8, 40))
 
 
 def _labelled(spark, sf_dir):
