@@ -42,6 +42,31 @@ def browse(songs: DataFrame, query: str, limit: int = 400, recent: str = "added"
     return found.orderBy("rank", F.col(recent).desc(), tie).limit(limit), found.agg(F.count("*").alias("total"))
 
 
+def build_trigrams(songs: DataFrame, path: str, key: str = "path", text: Sequence[str] = ("title", "artist", "album", "stem")) -> None:
+    """Stores a row (gram, key) for every three characters that a song's text has, in order of gram: a search for some reads the
+    parts of files that have them. A gram of most songs is in many files."""
+    hay = F.lower(F.concat_ws(" ", *text))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(hay) - 2, F.lit(1))), lambda i: F.substr(hay, i, F.lit(3))))
+    t = songs.select(F.explode(grams).alias("gram"), F.col(key).alias("key")).filter(F.length("gram") == 3)
+    t.repartitionByRange("gram", "key").sortWithinPartitions("gram", "key").write.parquet(path)
+
+
+def candidates(index: DataFrame, query: str) -> DataFrame | None:
+    """Keys of the songs that have all trigrams of the query's words, from an index of build_trigrams(); None if the words are too
+    short to have any."""
+    grams = sorted({w[i : i + 3] for w in query.lower().split() for i in range(len(w) - 2)})
+    if not grams:
+        return None
+    return index.filter(F.col("gram").isin(grams)).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") == len(grams)).select("key")
+
+
+def browse_indexed(songs: DataFrame, index: DataFrame, query: str, limit: int = 400, key: str = "path", **how) -> tuple[DataFrame, DataFrame]:
+    """As browse(), which then looks at the songs alone that the index has for the query's words."""
+    found = candidates(index, query)
+    some = songs if found is None else songs.join(found.withColumnRenamed("key", key), key, "left_semi")
+    return browse(some, query, limit, tie=key, **how)
+
+
 def priority_union(*sources: DataFrame, key: str = "stem", value: str = "path") -> DataFrame:
     """One value for each key: earlier sources win, inside one the last value in order wins."""
     both = None

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import shuffle_key, shuffled_places
 from . import decoding
 
 
@@ -31,11 +32,13 @@ def attach_speaker(clips: DataFrame, manifest: DataFrame, whole_first: bool = Fa
     if not whole_first:
         return clips.withColumn("output_key", short).join(manifest, "output_key")
     m = manifest.withColumnRenamed("output_key", "_k")
-    keys = F.array_distinct(F.array(F.struct(F.lit(0).alias("p"), F.col(key).alias("k")), F.struct(F.lit(1).alias("p"), short.alias("k"))))
-    t = clips.select("*", F.inline(keys)).join(m, F.col("k") == F.col("_k"))
+    # What a name is matched with is settled once a name, then joined to all rows that have it.
+    names = clips.select(F.col(key).alias("_name")).distinct()
+    keys = F.array_distinct(F.array(F.struct(F.lit(0).alias("p"), F.col("_name").alias("k")), F.struct(F.lit(1).alias("p"), F.regexp_replace("_name", "_[^_]*$", "").alias("k"))))
+    t = names.select("_name", F.inline(keys)).join(m, F.col("k") == F.col("_k"))
     values = [c for c in manifest.columns if c != "output_key"]
-    best = t.groupBy(*clips.columns).agg(F.min_by(F.struct(F.col("k").alias("output_key"), *values), "p").alias("_m"))
-    return best.select(*clips.columns, "_m.*")
+    best = t.groupBy("_name").agg(F.min_by(F.struct(F.col("k").alias("output_key"), *values), "p").alias("_m"))
+    return clips.join(best, F.col(key) == F.col("_name")).select(*[clips[c] for c in clips.columns], "_m.*")
 
 
 def drop_bad_vectors(vectors: DataFrame, key: str = "clip", vec: str = "vec") -> DataFrame:
@@ -66,8 +69,9 @@ def add_silence_rows(rows: DataFrame, silence: Column, speaker: str = "speaker_i
     return rows.unionByName(people.select(speaker, silence.alias("line")))
 
 
-def filelist_line(*fields: str) -> Column:
-    return F.concat_ws("|", *[F.col(f).cast("string") for f in fields])
+def filelist_line(*fields: Column, name: Column | None = None) -> Column:
+    """Fields between bars, each in its place: a null one is empty. Only a last one, name, is left out where it's null."""
+    return F.concat_ws("|", *[F.coalesce(f.cast("string"), F.lit("")) for f in fields], *([] if name is None else [name.cast("string")]))
 
 
 def key_sets_equal(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -78,8 +82,8 @@ def key_sets_equal(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
-    """An order that looks random and is the same in every run."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key)
+    """rows with their place in an order that looks random and is the same in every run, in that order."""
+    return shuffled_places(rows, key, seed).drop("size").orderBy("place")
 
 
 def length_buckets(rows: DataFrame, length: str, bounds: Sequence[int]) -> DataFrame:
@@ -90,27 +94,17 @@ def length_buckets(rows: DataFrame, length: str, bounds: Sequence[int]) -> DataF
     return rows.withColumn("bucket", bucket).filter("bucket is not null")
 
 
-def pad_and_batch(rows: DataFrame, key: str, batch: int, replicas: int, seed: int, spread: int = 64) -> DataFrame:
+def pad_and_batch(rows: DataFrame, key: str, batch: int, replicas: int, seed: int) -> DataFrame:
     """Places of rows (with bucket) in batches: each bucket shuffled, filled up to a multiple of batch * replicas by going
-    round, dealt to replicas by turns, cut into batches in a shuffled order.
-
-    Positions in a bucket are made in two levels, over spread ranges of the shuffle hash and within them, so a bucket is
-    never sorted in one task."""
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    t = rows.withColumn("_h", h).withColumn("_s", F.floor((F.col("_h") / 2.0**64 + 0.5) * spread))
-    counts = t.groupBy("bucket", "_s").agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy("bucket").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("bucket", "_s", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"), F.sum("_n").over(Window.partitionBy("bucket")).alias("size"))
-    nth = F.row_number().over(Window.partitionBy("bucket", "_s").orderBy("_h", key)) - 1
-    t = t.withColumn("_i", nth).join(F.broadcast(counts), ["bucket", "_s"]).withColumn("_i", F.col("_i") + F.col("_base"))
+    round (turn), dealt to replicas by turns, cut into batches in a shuffled order."""
+    t = shuffled_places(rows, key, seed, ("bucket",), "_i")
     group = batch * replicas
     full = F.ceil(F.col("size") / group) * group
     turns = F.explode(F.sequence(F.lit(0), F.floor((full - 1 - F.col("_i")) / F.col("size"))))
-    t = t.withColumn("_turn", turns).withColumn("_pos", F.col("_i") + F.col("_turn") * F.col("size"))
+    t = t.withColumn("turn", turns).withColumn("_pos", F.col("_i") + F.col("turn") * F.col("size"))
     t = t.withColumns({"replica": F.pmod("_pos", F.lit(replicas)), "_q": F.floor(F.col("_pos") / replicas)})
     t = t.withColumns({"batch_in_bucket": F.floor(F.col("_q") / batch), "slot": F.pmod("_q", F.lit(batch))})
-    order = F.xxhash64("bucket", "batch_in_bucket", F.lit(seed + 1))
-    return t.withColumn("batch_order", order).drop("_h", "_s", "_i", "_base", "_turn", "_pos", "_q")
+    return t.withColumn("batch_order", shuffle_key("bucket", "batch_in_bucket", seed=seed + 1)).drop("_i", "_pos", "_q")
 
 
 def pad_collate(rows: DataFrame, batch: str, samples: str, key: str) -> DataFrame:
@@ -168,7 +162,3 @@ def protect_mix(rows: DataFrame, feats: str, orig: str, pitch: str, p: float) ->
         return rows
     w = F.when(F.col(pitch) > 0, 1.0).when(F.col(pitch) < 1, p).otherwise(F.col(pitch).cast("double"))
     return rows.withColumn(feats, F.zip_with(feats, orig, lambda a, b: a * w + b * (1 - w)))
-
-
-def filelist_line_of(*parts) -> Column:
-    return F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import ordered_places
 from ..functions import music
 from . import decoding
 
@@ -116,8 +117,8 @@ def choose_threshold(grid: DataFrame) -> DataFrame:
 
 def folds(tracks: DataFrame, k: int = 5, inner: int = 4, key: str = "track_id") -> DataFrame:
     """fold of each track by its position; and for every outer fold the inner fold of each track left."""
-    t = tracks.select(key).distinct().withColumn("_p", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)) - 1)  # one row a track
-    t = t.withColumn("fold", F.pmod("_p", F.lit(k)))
+    t = ordered_places(tracks.select(key).distinct(), key, name="_p").withColumn("fold", F.pmod("_p", F.lit(k)).cast("int"))
     each = t.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("outer"))
-    left = each.filter("fold != outer").withColumn("_q", F.row_number().over(Window.partitionBy("outer").orderBy("_p")) - 1)
-    return left.select(key, "fold", "outer", F.pmod("_q", F.lit(inner)).alias("inner"))
+    # The place among the tracks that are left: less those of fold outer before.
+    before = F.floor((F.col("_p") - F.col("outer") + (k - 1)) / k)
+    return each.filter("fold != outer").select(key, "fold", "outer", F.pmod(F.col("_p") - before, F.lit(inner)).cast("int").alias("inner"))

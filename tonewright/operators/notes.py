@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import music
+from ..functions.stats import quantile
 from . import decoding
 
 
@@ -34,10 +35,10 @@ def held_note(spans: DataFrame, path: DataFrame, est: DataFrame) -> DataFrame:
     return t.withColumn("est", F.col("est") - 12 * F.rint((F.col("est") - F.col("pitch")) / 12))
 
 
-def note_measure(spans: DataFrame, frames: DataFrame, fps: float = 100.0) -> DataFrame:
+def note_measure(spans: DataFrame, frames: DataFrame, fps: float = 100.0, accuracy: int | None = None) -> DataFrame:
     """The columns of a note for spans with pitch and est: times, frequencies, cents, velocity from the 90th percentile of
-    loudness against the voiced 95th of the track, mean confidence."""
-    ref = frames.filter("voiced").groupBy("track_id").agg(F.percentile("rms_db", F.lit(0.95)).alias("ref"))
+    loudness against the voiced 95th of the track, mean confidence. accuracy is that of the track's percentile; a note's is exact."""
+    ref = frames.filter("voiced").groupBy("track_id").agg(quantile("rms_db", 0.95, accuracy).alias("ref"))
     m = in_span(spans, frames).groupBy("track_id", "span").agg(F.percentile("rms_db", F.lit(0.9)).alias("loud"), F.avg("conf").alias("conf"))
     t = spans.join(m, ["track_id", "span"]).join(ref, "track_id")
     level = F.lit(40.0) + 75 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("loud") - F.col("ref") + 30) / 30))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import music
+from ..functions.stats import quantile
 
 
 @dataclass(frozen=True)
@@ -23,11 +24,13 @@ class Settings:
     max_pitch: int = 96
     autotune: str = "auto"
     on_note_cut: float = 0.55
+    #: For quantiles of tracks; None for exact ones.
+    accuracy: int | None = None
 
 
 def soft_voicing(frames: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """frames with midi, voice_p and voiced: confident, loud enough against the track's 99th percentile, in range."""
-    ref = F.percentile("rms_db", F.lit(0.99)).over(Window.partitionBy("track_id"))
+    ref = quantile("rms_db", 0.99, cfg.accuracy).over(Window.partitionBy("track_id"))
     t = frames.withColumns({"midi": music.hz_to_midi("f0"), "_ref": ref})
     loud = F.col("rms_db") > F.col("_ref") - cfg.silence_db
     inside = F.coalesce((F.col("midi") >= cfg.min_pitch - 0.5) & (F.col("midi") <= cfg.max_pitch + 0.5), F.lit(False))
@@ -129,7 +132,7 @@ def preview_prefix(frames: DataFrame, seconds: float = 45, longer_than: float =
 def hmm_inputs(frames: DataFrame, cfg: Settings = Settings(), facts: DataFrame | None = None) -> DataFrame:
     """Per track the note range and spread that decoding needs: percentiles half a percent from the ends, two wider. facts says
     which tracks are autotuned; without it the frames themselves do."""
-    lo, hi = F.percentile("midi", F.lit(0.005)), F.percentile("midi", F.lit(0.995))
+    lo, hi = quantile("midi", 0.005, cfg.accuracy), quantile("midi", 0.995, cfg.accuracy)
     t = frames.filter("voiced").groupBy("track_id").agg((F.floor(lo) - 2).alias("lo"), (F.ceil(hi) + 2).alias("hi"))
     t = t.join((on_note_ratio(frames, cfg) if facts is None else facts).select("track_id", "autotuned"), "track_id")
     tuned = F.col("autotuned")

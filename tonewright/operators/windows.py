@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import quantile
+
 LAGS = (1, 2, 3, 5, 8, 12)
 
 
@@ -24,32 +26,38 @@ def runs(frames: DataFrame, mask: str, key: str = "track_id", pos: str = "idx")
     return t.groupBy(key, "_run").agg(F.min(pos).alias("s"), (F.max(pos) + 1).alias("e")).drop("_run")
 
 
-def with_run(frames: DataFrame, mask: Column, name: str = "run") -> DataFrame:
-    """A number for each run of true and of false values."""
-    t = frames.withColumn("_m", F.coalesce(mask, F.lit(False)))
-    flip = F.coalesce((F.col("_m") != F.lag("_m").over(track())).cast("int"), F.lit(0))
-    return t.withColumn("_f", flip).withColumn(name, F.sum("_f").over(track())).drop("_f")
+def _near(value: str, k: int) -> Column:
+    """value k rows on, null outside the track."""
+    return F.lead(value, k).over(track()) if k > 0 else F.lag(value, -k).over(track()) if k < 0 else F.col(value)
 
 
 def median_smooth(frames: DataFrame, value: str, mask: Column, size: int = 5, name: str = "smooth") -> DataFrame:
     """Running median inside each run of mask, with the end values of the run repeated beyond it; a run shorter than size
-    uses the next odd number from its length up. Outside runs the value stays."""
-    w = Window.partitionBy("track_id", "_r")
-    t = with_run(frames, mask, "_r")
-    t = t.withColumns({"_len": F.count("*").over(w), "_at": F.row_number().over(w.orderBy("idx")), "_first": F.first(value).over(w.orderBy("idx")), "_last": F.last(value).over(w.orderBy("idx").rowsBetween(0, Window.unboundedFollowing))})
-    half = size // 2
+    uses the next odd number from its length up. Outside runs the value stays.
+
+    All of it is in the size - 1 rows on either side of a row: how far its run goes there, up to size, and the values. So it
+    shares the sort of the other windows of a track."""
+    half, most = size // 2, size - 1
+    t = frames.withColumn("_m", F.coalesce(mask, F.lit(False)))
+    t = t.withColumns({f"_m{d}": F.coalesce(_near("_m", d), F.lit(False)) for d in range(-most, most + 1) if d} | {f"_v{d + half}": _near(value, d) for d in range(-half, half + 1)})
+
+    def reach(sign: int) -> Column:  # rows of the run before or after this one, up to most
+        out, on = F.lit(0), F.col("_m")
+        for d in range(1, most + 1):
+            on = on & F.col(f"_m{sign * d}")
+            out = out + on.cast("int")
+        return out
+
+    t = t.withColumns({"_back": reach(-1), "_on": reach(1), "_vs": F.array(*[f"_v{d}" for d in range(size)])})
 
     def middle(k: int) -> Column:
-        near = F.collect_list(value).over(w.orderBy("idx").rowsBetween(-k, k))
-        before, after = F.greatest(F.lit(k) - (F.col("_at") - 1), F.lit(0)), F.greatest(F.lit(k) - (F.col("_len") - F.col("_at")), F.lit(0))
-        return F.element_at(F.array_sort(F.concat(F.array_repeat("_first", before.cast("int")), near, F.array_repeat("_last", after.cast("int")))), k + 1)
+        spot = lambda d: F.greatest(-F.col("_back"), F.least(F.col("_on"), F.lit(d))) + half + 1
+        return F.element_at(F.array_sort(F.array(*[F.element_at("_vs", spot(d).cast("int")) for d in range(-k, k + 1)])), k + 1)
 
-    t = t.withColumns({f"_k{k}": middle(k) for k in range(1, half + 1)})
-    out = F.col(value)
+    length, out = F.col("_back") + F.col("_on") + 1, F.col(value)
     for k in range(1, half + 1):
-        least = 2 * k if k < half else 2 * half
-        out = F.when(F.col("_m") & (F.col("_len") >= least), F.col(f"_k{k}")).otherwise(out)
-    return t.withColumn(name, out).drop("_m", "_r", "_len", "_at", "_first", "_last", *[f"_k{k}" for k in range(1, half + 1)])
+        out = F.when(F.col("_m") & (length >= 2 * k), middle(k)).otherwise(out)
+    return t.withColumn(name, out).select(*frames.columns, name) if name not in frames.columns else t.withColumn(name, out).select(*frames.columns)
 
 
 def median_smooth_zero(frames: DataFrame, value: str = "f0", size: int = 7, low: float = 50.0, name: str = "smooth") -> DataFrame:
@@ -61,13 +69,13 @@ def median_smooth_zero(frames: DataFrame, value: str = "f0", size: int = 7, low:
     return t.withColumn(name, F.element_at(F.array_sort(padded), k + 1)).drop("_f")
 
 
-def hold_pitch(frames: DataFrame, pitch: str, voiced: str, name: str = "held") -> DataFrame:
+def hold_pitch(frames: DataFrame, pitch: str, voiced: str, name: str = "held", accuracy: int | None = None) -> DataFrame:
     """The last voiced pitch. Before there is one, frame 0's own value; where that is missing the track's median, or 60
     for tracks without a voiced frame."""
     w = Window.partitionBy("track_id")
     last = F.last(F.when(F.col(voiced), F.col(pitch)), True).over(track())
     first = F.first(pitch).over(track())
-    mid = F.when(F.max(F.col(voiced)).over(w), F.percentile(pitch, F.lit(0.5)).over(w))
+    mid = F.when(F.max(F.col(voiced)).over(w), quantile(pitch, 0.5, accuracy).over(w))
     return frames.withColumn(name, F.coalesce(last, first, mid, F.lit(60.0)))
 
 
@@ -92,13 +100,9 @@ def backward_delta(value: str, k: int) -> Column:
 
 
 def _side(value: str, first: int, last: int) -> Column:
-    """The values of rows first..last as a full array, the edge value of the track repeated."""
-    n = last - first + 1
-    near = F.collect_list(value).over(track().rowsBetween(first, last))
-    near = F.when(F.size(near) > 0, near).otherwise(F.array(F.col(value)))
-    missing = (F.lit(n) - F.size(near)).cast("int")
-    edge = F.array_repeat(F.element_at(near, 1 if first < 0 else -1), missing)
-    return F.concat(edge, near) if first < 0 else F.concat(near, edge)
+    """The values of rows first..last as an array, the edge value of the track repeated. Values must not be null."""
+    near = lambda d: F.coalesce(*[_near(value, k) for k in range(d, 0, -1 if d > 0 else 1)], F.col(value)) if d else F.col(value)
+    return F.array(*[near(d) for d in range(first, last + 1)])
 
 
 def _std(xs: Column, n: int) -> Column:
@@ -131,14 +135,15 @@ FEATURES = (
 )
 
 
-def frame_features(frames: DataFrame, smooth: bool = True, voiced_conf: float = 0.4) -> DataFrame:
-    """The 44 feature columns of the onset model, in the order of FEATURES, beside track_id and idx."""
+def frame_features(frames: DataFrame, smooth: bool = True, voiced_conf: float = 0.4, accuracy: int | None = None) -> DataFrame:
+    """The 44 feature columns of the onset model, in the order of FEATURES, beside track_id and idx: one shuffle by track and one
+    sort. accuracy: see quantile."""
     from ..functions.music import hz_to_midi
 
     t = frames.withColumn("midi", hz_to_midi("f0")).withColumn("voiced", (F.col("conf") > voiced_conf) & F.col("midi").isNotNull())
     t = median_smooth(t, "midi", F.col("voiced"), 5, "clean") if smooth else t.withColumn("clean", F.col("midi"))
-    t = hold_pitch(t, "clean", "voiced")
-    level = F.col("rms_db") - F.percentile("rms_db", F.lit(0.95)).over(Window.partitionBy("track_id"))
+    t = hold_pitch(t, "clean", "voiced", accuracy=accuracy)
+    level = F.col("rms_db") - quantile("rms_db", 0.95, accuracy).over(Window.partitionBy("track_id"))
     t = t.withColumns({"level": level, "voiced_f": F.col("voiced").cast("double")})
     cols = {}
     for k in LAGS:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import catalogue
 from .catalog import Catalog
-from .source_queries import written
+from .source_queries import shared_folder, written
 from .testbed import FOLDERS, folders, table
 
 Q = Catalog()
@@ -160,6 +160,20 @@ def l1(spark, sf_dir):
     return page.select("path", "title", "rank").crossJoin(F.broadcast(total))
 
 
+@Q.add(
+    "l1_browse_indexed",
+    f"""WITH {SONGS}, h AS (SELECT path, title, added, CASE WHEN contains(lower(title || ' ' || artist), 'src1') AND contains(lower(title || ' ' || artist), 'tem3') THEN 0 ELSE 1 END AS rank FROM songs
+      WHERE contains(lower(title || ' ' || artist || ' ' || album || ' ' || stem), 'src1') AND contains(lower(title || ' ' || artist || ' ' || album || ' ' || stem), 'tem3'))
+    SELECT path, title, rank, (SELECT count(*) FROM h) AS total FROM h ORDER BY rank, added DESC, path LIMIT 400""",
+)
+def l1_indexed(spark, sf_dir):
+    """Through a stored index of trigrams."""
+    s, path = _songs(spark, sf_dir), shared_folder(spark)
+    catalogue.build_trigrams(s, path)
+    page, total = catalogue.browse_indexed(s, spark.read.schema("gram string, key long").parquet(path), "SRC1 tem3")
+    return page.select("path", "title", "rank").crossJoin(F.broadcast(total))
+
+
 @Q.add(
     "u1_list_sources",
     """SELECT stem, arg_max(path, (r, path)) AS path FROM (SELECT 's' || c_custkey % 300 AS stem, 'songs/' || c_name AS path, 0 AS r FROM customer UNION ALL SELECT 's' || s_suppkey * 5, s_name, -1 FROM supplier) GROUP BY stem""",

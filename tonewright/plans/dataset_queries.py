@@ -19,6 +19,13 @@ def j1(spark, sf_dir):
     return dataset.training_set(key("pages", "page_id"), key("labels", "doc_id"), key("documents", "doc_id"))
 
 
+@Q.add("j1_training_set_bucketed", "SELECT doc_id AS clip FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) AND doc_id IN (SELECT page_id FROM pages)")
+def j1_bucketed(spark, sf_dir):
+    """The same of tables that are stored in buckets of clips: the joins read them as they lie."""
+    key = lambda name, c: S.write_bucketed(table(spark, sf_dir, name).select(F.col(c).alias("clip")), shared_folder(spark), ("clip",), buckets=16)
+    return dataset.training_set(key("pages", "page_id"), key("labels", "doc_id"), key("documents", "doc_id"))
+
+
 MAN = "man AS (SELECT folder AS output_key, min(p_partkey) AS speaker_id FROM folders WHERE p_partkey % 3 = 0 GROUP BY folder)"
 
 
@@ -79,7 +86,7 @@ def u2(spark, sf_dir):
 @Q.add("u3_add_silence_rows", "SELECT p_size AS speaker_id, p_name AS line FROM part UNION ALL SELECT s, 'mute|' || s FROM (SELECT DISTINCT p_size AS s FROM part), range(0, 2) AS t(i)")
 def u3(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(F.col("p_size").alias("speaker_id"), F.col("p_name").alias("line"))
-    return dataset.add_silence_rows(rows, dataset.filelist_line_of("mute", F.col("speaker_id")))
+    return dataset.add_silence_rows(rows, dataset.filelist_line(F.lit("mute"), F.col("speaker_id")))
 
 
 @Q.add("u5_key_sets_equal", "SELECT NOT EXISTS (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem) AND NOT EXISTS (SELECT l_orderkey FROM lineitem EXCEPT SELECT o_orderkey FROM orders) AS equal")
@@ -94,6 +101,11 @@ def _bucketed(spark, sf_dir):
     return dataset.length_buckets(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", BOUNDS)
 
 
+def _whole(name: str):
+    """All values of an array, in whole thousandths."""
+    return F.array_join(F.transform(name, lambda x: F.floor(x.cast("double") * 1000).cast("int")), ",")
+
+
 @Q.add("u7_length_buckets", "SELECT doc_id, CASE WHEN n_chars <= 300 THEN 0 WHEN n_chars <= 500 THEN 1 WHEN n_chars <= 900 THEN 2 WHEN n_chars <= 2000 THEN 3 ELSE 4 END AS bucket FROM documents WHERE n_chars > 100 AND n_chars <= 5000")
 def u7(spark, sf_dir):
     return _bucketed(spark, sf_dir).select("doc_id", "bucket")
@@ -101,32 +113,32 @@ def u7(spark, sf_dir):
 
 @Q.add(
     "u8_pad_and_batch",
-    """WITH b AS (SELECT CASE WHEN n_chars <= 300 THEN 0 WHEN n_chars <= 500 THEN 1 WHEN n_chars <= 900 THEN 2 WHEN n_chars <= 2000 THEN 3 ELSE 4 END AS bucket, count(*) AS n FROM documents WHERE n_chars > 100 AND n_chars <= 5000 GROUP BY 1)
-    SELECT bucket, n AS rows, CAST(ceil(n / 8.0) * 8 AS BIGINT) AS places, CAST(ceil(n / 8.0) * 8 AS BIGINT) AS slots, CAST(ceil(n / 8.0) * 2 AS BIGINT) AS batches FROM b""",
+    """WITH b AS (SELECT doc_id, CASE WHEN n_chars <= 300 THEN 0 WHEN n_chars <= 500 THEN 1 WHEN n_chars <= 900 THEN 2 WHEN n_chars <= 2000 THEN 3 ELSE 4 END AS bucket FROM documents WHERE n_chars > 100 AND n_chars <= 5000),
+    i AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5(doc_id || ':7'), doc_id) - 1 AS i, count(*) OVER (PARTITION BY bucket) AS n FROM b), p AS (SELECT *, i + t * n AS pos FROM i, range(0, 8) AS r(t) WHERE i + t * n < CAST(ceil(n / 8.0) * 8 AS BIGINT))
+    SELECT bucket, doc_id, CAST(t AS INTEGER) AS turn, CAST(pos % 2 AS BIGINT) AS replica, pos // 2 // 4 AS batch_in_bucket, pos // 2 % 4 AS slot, md5(bucket || ':' || pos // 2 // 4 || ':8') AS batch_order FROM p""",
 )
 def u8(spark, sf_dir):
     t = dataset.pad_and_batch(_bucketed(spark, sf_dir), "doc_id", 4, 2, 7)
-    place = F.struct("replica", "batch_in_bucket", "slot")
-    return t.groupBy("bucket").agg(F.count_distinct("doc_id").alias("rows"), F.count("*").alias("places"), F.count_distinct(place).alias("slots"), F.count_distinct(F.struct("replica", "batch_in_bucket")).alias("batches"))
+    return t.select("bucket", "doc_id", F.col("turn").cast("int").alias("turn"), *[F.col(c).cast("long").alias(c) for c in ("replica", "batch_in_bucket", "slot")], "batch_order")
 
 
 @Q.add(
     "u9_pad_collate",
-    """WITH v AS (SELECT vec_id, vec_id // 10 AS batch, CAST(1 + vec_id % 7 AS INTEGER) AS n FROM embeddings) SELECT vec_id, n AS length, CAST(row_number() OVER (PARTITION BY batch ORDER BY n DESC, vec_id) - 1 AS INTEGER) AS row, CAST(max(n) OVER (PARTITION BY batch) AS INTEGER) AS width FROM v""",
+    """WITH v AS (SELECT vec_id, embedding AS e, vec_id // 10 AS batch, CAST(1 + vec_id % 7 AS INTEGER) AS n FROM embeddings) SELECT vec_id, array_to_string(list_transform(range(1, max(n) OVER (PARTITION BY batch) + 1), lambda i: CASE WHEN i > n THEN 0 ELSE CAST(floor(CAST(e[i] AS DOUBLE) * 1000) AS INTEGER) END), ',') AS samples, n AS length, CAST(row_number() OVER (PARTITION BY batch ORDER BY n DESC, vec_id) - 1 AS INTEGER) AS row, CAST(max(n) OVER (PARTITION BY batch) AS INTEGER) AS width FROM v""",
 )
 def u9(spark, sf_dir):
     t = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 10).alias("batch"), F.slice("embedding", F.lit(1), (F.col("vec_id") % 7 + 1).cast("int")).alias("samples"))
-    return dataset.pad_collate(t, "batch", "samples", "vec_id").select("vec_id", "length", "row", F.size("samples").alias("width"))
+    return dataset.pad_collate(t, "batch", "samples", "vec_id").select("vec_id", "length", "row", F.size("samples").alias("width"), _whole("samples").alias("samples"))
 
 
-@Q.add("u10_align_lengths", "SELECT vec_id, CAST(least(2 * (1 + vec_id % 40), 64, 50) AS INTEGER) AS n, round(CAST(embedding[1] + embedding[1] AS DOUBLE), 4) AS head FROM embeddings")
+@Q.add("u10_align_lengths", "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000) AS INTEGER)) AS e, CAST(least(2 * (1 + vec_id % 40), 64, 50) AS INTEGER) AS n FROM embeddings) SELECT vec_id, n, array_to_string(list_transform(range(0, n), lambda i: e[i // 2 + 1]), ',') AS phone, array_to_string(e[1:n], ',') AS spec, array_to_string(e[1:n], ',') AS pitch FROM v")
 def u10(spark, sf_dir):
     t = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", F.lit(1), (F.col("vec_id") % 40 + 1).cast("int")).alias("phone"), F.col("embedding").alias("spec"), F.col("embedding").alias("pitch"))
     t = dataset.align_lengths(t, "phone", "spec", "pitch", 50)
-    return t.select("vec_id", F.size("phone").alias("n"), F.round((F.element_at("phone", 1) + F.element_at("phone", 2)).cast("double"), 4).alias("head"))
+    return t.select("vec_id", F.size("phone").alias("n"), *[_whole(c).alias(c) for c in ("phone", "spec", "pitch")])
 
 
-@Q.add("l3_shuffle_rows", "SELECT doc_id FROM documents")
+@Q.add("l3_shuffle_rows", "SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || ':3'), doc_id) - 1 AS place FROM documents")
 def l3(spark, sf_dir):
     return dataset.shuffled(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 3)
 

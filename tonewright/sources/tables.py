@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import AUDIO_EXTENSIONS
+from ..operators.dataset import filelist_line
 
 FRAMES = "track_id long, idx int, f0 float, conf float, rms_db float, flux float, hf float, backend string"
 NOTE_FIELDS = ("start", "end", "duration", "pitch", "name", "hz", "note_hz", "cents", "velocity", "confidence")
@@ -30,6 +32,28 @@ def read_frames(spark: SparkSession, path: str, backend: str) -> DataFrame:
     return t.select("track_id", "idx", *[F.col(c).cast("double").alias(c) for c in ("f0", "conf", "rms_db", "flux", "hf")])
 
 
+def write_bucketed(t: DataFrame, path: str, keys: tuple[str, ...], order: tuple[str, ...] = (), buckets: int = 64) -> DataFrame:
+    """t stored in buckets of keys, a file each, sorted within, and read back: joins and groups on the keys of tables with the same
+    number of buckets need no shuffle. The table isn't left in the catalogue; open_bucketed() finds it again."""
+    name = f"bucketed_{uuid.uuid4().hex}"
+    t.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys, *order).format("parquet").option("path", path).saveAsTable(name)
+    return _opened(t.sparkSession, name)
+
+
+def open_bucketed(spark: SparkSession, path: str, schema: str, keys: tuple[str, ...], order: tuple[str, ...] = (), buckets: int = 64) -> DataFrame:
+    """A table that write_bucketed() stored with these keys, order and number of buckets."""
+    name, listed = f"bucketed_{uuid.uuid4().hex}", lambda cols: ", ".join(f"`{c}`" for c in cols)
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({listed(keys)}) SORTED BY ({listed((*keys, *order))}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return _opened(spark, name)
+
+
+def _opened(spark: SparkSession, name: str) -> DataFrame:
+    t = spark.table(name)
+    t.schema  # noqa: B018  resolved with its buckets, which stay when the catalogue forgets the name; files stay too
+    spark.sql(f"DROP TABLE {name}")
+    return t
+
+
 def write_notes_csv(notes: DataFrame, path: str, key: str = "track_id") -> None:
     notes.select(key, *NOTE_FIELDS).write.option("header", True).csv(path)
 
@@ -69,13 +93,15 @@ FILELIST_WITHOUT_PITCH = ("wav", "feature", "speaker_id", "speaker_name")
 
 
 def write_filelist(rows: DataFrame, path: str, pitch: bool = True) -> None:
-    """Lines of fields between bars; the speaker's name is left out where it's null."""
-    rows.select(F.concat_ws("|", *[F.col(c).cast("string") for c in (FILELIST_WITH_PITCH if pitch else FILELIST_WITHOUT_PITCH)])).write.text(path)
+    """Lines of fields between bars, each in its place: a null field is empty, and the speaker's name, the last, is left out."""
+    *fields, name = FILELIST_WITH_PITCH if pitch else FILELIST_WITHOUT_PITCH
+    rows.select(filelist_line(*map(F.col, fields), name=F.col(name))).write.text(path)
 
 
 def read_filelist(spark: SparkSession, path: str, pitch: bool = True) -> DataFrame:
+    """The fields of every line as texts, null where one is empty or left out."""
     parts = F.split("value", r"\|")
-    return spark.read.text(path).select(*[F.get(parts, F.lit(k)).alias(c) for k, c in enumerate(FILELIST_WITH_PITCH if pitch else FILELIST_WITHOUT_PITCH)])
+    return spark.read.text(path).select(*[F.nullif(F.get(parts, F.lit(k)), F.lit("")).alias(c) for k, c in enumerate(FILELIST_WITH_PITCH if pitch else FILELIST_WITHOUT_PITCH)])
 
 
 def write_manifest(entries: DataFrame, path: str, version: int = 1, source: str = "folder", root: str = "") -> None:
@@ -108,7 +134,7 @@ def list_audio_files(spark: SparkSession, folder: str, recursive: bool = False,
     if output is not None:
         # Spark gives paths with a scheme, and "file:/x" for "file:///x": what's before the folder's own name is cut off.
         root = folder.rstrip("/").split("://")[-1].lstrip("/")
-        below = F.expr(f"substring(path, instr(path, '{root}/') + {len(root) + 1})")
+        below = F.substr("path", F.instr("path", F.lit(root + "/")) + F.lit(len(root) + 1))
         t = t.withColumn("output", F.concat(F.lit(output.rstrip("/") + "/"), F.regexp_replace(below, r"\.[^./]+$", ""), F.lit(suffix)))
     return t.orderBy("path")
 
