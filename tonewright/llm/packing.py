@@ -4,8 +4,10 @@ Only lengths matter to a packing, and there are fewer than the sequence length o
 histogram of piece lengths, whatever the number of documents: the longest length left is completed with undominated
 fillings, each applied as often as the counts allow or, in a later branch, once; branches are pruned by the waste that a
 better solution may still have; best-fit decreasing gives the first incumbent. The search may end at its number of nodes
-or leave fillings out; complete() says how many nodes it took, the lower bound, and if the result is proven best. The plan, a bounded table of rank ranges, is then joined to pieces
-that were ranked within their length in two levels (hash buckets, then rows), so that no length is sorted in one task.
+or leave fillings out; complete() says how many nodes it took, the lower bound, and if the result is proven best. The plan,
+a bounded table of rank ranges, is then joined to pieces by their rank among those of their length. Tasks that cut pieces
+number those of each length as they make them, and prefix sums of their counts make these numbers ranks: pieces are neither
+sorted nor shuffled for it.
 
 Defined results
 * null text counts as empty: one piece that holds the end token;
@@ -23,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,12 +38,10 @@ END_ID = 0
 #: Branches of the search that are looked at, and fillings that one branch tries.
 MAX_NODES = 20_000
 MAX_FILLINGS = 8
-#: Pieces of one length that one task ranks.
-BUCKET_ROWS = 5_000
 #: Ids in one Arrow batch of pieces.
 IDS = 4_000_000
 
-#: A plan is broadcast up to this many rows.
+#: A plan, and the table of counts of tasks and lengths, are broadcast up to this many rows (some 50 bytes each).
 PLAN_ROWS = 200_000
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
@@ -65,13 +66,14 @@ class Packing:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id, piece, start, length and ids (little-endian unsigned 32-bit) of every piece, stored in the shared folder."""
+    """_id, piece, start, length and ids (little-endian unsigned 32-bit) of every piece, and its task and nth, its number among
+    the task's pieces of its length; stored in the shared folder, which keeps these as they are."""
     t = packed(docs, _id=id_col, _text=text_of(text_col)).drop("_row")
     kind = t.schema["_id"].dataType
-    schema = T.StructType([T.StructField("_id", kind), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([T.StructField("_id", kind), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("task", T.LongType()), T.StructField("nth", T.LongType())])
 
     def cut(batches):
-        enc = encoder(tokenizer)
+        enc, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, "int64")
         for b in batches:
             ids, at = with_end(*enc.encode_column(b.column(1)), end_id)
             n = -(-np.diff(at) // capacity)
@@ -79,12 +81,16 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             start = piece * capacity
             first = at[:-1][doc] + start
             length = np.minimum(capacity, at[1:][doc] - first)
+            order, n = np.argsort(length, kind="stable"), np.bincount(length, minlength=capacity + 1)
+            nth = np.empty(len(length), "int64")
+            nth[order] = np.arange(len(length)) + np.repeat(seen - (np.cumsum(n) - n), n)
+            seen += n
             for some in np.array_split(np.arange(len(doc)), -(-len(ids) // IDS) or 1):  # an Arrow batch has 32-bit offsets
                 if len(some):
                     low, offsets = first[some[0]], np.append(first[some], first[some[-1]] + length[some[-1]])
                     data = ids[low : offsets[-1]].astype("<u4").tobytes()
                     cells = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(((offsets - low) * 4).astype("int32").tobytes()), pa.py_buffer(data)])
-                    cols = [b.column(0).take(pa.array(doc[some])), pa.array(piece[some], pa.int32()), pa.array(start[some]), pa.array(length[some]), cells]
+                    cols = [b.column(0).take(pa.array(doc[some])), pa.array(piece[some], pa.int32()), pa.array(start[some]), pa.array(length[some]), cells, pa.repeat(pa.scalar(task, pa.int64()), len(some)), pa.array(nth[some])]
                     yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return stored(t.mapInArrow(cut, schema), "pieces")
@@ -232,26 +238,23 @@ def rank_ranges(plan: list[tuple[Pattern, int]]) -> list[tuple[int, int, int, in
     return rows
 
 
-def packed_pieces(found: DataFrame, capacity: int = CAPACITY, max_nodes: int = MAX_NODES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """found (with _id, piece and length at least) with sequence_id and offset. The histogram, at most capacity rows, goes
-    to the driver; so does nothing else."""
+def packed_pieces(found: DataFrame, capacity: int = CAPACITY, max_nodes: int = MAX_NODES, plan_rows: int = PLAN_ROWS) -> DataFrame:
+    """found, with length, task and nth at least, with sequence_id and offset in place of these two. The histogram, at most capacity
+    rows, goes to the driver; so does nothing else."""
     spark = found.sparkSession
-    counts = {int(r["length"]): int(r["n"]) for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    sums = stored(found.groupBy("task", "length").agg(F.count("*").alias("_n")), "pack-counts")
+    counts = {int(r["length"]): int(r["n"]) for r in sums.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     ranges = rank_ranges(complete(counts, capacity, max_nodes).plan)
     table = spark.createDataFrame(ranges, "length long, first long, after long, seq long, k long, at long")
-    table = F.broadcast(table) if len(ranges) <= PLAN_ROWS else table
-    buckets = max(64, sum(counts.values()) // bucket_rows)
-    placed = found.withColumn("_tie", F.xxhash64(*found.columns))
-    placed = placed.withColumn("_b", F.pmod("_tie", F.lit(buckets)))
-    sums = placed.groupBy("length", "_b").agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("length", "_b", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
-    ranked = placed.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_b").orderBy("_id", "piece", "_tie")))
-    ranked = ranked.join(sums, ["length", "_b"]).withColumn("_r", F.col("_r") - 1 + F.col("_base"))
+    table = F.broadcast(table) if len(ranges) <= plan_rows else table
+    upto = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    base = sums.select("task", "length", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
+    base = F.broadcast(base) if sums.count() <= plan_rows else base
+    ranked = found.join(base, ["task", "length"]).withColumn("_r", F.col("nth") + F.col("_base"))
     met = ranked.join(table, (ranked["length"] == table["length"]) & (F.col("_r") >= F.col("first")) & (F.col("_r") < F.col("after"))).drop(table["length"])
-    nth = F.col("_r") - F.col("first")
-    met = met.withColumns({"sequence_id": F.col("seq") + F.floor(nth / F.col("k")), "offset": F.col("at") + F.pmod(nth, F.col("k")) * F.col("length")})
-    return met.drop("_b", "_tie", "_r", "_base", "first", "after", "seq", "k", "at")
+    within = F.col("_r") - F.col("first")
+    met = met.withColumns({"sequence_id": F.col("seq") + F.floor(within / F.col("k")), "offset": F.col("at") + F.pmod(within, F.col("k")) * F.col("length")})
+    return met.drop("task", "nth", "_r", "_base", "first", "after", "seq", "k", "at")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
