@@ -11,9 +11,11 @@ Shingles of passages that many documents share would tie unlike documents togeth
 all documents are put in a part of their own that nothing is dealt by; classes have one part more for it. Sets that are
 mostly such shingles are dealt by all of theirs as well. Which shingles count as frequent changes the work, never the result.
 
-Equal sets are one node from the start. A cluster over MAX_BLOCK shingles or MAX_SETS sets is split into blocks: rounds over blocks
-replace linked documents by one of them; if the rounds leave more than one class, the remaining pairs of blocks of
-compatible sizes are traversed too, so no link is lost at any cluster size.
+Equal sets are one node from the start. A cluster over MAX_BLOCK shingles or MAX_SETS sets is dealt anew: in a few rounds by the
+least of its shingles' hashes, under another hash in each round, so that similar sets meet, and linked documents are replaced
+by one of them; then, where more than one class is left, by the parts themselves that documents of different classes agree in.
+Groups of any of these that are too large are split, in the last step into all pairs of their blocks. Two sets that link agree in
+a part, so no link is lost at any cluster size.
 
 Defined results
 * null text counts as empty; sets without a shingle link with nothing, each is a class of its own;
@@ -37,10 +39,11 @@ from pyspark.sql import functions as F
 from .common import packed, recorded, release, stored, text_of, unpacked
 from .graph import components
 
-#: Shingles of the sets that one task holds, and sets that it compares: beyond either a cluster is split into blocks.
-MAX_BLOCK = 4_000_000
-#: Splitting at a few hundred sets already deals clusters evenly, but pairs of blocks then grow with the square of a cluster.
-MAX_SETS = MAX_BLOCK
+#: Shingles of the sets that one task holds, and sets that it compares: beyond either a cluster is dealt anew.
+MAX_BLOCK = 1_000_000
+MAX_SETS = 512
+#: Hashes that large clusters are dealt by, one after another.
+ROUNDS = 3
 #: Keys that a map task sorts at a time.
 CHUNK_KEYS = 1_000_000
 #: Tables of ids are broadcast up to this many rows (16 to 24 bytes each).
@@ -192,7 +195,7 @@ def frequent_shingles(docs: DataFrame, sim: Similarity, id_col: str, text_col: s
 
 
 def described(docs: DataFrame, sim: Similarity, id_col: str, text_col: str) -> DataFrame:
-    """_id, n, two halves of the set's hash and its keys, stored in the shared folder."""
+    """_id, n, two halves of the set's hash, its keys, and the least hash of its shingles for each round, stored in the shared folder."""
     t = packed(docs, _id=F.col(f"`{id_col}`").cast("long"), _text=text_of(text_col)).drop("_row")
     sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, sim, id_col, text_col))
 
@@ -208,10 +211,12 @@ def described(docs: DataFrame, sim: Similarity, id_col: str, text_col: str) -> D
             keys = [keys_of(s, sim, frequent) if len(s) else np.empty(0, _U) for s in sets]
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype("int32")
             flat = np.concatenate([np.empty(0, _U), *keys]).view("int64")
-            cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(cols, names=["_id", "n", "h1", "h2", "keys"])
+            least = np.array([[_mix(s ^ _U(turn)).min() if len(s) else 0 for turn in range(ROUNDS)] for s in sets], _U).reshape(-1).view("int64")
+            mins = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype="int32") * ROUNDS), pa.array(least))
+            cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), mins]
+            yield pa.RecordBatch.from_arrays(cols, names=["_id", "n", "h1", "h2", "keys", "mins"])
 
-    return stored(t.mapInArrow(run, "_id long, n long, h1 long, h2 long, keys array<long>"), "shingle-keys")
+    return stored(t.mapInArrow(run, "_id long, n long, h1 long, h2 long, keys array<long>, mins array<long>"), "shingle-keys")
 
 
 def copies(found: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -388,9 +393,9 @@ def links(docs: DataFrame, sim: Similarity, id_col: str = "doc_id", text_col: st
     pairs = equal.select("a", "b")
     clusters = components(pairs.unionByName(candidates(found)))
     # A row for each set of an id: a copy is left out, other sets of its id stay.
-    sets = found.filter("n > 0 and _id is not null").select("_id", "h1", "h2", "n").distinct()
+    sets = found.filter("n > 0 and _id is not null").select("_id", "h1", "h2", "n", "mins").distinct()
     sets = sets.join(equal.select(F.col("a").alias("_id"), "h1", "h2", "n"), ["_id", "h1", "h2", "n"], "left_anti")
-    members = clusters.join(sets, clusters["id"] == sets["_id"]).select("_id", F.col("label").alias("cluster"), "n")
+    members = clusters.join(sets, clusters["id"] == sets["_id"]).select("_id", F.col("label").alias("cluster"), "n", "mins")
     members = stored(members, "members")
     total = members.groupBy("cluster").agg(F.min("_id").alias("_p"), F.max("_id").alias("_q"), _blocks(max_block, max_sets).alias("blocks")).filter("_p < _q").drop("_p", "_q")
     members = stored(members.join(total, "cluster").withColumn("label", F.col("_id")), "clustered")
@@ -399,7 +404,7 @@ def links(docs: DataFrame, sim: Similarity, id_col: str = "doc_id", text_col: st
     merges = stored(_joined(light, ["cluster"], sim), "merges")
     heavy = members.filter("blocks > 1")
     if heavy.limit(1).count():
-        merges = merges.unionByName(_heavy(stored(heavy, "heavy"), docs, sim, id_col, text_col, max_block, max_sets, broadcast_rows))
+        merges = merges.unionByName(_heavy(stored(heavy, "heavy"), found, docs, sim, id_col, text_col, max_block, max_sets, broadcast_rows))
     return found, components(pairs.unionByName(merges))
 
 
@@ -408,38 +413,34 @@ def _blocks(max_block: int, max_sets: int):
     return F.ceil(F.greatest(F.sum("n") / max_block, F.count("*") / max_sets, F.lit(1.0)))
 
 
-def _heavy(heavy: DataFrame, docs: DataFrame, sim: Similarity, id_col: str, text_col: str, max_block: int, max_sets: int, broadcast_rows: int) -> DataFrame:
-    merges, now, count = None, heavy.select("_id", "cluster", "n", "label"), None
-    for turn in range(12):
-        whole = now.groupBy("cluster").agg(_blocks(max_block, max_sets).alias("_t"))
-        salted = now.join(whole, "cluster").withColumn("block", F.pmod(F.xxhash64("_id", F.lit(turn)), F.col("_t")))
-        got = stored(_joined(_with_text(salted.select("_id", "cluster", "label", "block").distinct(), docs, id_col, text_col, broadcast_rows), ["cluster", "block"], sim), "merges")
+def _heavy(heavy: DataFrame, found: DataFrame, docs: DataFrame, sim: Similarity, id_col: str, text_col: str, max_block: int, max_sets: int, broadcast_rows: int) -> DataFrame:
+    """Merges in large clusters (_id, cluster, label, n, mins)."""
+    text = lambda rows: _with_text(rows, docs, id_col, text_col, broadcast_rows)
+    merges, now = None, heavy.select("_id", "cluster", "n", "label", "mins")
+    for turn in range(2 * ROUNDS):
+        # What agrees in the least hash is split by id if it's too much; in a later round what's left of it meets.
+        some = now.withColumn("least", F.element_at("mins", turn % ROUNDS + 1))
+        size = some.groupBy("cluster", "least").agg(_blocks(max_block, max_sets).alias("_t"), F.count("*").alias("_c")).filter("_c > 1")
+        some = stored(some.join(size, ["cluster", "least"]).withColumn("block", F.pmod(F.xxhash64("_id", F.lit(turn)), F.col("_t"))), "blocks")
+        got = stored(_joined(text(some.select("_id", "cluster", "least", "block", "label").distinct()), ["cluster", "least", "block"], sim), "merges")
         merges = got if merges is None else merges.unionByName(got)
-        one_block = salted.filter("_t > 1").limit(1).count() == 0
-        now = stored(now.join(got.select(F.col("a").alias("_id")), "_id", "left_anti"), "left")
-        before, count = count, now.count()
-        if one_block or before is not None and count > 0.8 * before:
+        if turn >= ROUNDS - 1 and some.filter("_t > 1").limit(1).count() == 0:
             break
-    # Documents that one class of a cluster took in may still link with another class: only then are pairs of blocks needed.
+        now = stored(now.join(got.select(F.col("a").alias("_id")).distinct(), "_id", "left_anti"), "left")
+    # Documents that one class of a cluster took in may still link with another class: they agree in a part then.
     classes = components(merges)
-    labelled = heavy.drop("label").join(classes.withColumnRenamed("id", "_id"), "_id", "left").withColumn("label", F.coalesce("label", "_id"))
+    labelled = heavy.select("_id", "cluster", "n").join(classes.withColumnRenamed("id", "_id"), "_id", "left").withColumn("label", F.coalesce("label", "_id"))
     several = labelled.groupBy("cluster").agg(F.min("label").alias("p"), F.max("label").alias("q")).filter("p != q").select("cluster")
-    open_ = stored(labelled.join(several, "cluster"), "open")
-    if open_.limit(1).count() == 0:
+    open_ = labelled.join(several, "cluster").groupBy("_id", "label").agg(F.max("n").alias("n"))
+    keyed = stored(open_.join(found.select("_id", F.explode("keys").alias("key")).distinct(), "_id"), "open-keys")
+    shared = keyed.groupBy("key").agg(_blocks(max_block // 2, max_sets // 2).alias("_t"), F.min("label").alias("p"), F.max("label").alias("q")).filter("p != q").drop("p", "q")
+    placed = keyed.join(shared, "key").withColumn("block", F.pmod(F.xxhash64("_id"), F.col("_t")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_t").cast("long") - 1)))
+    placed = placed.select("_id", "label", "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), F.col("block").alias("side"))
+    placed = stored(placed, "placed")
+    if placed.limit(1).count() == 0:
         return merges
-    step = math.log(sim.den / sim.num)
-    open_ = open_.withColumn("bin", F.floor(F.log(F.col("n")) / step))
-    sums = open_.groupBy("cluster", "bin").agg(_blocks(max_block // 2, max_sets // 2).alias("salts"))
-    blocks = sums.select("cluster", "bin", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    other = blocks.select("cluster", F.col("bin").alias("bin2"), F.col("salt").alias("salt2"))
-    near = blocks.select("*", F.explode(F.array(F.col("bin"), F.col("bin") + 1)).alias("bin2")).join(other, ["cluster", "bin2"])
-    near = near.filter((F.col("bin2") > F.col("bin")) | (F.col("salt2") > F.col("salt")) | (F.col("bin2") == F.col("bin")) & (F.col("salt") == F.col("salt2")))
-    near = near.withColumn("task", F.struct("bin", "salt", "bin2", "salt2"))
-    first = near.select("cluster", "bin", "salt", "task", F.lit(0).alias("side"))
-    second = near.filter((F.col("bin") != F.col("bin2")) | (F.col("salt") != F.col("salt2"))).select("cluster", F.col("bin2").alias("bin"), F.col("salt2").alias("salt"), "task", F.lit(1).alias("side"))
-    placed = open_.join(sums, ["cluster", "bin"]).withColumn("salt", F.pmod(F.xxhash64("_id"), F.col("salts")))
-    placed = placed.join(stored(first.unionByName(second), "block-pairs"), ["cluster", "bin", "salt"]).select("_id", "cluster", "label", "task", "side").distinct()
-    return merges.unionByName(stored(_joined(_with_text(stored(placed, "placed"), docs, id_col, text_col, broadcast_rows), ["cluster", "task"], sim), "merges"))
+    return merges.unionByName(stored(_joined(text(placed), ["key", "p", "q"], sim), "merges"))
 
 
 def classes(docs: DataFrame, sim: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
