@@ -13,9 +13,8 @@ mostly such shingles are dealt by all of theirs as well. Which shingles count as
 
 Equal sets are one node from the start. A cluster over MAX_BLOCK shingles or MAX_SETS sets is dealt anew: in a few rounds by the
 least of its shingles' hashes, under another hash in each round, so that similar sets meet, and linked documents are replaced
-by one of them; then, where more than one class is left, by the parts themselves that documents of different classes agree in.
-Groups of any of these that are too large are split, in the last step into all pairs of their blocks. Two sets that link agree in
-a part, so no link is lost at any cluster size.
+by one of them; then, where more than one class is left, the pairs of blocks of compatible sizes are traversed, so no link is
+lost at any cluster size.
 
 Defined results
 * null text counts as empty; sets without a shingle link with nothing, each is a class of its own;
@@ -40,8 +39,8 @@ from .common import packed, recorded, release, stored, text_of, unpacked
 from .graph import components
 
 #: Shingles of the sets that one task holds, and sets that it compares: beyond either a cluster is dealt anew.
-MAX_BLOCK = 1_000_000
-MAX_SETS = 512
+MAX_BLOCK = 4_000_000
+MAX_SETS = 2_048
 #: Hashes that large clusters are dealt by, one after another.
 ROUNDS = 3
 #: Keys that a map task sorts at a time.
@@ -404,7 +403,7 @@ def links(docs: DataFrame, sim: Similarity, id_col: str = "doc_id", text_col: st
     merges = stored(_joined(light, ["cluster"], sim), "merges")
     heavy = members.filter("blocks > 1")
     if heavy.limit(1).count():
-        merges = merges.unionByName(_heavy(stored(heavy, "heavy"), found, docs, sim, id_col, text_col, max_block, max_sets, broadcast_rows))
+        merges = merges.unionByName(_heavy(stored(heavy, "heavy"), docs, sim, id_col, text_col, max_block, max_sets, broadcast_rows))
     return found, components(pairs.unionByName(merges))
 
 
@@ -413,7 +412,7 @@ def _blocks(max_block: int, max_sets: int):
     return F.ceil(F.greatest(F.sum("n") / max_block, F.count("*") / max_sets, F.lit(1.0)))
 
 
-def _heavy(heavy: DataFrame, found: DataFrame, docs: DataFrame, sim: Similarity, id_col: str, text_col: str, max_block: int, max_sets: int, broadcast_rows: int) -> DataFrame:
+def _heavy(heavy: DataFrame, docs: DataFrame, sim: Similarity, id_col: str, text_col: str, max_block: int, max_sets: int, broadcast_rows: int) -> DataFrame:
     """Merges in large clusters (_id, cluster, label, n, mins)."""
     text = lambda rows: _with_text(rows, docs, id_col, text_col, broadcast_rows)
     merges, now = None, heavy.select("_id", "cluster", "n", "label", "mins")
@@ -427,20 +426,26 @@ def _heavy(heavy: DataFrame, found: DataFrame, docs: DataFrame, sim: Similarity,
         if turn >= ROUNDS - 1 and some.filter("_t > 1").limit(1).count() == 0:
             break
         now = stored(now.join(got.select(F.col("a").alias("_id")).distinct(), "_id", "left_anti"), "left")
-    # Documents that one class of a cluster took in may still link with another class: they agree in a part then.
+    # Documents that one class of a cluster took in may still link with another class: only then pairs of blocks are needed.
     classes = components(merges)
     labelled = heavy.select("_id", "cluster", "n").join(classes.withColumnRenamed("id", "_id"), "_id", "left").withColumn("label", F.coalesce("label", "_id"))
     several = labelled.groupBy("cluster").agg(F.min("label").alias("p"), F.max("label").alias("q")).filter("p != q").select("cluster")
-    open_ = labelled.join(several, "cluster").groupBy("_id", "label").agg(F.max("n").alias("n"))
-    keyed = stored(open_.join(found.select("_id", F.explode("keys").alias("key")).distinct(), "_id"), "open-keys")
-    shared = keyed.groupBy("key").agg(_blocks(max_block // 2, max_sets // 2).alias("_t"), F.min("label").alias("p"), F.max("label").alias("q")).filter("p != q").drop("p", "q")
-    placed = keyed.join(shared, "key").withColumn("block", F.pmod(F.xxhash64("_id"), F.col("_t")))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_t").cast("long") - 1)))
-    placed = placed.select("_id", "label", "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), F.col("block").alias("side"))
-    placed = stored(placed, "placed")
-    if placed.limit(1).count() == 0:
+    open_ = stored(labelled.join(several, "cluster"), "open")
+    if open_.limit(1).count() == 0:
         return merges
-    return merges.unionByName(stored(_joined(text(placed), ["key", "p", "q"], sim), "merges"))
+    step = math.log(sim.den / sim.num)
+    open_ = open_.withColumn("bin", F.floor(F.log(F.col("n")) / step))
+    sums = open_.groupBy("cluster", "bin").agg(_blocks(max_block // 2, max_sets // 2).alias("salts"))
+    blocks = sums.select("cluster", "bin", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    other = blocks.select("cluster", F.col("bin").alias("bin2"), F.col("salt").alias("salt2"))
+    near = blocks.select("*", F.explode(F.array(F.col("bin"), F.col("bin") + 1)).alias("bin2")).join(other, ["cluster", "bin2"])
+    near = near.filter((F.col("bin2") > F.col("bin")) | (F.col("salt2") > F.col("salt")) | (F.col("bin2") == F.col("bin")) & (F.col("salt") == F.col("salt2")))
+    near = near.withColumn("task", F.struct("bin", "salt", "bin2", "salt2"))
+    first = near.select("cluster", "bin", "salt", "task", F.lit(0).alias("side"))
+    second = near.filter((F.col("bin") != F.col("bin2")) | (F.col("salt") != F.col("salt2"))).select("cluster", F.col("bin2").alias("bin"), F.col("salt2").alias("salt"), "task", F.lit(1).alias("side"))
+    placed = open_.join(sums, ["cluster", "bin"]).withColumn("salt", F.pmod(F.xxhash64("_id"), F.col("salts")))
+    placed = placed.join(stored(first.unionByName(second), "block-pairs"), ["cluster", "bin", "salt"]).select("_id", "cluster", "label", "task", "side").distinct()
+    return merges.unionByName(stored(_joined(text(stored(placed, "placed")), ["cluster", "task"], sim), "merges"))
 
 
 def classes(docs: DataFrame, sim: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
