@@ -23,7 +23,7 @@ def scratch_root(spark: SparkSession) -> str:
     folder of its own, and a cluster an error, since each machine would see another one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tonewright-")
         spark.conf.set("spark.checkpoint.dir", where)
