@@ -108,3 +108,24 @@ def test_places_in_order(spark):
         left = [k for i, k in enumerate(keys) if i % 5 != outer]
         want |= {(k, keys.index(k) % 5, outer, q % 4) for q, k in enumerate(left)}
     assert {tuple(x) for x in evaluation.folds(t).collect()} == want
+
+
+def test_names_of_many_copies(spark):
+    """A hot stem, numbers that are taken over the bounds of blocks, names that only look numbered, nulls."""
+    stems = ["a"] * 400 + [f"a_{n}" for n in (2, 3, 4, 5, 8, 9, 31, 32, 33, 64, 399, 400, 5000)] + ["a_2"] * 3 + ["a_2_2", "a_02", "a_1", "b", "c_7", "c_99999999999"] + ["b"] * 5 + ["", "", None, None]
+    rows = [(i * 7919 % 1009, s) for i, s in enumerate(stems)]
+    t = spark.createDataFrame(rows, "no int, stem string").repartition(5)
+    used, want, seen = {s for s in stems if s is not None}, {}, {}
+    for no, s in sorted(rows):
+        if s is None or s not in seen:
+            want[no], seen[s] = s, 1
+            continue
+        seen[s] += 1
+        while f"{s}_{seen[s]}" in used:
+            seen[s] += 1
+        want[no] = f"{s}_{seen[s]}"
+    for block in (4, 1024):
+        got = catalogue.unique_names(t, "no", block=block)
+        assert got.columns == ["no", "stem", "name"]
+        assert {r["no"]: r["name"] for r in got.collect()} == want
+    assert catalogue.unique_names(t.limit(0), "no").count() == 0

@@ -30,14 +30,21 @@ def shuffled_places(rows: DataFrame, key: str, seed: int, by: tuple[str, ...] =
     return t.withColumn("_nth", nth).join(counts, [*by, "_s"]).withColumn(name, F.col("_nth") + F.col("_base")).drop("_h", "_s", "_nth", "_base")
 
 
-def ordered_places(rows: DataFrame, key: str, cuts: int = 1000, name: str = "place") -> DataFrame:
-    """rows, with different keys, and their place, from 0, in order of key. Ranges between cuts, a bounded number of keys that are
-    taken by hash, are counted and numbered one by one."""
-    found = sorted(r[0] for r in rows.select(key).filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(cuts).collect())
+def slot_places(rows: DataFrame, slot: str, *order: str | Column, by: tuple[str, ...] = (), name: str = "place") -> DataFrame:
+    """rows with their place, from 0, in the order of slot and within it of order, among the rows that are equal in by. Only rows of
+    one slot are sorted together; what is summed up over slots is a row for each."""
+    counts = rows.groupBy(*by, slot).agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(*by, *([] if by else [F.lit(0)])).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*[F.col(c).alias(f"_by_{c}") for c in (*by, slot)], F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
+    t = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*by, slot).orderBy(*order)) - 1)
+    on = [t[c].eqNullSafe(counts[f"_by_{c}"]) for c in (*by, slot)]
+    return t.join(counts, on).withColumn(name, F.col("_nth") + F.col("_base")).select(*rows.columns, name)
+
+
+def ordered_places(rows: DataFrame, key: str, cuts: int = 1000, name: str = "place", by: tuple[str, ...] = ()) -> DataFrame:
+    """rows and their place, from 0, in order of key, nulls first, among the rows that are equal in by. Ranges between cuts, a bounded
+    number of keys that are taken by hash, are counted and numbered one by one."""
+    found = sorted({r[0] for r in rows.select(key).filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(cuts).collect()})
     t = rows.withColumn("_s", F.size(F.filter(F.array(*map(F.lit, found)), lambda c: c <= F.coalesce(F.col(key), c))) if found else F.lit(0))
     t = t.withColumn("_s", F.when(F.col(key).isNull(), -1).otherwise(F.col("_s")))
-    counts = t.groupBy("_s").agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy(F.lit(0)).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    counts = counts.select("_s", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
-    nth = F.row_number().over(Window.partitionBy("_s").orderBy(key)) - 1
-    return t.withColumn("_nth", nth).join(counts, "_s").withColumn(name, F.col("_nth") + F.col("_base")).drop("_s", "_nth", "_base")
+    return slot_places(t, "_s", key, by=by, name=name).drop("_s")

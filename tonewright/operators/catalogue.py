@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import ordered_places, slot_places
+
 #: Speaker ids that a manifest may have.
 SPEAKER_IDS = (0, 109)
 
@@ -93,14 +95,25 @@ def union_feeds(query: str, store, **feeds) -> tuple[DataFrame, list[str]]:
     return out, failed
 
 
-def unique_names(stems: DataFrame, order: str, stem: str = "stem") -> DataFrame:
-    """name: the first of equal stems keeps it, later ones get _2, _3 and so on, skipping names that are stems already."""
-    nth = F.row_number().over(Window.partitionBy(stem).orderBy(order)) - 1
+def unique_names(stems: DataFrame, order: str, stem: str = "stem", block: int = 1024) -> DataFrame:
+    """name: the first of equal stems keeps it, later ones get _2, _3 and so on, skipping names that are stems already; a null stem
+    keeps none. Equal stems are numbered in ranges of order. The numbers that are taken are looked up by equal keys: a copy needs
+    those of its own block of numbers, at most block, and how many come in the blocks before."""
+    t = ordered_places(stems, order, name="_k", by=(stem,))
     base, number = F.regexp_extract(stem, r"^(.*)_([1-9]\d*)$", 1), F.regexp_extract(stem, r"^(.*)_([1-9]\d{0,8})$", 2)
-    taken = stems.select(base.alias("_b"), number.try_cast("int").alias("_n")).filter("_n >= 2").groupBy("_b").agg(F.array_sort(F.collect_set("_n")).alias("_taken"))
-    t = stems.withColumn("_k", nth).join(taken, F.col(stem) == F.col("_b"), "left")
-    free = F.aggregate(F.coalesce("_taken", F.expr("array()").cast("array<int>")), (F.col("_k") + 1).cast("int"), lambda n, used: F.when(used <= n, n + 1).otherwise(n))
-    return t.withColumn("name", F.when(F.col("_k") == 0, F.col(stem)).otherwise(F.concat_ws("_", stem, free.cast("string")))).drop("_k", "_b", "_taken")
+    taken = stems.select(base.alias("_b"), number.try_cast("int").alias("_n")).filter("_n >= 2").distinct()
+    taken = slot_places(taken.withColumn("_s", F.floor(F.col("_n") / block)), "_s", "_n", by=("_b",), name="_j")
+    # Without the taken numbers below it, one stands at _n - _j: a copy passes all that stand at its own number or before.
+    at = (F.col("_n") - F.col("_j")).alias("_at")
+    steps = taken.groupBy("_b", at).agg(F.count("*").alias("_many")).groupBy("_b", F.floor(F.col("_at") / block).alias("_s")).agg(F.collect_list(F.struct("_at", "_many")).alias("_in"), F.sum("_many").alias("_sum"))
+    t = t.withColumns({"_v": F.col("_k") + 1, "_s": F.floor((F.col("_k") + 1) / block)})
+    both = t.filter("_k > 0").select(F.col(stem).alias("_b"), "_s").distinct().join(steps, ["_b", "_s"], "full_outer")
+    before = F.sum("_sum").over(Window.partitionBy("_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))  # a row a block
+    both = both.select("_b", F.col("_s").alias("_block"), F.coalesce(before, F.lit(0)).alias("_before"), "_in")
+    t = t.join(both, (F.col(stem) == F.col("_b")) & (F.col("_s") == F.col("_block")), "left")
+    inside = F.aggregate(F.coalesce("_in", F.array().cast("array<struct<_at:bigint,_many:bigint>>")), F.lit(0).cast("long"), lambda n, x: n + F.when(x["_at"] <= F.col("_v"), x["_many"]).otherwise(0))
+    free = F.col("_v") + F.col("_before") + inside
+    return t.withColumn("name", F.when(F.col("_k") == 0, F.col(stem)).otherwise(F.concat(stem, F.lit("_"), free.cast("string")))).select(*stems.columns, "name")
 
 
 def missing_outputs(inputs: DataFrame, outputs: DataFrame, key: str) -> DataFrame:

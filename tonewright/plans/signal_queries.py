@@ -9,7 +9,7 @@ from ..operators import evaluation, learning, signal, transcribe, windows
 from ..streaming import jobs
 from .catalog import Catalog, rounded
 from .source_queries import shared_folder, written
-from .testbed import FRAMES, NOTES, SAMPLES, frames, keyed, notes, samples, table, unkeyed
+from .testbed import FRAMES, NOTES, SAMPLES, est_notes, frames, keyed, notes, samples, table, unkeyed
 
 Q = Catalog()
 
@@ -268,6 +268,14 @@ def m3(spark, sf_dir):
     return rounded(out)
 
 
+@Q.add("q_method_report")
+def method_report(spark, sf_dir):
+    """How far a second annotator, decoding alone and the cross-validated onset model agree with the notes."""
+    seconds = lambda t: t.withColumns({c: F.col(c) / 10 for c in ("start", "end")})
+    second = seconds(est_notes(spark, sf_dir)).filter("start >= 0")
+    return rounded(transcribe.compare_methods(_labelled(spark, sf_dir), frames(spark, sf_dir), seconds(notes(spark, sf_dir)), second, store=lambda t, name: written(spark, t)))
+
+
 #: Rows in one file of a stream's input.
 FILE_ROWS = 100_000
 
