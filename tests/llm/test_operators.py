@@ -414,6 +414,32 @@ def test_ordinal_fit_finds_ordered_grades():
     assert (np.digitize(eta, th) == y).mean() > 0.9
 
 
+def test_grades_of_toxic_texts_come_from_models_that_did_not_see_them():
+    r = np.random.default_rng(4)
+    n, n_words = 240, 12
+    how = r.random(n) * np.where(np.arange(n) % 3 == 0, 1, 0)  # how toxic every third text is
+    x = r.random((n, n_words)) * 0.3
+    x[:, :4] += how[:, None] * 2
+    toxic = how > 0
+    doc, word = np.repeat(np.arange(n), n_words), np.tile(np.arange(n_words), n)
+    scores = toxicity.held_out_scores(doc, word, x.ravel(), toxic, n_words, folds=4, steps=200)
+    fold = np.empty(n, int)
+    for kind in (True, False):
+        fold[toxic == kind] = np.arange((toxic == kind).sum()) % 4
+    for k in range(4):  # by hand: fitted to the others, applied to its own
+        own = fold == k
+        rest = x[~own]
+        w, th = toxicity.fit_ordinal(np.repeat(np.arange(len(rest)), n_words), np.tile(np.arange(n_words), len(rest)), rest.ravel(), toxic[~own].astype(int), n_words, 2, steps=200)
+        assert scores[own] == pytest.approx(x[own] @ w - th[0])
+    grades = toxicity.severity(scores, toxic)
+    assert set(grades[~toxic]) == {0} and [(grades[toxic] == k).sum() for k in (1, 2, 3)] == pytest.approx([80 / 3] * 3, abs=1)
+    mean = [how[grades == k].mean() for k in (1, 2, 3)]
+    assert mean[0] < 0.35 < mean[1] < 0.65 < mean[2]
+    one = np.arange(n) == 0  # a single toxic text can't be held out
+    assert not toxicity.held_out_scores(doc, word, x.ravel(), one, n_words).any()
+    assert toxicity.severity(np.zeros(n), one).tolist() == [1] + [0] * (n - 1)
+
+
 def test_warc(spark):
     texts = awkward(6, 20)
     rows = [(i, f"http://x/{i}" if i % 3 else None, t, "z") for i, t in enumerate(texts)]

@@ -1,9 +1,10 @@
 """Toxicity grades by cumulative-link ordinal regression.
 
 P(grade >= k) = sigmoid(w.x - theta_k): one weight vector is shared by all ordered thresholds, and the expected severity
-of a text is the sum of these probabilities. Features are log counts of words and of word beginnings. The labels say only whether a text is
-toxic; among toxic texts of the sample severity is graded by how many features they have that are typical of toxic texts
-there (thirds of that count), which gives grades 0 to 3.
+of a text is the sum of these probabilities. Features are log counts of words and of word beginnings. The labels say only
+whether a text is toxic. How toxic, grades 1 to 3 of the toxic texts of the sample, is told by models that never saw the text:
+the sample is dealt into FOLDS, each is scored by a model of two grades that was fitted to the others, and the thirds of
+these scores are the grades. (The features themselves are chosen on the whole sample.)
 
 The fit takes a bounded sample: the MAX_LABELLED labelled documents whose ids have the smallest hashes, and of the
 features in at least MIN_DOCS of them the MAX_FEATURES that tell toxic from clean texts best. Everything else runs over all rows and whole texts, without a shuffle.
@@ -39,8 +40,8 @@ BEGINNINGS = (4, 5, 6, 7)
 #: Words whose features a Python worker keeps.
 CACHE = 1_000_000
 GRADES = 4
-#: Log odds from which on a word counts as typical of toxic texts.
-TYPICAL = 2.5
+#: Parts of the sample that are scored by models of the others, and the steps of these models.
+FOLDS, FOLD_STEPS = 4, 150
 L2 = 2e-4
 STEPS = 400
 
@@ -122,14 +123,25 @@ def fit_ordinal(doc: np.ndarray, word: np.ndarray, x: np.ndarray, y: np.ndarray,
     return w, theta(free)
 
 
-def severity(doc: np.ndarray, word: np.ndarray, count: np.ndarray, toxic: np.ndarray, n_words: int, grades: int = GRADES) -> np.ndarray:
-    """Grades of the sample: 0, or one more than the third of typical words that a toxic text is in."""
-    hot = np.bincount(word[toxic[doc]], minlength=n_words)
-    cold = np.bincount(word[~toxic[doc]], minlength=n_words)
-    odds = np.log((hot + 0.5) / (toxic.sum() + 1)) - np.log((cold + 0.5) / ((~toxic).sum() + 1))
-    hits = np.bincount(doc, count * (odds[word] >= TYPICAL), len(toxic))
-    bounds = np.quantile(hits[toxic], [k / (grades - 1) for k in range(1, grades - 1)])
-    return np.where(toxic, 1 + (hits[:, None] > bounds[None, :]).sum(1), 0)
+def held_out_scores(doc: np.ndarray, word: np.ndarray, x: np.ndarray, toxic: np.ndarray, n_words: int, folds: int = FOLDS, steps: int = FOLD_STEPS) -> np.ndarray:
+    """Of each text w.x less the threshold, by a model of toxic and clean that saw none of the texts of its fold. Both kinds are
+    dealt to folds in turn; where one has less than two texts nothing can be held out, and all score 0."""
+    out, folds = np.zeros(len(toxic)), min(folds, int(toxic.sum()), int((~toxic).sum()))
+    if folds < 2:
+        return out
+    nth = np.where(toxic, np.cumsum(toxic), np.cumsum(~toxic)) - 1
+    for k in range(folds):
+        own = nth % folds == k
+        place, seen = np.cumsum(~own) - 1, ~own[doc]
+        w, th = fit_ordinal(place[doc[seen]], word[seen], x[seen], toxic[~own].astype("int64"), n_words, 2, steps=steps)
+        out[own] = np.bincount(doc, x * w[word], len(toxic))[own] - th[0]
+    return out
+
+
+def severity(scores: np.ndarray, toxic: np.ndarray, grades: int = GRADES) -> np.ndarray:
+    """Grades of the sample: 0, or one more than the third of the toxic texts' scores that a toxic text is in."""
+    bounds = np.quantile(scores[toxic], [k / (grades - 1) for k in range(1, grades - 1)])
+    return np.where(toxic, 1 + (scores[:, None] > bounds[None, :]).sum(1), 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES, min_docs: int = MIN_DOCS) -> Ordinal:
@@ -167,8 +179,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     doc, word, n = (matrix[c].to_numpy() for c in ("doc", "word", "n"))
     order = np.lexsort((word, doc))  # the same sums in every run
     doc, word, n = doc[order], word[order], n[order].astype("float64")
-    y = severity(doc, word, n, toxic, len(names))
-    w, th = fit_ordinal(doc, word, np.log1p(n), y, len(names), GRADES)
+    x = np.log1p(n)
+    y = severity(held_out_scores(doc, word, x, toxic, len(names)), toxic)
+    w, th = fit_ordinal(doc, word, x, y, len(names), GRADES)
     return Ordinal({name: float(v) for name, v in zip(names, w, strict=True)}, tuple(map(float, th)))
 
 
