@@ -275,13 +275,29 @@ def test_bin_completion_is_best_on_small_cases():
         items = [r.randint(3, 14) for _ in range(9)]
         found = packing.complete({s: items.count(s) for s in items}, 20)
         plan = found.plan
-        assert found.best and found.sequences >= found.least
+        assert found.best and found.sequences >= found.least == packing.fewest(Counter(items), 20)
         assert sorted(s for kind, n in plan for s, k in kind for _ in range(k * n)) == sorted(items)
         assert all(sum(s * k for s, k in kind) <= 20 for kind, _ in plan)
         assert sum(n for _, n in plan) == least(items, 20)
     assert packing.complete({}, 20).plan == []
 
 
+def test_bound_on_the_number_of_bins():
+    assert packing.fewest({}, 20) == 0 and packing.fewest({20: 3, 0: 2}, 20) == 3
+    assert packing.fewest({11: 4, 10: 3}, 20) == 6  # 74 of 80 would fit into 4; tens don't go beside elevens
+    assert packing.fewest({14: 5, 7: 2, 6: 5}, 20) == 6 and packing.fewest({21: 1, 20: 1, 3: 4}, 41) == 2
+    r = np.random.default_rng(8)
+    for _ in range(50):
+        items, cap = r.integers(1, 41, 30).tolist(), 40
+        c = Counter(items)
+        want = max(
+            sum(s > cap / 2 for s in items) + max(0, math.ceil((sum(s for s in items if low <= s <= cap / 2) - sum(cap - s for s in items if cap / 2 < s <= cap - low)) / cap))
+            for low in range(cap // 2 + 1)
+        )
+        assert packing.fewest(c, cap) == want >= math.ceil(sum(items) / cap)
+        assert want <= sum(n for _, n in packing.best_fit(c, cap))
+
+
 def test_bin_completion_searches_at_full_size():
     """Lengths for which best-fit decreasing isn't best: the search must run and find the planted packing."""
     r = random.Random(4)

@@ -166,12 +166,23 @@ def fillings(counts: dict[int, int], room: int, most: int) -> tuple[list[Pattern
     return [f[2] for f in sorted(found)[:most]], all_seen and len(found) <= most
 
 
+def fewest(counts: dict[int, int], capacity: int) -> int:
+    """The L2 bound of Martello and Toth on the number of bins. Items over half a bin need one each; for every size up to half, the
+    items from that size to half a bin need more as far as the room beside those that leave so much is too little for them."""
+    size, half = np.arange(capacity + 1), capacity // 2
+    n = np.array([counts.get(int(s), 0) for s in size], "int64")
+    load, room = np.cumsum(n * size), np.cumsum(np.where(size > half, n * (capacity - size), 0))
+    low = size[: half + 1]
+    small = load[half] - load[low] + (n * size)[low]
+    return int(n[half + 1 :].sum() + max(0, (-(-(small - room[capacity - low]) // capacity)).max()))
+
+
 def complete(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int = MAX_NODES) -> Packing:
     """Bin completion over a histogram of lengths, in as few bins as are found."""
     counts = {s: n for s, n in counts.items() if n}
     best = best_fit(counts, capacity)
     total, bins = sum(s * n for s, n in counts.items()), sum(n for _, n in best)
-    least = max(-(-total // capacity), sum(n for s, n in counts.items() if 2 * s > capacity))
+    least = fewest(counts, capacity)
     nodes, whole = 0, True
     # One histogram for the whole search: a step takes its items off and puts them back when it's undone.
     left, done, used, waste = dict(counts), [], 0, 0
