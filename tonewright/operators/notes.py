@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,9 @@ from ..functions import music
 from ..functions.stats import quantile
 from . import decoding
 
+#: Frames that a task gathers before it decodes the whole tracks among them.
+HELD = 50_000
+
 
 def in_span(spans: DataFrame, frames: DataFrame, trim: bool = False) -> DataFrame:
     """Frames joined to the spans they lie in, by frame number: spans are exploded, so the join has equal keys only. With
@@ -78,24 +82,38 @@ def drop_blips(notes: DataFrame, tracks: DataFrame, blip: float = 0.12, confiden
 
 def decode_notes(frames: DataFrame, inputs: DataFrame, keys: DataFrame) -> DataFrame:
     """note of each frame by decoding (-1: silence). frames has midi, voice_p and conf; inputs comes from hmm_inputs(), keys
-    has root and mode. A track is one group, at most a few MB; what is known of a track comes beside its frames as one row.
-    Tracks without such a row have no path."""
-    t = frames.select("track_id", "idx", "midi", "voice_p", "conf")
-    facts = inputs.select("track_id", "lo", "hi", "sigma", "penalty").join(keys.select("track_id", "root", "mode"), "track_id").withColumnRenamed("track_id", "_track")
-    facts = facts.select(F.col("_track").alias("_track"), "lo", "hi", "sigma", "penalty", "root", "mode")  # a column of its own, though both come from the same frames
-
-    def run(g: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
-        if g.empty or facts.empty:
-            return pd.DataFrame({"track_id": [], "idx": [], "note": []})
-        g, one = g.sort_values("idx"), facts.iloc[0]
-        steps = [(int(one["root"]) + k) % 12 for k in music.SCALE_STEPS[one["mode"]]]
-        lo, hi = int(one["lo"]), int(one["hi"])
-        prior = np.where(np.isin(np.arange(lo, hi + 1) % 12, steps), 0.0, -float(one["penalty"]))
-        weight = np.clip((g["conf"].to_numpy() - 0.2) / 0.6, 0.25, 1.0)
-        note = decoding.viterbi(g["midi"].to_numpy("float64", na_value=np.nan), g["voice_p"].to_numpy(), weight, lo, hi, float(one["sigma"]), prior)
-        return pd.DataFrame({"track_id": g["track_id"], "idx": g["idx"], "note": note.astype("int32")})
-
-    return t.groupBy("track_id").cogroup(facts.groupBy("_track")).applyInPandas(run, "track_id long, idx int, note int")
+    has root and mode. Tracks without a row there have no path. The tracks of a partition go by in order of their frames, and
+    those whole in HELD rows or little more are decoded side by side. A task needs some 200 MB for it, more only for a longer track."""
+    facts = inputs.select("track_id", "lo", "hi", "sigma", "penalty").join(keys.select("track_id", "root", "mode"), "track_id")
+    facts = facts.select(F.col("track_id").alias("_track"), "lo", "hi", "sigma", "penalty", "root", "mode")  # a column of its own, though both come from the same frames
+    t = frames.select("track_id", "idx", "midi", "voice_p", "conf").join(facts, F.col("track_id") == F.col("_track")).drop("_track")
+    # The window deals and sorts the frames by track, so that each track comes whole and in order.
+    t = t.withColumn("_first", F.row_number().over(Window.partitionBy("track_id").orderBy("idx")) == 1)
+
+    def solved(rows: pa.Table) -> pa.RecordBatch:
+        starts = np.flatnonzero(rows["_first"].to_numpy())
+        facts = rows.select(["lo", "hi", "sigma", "penalty", "root", "mode"]).take(starts).to_pylist()
+        number = {c: rows[c].to_numpy().astype("float64") for c in ("midi", "voice_p", "conf")}
+        weight, tracks = np.clip((number["conf"] - 0.2) / 0.6, 0.25, 1.0), []
+        for a, b, one in zip(starts, [*starts[1:], rows.num_rows], facts, strict=True):
+            steps = [(one["root"] + k) % 12 for k in music.SCALE_STEPS[one["mode"]]]
+            prior = np.where(np.isin(np.arange(one["lo"], one["hi"] + 1) % 12, steps), 0.0, -one["penalty"])
+            tracks.append((number["midi"][a:b], number["voice_p"][a:b], weight[a:b], one["lo"], one["hi"], one["sigma"], prior))
+        note = np.concatenate(decoding.viterbi_many(tracks)).astype("int32")
+        cols = [rows["track_id"].combine_chunks(), rows["idx"].combine_chunks(), pa.array(note)]
+        return pa.RecordBatch.from_arrays(cols, names=["track_id", "idx", "note"])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if held.num_rows >= HELD and (end := int(np.flatnonzero(held["_first"].to_numpy())[-1])):
+                yield solved(held.slice(0, end))
+                held = held.slice(end)
+        if held is not None and held.num_rows:
+            yield solved(held)
+
+    return t.mapInArrow(run, "track_id long, idx int, note int")
 
 
 def segment_onsets(frames: DataFrame, threshold: float = 0.25, least: int = 6, gap: int = 6) -> DataFrame:
@@ -143,9 +161,10 @@ def notes_from_path(spans: DataFrame, frames: DataFrame, tracks: DataFrame, valu
     return t.withColumn("pitch", F.when(keep, F.col("note")).otherwise(F.rint("est")).cast("int")).drop("_m", "autotuned")
 
 
-def fold_slides(notes: DataFrame, frames: DataFrame, fps: float = 100.0, value: str = "midi") -> DataFrame:
-    """Very short notes that never settle merged into a neighbour. Notes of a track go to the helper with the pitches of the
-    short ones and of what they may merge with."""
+def fold_slides(notes: DataFrame, frames: DataFrame, fps: float = 100.0, value: str = "midi", blip: float = 0.12) -> DataFrame:
+    """Notes shorter than blip that never settle merged into a neighbour. Notes of a track go to the helper with the pitches
+    before the ends of the short ones: those of the last blip seconds, as a short note may have taken in another before it."""
+
     def run(key, n: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
         if n.empty:
             return n
@@ -159,10 +178,12 @@ def fold_slides(notes: DataFrame, frames: DataFrame, fps: float = 100.0, value:
             return len(x), float(x.std()) if len(x) else 0.0, float(np.median(x)) if len(x) else 0.0
 
         n = n.sort_values(["start", "end"])
-        start, end, stays = decoding.fold_slides(n["start"].to_numpy(), n["end"].to_numpy(), n["pitch"].to_numpy(), spread)
+        start, end, stays = decoding.fold_slides(n["start"].to_numpy(), n["end"].to_numpy(), n["pitch"].to_numpy(), spread, blip)
         return n.assign(start=start, end=end)[stays]
 
-    curve = frames.select(F.col("track_id").alias("_track"), "idx", value)
+    places = F.sequence(F.floor((F.col("end") - blip) * fps) - 1, F.ceil(F.col("end") * fps) + 1)
+    short = notes.filter(F.col("end") - F.col("start") < blip).select(F.col("track_id").alias("_track"), F.explode(places).alias("idx")).distinct()
+    curve = frames.select(F.col("track_id").alias("_track"), "idx", value).join(short, ["_track", "idx"], "left_semi")
     return notes.groupBy("track_id").cogroup(curve.groupBy("_track")).applyInPandas(run, notes.schema)
 
 
