@@ -79,4 +79,4 @@ QUERIES = {
         op11_secrets, op12_tokenizer_alignment, op13_source_divergence,
     )
 }
-SQL = {m.QUERY: m.SQL for m in (exact_dedup, quality_rules, mixing, ngram_join, sharding, divergence)}
+SQL = {m.QUERY: m.SQL for m in (exact_dedup, quality_rules, warc, mixing, ngram_join, sharding, divergence)}

@@ -11,6 +11,7 @@ it; smaller ones are all responses. The payload of a digest goes through the shu
 Defined results
 * null payload counts as empty; null ids rank below all others, their records are named by an empty string;
 * rows that repeat with the same id and payload are each a response if one of them is;
+* line breaks in addresses are left out of the headers;
 * an empty table gives an empty archive; columns other than the id, the address and the payload aren't archived.
 """
 
@@ -142,3 +143,11 @@ def round_trip(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", ur
 
 
 QUERY = "op5_warc"
+
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+k AS (SELECT h, sha1(h) AS s, CAST(strlen(h) AS BIGINT) AS n, max(page_id) AS keep FROM p GROUP BY h),
+b AS (SELECT *, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(s, 1 + 5 * (i // 4), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31), 1) FOR i IN range(32)], '') AS d FROM k)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM p JOIN b USING (h)
+"""
