@@ -397,7 +397,7 @@ def links(docs: DataFrame, sim: Similarity, id_col: str = "doc_id", text_col: st
     members = clusters.join(sets, clusters["id"] == sets["_id"]).select("_id", F.col("label").alias("cluster"), "n", "mins")
     members = stored(members, "members")
     total = members.groupBy("cluster").agg(F.min("_id").alias("_p"), F.max("_id").alias("_q"), _blocks(max_block, max_sets).alias("blocks")).filter("_p < _q").drop("_p", "_q")
-    members = stored(members.join(total, "cluster").withColumn("label", F.col("_id")), "clustered")
+    members = stored(members.join(_sent(total, "cluster-sizes", broadcast_rows), "cluster").withColumn("label", F.col("_id")), "clustered")
 
     light = _with_text(members.filter("blocks = 1").select("_id", "cluster", "label").distinct(), docs, id_col, text_col, broadcast_rows)
     merges = stored(_joined(light, ["cluster"], sim), "merges")
@@ -407,6 +407,13 @@ def links(docs: DataFrame, sim: Similarity, id_col: str = "doc_id", text_col: st
     return found, components(pairs.unionByName(merges))
 
 
+def _sent(sizes: DataFrame, name: str, broadcast_rows: int) -> DataFrame:
+    """A stored table with a row for each key, broadcast up to broadcast_rows: what is joined with it then stays where it is, however
+    many rows have one key."""
+    sizes = stored(sizes, name)
+    return F.broadcast(sizes) if sizes.count() <= broadcast_rows else sizes
+
+
 def _blocks(max_block: int, max_sets: int):
     """Blocks that the sets of a group are split into."""
     return F.ceil(F.greatest(F.sum("n") / max_block, F.count("*") / max_sets, F.lit(1.0)))
@@ -420,7 +427,7 @@ def _heavy(heavy: DataFrame, docs: DataFrame, sim: Similarity, id_col: str, text
         # What agrees in the least hash is split by id if it's too much; in a later round what's left of it meets.
         some = now.withColumn("least", F.element_at("mins", turn % ROUNDS + 1))
         size = some.groupBy("cluster", "least").agg(_blocks(max_block, max_sets).alias("_t"), F.count("*").alias("_c")).filter("_c > 1")
-        some = stored(some.join(size, ["cluster", "least"]).withColumn("block", F.pmod(F.xxhash64("_id", F.lit(turn)), F.col("_t"))), "blocks")
+        some = stored(some.join(_sent(size, "block-sizes", broadcast_rows), ["cluster", "least"]).withColumn("block", F.pmod(F.xxhash64("_id", F.lit(turn)), F.col("_t"))), "blocks")
         got = stored(_joined(text(some.select("_id", "cluster", "least", "block", "label").distinct()), ["cluster", "least", "block"], sim), "merges")
         merges = got if merges is None else merges.unionByName(got)
         if turn >= ROUNDS - 1 and some.filter("_t > 1").limit(1).count() == 0:
@@ -430,12 +437,12 @@ def _heavy(heavy: DataFrame, docs: DataFrame, sim: Similarity, id_col: str, text
     classes = components(merges)
     labelled = heavy.select("_id", "cluster", "n").join(classes.withColumnRenamed("id", "_id"), "_id", "left").withColumn("label", F.coalesce("label", "_id"))
     several = labelled.groupBy("cluster").agg(F.min("label").alias("p"), F.max("label").alias("q")).filter("p != q").select("cluster")
-    open_ = stored(labelled.join(several, "cluster"), "open")
+    open_ = stored(labelled.join(_sent(several, "open-clusters", broadcast_rows), "cluster"), "open")
     if open_.limit(1).count() == 0:
         return merges
     step = math.log(sim.den / sim.num)
     open_ = open_.withColumn("bin", F.floor(F.log(F.col("n")) / step))
-    sums = open_.groupBy("cluster", "bin").agg(_blocks(max_block // 2, max_sets // 2).alias("salts"))
+    sums = _sent(open_.groupBy("cluster", "bin").agg(_blocks(max_block // 2, max_sets // 2).alias("salts")), "bins", broadcast_rows)
     blocks = sums.select("cluster", "bin", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     other = blocks.select("cluster", F.col("bin").alias("bin2"), F.col("salt").alias("salt2"))
     near = blocks.select("*", F.explode(F.array(F.col("bin"), F.col("bin") + 1)).alias("bin2")).join(other, ["cluster", "bin2"])
