@@ -12,6 +12,30 @@ def quantile(value: str | Column, p: float, accuracy: int | None = None) -> Colu
     return F.percentile(value, F.lit(p)) if accuracy is None else F.percentile_approx((F.col(value) if isinstance(value, str) else value).cast("double"), p, accuracy)
 
 
+def _fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c, rounded once: what the product and the sum lose is added at the end."""
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        big = x * 134217729.0
+        return big - (big - x), x - (big - (big - x))
+
+    (ah, al), (bh, bl), product = halves(a), halves(b), a * b
+    total = product + c
+    lost = ((ah * bh - product) + ah * bl + al * bh) + al * bl
+    back = total - product
+    out = total + (lost + ((product - (total - back)) + (c - back)))
+    return F.when(F.isnan(out), total).otherwise(out)  # infinite values have no parts
+
+
+def fused_quantile(values: Column, p: float) -> Column:
+    """The quantile p of an array, rounded as quantile_cont of the SQL twins is: where it's cut by floor(), the last bit tells."""
+    v, at = F.array_sort(values), (F.size(values) - 1) * F.lit(p)
+    k = F.floor(at).cast("int")
+    part = at - k
+    low, high = F.get(v, k).cast("double"), F.get(v, F.least(k + 1, F.size(values) - 1)).cast("double")
+    return F.when(part == 0, low).otherwise(_fused(low, 1 - part, high * part))
+
+
 def shuffle_key(*parts: str | Column, seed: int) -> Column:
     """A text that rows are shuffled by: the MD5 of the parts and the seed."""
     return F.md5(F.concat_ws(":", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts], F.lit(str(seed))))
