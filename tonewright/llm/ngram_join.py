@@ -13,8 +13,9 @@ mostly such shingles are dealt by all of theirs as well. Which shingles count as
 
 Equal sets are one node from the start. A cluster over MAX_BLOCK shingles or MAX_SETS sets is dealt anew: in a few rounds by the
 least of its shingles' hashes, under another hash in each round, so that similar sets meet, and linked documents are replaced
-by one of them; then, where more than one class is left, the pairs of blocks of compatible sizes are traversed, so no link is
-lost at any cluster size.
+by one of them; then, where more than one class is left, the pairs of blocks of compatible sizes are compared by bitmaps of the
+sets, whose differing bits bound what the sets differ in, and what can link is taken in finer clusters. Where these are large
+still, the pairs of their blocks are traversed, so no link is lost at any cluster size.
 
 Defined results
 * null text counts as empty; sets without a shingle link with nothing, each is a class of its own;
@@ -109,6 +110,15 @@ class Similarity:
             out.append(max(out[-1] + 1, int(out[-1] * CLASS_RATIO)))
         return out
 
+    @functools.cached_property
+    def bins(self) -> np.ndarray:
+        """First size of each of the wider classes, the last one beyond any size: the largest set that links with one of a class is
+        in the class after it."""
+        out = [1]
+        while out[-1] < 1 << 40:
+            out.append(max(self.most(out[-1]) + 1, out[-1] * 5 // 4))
+        return np.array(out, "int64")
+
     @functools.lru_cache(maxsize=None)  # noqa: B019
     def parts(self, c: int) -> tuple[int, np.ndarray]:
         """Slack and inner bounds of the parts of the hash range for class c. Sets of the class that link agree in more
@@ -433,9 +443,35 @@ def _heavy(heavy: DataFrame, docs: DataFrame, sim: Similarity, id_col: str, text
     open_ = stored(labelled.join(several, "cluster"), "open")
     if open_.limit(1).count() == 0:
         return merges
-    step = math.log(sim.den / sim.num)
-    open_ = open_.withColumn("bin", F.floor(F.log(F.col("n")) / step))
-    sums = open_.groupBy("cluster", "bin").agg(_blocks(max_block // 2, max_sets // 2).alias("salts"))
+    # Passages tie unlike documents into one cluster. Bitmaps tell which pairs can link at all, and take a small part of the place
+    # of texts in the pairs of blocks; texts go only to the documents that they leave.
+    finer = components(_near(text(open_.select("_id", "cluster", "label").distinct()), sim, max_block, max_sets))
+    open_ = stored(open_.drop("cluster").join(finer.select(F.col("id").alias("_id"), F.col("label").alias("cluster")).distinct(), "_id"), "finer")
+    total = open_.groupBy("cluster").agg(F.min("label").alias("_p"), F.max("label").alias("_q"), _blocks(max_block, max_sets).alias("blocks")).filter("_p != _q").drop("_p", "_q")
+    open_ = stored(open_.join(total, "cluster"), "open")
+    merges = merges.unionByName(stored(_joined(text(open_.filter("blocks = 1").select("_id", "cluster", "label").distinct()), ["cluster"], sim), "merges"))
+    large = open_.filter("blocks > 1").drop("blocks")
+    if large.limit(1).count() == 0:
+        return merges
+    placed = _block_pairs(large.select("*", _bin_of(sim)(F.col("n")).alias("bin")), max_block // 2, max_sets // 2).select("_id", "cluster", "label", "task", "side").distinct()
+    return merges.unionByName(stored(_joined(text(stored(placed, "placed")), ["cluster", "task"], sim), "merges"))
+
+
+def _bin_of(sim: Similarity):
+    """The number of the size class of n, as a function of a column: sets that link are of one class or of two that follow each other."""
+    bounds = sim.bins
+
+    @F.pandas_udf("long")
+    def bin_of(n: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, n.to_numpy(), "right") - 1)
+
+    return bin_of
+
+
+def _block_pairs(rows: DataFrame, max_block: int, max_sets: int) -> DataFrame:
+    """rows (_id, cluster, n, bin, ...) dealt to the pairs of blocks of a cluster that are of one bin or two that follow each
+    other: task, and side, which of the two blocks a row is in. A pair of a block with itself has one side."""
+    sums = rows.groupBy("cluster", "bin").agg(_blocks(max_block, max_sets).alias("salts"))
     blocks = sums.select("cluster", "bin", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     other = blocks.select("cluster", F.col("bin").alias("bin2"), F.col("salt").alias("salt2"))
     near = blocks.select("*", F.explode(F.array(F.col("bin"), F.col("bin") + 1)).alias("bin2")).join(other, ["cluster", "bin2"])
@@ -443,9 +479,65 @@ def _heavy(heavy: DataFrame, docs: DataFrame, sim: Similarity, id_col: str, text
     near = near.withColumn("task", F.struct("bin", "salt", "bin2", "salt2"))
     first = near.select("cluster", "bin", "salt", "task", F.lit(0).alias("side"))
     second = near.filter((F.col("bin") != F.col("bin2")) | (F.col("salt") != F.col("salt2"))).select("cluster", F.col("bin2").alias("bin"), F.col("salt2").alias("salt"), "task", F.lit(1).alias("side"))
-    placed = open_.join(sums, ["cluster", "bin"]).withColumn("salt", F.pmod(F.xxhash64("_id"), F.col("salts")))
-    placed = placed.join(stored(first.unionByName(second), "block-pairs"), ["cluster", "bin", "salt"]).select("_id", "cluster", "label", "task", "side").distinct()
-    return merges.unionByName(stored(_joined(text(stored(placed, "placed")), ["cluster", "task"], sim), "merges"))
+    placed = rows.join(sums, ["cluster", "bin"]).withColumn("salt", F.pmod(F.xxhash64("_id"), F.col("salts")))
+    return placed.join(stored(first.unionByName(second), "block-pairs"), ["cluster", "bin", "salt"])
+
+
+def _width(high: int) -> int:
+    """Bits of the bitmaps of sets up to a size: a power of two, at least twice as many."""
+    return max(256, 1 << (2 * high - 1).bit_length())
+
+
+def parity(s: np.ndarray, width: int) -> np.ndarray:
+    """Bit k is set if an odd number of the set's hashes end in k. Two bitmaps differ in no more bits than their sets in shingles."""
+    return np.packbits(np.bincount((s & _U(width - 1)).astype("int64"), minlength=width).astype(np.uint8) & 1)
+
+
+def _near(rows: DataFrame, sim: Similarity, max_block: int, max_sets: int) -> DataFrame:
+    """Edges (a, b) from the documents of rows (_id, text, cluster, label) that can link with one of another label in their cluster, by
+    the bits that their bitmaps differ in: two documents that link come out connected. A row's bitmap has some two bits a
+    shingle, so a task has eight times the sets that it would have as texts."""
+    bounds, schema = sim.bins, "_id long, cluster long, label long, n long, bin long, bits binary"
+
+    def mark(batches):
+        for b in batches:
+            sets = [shingles(x.as_py(), sim.n) for x in b.column("text")]
+            have = [i for i, s in enumerate(sets) if len(s)]
+            bins = np.searchsorted(bounds, [len(sets[i]) for i in have], "right") - 1
+            bits = [parity(sets[i], _width(int(bounds[k + 1]) - 1)).tobytes() for i, k in zip(have, bins, strict=True)]
+            cols = [b.column(c).take(pa.array(have, pa.int64())) for c in ("_id", "cluster", "label")]
+            cols += [pa.array([len(sets[i]) for i in have], pa.int64()), pa.array(bins, pa.int64()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["_id", "cluster", "label", "n", "bin", "bits"])
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        frame = frame.sort_values("side", kind="stable")
+        ids, label, n, side = (frame[c].to_numpy("int64") for c in ("_id", "label", "n", "side"))
+        if len(ids) < 2 or (label == label[0]).all():
+            return none
+        width = min(len(x) for x in frame["bits"])
+        maps = np.empty((len(ids), width // 8), _U)
+        for i, x in enumerate(frame["bits"]):
+            x = np.frombuffer(x, _U)
+            while len(x) > width // 8:  # of a set in the larger bin: its upper half is laid over the lower
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            maps[i] = x
+        two = side[-1] > 0
+        cut = int(np.searchsorted(side, 1)) if two else len(ids)
+        group = np.arange(len(ids))
+        for i in range(cut):
+            lo = cut if two else i + 1
+            differ = np.bitwise_count(maps[lo:] ^ maps[i]).sum(1, dtype="int64")
+            can = (differ * (sim.den + sim.num) <= (n[lo:] + n[i]) * (sim.den - sim.num)) & (label[lo:] != label[i])
+            if can.any():
+                met = np.unique(np.append(group[lo:][can], group[i]))
+                if len(met) > 1:
+                    group[np.isin(group, met)] = met[0]
+        a, b = ids, ids[group]
+        return pd.DataFrame({"a": a[a != b], "b": b[a != b]}) if (a != b).any() else none
+
+    marks = stored(rows.select("_id", "text", "cluster", "label").mapInArrow(mark, schema), "marks")
+    return stored(_block_pairs(marks, 4 * max_block, 4 * max_sets).groupBy("cluster", "task").applyInPandas(run, "a long, b long"), "near")
 
 
 def classes(docs: DataFrame, sim: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
