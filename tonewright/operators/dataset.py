@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -148,12 +149,17 @@ def cut_fixed(slices: DataFrame, per: float = 3.7, overlap: float = 0.3) -> Data
 def slice_on_silence(rms: DataFrame, threshold: float, least: int, interval: int, kept: int) -> DataFrame:
     """Hop ranges of clips between silences from (clip, hop, rms, n_samples): the table of levels is small, a clip is a group."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("hop")
-        found = decoding.slice_on_silence(g["rms"].to_numpy("float64"), int(g["n_samples"].iloc[0]), threshold, least, interval, kept)
-        return pd.DataFrame({"clip": g["clip"].iloc[0], "slice_no": range(len(found)), "s": [a for a, _ in found], "e": [b for _, b in found]})
-
-    return rms.select("clip", "hop", "rms", "n_samples").groupBy("clip").applyInPandas(run, "clip long, slice_no int, s int, e int")
+    def run(frames):
+        for f in frames:
+            rows = []
+            for clip, n, levels in zip(f["clip"], f["n_samples"], f["rms"], strict=True):
+                found = decoding.slice_on_silence(np.asarray(levels, "float64"), int(n), threshold, least, interval, kept)
+                rows += [(clip, k, a, b) for k, (a, b) in enumerate(found)]
+            yield pd.DataFrame(rows, columns=["clip", "slice_no", "s", "e"])
+
+    t = rms.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("hop", "rms", "n_samples"))).alias("_l"))
+    t = t.select("clip", F.col("_l")[0]["n_samples"].alias("n_samples"), F.transform("_l", lambda x: x["rms"].cast("double")).alias("rms"))
+    return t.mapInPandas(run, "clip long, slice_no int, s int, e int")
 
 
 def protect_mix(rows: DataFrame, feats: str, orig: str, pitch: str, p: float) -> DataFrame:
