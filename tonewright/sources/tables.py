@@ -160,15 +160,27 @@ def parse_wav(data: bytes) -> tuple[int, np.ndarray]:
     return rate, x[: len(x) // channels * channels].reshape(-1, channels).mean(1)
 
 
+#: Samples that a task gathers before it passes their chunks on.
+HELD_SAMPLES = 1 << 20
+
+
 def decode_wav(files: DataFrame, chunk: int = 160_000) -> DataFrame:
-    """Chunk rows (clip, rate, chunk_no, start, samples) from binaryFile rows."""
+    """Chunk rows (clip, rate, chunk_no, start, samples) from binaryFile rows, those of small files together."""
+    names = ["clip", "rate", "chunk_no", "start", "samples"]
 
     def run(frames):
         for f in frames:
+            rows, held = [], 0
             for path, content in zip(f["path"], f["content"], strict=True):
                 rate, x = parse_wav(bytes(content))
                 for n, at in enumerate(range(0, max(1, len(x)), chunk)):
-                    yield pd.DataFrame({"clip": [path], "rate": [rate], "chunk_no": [n], "start": [at], "samples": [x[at : at + chunk]]})
+                    rows.append((path, rate, n, at, x[at : at + chunk]))
+                    held += min(chunk, len(x) - at)
+                    if held >= HELD_SAMPLES:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "content").mapInPandas(run, "clip string, rate int, chunk_no int, start long, samples array<float>")
 
