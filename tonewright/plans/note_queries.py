@@ -246,7 +246,9 @@ avg(CAST(er.pitch IS NULL AS INTEGER)) AS missing FROM rr LEFT JOIN er ON er.tra
 
 
 def _times(spark, sf_dir):
-    return evaluation.time_accuracy(evaluation.rasterise(notes(spark, sf_dir), fps=20.0), evaluation.rasterise(est_notes(spark, sf_dir).filter("start >= 0"), fps=20.0))
+    n = notes(spark, sf_dir)
+    tasks = evaluation.tasks_for(n)
+    return evaluation.time_accuracy(evaluation.rasterise(n, fps=20.0, tasks=tasks), evaluation.rasterise(est_notes(spark, sf_dir).filter("start >= 0"), fps=20.0, tasks=tasks))
 
 
 @Q.add("a11_time_accuracy", f"WITH {NOTES}, {EST}, {TIME} SELECT track_id, round(on_pitch, 4) AS on_pitch, round(wrong_pitch, 4) AS wrong_pitch, round(missing, 4) AS missing FROM ta")
