@@ -346,7 +346,8 @@ def _blocks(spark, sf_dir, number: str | None = None):
     e = table(spark, sf_dir, "events")
     seq = F.col(number) if number else F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     x = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.sin(F.col("event_id") * 0.7 + i * 0.9) * F.col("value") / 100)
-    return e.select(F.col("user_id").alias("session"), "ts", seq.cast("long").alias("seq"), x.alias("samples"))
+    t = e.select(F.col("user_id").alias("session"), "ts", seq.cast("long").alias("seq"), x.alias("samples"))
+    return t if number else written(spark, t)  # numbered once, not for each slice of the stream
 
 
 def _summed(t):

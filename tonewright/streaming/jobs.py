@@ -3,13 +3,13 @@ table; the stateful ones sort it by seq within a session."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 
 def _marked(t: DataFrame, late: str) -> DataFrame:
@@ -85,6 +85,11 @@ def ring_step(ring: np.ndarray, block: np.ndarray, hop: int) -> np.ndarray:
     return np.concatenate([moved[: len(ring) - len(new)], new])
 
 
+@functools.lru_cache
+def fade_in(n: int) -> np.ndarray:
+    return np.sin(0.5 * np.pi * (np.arange(n) / max(1, n - 1))) ** 2
+
+
 def stitch_step(tail: np.ndarray, block: np.ndarray, search: int) -> tuple[np.ndarray, np.ndarray]:
     """A block moved to where it fits the kept tail best, cross-faded with it, and the new tail. Block lengths are those of the
     output, the tail and the search range together."""
@@ -92,13 +97,13 @@ def stitch_step(tail: np.ndarray, block: np.ndarray, search: int) -> tuple[np.nd
     near = np.lib.stride_tricks.sliding_window_view(block[: n + search], n)
     fit = near @ tail / np.sqrt((near * near).sum(1) + 1e-8)
     moved = block[int(fit.argmax()) :].copy()
-    up = np.sin(0.5 * np.pi * (np.arange(n) / max(1, n - 1))) ** 2
+    up = fade_in(n)
     moved[:n] = moved[:n] * up + tail * (1 - up)
     size = len(block) - n - search
     return moved[:size], moved[size : size + n]
 
 
-#: Stateful jobs keep their state in this store, which timers and lists of state need.
+#: Stateful jobs keep their state in this store, outside of the JVM's heap.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -107,78 +112,99 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
-class _InOrder(StatefulProcessor):
-    """Runs step(state, *arrays) over a session's blocks in order of seq. A block is held until its forerunner has come, or until
-    the watermark passes the block's own time: then nothing before it is still to come, and what's missing is skipped. A
-    session is forgotten when the watermark has left its last block behind by idle_ms."""
-
-    def __init__(self, step, start: list[float], names: list[str], first: int | None, idle_ms: int):
-        self.step, self.start, self.names, self.first, self.idle_ms = step, start, names, first, idle_ms
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.place = handle.getValueState("place", "next long, last_ms long, kept array<double>")
-        self.held = handle.getListState("held", "seq long, ms long, " + ", ".join(f"{n} array<double>" for n in self.names))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        got = [(int(r.seq), r.ts.value // 1_000_000, *(np.asarray(getattr(r, n), "float64").tolist() for n in self.names)) for f in rows for r in f.itertuples()]
-        yield self._advance(key, got, timerValues)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance(key, [], timerValues)
-
-    def _advance(self, key, got: list[tuple], timers) -> pd.DataFrame:
-        mark, rows = timers.getCurrentWatermarkInMs(), []
-        after, last_ms, kept = self.place.get() if self.place.exists() else (self.first, 0, self.start)
+def _through(step, kept: np.ndarray, blocks: list[list[np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The outputs of step(state, *arrays) for blocks one after another, and the state after them."""
+    out = []
+    for arrays in blocks:
+        made, kept = step(kept, *arrays)
+        out.append(made)
+    return out, kept
+
+
+#: Groups that sessions are dealt to by hash: a group's sessions share a call, as one costs some milliseconds whatever it does.
+GROUPS = 1024
+
+
+class _InOrder:
+    """Takes a session's blocks in order of seq. A block is held until its forerunner has come, or until the watermark passes the
+    block's own time: then nothing before it is still to come, and what's missing is skipped. A session is forgotten when the
+    watermark has left its last block behind by idle_ms. The state of a group of sessions comes and goes with its rows, so that
+    a session costs no calls to the store."""
+
+    def __init__(self, steps, start: list[float], names: list[str], first: int | None, idle_ms: int):
+        self.steps, self.start, self.names, self.first, self.idle_ms = steps, start, names, first, idle_ms
+
+    def schema(self, kind: str) -> str:
+        held = "seq: long, ms: long, " + ", ".join(f"{n}: array<double>" for n in self.names)
+        return f"sessions array<struct<session: {kind}, next: long, last_ms: long, kept: array<double>, held: array<struct<{held}>>>>"
+
+    def __call__(self, key, frames, state) -> Iterator[pd.DataFrame]:
+        mark, places, came, out = state.getCurrentWatermarkMs(), {}, {}, []
+        for session, *place in state.get[0] if state.exists else []:
+            places[session] = place
+        for f in frames:
+            for session, *x in zip(*(f[c].tolist() for c in ("session", "seq", "_ms", *self.names)), strict=True):
+                came.setdefault(session, []).append(x)
+        left, due = [], []
+        for session in {**places, **came}:
+            place, blocks = self._advance(mark, places.get(session, (self.first, 0, self.start, [])), came.get(session, []))
+            out += [(session, seq, x) for seq, x in blocks]
+            if place:
+                left.append((session, *place))
+                # The first of those that wait is let go as soon as the watermark reaches it.
+                due.append(place[3][0][1] if place[3] else place[1] + self.idle_ms)
+        if left:
+            state.update((left,))
+            state.setTimeoutTimestamp(min(due))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["session", "seq", "samples"])
+
+    def _advance(self, mark: int, place, got: list) -> tuple[tuple | None, list[tuple]]:
+        """A session's place after its rows, None if it's forgotten, and the blocks that are let go."""
+        after, last_ms, kept, held = place
         last_ms = max([last_ms, *(x[1] for x in got)])
         waiting = {}  # by seq: of repeats the first
-        for x in [*(self.held.get() if self.held.exists() else []), *sorted(got)]:
+        for x in [*held, *sorted(got, key=lambda x: (x[0], x[1], [list(v) for v in x[2:]]))]:
             if after is None or x[0] >= after:
-                waiting.setdefault(int(x[0]), tuple(x))
-        kept = np.array(kept, "float64")
+                waiting.setdefault(x[0], x)
+        ready = []
         for seq in sorted(waiting):
             if seq != after and waiting[seq][1] > mark:
                 break
-            out, kept = self.step(kept, *(np.asarray(v, "float64") for v in waiting.pop(seq)[2:]))
-            rows.append((key[0], seq, out))
+            ready.append((seq, [np.asarray(v, "float64") for v in waiting.pop(seq)[2:]]))
             after = seq + 1
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+        if not ready and not got and waiting:
+            return (after, last_ms, kept, held), []
+        out, kept = self.steps(np.array(kept, "float64"), [x for _, x in ready])
+        blocks = [(seq, x) for (seq, _), x in zip(ready, out, strict=True)]
         if not waiting and mark >= last_ms + self.idle_ms:
-            self.place.clear()
-            self.held.clear()
-        else:
-            self.place.update((after, last_ms, kept.tolist()))
-            if waiting:
-                self.held.put([waiting[k] for k in sorted(waiting)])
-            else:
-                self.held.clear()
-            # The first of those that wait is let go as soon as the watermark reaches it.
-            self.handle.registerTimer(waiting[min(waiting)][1] if waiting else last_ms + self.idle_ms)
-        return pd.DataFrame(rows, columns=["session", "seq", "samples"])
-
-    def close(self) -> None:
-        pass
-
-
-def in_order(blocks: DataFrame, step, start: list[float], names: tuple[str, ...] = ("samples",), late: str = "10 seconds", first: int | None = None, idle_ms: int = 60_000) -> DataFrame:
+            return None, blocks
+        held = [(x[0], x[1], *(np.asarray(v, "float64").tolist() for v in x[2:])) for x in (waiting[k] for k in sorted(waiting))]
+        return (after, last_ms, kept.tolist(), held), blocks
+
+
+def in_order(blocks: DataFrame, step, start: list[float], names: tuple[str, ...] = ("samples",), late: str = "10 seconds", first: int | None = None, idle_ms: int = 60_000, together=None) -> DataFrame:
     """(session, seq, samples) of step(state, *arrays) -> (output, state) over the blocks (session, seq, ts, names...) of each session
     in order of seq. A batch is sorted; in a stream blocks may come in any order within late of event time. first is the number
-    that sessions begin with; where it isn't given, a session's first block waits for the watermark."""
+    that sessions begin with; where it isn't given, a session's first block waits for the watermark. together(state, list of
+    arrays of blocks) -> (outputs, state) may stand for step over several blocks."""
     schema = f"session {blocks.schema['session'].dataType.simpleString()}, seq long, samples array<double>"
+    steps = together or functools.partial(_through, step)
     if not blocks.isStreaming:
 
         def whole(g: pd.DataFrame) -> pd.DataFrame:
-            state, rows = np.array(start, "float64"), []
-            for r in g.sort_values("seq", kind="stable").drop_duplicates("seq").itertuples():
-                out, state = step(state, *(np.asarray(getattr(r, n), "float64") for n in names))
-                rows.append((r.session, r.seq, out))
-            return pd.DataFrame(rows, columns=["session", "seq", "samples"])
+            g = g.sort_values("seq", kind="stable").drop_duplicates("seq")
+            out, _ = steps(np.array(start, "float64"), [[np.asarray(v, "float64") for v in x] for x in zip(*(g[n] for n in names), strict=True)])
+            return pd.DataFrame({"session": g["session"], "seq": g["seq"], "samples": out})
 
         return blocks.select("session", "seq", *names).groupBy("session").applyInPandas(whole, schema)
     use_state_store(blocks.sparkSession)
-    t = blocks.select("session", F.col("seq").cast("long").alias("seq"), "ts", *names).withWatermark("ts", late).groupBy("session")
-    return t.transformWithStateInPandas(_InOrder(step, start, list(names), first, idle_ms), schema, "Append", "eventTime")
+    t = blocks.select("session", F.col("seq").cast("long").alias("seq"), "ts", F.unix_millis("ts").alias("_ms"), *names).withWatermark("ts", late)
+    t = t.withColumn("_group", F.pmod(F.xxhash64("session"), F.lit(GROUPS))).groupBy("_group")
+    run = _InOrder(steps, start, list(names), first, idle_ms)
+    state = run.schema(blocks.schema["session"].dataType.simpleString())
+    return t.applyInPandasWithState(lambda key, frames, state: run(key, frames, state), schema, state, "append", "EventTimeTimeout")
 
 
 def pitch_ring(blocks: DataFrame, width: int, hop: int, **how) -> DataFrame:
@@ -229,4 +255,13 @@ def loudness_mix(blocks: DataFrame, rate: float, hop: int, **how) -> DataFrame:
     def step(state, source, output):
         return loudness_step(state, source, output, rate, hop)
 
-    return in_order(blocks, step, [0.0] * (2 * LEVEL_HOPS), ("source", "output"), **how)
+    def together(state, arrays):
+        """The blocks as one: each gives the hops that end in it."""
+        if not arrays:
+            return [], state
+        left = (len(state) - 2 * LEVEL_HOPS) // 2
+        ends = (left + np.cumsum([len(x[0]) for x in arrays])) // hop * hop
+        out, state = step(state, *(np.concatenate(x) for x in zip(*arrays, strict=True)))
+        return np.split(out, ends[:-1]), state
+
+    return in_order(blocks, step, [0.0] * (2 * LEVEL_HOPS), ("source", "output"), together=together, **how)
